@@ -149,7 +149,7 @@ def article_summary(c, max_chars: int = K.SUMMARY_CHARS,
 def incident_id_from_name(c) -> Column:
     """File name without extension and without an ``incident_`` prefix."""
     name = F.regexp_extract(_col(c), r"[^/]*$", 0)
-    base = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    base = F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
     return F.regexp_replace(base, r"^incident_", "")
 
 

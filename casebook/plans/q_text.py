@@ -17,3 +17,193 @@ def q_clean_html(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     cleaned = p.select("page_id", T.clean_html(F.col("html")).alias("text"))
     return cleaned.select("page_id", "text", F.length("text").alias("n_chars"))
+
+
+from ..functions import constants as K  # noqa: E402
+from ..operators import screenshots as SS  # noqa: E402
+from .inputs import INJECTED_DOCUMENTS_SQL, injected_documents  # noqa: E402
+
+# FIXED VALUES — extra image markers for the screenshot queries (by doc_id % 5)
+SHOT_EXTRA_0 = " data:image/jpeg;base64,QUJDRA== and again data:image/png;base64,QUJD"
+SHOT_EXTRA_1 = " data:image/gif;base64,QUJ DATA:IMAGE/PNG;base64,QUJD"
+
+
+def _shot_docs(spark, sf_dir):
+    d = injected_documents(spark, sf_dir)
+    k = F.col("doc_id") % 5
+    extra = F.when(k == 0, F.lit(SHOT_EXTRA_0)).when(k == 1, F.lit(SHOT_EXTRA_1)).otherwise(F.lit(""))
+    return d.select("doc_id", F.concat(F.col("text"), extra).alias("text"))
+
+
+SHOT_DOCS_SQL = (f"SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN {S.q(SHOT_EXTRA_0)} "
+                 f"WHEN 1 THEN {S.q(SHOT_EXTRA_1)} ELSE '' END AS text FROM ({INJECTED_DOCUMENTS_SQL})")
+
+
+@register("redact_image_data", f"""
+SELECT doc_id, {S.redact_image_data('text')} AS text FROM ({SHOT_DOCS_SQL})
+""")
+def q_redact_image_data(spark, sf_dir):
+    d = _shot_docs(spark, sf_dir)
+    return d.select("doc_id", T.redact_image_data(F.col("text")).alias("text"))
+
+
+@register("extract_data_urls", f"""
+WITH i AS (SELECT doc_id, text, {S.screenshot_items('doc_id', 'text')} AS items FROM ({SHOT_DOCS_SQL}))
+SELECT doc_id,
+       list_reduce(items, lambda acc, x: CASE WHEN x.ok THEN replace(acc, x.url, '[SCREENSHOT: ' || x.name || ']')
+                   ELSE acc END, text) AS processed_text,
+       len(list_filter(items, lambda x: x.ok)) AS screenshot_count
+FROM i
+""")
+def q_extract_data_urls(spark, sf_dir):
+    d = _shot_docs(spark, sf_dir)
+    return SS.extract_screenshots(d, "doc_id", "text").select(
+        "doc_id", "processed_text", F.col("screenshot_count").cast("bigint").alias("screenshot_count"))
+
+
+@register("screenshot_images", f"""
+WITH i AS (SELECT doc_id, {S.screenshot_items('doc_id', 'text')} AS items FROM ({SHOT_DOCS_SQL})),
+e AS (SELECT doc_id, unnest(items) AS it, generate_subscripts(items, 1) AS image_no FROM i)
+SELECT doc_id, CAST(image_no AS INTEGER) AS image_no, it.name AS name,
+       CASE regexp_extract(it.url, '^data:image/([^;]+);', 1)
+         {' '.join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in K.IMAGE_EXTENSIONS.items())}
+         ELSE {S.q(K.DEFAULT_IMAGE_EXTENSION)} END AS extension,
+       CAST(octet_length(from_base64(regexp_extract(it.url, '[^,]*$'))) AS INTEGER) AS n_bytes
+FROM e WHERE it.ok
+""")
+def q_screenshot_images(spark, sf_dir):
+    imgs = SS.screenshot_images(_shot_docs(spark, sf_dir), "doc_id", "text")
+    return imgs.select("doc_id", "image_no", "name", "extension", F.length("image").alias("n_bytes"))
+
+
+@register("screenshot_counts", f"""
+WITH i AS (SELECT doc_id % 20 AS bucket, len(list_filter({S.screenshot_items('doc_id', 'text')}, lambda x: x.ok)) AS n
+           FROM ({SHOT_DOCS_SQL}))
+SELECT bucket, CAST(sum(n) AS BIGINT) AS screenshots, count(*) AS docs FROM i GROUP BY bucket
+""")
+def q_screenshot_counts(spark, sf_dir):
+    """Decoded images per group and total (grouped by a doc bucket)."""
+    x = SS.extract_screenshots(_shot_docs(spark, sf_dir), "doc_id", "text")
+    return (x.groupBy((F.col("doc_id") % 20).alias("bucket"))
+            .agg(F.sum("screenshot_count").cast("bigint").alias("screenshots"),
+                 F.count(F.lit(1)).alias("docs")))
+
+
+@register("strip_support_section", f"""
+SELECT doc_id, {S.strip_support_section('text')} AS text,
+       {S.strip_support_section('text')} IS DISTINCT FROM text AS changed
+FROM ({INJECTED_DOCUMENTS_SQL})
+""")
+def q_strip_support_section(spark, sf_dir):
+    d = injected_documents(spark, sf_dir)
+    s = T.strip_support_section(F.col("text"))
+    return d.select("doc_id", s.alias("text"), (~s.eqNullSafe(F.col("text"))).alias("changed"))
+
+
+# FIXED VALUES — default noise phrases for line denoising
+NOISE_PHRASES = [
+    "Transferred from",
+    "Support ICM enrichment CEM MDE",
+    "Acknowledging incident",
+    "[IMAGE DATA SHRUNK - TODO: handle image data]",
+    "Created by Azure Support Center",
+]
+# Phrases present in the driver prose, so the filter has an effect on it.
+DATA_NOISE_PHRASES = ["nicht", "pour"]
+
+
+@register("denoise_lines", f"""
+SELECT doc_id, {S.denoise_lines('text', NOISE_PHRASES + DATA_NOISE_PHRASES)} AS text
+FROM ({INJECTED_DOCUMENTS_SQL})
+""")
+def q_denoise_lines(spark, sf_dir):
+    d = injected_documents(spark, sf_dir)
+    return d.select("doc_id", T.denoise_lines(F.col("text"), NOISE_PHRASES + DATA_NOISE_PHRASES).alias("text"))
+
+
+@register("truncate_text", f"""
+SELECT doc_id,
+       {S.head('text', K.CELL_CAP, K.CELL_CAP_SUFFIX)} AS cell_text,
+       {S.head('text', K.FILE_HEAD_CAP, K.FILE_HEAD_SUFFIX)} AS file_head,
+       {S.tail('text', K.LOG_TAIL_CAP)} AS log_tail,
+       {S.head('text', 500, '...')} AS short_text
+FROM documents
+""")
+def q_truncate_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id",
+        T.head(F.col("text"), K.CELL_CAP, K.CELL_CAP_SUFFIX).alias("cell_text"),
+        T.head(F.col("text"), K.FILE_HEAD_CAP, K.FILE_HEAD_SUFFIX).alias("file_head"),
+        T.tail(F.col("text"), K.LOG_TAIL_CAP).alias("log_tail"),
+        T.head(F.col("text"), 500, "...").alias("short_text"),
+    )
+
+
+@register("title_from_path", f"""
+SELECT page_id, url, {S.title_from_path('url')} AS title,
+       {S.title_from_path("source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || '-guide.md'")} AS doc_title
+FROM pages JOIN documents ON doc_id = page_id
+""")
+def q_title_from_path(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    d = read_table(spark, sf_dir, "documents")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"),
+                    F.lit("-guide.md"))
+    return (p.join(d, p.page_id == d.doc_id)
+            .select("page_id", "url", T.title_from_path(F.col("url")).alias("title"),
+                    T.title_from_path(path).alias("doc_title")))
+
+
+@register("article_summary", f"""
+SELECT doc_id, {S.article_summary('text')} AS summary FROM documents
+""")
+def q_article_summary(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.article_summary(F.col("text")).alias("summary"))
+
+
+@register("incident_id_from_name", f"""
+SELECT page_id, {S.incident_id_from_name("'incident_' || CAST(page_id AS VARCHAR) || '.csv'")} AS from_file,
+       {S.incident_id_from_name('url')} AS from_url
+FROM pages
+""")
+def q_incident_id_from_name(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    f = F.concat(F.lit("incident_"), F.col("page_id").cast("string"), F.lit(".csv"))
+    return p.select("page_id", T.incident_id_from_name(f).alias("from_file"),
+                    T.incident_id_from_name(F.col("url")).alias("from_url"))
+
+
+@register("preview", f"""
+SELECT doc_id, {S.preview('text', 600)} AS preview_600, {S.preview('text', 1000)} AS preview_1000
+FROM documents
+""")
+def q_preview(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.preview(F.col("text"), 600).alias("preview_600"),
+                    T.preview(F.col("text"), 1000).alias("preview_1000"))
+
+
+@register("redaction_gate", f"""
+SELECT doc_id, {S.is_redacted('text')} AS is_redacted,
+       CASE WHEN {S.is_redacted('text')} THEN 'quarantined' ELSE 'passed' END AS route
+FROM ({INJECTED_DOCUMENTS_SQL})
+""")
+def q_redaction_gate(spark, sf_dir):
+    """F-2 + F-3: redacted summaries are routed to quarantine, never dropped."""
+    d = injected_documents(spark, sf_dir)
+    r = T.is_redacted(F.col("text"))
+    return d.select("doc_id", r.alias("is_redacted"),
+                    F.when(r, F.lit("quarantined")).otherwise(F.lit("passed")).alias("route"))
+
+
+@register("keyword_csv", f"""
+SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','),
+         lambda x: {S.strip_ws('x')}), lambda x: x <> ''), '|') AS keywords
+FROM documents
+""")
+def q_keyword_csv(spark, sf_dir):
+    """P33 on each whole document read as a comma-separated list."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(T.keyword_csv(F.col("text")), "|").alias("keywords"))

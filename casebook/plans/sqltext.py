@@ -114,3 +114,58 @@ def keywords(x: str, patterns=None) -> str:
     low = f"lower(coalesce({x}, ''))"
     found = ", ".join(f"regexp_extract_all({low}, {q(p)}, 1)" for p in pats)
     return f"list_sort(list_distinct(flatten([{found}])))"
+
+
+def redact_image_data(x: str) -> str:
+    pat = q(r"(?is)(data:image/[^;]+;base64,)[A-Za-z0-9+/=_-]+")
+    return (f"(CASE WHEN contains(lower({x}), 'data:image') "
+            f"THEN regexp_replace({x}, {pat}, '\\1REDACTED', 'g') ELSE {x} END)")
+
+
+def screenshot_items(key: str, x: str) -> str:
+    url_ok = (f"(starts_with(u, 'data:image/') AND regexp_matches(regexp_extract(u, '[^,]*$'), "
+              f"{q(T.STRICT_BASE64)}))")
+    return (f"list_transform(regexp_extract_all({x}, {q('(?is)' + T.DATA_URL)}), lambda u, i: "
+            f"{{'url': u, 'name': 'screenshot_' || CAST({key} AS VARCHAR) || '_' || printf('%03d', i), "
+            f"'ok': {url_ok}}})")
+
+
+def title_from_path(x: str) -> str:
+    name = f"regexp_extract({x}, '[^/]*$')"
+    name = f"(CASE WHEN contains({name}, '.') THEN regexp_replace({name}, '\\.[^.]*$', '') ELSE {name} END)"
+    name = f"translate({name}, '_-', '  ')"
+    name = strip_ws(f"regexp_replace({name}, '[[:space:]]+', ' ', 'g')")
+    words = (f"list_transform(string_split({name}, ' '), lambda w: CASE WHEN w = upper(w) AND w <> lower(w) "
+             f"THEN w ELSE upper(substring(w, 1, 1)) || lower(substring(w, 2)) END)")
+    title = f"array_to_string({words}, ' ')"
+    return f"(CASE WHEN {title} = '' THEN {x} ELSE {title} END)"
+
+
+def article_summary(x: str, max_chars: int = 600, read_chars: int = 1800) -> str:
+    t = strip_ws(f"substring(coalesce({x}, ''), 1, {read_chars})")
+    first = f"substring({t}, 1, {max_chars})"
+    cut = f"(CASE WHEN contains({first}, ' ') THEN regexp_extract({first}, '(?s)^(.*) ', 1) ELSE {first} END)"
+    return f"(CASE WHEN length({t}) > {max_chars} THEN {cut} || '...' ELSE {t} END)"
+
+
+def denoise_lines(x: str, phrases) -> str:
+    keep = " AND ".join(f"NOT contains(l, {q(p)})" for p in phrases) or "true"
+    lines = f"string_split_regex(coalesce({x}, ''), '\\r\\n|\\r|\\n')"
+    prefix = q(r"^\[.*?\]\s*[^:]+:\s*")
+    cleaned = (f"list_transform(list_filter({lines}, lambda l: {keep}), "
+               f"lambda l: {strip_ws(f"regexp_replace(l, {prefix}, '')")})")
+    return strip_ws(f"array_to_string(list_filter({cleaned}, lambda l: l <> ''), chr(10))")
+
+
+def preview(x: str, n: int) -> str:
+    return f"translate(substring({x}, 1, {n}), chr(10) || chr(13), '  ')"
+
+
+def is_redacted(x: str) -> str:
+    return f"coalesce(regexp_matches({x}, {q(T.REDACTED_MARKER)}), false)"
+
+
+def incident_id_from_name(x: str) -> str:
+    name = f"regexp_extract({x}, '[^/]*$')"
+    base = f"regexp_replace({name}, '(.)\\.[^.]*$', '\\1')"
+    return f"regexp_replace({base}, '^incident_', '')"
