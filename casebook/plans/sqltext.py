@@ -169,3 +169,54 @@ def incident_id_from_name(x: str) -> str:
     name = f"regexp_extract({x}, '[^/]*$')"
     base = f"regexp_replace({name}, '(.)\\.[^.]*$', '\\1')"
     return f"regexp_replace({base}, '^incident_', '')"
+
+
+def tenths_text(x: str) -> str:
+    h = f"CAST(round(({x}) * 100.0) AS BIGINT)"
+    t = f"({h} // 10)"
+    r = f"({h} - {t} * 10)"
+    t2 = f"(CASE WHEN {r} > 5 OR ({r} = 5 AND {t} % 2 = 1) THEN {t} + 1 ELSE {t} END)"
+    return f"(CAST({t2} // 10 AS VARCHAR) || '.' || CAST({t2} % 10 AS VARCHAR))"
+
+
+def fmt_fixed(x: str, digits: int) -> str:
+    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+
+
+def shared_terms_ranked(qt: str, tt: str, st: str, k: int = 5) -> str:
+    shared = f"list_intersect({qt}, list_distinct(list_concat({tt}, {st})))"
+    ordered = f"list_transform(list_sort(list_transform({shared}, lambda t: {{'k': -length(t), 't': t}})), lambda s: s.t)"
+    return f"list_slice({ordered}, 1, {k})"
+
+
+def heuristic_explanation(query: str, context: str, title: str, summary: str, score: str) -> str:
+    tok = r"[a-z0-9_\-]+"
+    qt = term_set(f"{query} || ' ' || coalesce({context}, '')", tok)
+    shared = shared_terms_ranked(qt, term_set(title, tok), term_set(summary, tok))
+    low = f"lower(coalesce({summary}, ''))"
+
+    def any_in(words):
+        return "(" + " OR ".join(f"contains({low}, {q(w)})" for w in words) + ")"
+
+    return (f"(CASE WHEN len({shared}) > 0 THEN {q(K.MATCH_SENTENCE_PREFIX)} || array_to_string({shared}, ', ') || '. ' "
+            f"ELSE {q(K.NO_MATCH_SENTENCE)} END"
+            f" || CASE WHEN {any_in(K.PLATFORM_WORDS)} THEN {q(K.PLATFORM_SENTENCE)} ELSE '' END"
+            f" || CASE WHEN {any_in(K.SECURITY_WORDS)} THEN {q(K.SECURITY_SENTENCE)} ELSE '' END"
+            f" || CASE WHEN {any_in(K.CONFIGURATION_WORDS)} THEN {q(K.CONFIGURATION_SENTENCE)} ELSE '' END"
+            f" || 'Relevance score: ' || {tenths_text(score)} || '/10.')")
+
+
+def relevance_score(x: str) -> str:
+    from ..functions import scoring as SC
+    r = f"coalesce({x}, '')"
+    cands = []
+    for p in SC.SCORE_PATTERNS + [SC.ANY_NUMBER]:
+        m = f"regexp_extract({r}, {q('(?im)' + p)}, 1)"
+        cands.append(f"CASE WHEN {m} <> '' THEN CAST({m} AS DOUBLE) END")
+    return f"greatest(0.0, least(10.0, coalesce({', '.join(cands)}, 5.0)))"
+
+
+def comparison_result(x: str) -> str:
+    r = f"lower(regexp_replace(coalesce({x}, ''), '^\\s+|\\s+$', '', 'g'))"
+    return (f"(CASE WHEN contains({r}, '1') AND NOT contains({r}, '-1') THEN 1 "
+            f"WHEN contains({r}, '-1') THEN -1 ELSE 0 END)")
