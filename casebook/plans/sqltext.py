@@ -220,3 +220,15 @@ def comparison_result(x: str) -> str:
     r = f"lower(regexp_replace(coalesce({x}, ''), '^\\s+|\\s+$', '', 'g'))"
     return (f"(CASE WHEN contains({r}, '1') AND NOT contains({r}, '-1') THEN 1 "
             f"WHEN contains({r}, '-1') THEN -1 ELSE 0 END)")
+
+
+def keywords_wordwise(x: str, patterns) -> str:
+    """Keyword set for patterns of the form ``\\b(a|b|c)\\b`` with Unicode word
+    boundaries (RE2's ``\\b`` is ASCII-only): whole Unicode word runs equal to
+    one of the alternatives."""
+    words = []
+    for p in patterns:
+        assert p.startswith(r"\b(") and p.endswith(r")\b"), p
+        words += p[3:-3].split("|")
+    toks = f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+    return f"list_sort(list_distinct(list_filter({toks}, lambda t: list_contains({lit_list(words)}, t))))"
