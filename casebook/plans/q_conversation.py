@@ -63,3 +63,169 @@ def q_conversation_text(spark, sf_dir):
 
 def entry_query(spark, sf_dir):
     return q_conversation_text(spark, sf_dir)
+
+
+CONV_TEXT_SQL = f"""
+WITH kept AS ({KEPT_SQL}),
+conv AS (SELECT incident_id, string_agg({LINE_SQL}, chr(10) ORDER BY ts, pos) AS conversation_text
+         FROM kept GROUP BY incident_id)
+SELECT conv.incident_id,
+       CASE WHEN coalesce(s.summary, '') <> ''
+            THEN '--- Authored Summary ---' || chr(10) || {S.strip_support_section('s.summary')}
+                 || chr(10) || chr(10) || conv.conversation_text
+            ELSE conv.conversation_text END AS conversation_text
+FROM conv LEFT JOIN ({SUMMARY_SQL}) s USING (incident_id)
+"""
+BATCH = 5
+
+
+def _texts(spark, sf_dir):
+    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    return C.conversation_text(kept, _summaries(spark, sf_dir), bucket=F.floor(F.col("ts") / TURN_BUCKET))
+
+
+@register("unified_content", f"""
+WITH t AS ({CONV_TEXT_SQL})
+SELECT incident_id // {BATCH} AS batch_id,
+       'combined_' || string_agg(CAST(incident_id AS VARCHAR), '_' ORDER BY incident_id) AS combined_id,
+       count(*) AS total_incidents,
+       string_agg('=== Incident ' || CAST(incident_id AS VARCHAR) || ' ===' || chr(10) || conversation_text,
+                  chr(10) || chr(10) ORDER BY incident_id) AS unified_content
+FROM t GROUP BY incident_id // {BATCH}
+""")
+def q_unified_content(spark, sf_dir):
+    """A4 (+S4 shape): incidents grouped into batches of five, one combined text per batch."""
+    t = _texts(spark, sf_dir).select(
+        (F.col("incident_id") / BATCH).cast("long").alias("batch_id"), F.col("incident_id").alias("ordinal"),
+        "incident_id", "conversation_text")
+    return C.unified_content(t)
+
+
+@register("plan_content", f"""
+WITH t AS (SELECT incident_id // {BATCH} AS batch_id, incident_id, conversation_text,
+                  CASE WHEN incident_id = min(incident_id) OVER (PARTITION BY incident_id // {BATCH})
+                       THEN 'primary' ELSE 'historical' END AS role FROM ({CONV_TEXT_SQL})),
+n AS (SELECT batch_id, count(*) AS n FROM t GROUP BY batch_id HAVING count(*) >= 2),
+h AS (SELECT batch_id, string_agg('=== Historical Incident ' || CAST(incident_id AS VARCHAR) || ' ===' || chr(10)
+             || conversation_text, chr(10) || chr(10) ORDER BY incident_id) AS hist,
+             string_agg(CAST(incident_id AS VARCHAR), '_' ORDER BY incident_id) AS hids
+      FROM t WHERE role = 'historical' GROUP BY batch_id)
+SELECT p.batch_id, 'troubleshooting_plan_' || CAST(p.incident_id AS VARCHAR) || '_with_' || coalesce(h.hids, '') AS plan_id,
+       n.n AS total_incidents,
+       '=== PRIMARY INCIDENT ' || CAST(p.incident_id AS VARCHAR) || ' ===' || chr(10) || p.conversation_text
+       || chr(10) || chr(10) || CASE WHEN h.hist IS NOT NULL
+            THEN '=== HISTORICAL REFERENCE INCIDENTS ===' || chr(10) || h.hist ELSE '' END AS plan_content
+FROM t p JOIN n USING (batch_id) LEFT JOIN h USING (batch_id) WHERE p.role = 'primary'
+""")
+def q_plan_content(spark, sf_dir):
+    """A5 + J8 + F-11: the first incident of each batch is primary, the rest
+    historical; only batches with at least two incidents."""
+    t = _texts(spark, sf_dir)
+    b = (F.col("incident_id") / BATCH).cast("long")
+    firsts = t.groupBy(b.alias("batch_id")).agg(F.min("incident_id").alias("_first"))
+    t = t.withColumn("batch_id", b).join(firsts, "batch_id").select(
+        "batch_id", F.col("incident_id").alias("ordinal"), "incident_id", "conversation_text",
+        F.when(F.col("incident_id") == F.col("_first"), F.lit("primary")).otherwise(F.lit("historical")).alias("role"))
+    return C.plan_content(t)
+
+
+@register("authored_summary", """
+WITH r AS (SELECT conv_id AS incident_id, turn AS row_no,
+                  [role, text, CASE WHEN turn % 3 = 0 THEN '' ELSE 'note ' || CAST(turn AS VARCHAR) END] AS cells,
+                  CASE WHEN turn % 4 = 1 THEN '' ELSE text END AS summary FROM conversations),
+rt AS (SELECT incident_id, row_no, regexp_replace(array_to_string(list_filter(cells, lambda x: x IS NOT NULL AND x <> ''), ' '),
+              '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') AS rt, summary FROM r),
+agg AS (SELECT incident_id, regexp_replace(coalesce(string_agg(rt, chr(10) ORDER BY row_no) FILTER (WHERE rt <> ''), ''),
+               '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') AS agg,
+               arg_min(coalesce(summary, ''), row_no) AS single FROM rt GROUP BY incident_id)
+SELECT incident_id, CASE WHEN length(agg) >= length(single) THEN agg ELSE single END AS summary FROM agg
+""")
+def q_authored_summary(spark, sf_dir):
+    """A3: multi-row, multi-cell summaries (conversation turns as summary rows)."""
+    c = read_table(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("incident_id"), F.col("turn").alias("row_no"),
+                    F.array(F.col("role"), F.col("text"),
+                            F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(
+                                F.concat(F.lit("note "), F.col("turn").cast("string")))).alias("cells"),
+                    F.when(F.col("turn") % 4 == 1, F.lit("")).otherwise(F.col("text")).alias("summary"))
+    return C.authored_summary(rows)
+
+
+@register("build_conversation", f"""
+SELECT incident_id, count(*) AS total_entries,
+       to_json(list({{'timestamp': CAST(ts AS VARCHAR), 'author': author, 'content': content}} ORDER BY ts, pos))::VARCHAR
+         AS conversation
+FROM ({KEPT_SQL}) GROUP BY incident_id
+""")
+def q_build_conversation(spark, sf_dir):
+    """A1 (+O1): the nested per-incident document (as JSON text)."""
+    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    b = C.build_conversation(kept)
+    return b.select("incident_id", "total_entries", F.to_json("conversation").alias("conversation"))
+
+
+@register("format_entries", f"""
+SELECT incident_id, ts, {S.format_entry('ts', 'author', 'content')} AS line,
+       {S.format_entry('ts', 'author', S.strip_support_section('content'))} AS prompt_line
+FROM ({ENTRIES_SQL})
+""")
+def q_format_entries(spark, sf_dir):
+    """P5 + P11: normalised entries as ``[ts] author: content`` lines."""
+    e = _entries(spark, sf_dir)
+    return e.select("incident_id", "ts", T.format_entry("ts", "author", "content").alias("line"),
+                    T.format_entry("ts", "author", T.strip_support_section(F.col("content"))).alias("prompt_line"))
+
+
+@register("full_content", f"""
+SELECT incident_id, length(full_content) AS content_length, full_content FROM (
+  SELECT incident_id, string_agg(' ' || content, '' ORDER BY ts, pos) AS full_content FROM ({KEPT_SQL}) GROUP BY incident_id)
+""")
+def q_full_content(spark, sf_dir):
+    """Every message prefixed by a space, concatenated in order."""
+    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    f = C.full_content(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET))
+    return f.select("incident_id", F.length("full_content").alias("content_length"), "full_content")
+
+
+@register("empty_fetch_gate", """
+SELECT doc_id AS incident_id FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)
+""")
+def q_empty_fetch_gate(spark, sf_dir):
+    """F-4: requested incidents (every document id) with no discussion rows are skipped."""
+    req = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("incident_id"))
+    disc = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("incident_id"))
+    return req.join(disc, "incident_id", "left_anti")
+
+
+@register("incident_scan", """
+WITH req AS (SELECT DISTINCT doc_id AS incident_id FROM labels),
+rows AS (SELECT conv_id AS incident_id, count(*) AS n_rows FROM conversations
+         WHERE conv_id IN (SELECT incident_id FROM req) GROUP BY conv_id)
+SELECT req.incident_id, coalesce(rows.n_rows, 0) AS n_rows,
+       CASE WHEN rows.n_rows IS NULL THEN 'missing' ELSE 'processed' END AS status
+FROM req LEFT JOIN rows USING (incident_id)
+""")
+def q_incident_scan(spark, sf_dir):
+    """S1 + J1 + J3: requested ids (labelled documents) semi-joined to the
+    discussion rows; requested ids without rows are reported as missing."""
+    req = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("incident_id")).distinct()
+    disc = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("incident_id"))
+    from ..sources import readers as RD
+    rows = RD.scan_requested(disc, req, "incident_id").groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    j = req.join(rows, "incident_id", "left")
+    return j.select("incident_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                    F.when(F.col("n_rows").isNull(), F.lit("missing")).otherwise(F.lit("processed")).alias("status"))
+
+
+@register("format_items", """
+SELECT conv_id, string_agg(CASE WHEN role = 'system' THEN '[Image: ' || text || ']' ELSE text END, chr(10) ORDER BY turn)
+  AS conversation FROM conversations GROUP BY conv_id
+""")
+def q_format_items(spark, sf_dir):
+    """Content items joined, non-text items shown as ``[Image: …]``."""
+    from ..operators import prompting as PR
+    c = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("pos"),
+        F.when(F.col("role") == "system", F.lit("image")).otherwise(F.lit("text")).alias("type"),
+        F.col("text").alias("content"))
+    return PR.format_items(c, "conv_id")
