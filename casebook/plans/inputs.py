@@ -67,9 +67,9 @@ RAW_DISCUSSIONS_SQL = (
 
 def injected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", _inject(F.col("doc_id"), F.col("text")).alias("text"), "lang", "source")
+    return d.select("doc_id", _inject(F.col("doc_id"), F.col("text")).alias("text"), "lang", "source", "n_chars")
 
 
 INJECTED_DOCUMENTS_SQL = (
-    f"SELECT doc_id, {_inject_sql('doc_id', 'text')} AS text, lang, source FROM documents"
+    f"SELECT doc_id, {_inject_sql('doc_id', 'text')} AS text, lang, source, n_chars FROM documents"
 )
