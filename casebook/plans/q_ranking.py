@@ -33,34 +33,64 @@ def candidates(spark, sf_dir):
                     F.lit("").alias("context"), F.col("score").alias("semantic_similarity")))
 
 
-CANDS_SQL = f"""
-SELECT r.item_id AS q_id, CAST(r.rank AS INTEGER) AS cand_pos, r.doc_id, {PATH_SQL} AS article_path,
+def cands_sql(queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text", ctx: str = "''") -> str:
+    return f"""
+SELECT r.{qkey} AS q_id, CAST(r.rank AS INTEGER) AS cand_pos, r.doc_id, {PATH_SQL} AS article_path,
        {S.title_from_path(PATH_SQL)} AS title, {S.article_summary('d.text')} AS content_summary,
-       b.text AS query_text, '' AS context, r.score AS semantic_similarity
-FROM ({_r4_sql(CANDIDATES).replace('round(score, 6) AS score', 'score')}) r
-JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)
+       b.{qtext} AS query_text, {ctx} AS context, r.score AS semantic_similarity
+FROM ({_r4_sql(CANDIDATES, queries, qkey, qtext).replace('round(score, 6) AS score', 'score')}) r
+JOIN documents d USING (doc_id) JOIN ({queries}) b USING ({qkey})
 """
-NORM_SQL = f"""
+
+
+def norm_sql(cands: str) -> str:
+    return f"""
 SELECT c.*, CASE WHEN m.mx - m.mn < 1e-8 THEN 6.0
                  ELSE 3.0 + (semantic_similarity - m.mn) * 6.0 / (m.mx - m.mn) END AS norm
-FROM ({CANDS_SQL}) c JOIN (SELECT q_id, min(semantic_similarity) AS mn, max(semantic_similarity) AS mx
-                           FROM ({CANDS_SQL}) GROUP BY q_id) m USING (q_id)
+FROM ({cands}) c JOIN (SELECT q_id, min(semantic_similarity) AS mn, max(semantic_similarity) AS mx
+                       FROM ({cands}) GROUP BY q_id) m USING (q_id)
 """
+
+
 OV = S.jaccard(S.term_set("query_text || chr(10) || coalesce(context, '')"), S.term_set("content_summary"))
-SCORED_SQL = f"""
+
+
+def scored_sql(cands: str) -> str:
+    return f"""
 SELECT *, round_even(least(10.0, norm + least(1.0, ov * 2.0)), 2) AS llm_relevance_score,
        'Heuristic: semantic similarity ' || {S.fmt_fixed('semantic_similarity', 3)} || ' + token overlap '
          || {S.fmt_fixed('ov', 3)} AS llm_reasoning
-FROM (SELECT *, {OV} AS ov FROM ({NORM_SQL}))
+FROM (SELECT *, {OV} AS ov FROM ({norm_sql(cands)}))
 """
-RANKED_SQL = f"""
+
+
+def ranked_sql(cands: str) -> str:
+    return f"""
 SELECT *, {S.heuristic_explanation('query_text', 'context', 'title', 'content_summary', 'llm_relevance_score')}
           AS intelligent_explanation, llm_relevance_score AS relevance_score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY llm_relevance_score DESC, cand_pos) AS INTEGER) AS rank
-  FROM ({SCORED_SQL})) WHERE rank <= {TOP_K}
+  FROM ({scored_sql(cands)})) WHERE rank <= {TOP_K}
 """
 
 
+def formatted_sql(ranked: str) -> str:
+    return f"""
+SELECT q_id, count(*) AS n_results, string_agg(CAST(rank AS VARCHAR) || '. ' || coalesce(title, 'Unknown Title') || chr(10)
+  || '   URL: ' || coalesce(article_path, 'No URL available') || chr(10)
+  || '   Relevance Score: ' || {S.tenths_text('coalesce(relevance_score, 0.0)')} || '/10' || chr(10)
+  || CASE WHEN coalesce(intelligent_explanation, '') <> ''
+          THEN '   Why relevant: ' || intelligent_explanation || chr(10) ELSE '' END, chr(10) ORDER BY rank)
+  AS formatted_results
+FROM ({ranked}) GROUP BY q_id
+"""
+
+
+CANDS_SQL = cands_sql()
+NORM_SQL = norm_sql(CANDS_SQL)
+SCORED_SQL = scored_sql(CANDS_SQL)
+RANKED_SQL = ranked_sql(CANDS_SQL)
+
+
 def advanced(spark, sf_dir):
     scored = RK.score_candidates(candidates(spark, sf_dir), None)
     ranked = RK.rank_candidates(scored, TOP_K)
@@ -91,13 +121,7 @@ def q_minmax_per_query(spark, sf_dir):
 
 
 @register("format_results", f"""
-SELECT q_id, string_agg(CAST(rank AS VARCHAR) || '. ' || coalesce(title, 'Unknown Title') || chr(10)
-  || '   URL: ' || coalesce(article_path, 'No URL available') || chr(10)
-  || '   Relevance Score: ' || {S.tenths_text('coalesce(relevance_score, 0.0)')} || '/10' || chr(10)
-  || CASE WHEN coalesce(intelligent_explanation, '') <> ''
-          THEN '   Why relevant: ' || intelligent_explanation || chr(10) ELSE '' END, chr(10) ORDER BY rank)
-  AS formatted_results
-FROM ({RANKED_SQL}) GROUP BY q_id
+SELECT q_id, formatted_results FROM ({formatted_sql(RANKED_SQL)})
 """)
 def q_format_results(spark, sf_dir):
     """P31 on the advanced-search results (the article path is the URL)."""

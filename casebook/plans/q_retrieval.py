@@ -79,7 +79,7 @@ def q_pair_tfidf(spark, sf_dir):
 CANDIDATES = 15  # 3 x top_k
 
 
-def _r4_sql(k: int) -> str:
+def _r4_sql(k: int, queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text") -> str:
     return f"""
 WITH dtf AS ({term_counts_sql('documents', 'doc_id', 'text')}),
 nd AS (SELECT count(*) AS n FROM documents),
@@ -87,13 +87,13 @@ dfreq AS (SELECT term, count(*) AS df FROM dtf GROUP BY term),
 vocab AS (SELECT term, ln((1.0 + n) / (df + 1.0)) + 1.0 AS idf FROM dfreq, nd WHERE df <= 0.9 * n),
 w AS (SELECT doc_id, term, tf * idf AS w FROM dtf JOIN vocab USING (term)),
 norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
-qw AS (SELECT item_id, term, tf * idf AS qw FROM ({term_counts_sql('benchmark', 'item_id', 'text')}) JOIN vocab USING (term)),
-qn AS (SELECT item_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY item_id),
-dot AS (SELECT item_id, doc_id, sum(w.w * (qw.qw / qn.qnorm)) AS dot FROM w JOIN qw USING (term)
-        JOIN qn USING (item_id) GROUP BY item_id, doc_id),
-sc AS (SELECT item_id, doc_id, dot / norm AS score FROM dot JOIN norms USING (doc_id) WHERE dot / norm > 0)
-SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM sc)
+qw AS (SELECT {qkey}, term, tf * idf AS qw FROM ({term_counts_sql('(' + queries + ') AS qsrc', qkey, qtext)}) JOIN vocab USING (term)),
+qn AS (SELECT {qkey}, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY {qkey}),
+dot AS (SELECT {qkey}, doc_id, sum(w.w * (qw.qw / qn.qnorm)) AS dot FROM w JOIN qw USING (term)
+        JOIN qn USING ({qkey}) GROUP BY {qkey}, doc_id),
+sc AS (SELECT {qkey}, doc_id, dot / norm AS score FROM dot JOIN norms USING (doc_id) WHERE dot / norm > 0)
+SELECT {qkey}, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY {qkey} ORDER BY round(score, 12) DESC, doc_id) AS rank FROM sc)
 WHERE rank <= {k}
 """
 
