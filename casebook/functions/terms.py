@@ -68,6 +68,12 @@ def keywords(c, patterns=None) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
 def word_tokens(c) -> Column:
-    """Vectorizer tokens (lower-case, >=2 word characters), in text order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit(WORD_TOKEN), 0)
+    """Vectorizer tokens (lower-case, >=2 word characters), in text order.
+    Splitting on non-word runs yields exactly the maximal word runs that
+    ``WORD_TOKEN`` matches, and is cheaper than a regex extraction."""
+    parts = F.split(F.lower(F.coalesce(_col(c), F.lit(""))), NON_WORD)
+    return F.filter(parts, lambda t: F.length(t) >= 2)

@@ -6,8 +6,8 @@ two or more word characters, stop words removed, raw term counts, smooth idf
 
 Plan shape
 ----------
-* ``term_counts``: explode tokens -> anti-join the fixed stop list (broadcast,
-  181 rows) -> ``groupBy(doc, term).count``.  Partial aggregation collapses a
+* ``term_counts``: explode tokens -> ``groupBy(doc, term).count`` -> anti-join
+  the fixed stop list (broadcast, 181 rows).  Partial aggregation collapses a
   document's repeated tokens before the shuffle.
 * Document frequency is a ``groupBy(term)`` with partial aggregation, so a
   term present in a third of all documents costs one row per map partition.
@@ -17,6 +17,9 @@ Plan shape
   term have score 0 and can never pass the ``> 0`` floor.
 * The doc-term x idf join is a shuffle on ``term``; hot terms are split by
   AQE's skew-join handling.
+* The document-term table is built once per call and written as a parquet
+  table into the shared checkpoint folder (the index-build step); df,
+  weights and norms all read it instead of re-tokenising the corpus.
 * Top-k per query uses ``row_number() <= k``, which the planner turns into a
   partial ``WindowGroupLimit`` below the shuffle (bounded per query).
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import terms as TM
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut_lineage
 
 
 def _stop_table(spark, stopwords=None) -> DataFrame:
@@ -40,9 +43,11 @@ def _stop_table(spark, stopwords=None) -> DataFrame:
 
 def term_counts(df: DataFrame, key: str, text: str, stopwords=None) -> DataFrame:
     """(key, term, tf) with stop words removed."""
-    toks = df.select(key, F.explode(TM.word_tokens(F.col(text))).alias("term"))
-    toks = toks.join(F.broadcast(_stop_table(df.sparkSession, stopwords)), "term", "left_anti")
-    return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TM.NON_WORD)
+    toks = df.select(key, F.explode(parts).alias("term")).filter(F.length("term") >= 2)
+    counts = toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # stop words removed after counting: fewer rows probe the (fixed, 181-row) broadcast list
+    return counts.join(F.broadcast(_stop_table(df.sparkSession, stopwords)), "term", "left_anti")
 
 
 def top_k(df: DataFrame, part: str, order, k: int, rank: str = "rank") -> DataFrame:
@@ -71,13 +76,16 @@ def fallback_search(docs: DataFrame, doc_key: str, doc_text: str,
                     k: int, max_df: float = 0.9, stopwords=None) -> DataFrame:
     """TF-IDF fitted on the documents only; cosine of L2 rows; keep the
     top ``k`` positive scores per query (ties: lower document key first)."""
-    doc_tf = term_counts(docs, doc_key, doc_text, stopwords)
+    # the document-term table feeds df, weights and norms: build it once
+    doc_tf = cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
     n_docs = docs.select(doc_key).count()
     w, norms, vocab = docs_only_index(doc_tf, doc_key, n_docs, max_df)
     q_tf = term_counts(queries, q_key, q_text, stopwords)
     qw = q_tf.join(vocab, "term").select(q_key, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qn = qw.groupBy(q_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    qv = checked_broadcast(qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv")))
+    # qv has at most one row per (query, term): q_tf bounds its size cheaply
+    qv = checked_broadcast(qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv")),
+                           bound_by=q_tf)
     dot = (w.join(qv, "term")
            .groupBy(q_key, doc_key).agg(F.sum(F.col("w") * F.col("qv")).alias("dot")))
     scored = dot.join(norms, doc_key).select(q_key, doc_key, (F.col("dot") / F.col("norm")).alias("score"))
@@ -97,7 +105,7 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
     Exact per query without refitting: for terms outside the query the idf
     is query-independent, so ``|d|^2(q) = base(d) + sum_{t in d∩q} tf^2 (idf1^2 - idf0^2)``.
     """
-    doc_tf = term_counts(docs, doc_key, doc_text, stopwords)
+    doc_tf = cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
     n = docs.select(doc_key).count()
     totals = doc_tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = F.broadcast(totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
@@ -107,9 +115,11 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
         (_ln(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1"))
     dv = doc_tf.join(vocab, "term")
     base = dv.groupBy(doc_key).agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2)).alias("base"))
-    q_tf = term_counts(queries, q_key, q_text, stopwords).join(vocab, "term")
+    q_raw = term_counts(queries, q_key, q_text, stopwords)
+    q_tf = q_raw.join(vocab, "term")
     qn = q_tf.groupBy(q_key).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf1"), 2))).alias("qnorm"))
-    qv = checked_broadcast(q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm"))
+    qv = checked_broadcast(q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm"),
+                           bound_by=q_raw)
     pairs = (dv.join(qv, "term")
              .groupBy(q_key, doc_key)
              .agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf1") * F.col("idf1")).alias("dot"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,22 +60,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss,
-    unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table under the shared checkpoint folder
+    and continue from the written table.
+
+    Used where one expensive intermediate (e.g. the document-term table)
+    feeds several branches of a plan: it is computed once, the lineage is
+    cut, and a lost executor only costs re-reading files, never recomputing
+    the upstream stages.  Parquet keeps the intermediate columnar, so the
+    readers get column pruning and predicate pushdown.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/casebook-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
-def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMIT) -> DataFrame:
+def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMIT,
+                      bound_by: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only when it provably has at most ``row_limit`` rows.
 
     The check is a bounded ``limit(row_limit + 1).count()`` so it never scans
-    more than the limit.  Above the limit the DataFrame is returned unhinted
-    and the planner falls back to a shuffle join (AQE may still convert it
-    at runtime from real statistics).
+    more than the limit.  ``bound_by`` may name a cheaper DataFrame whose row
+    count is an upper bound of ``df``'s (e.g. the query terms before they are
+    joined to the corpus vocabulary), so the check does not have to run the
+    expensive side.  Above the limit the DataFrame is returned unhinted and
+    the planner falls back to a shuffle join (AQE may still convert it at
+    runtime from real statistics).
     """
-    n = df.limit(row_limit + 1).count()
+    n = (df if bound_by is None else bound_by).limit(row_limit + 1).count()
     if n <= row_limit:
         return F.broadcast(df)
     return df
