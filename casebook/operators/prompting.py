@@ -143,3 +143,105 @@ def nearest_memories(knn: DataFrame, memories: DataFrame, limit: int = 3) -> Dat
     h = top_k(knn, "q_id", [F.asc("rank")], limit, rank="_r").drop("_r")
     return h.join(memories, h.i_id == memories.memory_id).select(
         F.col("q_id").alias("incident_id"), "rank", "memory_id", "memory_summary")
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — model request templates (P34).  ``{name}`` marks a column.
+# ---------------------------------------------------------------------------
+SCORING_TEMPLATE = """
+# Technical Support Article Relevance Assessment
+
+## Incident Query
+{query}
+
+## Incident Context
+{context}
+
+## Article to Evaluate
+**Title:** {title}
+**URL:** {url}
+**Content Summary:** {summary}
+
+## Scoring Criteria
+Rate the relevance of this article to the incident on a scale of 0-10:
+
+- **10**: Directly addresses the exact issue described in the incident
+- **8-9**: Highly relevant troubleshooting guide for similar issues
+- **6-7**: Moderately relevant, contains useful information for the problem domain
+- **4-5**: Somewhat relevant, may contain tangential information
+- **2-3**: Barely relevant, minimal connection to the incident
+- **0-1**: Not relevant, no connection to the incident
+
+Consider:
+- Technical compatibility (platforms, versions, components)
+- Problem domain alignment (security, performance, configuration, etc.)
+- Troubleshooting methodology applicability
+- Specificity of the solution to the described issue
+
+## Response Format
+Provide your score as a single integer between 0 and 10, followed by a brief explanation of your reasoning.
+
+Score: [0-10]
+Reasoning: [Brief explanation of why this score was assigned]
+"""
+
+EXPLANATION_TEMPLATE = """
+# Technical Support Article Relevance Explanation
+
+## Incident Query
+{query}
+
+## Incident Context
+{context}
+
+## Article
+**Title:** {title}
+**URL:** {url}
+**Content Summary:** {summary}
+**Relevance Score:** {score}/10
+
+## Task
+Explain why this article is relevant to the incident in 2-3 sentences. Focus on:
+- Specific technical aspects that match the incident
+- Troubleshooting steps that apply to the described problem
+- Platform, component, or domain alignment
+- How this article would help resolve the incident
+
+Be specific and technical, avoiding generic statements.
+
+## Response
+Provide a clear, concise explanation of the relevance:
+"""
+
+
+def template_parts(template: str):
+    """Split a ``{name}`` template into ('lit', text) / ('col', name) parts."""
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts.append(("lit", template[pos:m.start()]))
+        parts.append(("col", m.group(1)))
+        pos = m.end()
+    parts.append(("lit", template[pos:]))
+    return [p for p in parts if p != ("lit", "")]
+
+
+def fill_template(template: str, columns: dict) -> Column:
+    """A template filled from columns as one ``concat`` (no UDF)."""
+    return F.concat(*[F.lit(v) if kind == "lit" else columns[v] for kind, v in template_parts(template)])
+
+
+def request_texts(cands: DataFrame) -> DataFrame:
+    """Scoring and explanation requests per candidate (``url`` defaults
+    to ``Unknown`` when the candidate has none)."""
+    cols = {
+        "query": F.coalesce(F.col("query_text"), F.lit("")),
+        "context": F.coalesce(F.col("context"), F.lit("")),
+        "title": F.coalesce(F.col("title"), F.lit("Unknown")),
+        "url": F.coalesce(F.col("url"), F.lit("Unknown")) if "url" in cands.columns else F.lit("Unknown"),
+        "summary": F.coalesce(F.col("content_summary"), F.lit("No summary available")),
+        "score": F.coalesce(F.col("llm_relevance_score"), F.lit(0.0)).cast("string"),
+    }
+    return cands.select("*", fill_template(SCORING_TEMPLATE, cols).alias("scoring_request"),
+                        fill_template(EXPLANATION_TEMPLATE, cols).alias("explanation_request"))

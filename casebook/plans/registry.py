@@ -27,4 +27,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_text, q_conversation, q_findings, q_retrieval, q_ranking, q_prompting, q_activity, q_logs, q_gap  # noqa: F401
+    from . import q_text, q_conversation, q_findings, q_retrieval, q_ranking, q_prompting, q_activity, q_logs, q_gap, q_extra  # noqa: F401
