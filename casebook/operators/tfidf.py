@@ -60,39 +60,48 @@ def _ln(x):
     return F.log(x)
 
 
-def docs_only_index(doc_tf: DataFrame, key: str, n_docs: int, max_df: float = 0.9):
-    """A7(i) index: idf over the documents, terms in more than ``max_df`` of
-    the documents dropped; returns (weights(key, term, w), norms(key, norm), vocab(term, idf))."""
+def docs_only_index(docs: DataFrame, doc_key: str, doc_text: str, max_df: float = 0.9, stopwords=None):
+    """A7(i) index build: idf over the documents (terms in more than
+    ``max_df`` of them dropped), weights L2-normalised per document.
+    Returns two staged tables: ``index(doc_key, term, wn)`` and
+    ``vocab(term, idf)``.  Built once, probed by any number of query batches."""
+    doc_tf = cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
+    n_docs = docs.select(doc_key).count()
     dfreq = doc_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = (dfreq.filter(F.col("df") <= F.lit(max_df * n_docs))
              .select("term", (_ln(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    w = doc_tf.join(vocab, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w, norms, vocab
+    vocab = cut_lineage(vocab, "tfidf-vocab")
+    w = doc_tf.join(vocab, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = w.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    index = w.join(norms, doc_key).select(doc_key, "term", (F.col("w") / F.col("norm")).alias("wn"))
+    return cut_lineage(index, "tfidf-index"), vocab
 
 
-def fallback_search(docs: DataFrame, doc_key: str, doc_text: str,
-                    queries: DataFrame, q_key: str, q_text: str,
-                    k: int, max_df: float = 0.9, stopwords=None) -> DataFrame:
-    """TF-IDF fitted on the documents only; cosine of L2 rows; keep the
-    top ``k`` positive scores per query (ties: lower document key first)."""
-    # the document-term table feeds df, weights and norms: build it once
-    doc_tf = cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
-    n_docs = docs.select(doc_key).count()
-    w, norms, vocab = docs_only_index(doc_tf, doc_key, n_docs, max_df)
+def probe_docs_only(index: DataFrame, vocab: DataFrame, doc_key: str, queries: DataFrame, q_key: str, q_text: str,
+                    k: int, stopwords=None) -> DataFrame:
+    """R4 query side: L2-normalised query weights over the known terms
+    (size-checked broadcast) joined to the index on ``term``."""
     q_tf = term_counts(queries, q_key, q_text, stopwords)
     qw = q_tf.join(vocab, "term").select(q_key, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qn = qw.groupBy(q_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     # qv has at most one row per (query, term): q_tf bounds its size cheaply
     qv = checked_broadcast(qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv")),
                            bound_by=q_tf)
-    dot = (w.join(qv, "term")
-           .groupBy(q_key, doc_key).agg(F.sum(F.col("w") * F.col("qv")).alias("dot")))
-    scored = dot.join(norms, doc_key).select(q_key, doc_key, (F.col("dot") / F.col("norm")).alias("score"))
+    scored = (index.join(qv, "term")
+              .groupBy(q_key, doc_key).agg(F.sum(F.col("wn") * F.col("qv")).alias("score")))
     scored = scored.filter(F.col("score") > 0)
     return top_k(scored, q_key, [F.desc(F.round("score", 12)), F.asc(doc_key)], k)
 
 
+def fallback_search(docs: DataFrame, doc_key: str, doc_text: str,
+                    queries: DataFrame, q_key: str, q_text: str,
+                    k: int, max_df: float = 0.9, stopwords=None) -> DataFrame:
+    """TF-IDF fitted on the documents only; cosine of L2 rows; keep the
+    top ``k`` positive scores per query (ties: lower document key first)."""
+    index, vocab = docs_only_index(docs, doc_key, doc_text, max_df, stopwords)
+    return probe_docs_only(index, vocab, doc_key, queries, q_key, q_text, k, stopwords)
+
+
 def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
                      queries: DataFrame, q_key: str, q_text: str,
                      k: int = 5, max_features: int = 1000, stopwords=None) -> DataFrame:
@@ -104,10 +113,13 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
 
     Exact per query without refitting: for terms outside the query the idf
     is query-independent, so ``|d|^2(q) = base(d) + sum_{t in d∩q} tf^2 (idf1^2 - idf0^2)``.
+    The staged index holds ``(doc, term, tf, idf0, idf1, base)`` for the
+    vocabulary terms only.
     """
     doc_tf = cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
     n = docs.select(doc_key).count()
     totals = doc_tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # top-n by count: partial top-n per partition, one merge (bounded: max_features rows)
     vocab = F.broadcast(totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
     vocab = vocab.select(
         "term",
@@ -115,20 +127,20 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
         (_ln(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1"))
     dv = doc_tf.join(vocab, "term")
     base = dv.groupBy(doc_key).agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2)).alias("base"))
+    index = cut_lineage(dv.join(base, doc_key).select(doc_key, "term", "tf", "idf0", "idf1", "base"), "tfidf-qfit")
     q_raw = term_counts(queries, q_key, q_text, stopwords)
     q_tf = q_raw.join(vocab, "term")
     qn = q_tf.groupBy(q_key).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf1"), 2))).alias("qnorm"))
     qv = checked_broadcast(q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm"),
                            bound_by=q_raw)
-    pairs = (dv.join(qv, "term")
+    pairs = (index.join(qv, "term")
              .groupBy(q_key, doc_key)
              .agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf1") * F.col("idf1")).alias("dot"),
                   F.sum(F.col("tf") * F.col("tf") * (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")))
                   .alias("corr"),
-                  F.first("qnorm").alias("qnorm")))
-    scored = pairs.join(base, doc_key).select(
-        q_key, doc_key,
-        (F.col("dot") / (F.col("qnorm") * F.sqrt(F.col("base") + F.col("corr")))).alias("score"))
+                  F.first("qnorm").alias("qnorm"), F.first("base").alias("base")))
+    scored = pairs.select(q_key, doc_key,
+                          (F.col("dot") / (F.col("qnorm") * F.sqrt(F.col("base") + F.col("corr")))).alias("score"))
     scored = scored.filter(F.col("score") > 0)
     ranked = top_k(scored, q_key, [F.desc(F.round("score", 12)), F.desc(doc_key)], k)
     return ranked.withColumn("relevance_score", F.col("score") * 10.0)

@@ -95,5 +95,18 @@ def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMI
     return df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster can run at once (a file with a single row group is read by one
+    task).  Large inputs already have many splits, so this is a no-op at
+    scale; column pruning still reaches the scan through the repartition."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; single-row-group files are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, max(2, spark.sparkContext.defaultParallelism))
