@@ -17,8 +17,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut_lineage
 from . import tfidf as TF
+from .tfidf import term_counts
 
 KW_WEIGHT = 0.6
 TFIDF_WEIGHT = 0.4
@@ -30,35 +31,35 @@ def select_examples(incidents: DataFrame, examples: DataFrame, k: int = 5,
     examples: (prompt_type, ex_key, keywords array, category, input, output).
     Returns (inc_key, prompt_type, rank, ex_key, score)."""
     ex = checked_broadcast(examples.select("prompt_type", ex_key, F.col("keywords").alias("ex_kw"), "input"))
-    # keyword overlap: distinct incident keywords ⋈ distinct example keywords
-    ik = incidents.select(inc_key, "prompt_type", F.explode(F.array_distinct("keywords")).alias("kw"))
+    # the incident side is read by several branches: stage its two derived
+    # tables once (keywords per incident; term counts per incident)
+    inc = cut_lineage(incidents.select(inc_key, "prompt_type", "keywords"), "incident-keywords")
+    a = term_counts(incidents.select(inc_key, "text"), inc_key, "text", stopwords)
+    a = cut_lineage(a.join(inc.select(inc_key, "prompt_type"), inc_key), "incident-terms")
+    # Evidence rows per (incident, example): keyword hits, shared-term
+    # statistics and the zero-score fill rows, summed in one aggregation.
+    ik = inc.select(inc_key, "prompt_type", F.explode(F.array_distinct("keywords")).alias("kw"))
     ek = ex.select("prompt_type", ex_key, F.explode(F.array_distinct("ex_kw")).alias("kw"))
-    kw_pairs = (ik.join(ek, ["prompt_type", "kw"])
-                .groupBy(inc_key, ex_key).agg(F.count(F.lit(1)).alias("overlap")))
-    # pair TF-IDF: shared-term statistics per pair
-    a = TF.term_counts(incidents.select(inc_key, "prompt_type", "text"), inc_key, "text", stopwords)
-    a = a.join(incidents.select(inc_key, "prompt_type"), inc_key)
+    kw_rows = ik.join(ek, ["prompt_type", "kw"]).select(
+        inc_key, ex_key, F.lit(1).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
     b = TF.term_counts(ex.select(ex_key, "input"), ex_key, "input", stopwords)
     b = checked_broadcast(b.join(ex.select(ex_key, "prompt_type"), ex_key))
-    shared = (a.alias("a").join(b.alias("b"), ["prompt_type", "term"])
-              .groupBy(inc_key, ex_key)
-              .agg(F.sum(F.col("a.tf") * F.col("b.tf")).alias("dot"),
-                   F.sum(F.col("a.tf") * F.col("a.tf")).alias("sha"),
-                   F.sum(F.col("b.tf") * F.col("b.tf")).alias("shb")))
-    sa = a.groupBy(inc_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sa"))
-    sb = b.groupBy(ex_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sb"))
+    term_rows = a.alias("a").join(b.alias("b"), ["prompt_type", "term"]).select(
+        inc_key, ex_key, F.lit(0).alias("overlap"), (F.col("a.tf") * F.col("b.tf")).alias("dot"),
+        (F.col("a.tf") * F.col("a.tf")).alias("sha"), (F.col("b.tf") * F.col("b.tf")).alias("shb"))
     # zero-score remainder: first k examples of the type (catalogue order)
     first_k = TF.top_k(ex.select("prompt_type", ex_key), "prompt_type", [F.asc(ex_key)], k, rank="_r").drop("_r")
-    fill = incidents.select(inc_key, "prompt_type").join(F.broadcast(first_k), "prompt_type").select(inc_key, ex_key)
-    cands = (kw_pairs.select(inc_key, ex_key).unionByName(shared.select(inc_key, ex_key))
-             .unionByName(fill).distinct())
+    fill_rows = inc.select(inc_key, "prompt_type").join(F.broadcast(first_k), "prompt_type").select(
+        inc_key, ex_key, F.lit(0).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
+    pairs = (kw_rows.unionByName(term_rows).unionByName(fill_rows)
+             .groupBy(inc_key, ex_key)
+             .agg(*[F.sum(c).alias(c) for c in ("overlap", "dot", "sha", "shb")]))
+    sa = a.groupBy(inc_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sa"))
+    ex_stats = checked_broadcast(
+        ex.select(ex_key, "prompt_type", F.size("ex_kw").alias("n_kw"))
+        .join(b.groupBy(ex_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sb")), ex_key, "left"), bound_by=ex)
     u = 1.0 + math.log(1.5)
-    j = (cands.join(incidents.select(inc_key, "prompt_type"), inc_key)
-         .join(ex.select(ex_key, F.size("ex_kw").alias("n_kw")), ex_key)
-         .join(kw_pairs, [inc_key, ex_key], "left")
-         .join(shared, [inc_key, ex_key], "left")
-         .join(sa, inc_key, "left").join(sb, ex_key, "left")
-         .fillna(0, ["overlap", "dot", "sha", "shb", "sa", "sb"]))
+    j = pairs.join(sa, inc_key, "left").join(ex_stats, ex_key).fillna(0, ["sa", "sb"])
     na = F.sqrt(F.col("sha") + u * u * (F.col("sa") - F.col("sha")))
     nb = F.sqrt(F.col("shb") + u * u * (F.col("sb") - F.col("shb")))
     cos = F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(F.col("dot") / (na * nb))
