@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..session import cut_lineage
 
 
 def _first_present(df: DataFrame, names) -> Column:
@@ -170,6 +171,7 @@ def unified_content(texts: DataFrame, batch: str = "batch_id", ordinal: str = "o
                     key: str = "incident_id", text: str = "conversation_text") -> DataFrame:
     """A4: ``=== Incident <id> ===`` blocks joined by blank lines in batch
     order; the batch result id is ``combined_<ids joined by _>``."""
+    texts = cut_lineage(texts.select(batch, ordinal, key, text), "batch-texts")
     block = F.concat(F.lit("=== Incident "), F.col(key).cast("string"), F.lit(" ===\n"), F.col(text))
     body = ordered_concat(texts, batch, [ordinal], block, "\n\n", out="unified_content")
     ids = ordered_concat(texts, batch, [ordinal], F.col(key).cast("string"), "_", out="_ids")
@@ -184,6 +186,7 @@ def plan_content(texts: DataFrame, batch: str = "batch_id", ordinal: str = "ordi
                  text: str = "conversation_text") -> DataFrame:
     """A5 + J8 + F-11: primary incident text followed by the historical
     reference block; only batches with at least two incidents and a primary."""
+    texts = cut_lineage(texts.select(batch, ordinal, role, key, text), "plan-texts")
     is_primary = F.col(role) == "primary"
     hist = texts.filter(~is_primary)
     hist_block = F.concat(F.lit("=== Historical Incident "), F.col(key).cast("string"), F.lit(" ===\n"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import logs as LG
 from . import sqltext as S
+from ..session import cut_lineage
 from .inputs import INJECTED_DOCUMENTS_SQL, injected_documents
 from .registry import register
 
@@ -65,7 +66,7 @@ FROM ({SELECTED_SQL}) WHERE depth > 1 AND ends_with(file_name, '.log') GROUP BY
 
 
 def _sel(spark, sf_dir):
-    return LG.select_newest(listing(spark, sf_dir))
+    return cut_lineage(LG.select_newest(listing(spark, sf_dir)), "log-selection")
 
 
 @register("newest_folder", f"SELECT DISTINCT incident_id, date_folder, analyzer_folder FROM ({SELECTED_SQL})")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as SC
 from ..functions import text as T
 from ..operators import ranking as RK
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from . import sqltext as S
 from .q_retrieval import CANDIDATES, _r4_sql, r4_candidates
 from .registry import register
@@ -92,7 +92,7 @@ RANKED_SQL = ranked_sql(CANDS_SQL)
 
 
 def advanced(spark, sf_dir):
-    scored = RK.score_candidates(candidates(spark, sf_dir), None)
+    scored = RK.score_candidates(cut_lineage(candidates(spark, sf_dir), "search-candidates"), None)
     ranked = RK.rank_candidates(scored, TOP_K)
     return RK.heuristic_explanation(ranked)
 
@@ -186,7 +186,7 @@ SELECT q_id, doc_id, coalesce(net_wins, 0) AS net_wins, CAST(rank AS INTEGER) AS
 def q_pairwise_rerank(spark, sf_dir):
     """Pairwise preferences among each query's first-stage
     candidates (bounded: at most 3 x top_k per query) ranked by net wins."""
-    scored = RK.score_candidates(candidates(spark, sf_dir), None)
+    scored = cut_lineage(RK.score_candidates(candidates(spark, sf_dir), None), "scored-candidates")
     a = scored.select("q_id", F.col("cand_pos").alias("a"), F.col("doc_id").alias("da"))
     b = scored.select("q_id", F.col("cand_pos").alias("b"), F.col("doc_id").alias("db"))
     reply = F.expr(COMPARE_SQL.replace("doc_id", "(da + db)"))
