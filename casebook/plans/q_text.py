@@ -207,3 +207,29 @@ def q_keyword_csv(spark, sf_dir):
     """P33 on each whole document read as a comma-separated list."""
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(T.keyword_csv(F.col("text")), "|").alias("keywords"))
+
+
+@register("article_text", f"""
+WITH a AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '  ' || chr(10) ELSE text END AS content,
+                  CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN ' ' ELSE 'summary of ' || CAST(doc_id AS VARCHAR) END
+                    AS content_summary FROM documents),
+f AS (SELECT page_id AS doc_id, {S.clean_html('html')} AS file_text FROM pages)
+SELECT doc_id, full_text FROM (
+  SELECT a.doc_id, coalesce(nullif(a.content, ''), f.file_text, a.content_summary) AS full_text
+  FROM a LEFT JOIN f USING (doc_id))
+WHERE {S.strip_ws("coalesce(full_text, '')")} <> ''
+""")
+def q_article_text(spark, sf_dir):
+    """S9 + F-9: inline content, else the page text, else the stored summary;
+    blank articles skipped."""
+    from ..sources.readers import resolve_article_text
+
+    d = read_table(spark, sf_dir, "documents")
+    k6, k4 = F.col("doc_id") % 6, F.col("doc_id") % 4
+    arts = d.select("doc_id",
+                    F.when(k6 == 0, F.lit("")).when(k6 == 1, F.lit("  \n")).otherwise(F.col("text")).alias("content"),
+                    F.when(k4 == 0, F.lit(None).cast("string")).when(k4 == 1, F.lit(" "))
+                    .otherwise(F.concat(F.lit("summary of "), F.col("doc_id").cast("string"))).alias("content_summary"))
+    files = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"),
+                                                       T.clean_html(F.col("html")).alias("file_text"))
+    return resolve_article_text(arts, files, "doc_id").select("doc_id", "full_text")
