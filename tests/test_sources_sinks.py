@@ -133,3 +133,42 @@ def test_sinks_write(spark, tmp_path):
     W.example_append(ex, str(tmp_path / "ex"))
     W.example_append(ex, str(tmp_path / "ex"))
     assert spark.read.parquet(str(tmp_path / "ex")).count() == 2
+
+
+def test_more_sinks(spark, tmp_path):
+    # K1: section tables and the single-file-per-incident text layout, read back by S2
+    sec = spark.createDataFrame(
+        [("42", "Discussions", 0, 0, {"Date": "d1", "Text": "a, \"quoted\"\nnext"}),
+         ("42", "Discussions", 0, 1, {"Date": "d2", "Text": "b"}),
+         ("42", "Authored summary", 1, 0, {"Summary": "s"})],
+        "incident_id string, section string, section_order int, row_no int, row map<string,string>")
+    W.section_csv_sink(sec, str(tmp_path / "k1"))
+    assert spark.read.parquet(str(tmp_path / "k1")).count() == 3
+    W.section_csv_text(sec, str(tmp_path / "k1txt"))
+    back = RD.multi_section_csv(spark, str(tmp_path / "k1txt")).collect()
+    disc = sorted([r for r in back if r.section == "Discussions"], key=lambda r: r.row_no)
+    assert [r.row["Text"] for r in disc] == ["a, \"quoted\"\nnext", "b"]
+    # K3: full and slim records
+    res = spark.createDataFrame([("1", "summary text", "x_molecular", "2024-01-01T00:00:00", "m", "content")],
+                                "incident_id string, ai_summary string, prompt_type string, operation_time string, "
+                                "model_used string, content string")
+    W.result_sink(res, str(tmp_path / "k3"))
+    slim = spark.read.json(str(tmp_path / "k3" / "summaries"))
+    assert set(slim.columns) == {"incident_id", "ai_summary", "operation_time", "model_used", "prompt_type"}
+    # K5: append memories twice, latest per incident wins on read
+    mem = spark.createDataFrame([("1", "first", [1.0, 0.0])], "incident_id string, summary string, embedding array<double>")
+    W.memory_append(mem, str(tmp_path / "k5"))
+    W.memory_append(mem.withColumn("summary", F.lit("second")), str(tmp_path / "k5"))
+    latest = RD.latest_per_key(spark.read.parquet(str(tmp_path / "k5")), "incident_id", "stored_at").collect()
+    assert len(latest) == 1
+    # K7: processed summary with screenshot references
+    summ = spark.createDataFrame([("1", "see data:image/png;base64,QUJD")], "incident_id string, summary string")
+    W.processed_summary_sink(summ, str(tmp_path / "k7"))
+    r = spark.read.parquet(str(tmp_path / "k7")).first()
+    assert r.summary == "see [SCREENSHOT: screenshot_1_001]" and r.screenshot_count == 1
+    # K8: timing report appends keyed by session
+    cat = spark.createDataFrame([("ai", 1.0, 1, 1.0)], "category string, total_time double, operation_count long, "
+                                                       "average_time double")
+    W.timing_report_sink(cat, cat, str(tmp_path / "k8"), "s1")
+    W.timing_report_sink(cat, cat, str(tmp_path / "k8"), "s2")
+    assert spark.read.parquet(str(tmp_path / "k8" / "by_category")).select("session_ts").distinct().count() == 2
