@@ -72,13 +72,16 @@ def log_insights(keys: DataFrame) -> DataFrame:
 
 
 def file_stats(keys: DataFrame, nested: DataFrame) -> DataFrame:
-    """Characters per file, with error / warning flags for key files."""
+    """Characters per file; key files also get error / warning flags
+    (``flags_checked`` tells which rows carry flags -- nested logs only report
+    their size)."""
     low = F.lower(F.col("content"))
     k = keys.select("incident_id", "file_name", "kind", F.length("content").alias("chars"),
                     (low.contains("error") | low.contains("fail")).alias("has_error"),
-                    low.contains("warn").alias("has_warning"))
+                    low.contains("warn").alias("has_warning"), F.lit(True).alias("flags_checked"))
     n = nested.select("incident_id", "file_name", "kind", F.length("content").alias("chars"),
-                      F.lit(None).cast("boolean").alias("has_error"), F.lit(None).cast("boolean").alias("has_warning"))
+                      F.lit(False).alias("has_error"), F.lit(False).alias("has_warning"),
+                      F.lit(False).alias("flags_checked"))
     return k.unionByName(n)
 
 
@@ -95,15 +98,18 @@ def logs_prompt_content(keys: DataFrame, nested: DataFrame, summaries: DataFrame
         return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
     path = F.concat(F.col("incident_id"), F.lit("/"), F.col("date_folder"), F.lit("/"), F.col("analyzer_folder"))
+    # key files in their fixed order, nested logs by name
+    order = F.lpad(F.array_position(F.array(*[F.lit(x) for x in K.LOG_PROMPT_FILES]), F.col("file_name"))
+                   .cast("string"), 3, "0")
     k = keys.filter(F.col("file_name").isin(*K.LOG_PROMPT_FILES)).select(
-        "incident_id", F.lit(1).alias("sec"), F.col("file_name").alias("o"),
+        "incident_id", F.lit(1).alias("sec"), order.alias("o"),
         F.concat(F.lit("\nFILE: "), F.col("file_name"), F.lit("\nPATH: "), path, F.lit("/"), F.col("file_name"),
                  F.lit("\nCONTENT:\n"), cap(F.col("content"), 500)).alias("txt"))
     n = nested.select(
         "incident_id", F.lit(3).alias("sec"), F.col("file_name").alias("o"),
         F.concat(F.lit("\nFILE: "), F.col("file_name"), F.lit("\nPATH: "), path, F.lit("/"), F.col("file_name"),
                  F.lit("\nCONTENT:\n"), cap(F.col("content"), 300)).alias("txt"))
-        # headers for the two file sections
+    # headers for the two file sections
     hk = k.select("incident_id").distinct().select("incident_id", F.lit(0).alias("sec"), F.lit("").alias("o"),
                                                    F.lit("\nKEY LOG FILES:").alias("txt"))
     hn = n.select("incident_id").distinct().select("incident_id", F.lit(2).alias("sec"), F.lit("").alias("o"),

@@ -93,9 +93,9 @@ def q_log_insights(spark, sf_dir):
 @register("file_stats", f"""
 SELECT incident_id, file_name, kind, CAST(length(content) AS INTEGER) AS chars,
        contains(lower(content), 'error') OR contains(lower(content), 'fail') AS has_error,
-       contains(lower(content), 'warn') AS has_warning FROM ({KEYS_SQL})
+       contains(lower(content), 'warn') AS has_warning, true AS flags_checked FROM ({KEYS_SQL})
 UNION ALL
-SELECT incident_id, file_name, kind, CAST(length(content) AS INTEGER), NULL, NULL FROM ({NESTED_SQL})
+SELECT incident_id, file_name, kind, CAST(length(content) AS INTEGER), false, false, false FROM ({NESTED_SQL})
 """)
 def q_file_stats(spark, sf_dir):
     """Characters and error / warning flags per analysed file."""
@@ -118,7 +118,8 @@ def _cap(x, n):
 
 
 @register("logs_prompt_content", f"""
-WITH k AS (SELECT incident_id, 1 AS sec, file_name AS o, chr(10) || 'FILE: ' || file_name || chr(10) || 'PATH: '
+WITH k AS (SELECT incident_id, 1 AS sec,
+             lpad(CAST(list_position({S.lit_list(K.LOG_PROMPT_FILES)}, file_name) AS VARCHAR), 3, '0') AS o, chr(10) || 'FILE: ' || file_name || chr(10) || 'PATH: '
              || incident_id || '/' || date_folder || '/' || analyzer_folder || '/' || file_name || chr(10)
              || 'CONTENT:' || chr(10) || {_cap('content', 500)} AS txt
            FROM ({KEYS_SQL}) WHERE file_name IN ({', '.join(S.q(x) for x in K.LOG_PROMPT_FILES)})),
