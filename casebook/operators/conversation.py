@@ -104,21 +104,30 @@ def ordered_concat(df: DataFrame, key: str, order_cols, line: Column, sep: str,
             .select(key, F.array_join(F.transform("_cs", lambda x: x["_chunk"]), sep).alias(out)))
 
 
-def build_conversation(df: DataFrame, key: str = "incident_id", order_cols=("ts", "pos")) -> DataFrame:
+def build_conversation(df: DataFrame, key: str = "incident_id", order_cols=("ts", "pos"),
+                       bucket: Column | None = None) -> DataFrame:
     """A1: one row per incident with the entries as an ordered array of
     ``struct(timestamp, author, content)`` and ``total_entries``.  (The nested
-    form is the document shape written by K2; analytics use the long form.)"""
+    form is the document shape written by K2; analytics use the long form.)
+    With ``bucket`` the sort runs per ``(incident, bucket)`` and the sorted
+    chunks are concatenated in bucket order."""
     order_cols = [c for c in order_cols if c in df.columns]
-    entries = F.collect_list(F.struct(*[F.col(c) for c in order_cols],
-                                      F.col("ts").cast("string").alias("timestamp"),
-                                      F.col("author"), F.col("content")))
-    return (df.groupBy(key)
-            .agg(F.array_sort(entries).alias("_xs"), F.count(F.lit(1)).alias("total_entries"))
-            .select(key, "total_entries",
-                    F.transform("_xs", lambda x: F.struct(x["timestamp"].alias("timestamp"),
-                                                           x["author"].alias("author"),
-                                                           x["content"].alias("content")))
-                    .alias("conversation")))
+    entry = F.struct(*[F.col(c) for c in order_cols], F.col("ts").cast("string").alias("timestamp"),
+                     F.col("author"), F.col("content"))
+    if bucket is None:
+        agg = df.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_xs"),
+                                  F.count(F.lit(1)).alias("total_entries"))
+    else:
+        part = (df.withColumn("_b", bucket).groupBy(key, "_b")
+                .agg(F.array_sort(F.collect_list(entry)).alias("_chunk"), F.count(F.lit(1)).alias("_n")))
+        agg = (part.groupBy(key)
+               .agg(F.array_sort(F.collect_list(F.struct("_b", "_chunk"))).alias("_cs"),
+                    F.sum("_n").alias("total_entries"))
+               .select(key, F.flatten(F.transform("_cs", lambda c: c["_chunk"])).alias("_xs"), "total_entries"))
+    return agg.select(key, F.col("total_entries").cast("long").alias("total_entries"),
+                      F.transform("_xs", lambda x: F.struct(x["timestamp"].alias("timestamp"),
+                                                             x["author"].alias("author"),
+                                                             x["content"].alias("content"))).alias("conversation"))
 
 
 def conversation_text(entries: DataFrame, summaries: DataFrame | None = None,

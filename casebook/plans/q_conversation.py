@@ -160,7 +160,7 @@ FROM ({KEPT_SQL}) GROUP BY incident_id
 def q_build_conversation(spark, sf_dir):
     """A1 (+O1): the nested per-incident document (as JSON text)."""
     kept = C.drop_service_noise(_entries(spark, sf_dir))
-    b = C.build_conversation(kept)
+    b = C.build_conversation(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET))
     return b.select("incident_id", "total_entries", F.to_json("conversation").alias("conversation"))
 
 
