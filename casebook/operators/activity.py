@@ -73,15 +73,25 @@ def neighbour(df: DataFrame, key: str, order_cols, value: Column, bucket: Column
     return j.withColumn(out, F.coalesce(F.col("_in"), F.col("_across"))).drop("_b", "_v", "_in", "_across")
 
 
-def epoch_seconds(ts: str) -> Column:
+def epoch_seconds(ts: str, dtype: str = "timestamp") -> Column:
+    """Seconds since the epoch.  A ``timestamp_ntz`` (wall-clock) column is
+    measured from the wall-clock epoch, so the result never depends on the
+    session time zone; an instant ``timestamp`` uses its instant."""
+    if dtype == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)") / 1_000_000.0
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000.0
 
 
+def epoch_seconds_of(df: DataFrame, ts: str) -> Column:
+    return epoch_seconds(ts, dict(df.dtypes)[ts])
+
+
 def gap_to_next(events: DataFrame, key: str, ts: str, tiebreak: str, bucket: Column) -> DataFrame:
     """Seconds from each entry to the next entry of the same key (null
     for the last)."""
-    n = neighbour(events, key, [ts, tiebreak], epoch_seconds(ts), bucket, "next", "_next_s")
-    return n.withColumn("gap_seconds", F.col("_next_s") - epoch_seconds(ts)).drop("_next_s")
+    secs = epoch_seconds_of(events, ts)
+    n = neighbour(events, key, [ts, tiebreak], secs, bucket, "next", "_next_s")
+    return n.withColumn("gap_seconds", F.col("_next_s") - secs).drop("_next_s")
 
 
 def ownership_changes(events: DataFrame, key: str, ts: str, tiebreak: str, team: str, bucket: Column) -> DataFrame:

@@ -18,7 +18,7 @@ AS_OF = "2024-02-01"
 
 def ops(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    start = A.epoch_seconds("ts")
+    start = A.epoch_seconds_of(e, "ts")
     return e.select(F.col("event_id").alias("operation_id"), F.col("event_type").alias("category"),
                     F.col("value").alias("duration"), start.alias("start_time"),
                     (start + F.col("value")).alias("end_time"), "user_id", "ts")
