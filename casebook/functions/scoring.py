@@ -70,3 +70,20 @@ def fmt_fixed(x, digits: int) -> Column:
     """Fixed-point text with half-even rounding at ``digits`` (the value is
     rounded first so the text never depends on binary-representation ties)."""
     return F.format_string(f"%.{digits}f", F.bround(_col(x), digits))
+
+
+def exact_token_count(encoding_name: str = "cl100k_base"):
+    """P13 exact mode: an Arrow-batched token counter backed by a BPE
+    encoding (the encoding file must be available to the executors; it is
+    not shipped here).  Returns a function Column -> Column; an encoding that
+    cannot be loaded raises when the first batch runs."""
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def _count(texts: pd.Series) -> pd.Series:
+        import tiktoken
+
+        enc = tiktoken.get_encoding(encoding_name)
+        return texts.fillna("").map(lambda t: len(enc.encode(t))).astype("int32")
+
+    return lambda c: _count(_col(c))
