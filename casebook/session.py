@@ -15,10 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before we stop broadcasting it and let the planner
-# shuffle both sides instead.  Catalogue-style tables (rules, prompts,
+# Rows / bytes a side may have before we stop broadcasting it and let the
+# planner shuffle both sides instead.  Catalogue-style tables (rules, prompts,
 # examples, query batches) sit far below this.
 DEFAULT_BROADCAST_ROW_LIMIT = 200_000
+DEFAULT_BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -77,20 +78,44 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _row_bytes(df: DataFrame):
+    """Estimated in-memory bytes of one row: text and binary by length,
+    arrays by element count, nested values by their JSON length, scalars 8."""
+    parts = []
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if t in ("string", "binary"):
+            e = F.octet_length(c)
+        elif t == "array":
+            e = F.size(c) * 16 + F.octet_length(F.to_json(F.struct(c)))
+        elif t in ("struct", "map"):
+            e = F.octet_length(F.to_json(c if t == "struct" else F.struct(c)))
+        else:
+            e = F.lit(8)
+        parts.append(F.coalesce(e.cast("long"), F.lit(0)))
+    total = F.lit(16)
+    for p in parts:
+        total = total + p
+    return total
+
+
 def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMIT,
-                      bound_by: DataFrame | None = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``row_limit`` rows.
-
-    The check is a bounded ``limit(row_limit + 1).count()`` so it never scans
-    more than the limit.  ``bound_by`` may name a cheaper DataFrame whose row
-    count is an upper bound of ``df``'s (e.g. the query terms before they are
-    joined to the corpus vocabulary), so the check does not have to run the
-    expensive side.  Above the limit the DataFrame is returned unhinted and
-    the planner falls back to a shuffle join (AQE may still convert it at
-    runtime from real statistics).
+                      bound_by: DataFrame | None = None,
+                      byte_limit: int = DEFAULT_BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``row_limit`` rows
+    and about ``byte_limit`` bytes.
+
+    The check is one bounded pass over at most ``row_limit + 1`` rows
+    (``limit`` then count and summed row sizes), so it never scans more than
+    the limit.  ``bound_by`` may name a cheaper DataFrame whose rows bound
+    ``df``'s (e.g. the query terms before they are joined to the corpus
+    vocabulary), so the check does not run the expensive side.  Above either
+    limit the DataFrame is returned unhinted and the planner falls back to a
+    shuffle join (AQE may still convert it at runtime from real statistics).
     """
-    n = (df if bound_by is None else bound_by).limit(row_limit + 1).count()
-    if n <= row_limit:
+    probe = (df if bound_by is None else bound_by).limit(row_limit + 1)
+    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(probe)).alias("b")).first()
+    if row["n"] <= row_limit and (row["b"] or 0) <= byte_limit:
         return F.broadcast(df)
     return df
 
