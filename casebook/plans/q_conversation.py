@@ -229,3 +229,30 @@ def q_format_items(spark, sf_dir):
         F.when(F.col("role") == "system", F.lit("image")).otherwise(F.lit("text")).alias("type"),
         F.col("text").alias("content"))
     return PR.format_items(c, "conv_id")
+
+
+@register("section_csv_roundtrip", """
+SELECT CAST(conv_id AS VARCHAR) AS incident_id,
+       CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS row_no,
+       CAST(turn AS VARCHAR) AS "Date", role AS "ChangedBy", text AS "Text"
+FROM conversations
+""")
+def q_section_csv_roundtrip(spark, sf_dir):
+    """K1 (single file per incident) + S2: every conversation written as a
+    multi-section CSV file under the shared checkpoint folder, then parsed
+    back into discussion rows (rows are numbered in turn order)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks import writers as W
+    from ..sources import readers as RD
+
+    c = read_table(spark, sf_dir, "conversations")
+    row = F.create_map(F.lit("Date"), F.col("turn").cast("string"), F.lit("ChangedBy"), F.col("role"),
+                       F.lit("Text"), F.col("text"))
+    sections = c.select(F.col("conv_id").cast("string").alias("incident_id"), F.lit("Discussions").alias("section"),
+                        F.lit(0).alias("section_order"), F.col("turn").cast("int").alias("row_no"), row.alias("row"))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-sections-{uuid.uuid4().hex}"
+    W.section_csv_text(sections, out)
+    d = RD.discussions_from_sections(RD.multi_section_csv(spark, out))
+    return d.select("incident_id", F.col("pos").alias("row_no"), "Date", "ChangedBy", "Text")
