@@ -256,3 +256,28 @@ def q_section_csv_roundtrip(spark, sf_dir):
     W.section_csv_text(sections, out)
     d = RD.discussions_from_sections(RD.multi_section_csv(spark, out))
     return d.select("incident_id", F.col("pos").alias("row_no"), "Date", "ChangedBy", "Text")
+
+
+@register("incident_json_roundtrip", f"""
+SELECT CAST(incident_id AS VARCHAR) AS incident_id, count(*) AS total_entries,
+       to_json(list({{'timestamp': CAST(ts AS VARCHAR), 'author': author, 'content': content}} ORDER BY ts, pos))::VARCHAR
+         AS conversation
+FROM ({KEPT_SQL}) GROUP BY incident_id
+""")
+def q_incident_json_roundtrip(spark, sf_dir):
+    """K2 + S3: one JSON document per incident written under the shared
+    checkpoint folder and read back through the incident-document reader."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks import writers as W
+    from ..sources import readers as RD
+
+    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    docs = C.build_conversation(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET)).withColumn(
+        "incident_id", F.col("incident_id").cast("string"))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-incidents-{uuid.uuid4().hex}"
+    W.incident_json_sink(docs, out)
+    back = RD.incident_json(spark, out, json_lines=True)
+    return back.select("incident_id", F.size("conversation").cast("long").alias("total_entries"),
+                       F.to_json("conversation").alias("conversation"))

@@ -60,7 +60,7 @@ def test_incident_json_shapes_and_sink_roundtrip(spark, tmp_path):
                               "incident_id string, ts long, pos long, author string, content string")
     out = str(tmp_path / "out")
     W.incident_json_sink(C.build_conversation(e), out)
-    back = RD.incident_json(spark, out).first()
+    back = RD.incident_json(spark, out, json_lines=True).first()
     assert back.incident_id == "9" and [c.author for c in back.conversation] == ["y", "x"]
 
 
