@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-ColumnOrName = "Column | str"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — <img> removal patterns, applied in this order, case-insensitive.

@@ -7,7 +7,6 @@ Only the check needs these; the library itself never builds SQL text.
 from __future__ import annotations
 
 from ..functions import constants as K
-from ..functions import rules as _rules  # noqa: F401  (documentation cross-ref)
 from ..functions import text as T
 
 
