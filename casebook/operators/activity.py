@@ -160,3 +160,29 @@ def vip_scan(incidents: DataFrame, customers: DataFrame, aliases: DataFrame, nam
     by_id = aliases.select(F.col("tenant_id").alias(cust_key)).filter(F.col(cust_key).isNotNull())
     chosen = by_name.unionByName(by_id).distinct()
     return incidents.join(checked_broadcast(chosen), incidents[inc_cust] == chosen[cust_key], "left_semi")
+
+
+def team_collaboration(events: DataFrame, key: str, team: str) -> DataFrame:
+    """Teams per incident and, for every pair of teams, the number of
+    incidents both worked on.  Presence is pivoted to one column per team
+    (the team list is a small dimension read from the data), so each pair
+    count is one ``sum`` over incidents -- no pair rows are generated per
+    incident."""
+    presence = events.select(key, team).distinct()
+    teams = sorted(r[0] for r in presence.select(team).distinct().collect() if r[0] is not None)
+    wide = presence.groupBy(key).pivot(team, teams).agg(F.lit(1))
+    pair_cols = []
+    for i, a in enumerate(teams):
+        for b in teams[i + 1:]:
+            both = (F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).cast("long")
+            pair_cols.append(F.sum(both).alias(f"{a}\u0001{b}"))
+    if not pair_cols:
+        return events.sparkSession.createDataFrame([], "team_a string, team_b string, incidents long")
+    sums = wide.agg(*pair_cols)
+    stack = ", ".join(f"'{c.split(chr(1))[0]}', '{c.split(chr(1))[1]}', `{c}`" for c in sums.columns)
+    return sums.selectExpr(f"stack({len(sums.columns)}, {stack}) AS (team_a, team_b, incidents)")
+
+
+def teams_per_incident(events: DataFrame, key: str, team: str) -> DataFrame:
+    """Distinct teams involved per incident."""
+    return events.groupBy(key).agg(F.countDistinct(team).alias("teams"))

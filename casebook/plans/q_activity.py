@@ -183,3 +183,22 @@ def q_vip_scan(spark, sf_dir):
     return v.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("incidents"),
                                       F.sum(F.when(F.col("o_orderstatus") == "O", 1).otherwise(0)).cast("long")
                                       .alias("open_incidents"))
+
+
+@register("team_collaboration", """
+WITH p AS (SELECT DISTINCT user_id, event_type FROM events)
+SELECT a.event_type AS team_a, b.event_type AS team_b, count(*) AS incidents
+FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL
+""")
+def q_team_collaboration(spark, sf_dir):
+    """Incidents shared by each pair of teams (pivoted presence, one sum per pair)."""
+    e = read_table(spark, sf_dir, "events")
+    return A.team_collaboration(e, "user_id", "event_type").filter(F.col("incidents") > 0)
+
+
+@register("teams_per_incident", """
+SELECT user_id, count(DISTINCT event_type) AS teams FROM events GROUP BY user_id
+""")
+def q_teams_per_incident(spark, sf_dir):
+    """Distinct teams per incident."""
+    return A.teams_per_incident(read_table(spark, sf_dir, "events"), "user_id", "event_type")
