@@ -202,3 +202,14 @@ SELECT user_id, count(DISTINCT event_type) AS teams FROM events GROUP BY user_id
 def q_teams_per_incident(spark, sf_dir):
     """Distinct teams per incident."""
     return A.teams_per_incident(read_table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@register("active_days_summary", f"""
+SELECT count(*) AS incidents, round(avg(d), 6) AS mean_active_days, max(d) AS longest_active_days FROM (
+  SELECT CAST(datediff('day', min(ts)::DATE, DATE '{AS_OF}') AS INTEGER) AS d FROM events GROUP BY user_id)
+""")
+def q_active_days_summary(spark, sf_dir):
+    """Mean and longest active days across incidents."""
+    d = A.active_days(read_table(spark, sf_dir, "events"), "user_id", "ts", F.to_date(F.lit(AS_OF)))
+    return d.agg(F.count(F.lit(1)).alias("incidents"), F.round(F.avg("active_days"), 6).alias("mean_active_days"),
+                 F.max("active_days").alias("longest_active_days"))
