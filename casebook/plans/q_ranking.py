@@ -194,3 +194,39 @@ def q_pairwise_rerank(spark, sf_dir):
              .select("q_id", "a", "b", SC.comparison_result(reply).alias("result")))
     ranked = RK.rank_candidates(scored, TOP_K, net_wins=RK.pairwise_net_wins(prefs))
     return ranked.select("q_id", "doc_id", "net_wins", "rank")
+
+
+# Synthetic score replies per (query, candidate): every 7th query has one
+# blank reply, which switches that whole query to the heuristic score.
+CAND_REPLY_SQL = """CASE WHEN q_id % 7 = 0 AND cand_pos = 2 THEN ''
+  WHEN (q_id + doc_id) % 3 = 0 THEN 'Score: ' || CAST((q_id + doc_id) % 11 AS STRING)
+  WHEN (q_id + doc_id) % 3 = 1 THEN CAST((q_id * doc_id) % 10 AS STRING) || '/10'
+  ELSE 'Relevance: ' || CAST(doc_id % 9 AS STRING) || '.5' END"""
+
+
+@register("advanced_search_replies", f"""
+WITH s AS ({SCORED_SQL}),
+r AS (SELECT q_id, cand_pos, {CAND_REPLY_SQL} AS reply FROM s),
+v AS (SELECT q_id, NOT bool_or(trim(coalesce(reply, '')) = '' OR ({S.relevance_score('reply')} = 5.0
+         AND NOT contains(coalesce(reply, ''), 'Score:') AND NOT regexp_matches(coalesce(reply, ''), '\\d'))) AS ok
+      FROM r GROUP BY q_id),
+j AS (SELECT s.q_id, s.cand_pos, s.doc_id,
+             CASE WHEN v.ok THEN {S.relevance_score('r.reply')} ELSE s.llm_relevance_score END AS llm_relevance_score,
+             CASE WHEN v.ok THEN 'replies' ELSE 'heuristic' END AS scored_by
+      FROM s JOIN r USING (q_id, cand_pos) JOIN v USING (q_id))
+SELECT q_id, CAST(rank AS INTEGER) AS rank, doc_id, llm_relevance_score, scored_by FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY llm_relevance_score DESC, cand_pos) AS rank FROM j)
+WHERE rank <= {TOP_K}
+""")
+def q_advanced_search_replies(spark, sf_dir):
+    """R6 stage 2 with model replies (P15 + F-12): parsed reply scores when
+    every reply of the query is usable, else the heuristic score for all of
+    the query's candidates; then ordered and cut to top 5."""
+    c = cut_lineage(candidates(spark, sf_dir), "search-candidates")
+    replies = c.select("q_id", "cand_pos", F.expr(CAND_REPLY_SQL).alias("reply"))
+    scored = RK.score_candidates(c, replies)
+    valid = RK.reply_validity(replies, "q_id")
+    ranked = RK.rank_candidates(scored, TOP_K).join(valid, "q_id")
+    return ranked.select("q_id", "rank", "doc_id", "llm_relevance_score",
+                         F.when(F.col("replies_valid"), F.lit("replies")).otherwise(F.lit("heuristic"))
+                         .alias("scored_by"))
