@@ -56,8 +56,9 @@ INC_SQL = (f"SELECT doc_id AS incident_id, lang || '_molecular' AS prompt_type,
 EX_SQL = (f"SELECT ['en','fr','de','es'][item_id % 4 + 1] || '_molecular' AS prompt_type, item_id AS ordinal, "
           f"{S.keywords_wordwise("text", DATA_PATTERNS)} AS keywords, 'cat_' || CAST(item_id % 6 AS VARCHAR) AS category, "
           f"text AS input, 'Resolution for item ' || CAST(item_id AS VARCHAR) AS output FROM benchmark")
-SELECT_SQL = f"""
-WITH inc AS ({INC_SQL}), ex AS ({EX_SQL}),
+def select_sql(inc_sql: str = INC_SQL) -> str:
+    return f"""
+WITH inc AS ({inc_sql}), ex AS ({EX_SQL}),
 a AS ({term_counts_sql('inc', 'incident_id', 'text')}),
 b AS ({term_counts_sql('ex', 'ordinal', 'input')}),
 sa AS (SELECT incident_id, sum(tf * tf) AS sa FROM a GROUP BY ALL),
@@ -81,6 +82,9 @@ WHERE rank <= 5
 """
 
 
+SELECT_SQL = select_sql()
+
+
 def selected(spark, sf_dir):
     return EX.select_examples(incidents(spark, sf_dir), examples(spark, sf_dir), 5)
 
@@ -312,3 +316,51 @@ FROM (""" + TEAMS_SQL + ")")
 def q_serialize_team(spark, sf_dir):
     """Detected teams as JSON records."""
     return PR.serialize_team(teams(spark, sf_dir))
+
+
+def _e1_sql():
+    from .inputs import INJECTED_DOCUMENTS_SQL
+    from .q_conversation import CONV_TEXT_SQL
+
+    conv = CONV_TEXT_SQL.replace("SELECT doc_id AS incident_id, text AS summary FROM documents",
+                                 f"SELECT doc_id AS incident_id, text AS summary FROM ({INJECTED_DOCUMENTS_SQL})")
+    gate = (f"SELECT doc_id AS incident_id, lang || '_molecular' AS prompt_type, {S.is_redacted('text')} AS red "
+            f"FROM ({INJECTED_DOCUMENTS_SQL})")
+    inc = (f"SELECT t.incident_id, coalesce(g.prompt_type, 'en_molecular') AS prompt_type, t.conversation_text AS text, "
+           f"{S.keywords_wordwise('t.conversation_text', DATA_PATTERNS)} AS keywords "
+           f"FROM ({conv}) t LEFT JOIN ({gate}) g USING (incident_id) WHERE NOT coalesce(g.red, false)")
+    return f"""
+WITH sel AS ({select_sql(inc)}), ex AS ({EX_SQL}), inc AS ({inc}),
+blk AS (SELECT incident_id, count(*) AS n, string_agg(chr(10) || 'Example ' || CAST(rank AS VARCHAR) || ':' || chr(10)
+          || 'Input: ' || input || chr(10) || 'Output: ' || output || chr(10), '' ORDER BY rank) AS blk
+        FROM sel JOIN ex USING (ordinal) GROUP BY incident_id),
+p AS (SELECT inc.incident_id, inc.prompt_type, cat.system_prompt, inc.text,
+        CASE WHEN ends_with(inc.prompt_type, '_molecular') AND blk.n IS NOT NULL
+             THEN cat.user_prompt || chr(10) || chr(10) || 'Relevant examples for context:' || chr(10) || blk.blk
+                  || chr(10) || 'Now process the following incident:' || chr(10)
+             ELSE cat.user_prompt END AS enhanced_prompt,
+        CAST(CASE WHEN ends_with(inc.prompt_type, '_molecular') AND blk.n IS NOT NULL THEN blk.n ELSE 0 END AS INTEGER)
+          AS examples_used
+      FROM inc JOIN {CATALOG_SQL} USING (prompt_type) LEFT JOIN blk USING (incident_id))
+SELECT incident_id, 'passed' AS route, prompt_type, examples_used,
+       CAST({_tok_sql("concat_ws(chr(10), system_prompt, enhanced_prompt, text)")} AS INTEGER) AS input_tokens FROM p
+UNION ALL
+SELECT t.incident_id, 'quarantined', g.prompt_type, 0, 0 FROM ({conv}) t JOIN ({gate}) g USING (incident_id) WHERE g.red
+"""
+
+
+@register("incident_summary_job", _e1_sql())
+def q_incident_summary_job(spark, sf_dir):
+    """E1 end to end for every conversation (summary and prompt type from the
+    document with the same id; redacted summaries are quarantined)."""
+    from .incident_summary import incident_summary_job
+    from .inputs import raw_discussions
+    from .q_conversation import TURN_BUCKET
+
+    d = injected_documents(spark, sf_dir)
+    summaries = d.select(F.col("doc_id").alias("incident_id"), F.col("text").alias("summary"),
+                         F.concat(F.col("lang"), F.lit("_molecular")).alias("prompt_type"))
+    r = incident_summary_job(raw_discussions(spark, sf_dir), summaries, examples(spark, sf_dir), catalog(spark),
+                             DATA_PATTERNS, bucket=F.floor(F.col("ts") / TURN_BUCKET))
+    return r.select("incident_id", "route", "prompt_type", F.col("examples_used").cast("int").alias("examples_used"),
+                    F.col("input_tokens").cast("int").alias("input_tokens"))
