@@ -281,3 +281,34 @@ def q_incident_json_roundtrip(spark, sf_dir):
     back = RD.incident_json(spark, out, json_lines=True)
     return back.select("incident_id", F.size("conversation").cast("long").alias("total_entries"),
                        F.to_json("conversation").alias("conversation"))
+
+
+@register("combined_json_roundtrip", f"""
+WITH t AS ({CONV_TEXT_SQL})
+SELECT CAST(incident_id // {BATCH} AS VARCHAR) AS batch_id,
+       CAST(row_number() OVER (PARTITION BY incident_id // {BATCH} ORDER BY incident_id) - 1 AS INTEGER) AS ordinal,
+       CAST(incident_id AS VARCHAR) AS incident_id, count(*) OVER (PARTITION BY incident_id // {BATCH}) AS total_incidents,
+       'standard' AS mode, conversation_text AS summary
+FROM t
+""")
+def q_combined_json_roundtrip(spark, sf_dir):
+    """S4 (+A4 batches): batches of five incidents written as combined
+    documents (``incidents`` array, no ``mode`` / ``total_incidents`` so the
+    defaults apply) under the shared checkpoint folder and read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import readers as RD
+
+    t = _texts(spark, sf_dir).select((F.col("incident_id") / BATCH).cast("long").alias("b"), "incident_id",
+                                      "conversation_text")
+    inc = F.struct(F.col("incident_id").cast("string").alias("incident_number"),
+                   F.col("conversation_text").alias("summary"))
+    docs = (t.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("incident_id", inc.alias("i")))).alias("_xs"))
+            .select(F.col("b").cast("string").alias("batch_id"),
+                    F.transform("_xs", lambda x: x["i"]).alias("incidents")))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-combined-{uuid.uuid4().hex}"
+    docs.write.mode("overwrite").json(out)
+    back = RD.combined_json(spark, out, json_lines=True)
+    return back.select("batch_id", F.col("ordinal").cast("int").alias("ordinal"), "incident_id", "total_incidents",
+                       "mode", "summary")

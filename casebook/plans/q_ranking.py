@@ -230,3 +230,32 @@ def q_advanced_search_replies(spark, sf_dir):
     return ranked.select("q_id", "rank", "doc_id", "llm_relevance_score",
                          F.when(F.col("replies_valid"), F.lit("replies")).otherwise(F.lit("heuristic"))
                          .alias("scored_by"))
+
+
+@register("search_result_roundtrip", f"""
+SELECT CAST(q_id AS VARCHAR) AS incident_number, rank, title, article_path,
+       round(semantic_similarity, 6) AS semantic_similarity, relevance_score, intelligent_explanation
+FROM ({RANKED_SQL})
+""")
+def q_search_result_roundtrip(spark, sf_dir):
+    """K3 + S11: each query's ranked results saved as one result document
+    (``content.search_results.search_results``) under the shared checkpoint
+    folder and read back through the search-result reader."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import readers as RD
+
+    r = advanced(spark, sf_dir)
+    item = F.struct("title", F.lit(None).cast("string").alias("url"), "article_path", "content_summary",
+                    "relevance_score", "semantic_similarity", "intelligent_explanation")
+    docs = (r.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("it")))).alias("_xs"))
+            .select(F.col("q_id").cast("string").alias("incident_number"),
+                    F.struct(F.struct(F.transform("_xs", lambda x: x["it"]).alias("search_results"))
+                             .alias("search_results")).alias("content")))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-search-results-{uuid.uuid4().hex}"
+    docs.write.mode("overwrite").json(out)
+    back = RD.search_result_json(spark, out, json_lines=True)
+    return back.select("incident_number", F.col("rank").cast("int").alias("rank"), "title", "article_path",
+                       F.round("semantic_similarity", 6).alias("semantic_similarity"), "relevance_score",
+                       "intelligent_explanation")
