@@ -182,3 +182,26 @@ def q_memory_knn(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     r = V.cosine_knn(e, "vec_id", "embedding", e, "vec_id", "embedding", 3, exclude_self=True)
     return r.select("q_id", "i_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@register("vector_db_roundtrip", """
+SELECT 'kb/vec_' || CAST(vec_id AS VARCHAR) || '.md' AS article_path, len(embedding) AS dims,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS checksum
+FROM embeddings WHERE len(embedding) > 0
+""")
+def q_vector_db_roundtrip(spark, sf_dir):
+    """Every stored vector written as an article line under the shared
+    checkpoint folder and read back through the vector-store reader (empty
+    vectors dropped)."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import readers as RD
+
+    e = read_table(spark, sf_dir, "embeddings")
+    arts = e.select(F.concat(F.lit("kb/vec_"), F.col("vec_id").cast("string"), F.lit(".md")).alias("url"), "embedding")
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-vectors-{uuid.uuid4().hex}"
+    arts.write.mode("overwrite").json(out)
+    v = RD.vector_db(spark, out, json_lines=True).filter(F.col("embedding").isNotNull())
+    total = F.aggregate(v.embedding, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return v.select("article_path", F.size("embedding").alias("dims"), F.round(total, 4).alias("checksum"))
