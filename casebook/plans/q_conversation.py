@@ -177,7 +177,7 @@ def q_format_entries(spark, sf_dir):
 
 
 @register("full_content", f"""
-SELECT incident_id, length(full_content) AS content_length, full_content FROM (
+SELECT incident_id, CAST(length(full_content) AS INTEGER) AS content_length, full_content FROM (
   SELECT incident_id, string_agg(' ' || content, '' ORDER BY ts, pos) AS full_content FROM ({KEPT_SQL}) GROUP BY incident_id)
 """)
 def q_full_content(spark, sf_dir):

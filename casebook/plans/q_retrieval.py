@@ -155,7 +155,7 @@ def cos_sql(a: str, b: str) -> str:
 
 @register("semantic_search", f"""
 WITH c AS ({CENTROID_SQL}), e AS ({EMB_SQL}),
-s AS (SELECT c.label AS q_id, e.vec_id AS i_id, {cos_sql('c.v', 'e.v')} AS sim FROM c JOIN e ON len(c.v) = len(e.v))
+s AS (SELECT CAST(c.label AS BIGINT) AS q_id, e.vec_id AS i_id, {cos_sql('c.v', 'e.v')} AS sim FROM c JOIN e ON len(c.v) = len(e.v))
 SELECT q_id, i_id, round(sim, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 12) DESC, i_id) AS rank FROM s WHERE sim > 0.1)
 WHERE rank <= {CANDIDATES}
@@ -185,7 +185,7 @@ def q_memory_knn(spark, sf_dir):
 
 
 @register("vector_db_roundtrip", """
-SELECT 'kb/vec_' || CAST(vec_id AS VARCHAR) || '.md' AS article_path, len(embedding) AS dims,
+SELECT 'kb/vec_' || CAST(vec_id AS VARCHAR) || '.md' AS article_path, CAST(len(embedding) AS INTEGER) AS dims,
        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS checksum
 FROM embeddings WHERE len(embedding) > 0
 """)

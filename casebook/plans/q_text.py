@@ -11,7 +11,7 @@ from .registry import register
 
 
 @register("clean_html", f"""
-SELECT page_id, {S.clean_html('html')} AS text, length({S.clean_html('html')}) AS n_chars FROM pages
+SELECT page_id, {S.clean_html('html')} AS text, CAST(length({S.clean_html('html')}) AS INTEGER) AS n_chars FROM pages
 """)
 def q_clean_html(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
