@@ -91,9 +91,36 @@ def log_file_count(keys: DataFrame, nested: DataFrame) -> DataFrame:
     return both.groupBy("incident_id").agg(F.count(F.lit(1)).alias("files_analyzed"))
 
 
-def logs_prompt_content(keys: DataFrame, nested: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+def file_analysis_text(keys: DataFrame, nested: DataFrame) -> DataFrame:
+    """P23 as text: ``Log File Analysis:`` with ``- file: N characters`` and
+    error / warning indicator lines for key files (fixed file order), then
+    ``Additional Logs Analysis:`` with sizes of nested logs."""
+    low = F.lower(F.col("content"))
+    order = F.lpad(F.array_position(F.array(*[F.lit(x) for x in K.KEY_LOG_FILES]), F.col("file_name"))
+                   .cast("string"), 3, "0")
+    k = keys.select("incident_id", F.lit(1).alias("sec"), order.alias("o"), F.concat_ws(
+        "\n", F.concat(F.lit("- "), F.col("file_name"), F.lit(": "), F.length("content").cast("string"),
+                       F.lit(" characters")),
+        F.when(low.contains("error") | low.contains("fail"), F.lit("  Contains error indicators")),
+        F.when(low.contains("warn"), F.lit("  Contains warning indicators"))).alias("txt"))
+    n = nested.select("incident_id", F.lit(3).alias("sec"), F.col("file_name").alias("o"),
+                      F.concat(F.lit("- "), F.col("file_name"), F.lit(": "), F.length("content").cast("string"),
+                               F.lit(" characters")).alias("txt"))
+    hk = k.select("incident_id").distinct().select("incident_id", F.lit(0).alias("sec"), F.lit("").alias("o"),
+                                                   F.lit("Log File Analysis:").alias("txt"))
+    hn = n.select("incident_id").distinct().select("incident_id", F.lit(2).alias("sec"), F.lit("").alias("o"),
+                                                   F.lit("\nAdditional Logs Analysis:").alias("txt"))
+    parts = hk.unionByName(k).unionByName(hn).unionByName(n)
+    agg = parts.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("sec", "o", "txt"))).alias("_xs"))
+    return agg.select("incident_id", F.array_join(F.transform("_xs", lambda x: x["txt"]), "\n").alias("file_analysis"))
+
+
+def logs_prompt_content(keys: DataFrame, nested: DataFrame, summaries: DataFrame | None = None,
+                        github: DataFrame | None = None) -> DataFrame:
     """Ordered prompt sections per incident -- summary (1000), the three
-    prompt key files (500 each), nested logs (300 each)."""
+    prompt key files (500 each), nested logs (300 each), the first message
+    mentioning github.com (``github``: incident_id, ts, pos, content), and the
+    file analysis text."""
     def cap(c, n):
         return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
@@ -114,7 +141,16 @@ def logs_prompt_content(keys: DataFrame, nested: DataFrame, summaries: DataFrame
                                                    F.lit("\nKEY LOG FILES:").alias("txt"))
     hn = n.select("incident_id").distinct().select("incident_id", F.lit(2).alias("sec"), F.lit("").alias("o"),
                                                    F.lit("\nADDITIONAL LOGS:").alias("txt"))
-    parts = hk.unionByName(k).unionByName(hn).unionByName(n)
+    fa = file_analysis_text(keys, nested).select(
+        "incident_id", F.lit(5).alias("sec"), F.lit("").alias("o"),
+        F.concat(F.lit("\nCOMPREHENSIVE FILE ANALYSIS:\n"), F.col("file_analysis")).alias("txt"))
+    parts = hk.unionByName(k).unionByName(hn).unionByName(n).unionByName(fa)
+    if github is not None:
+        first = F.min(F.when(F.lower(F.col("content")).contains("github.com"), F.struct("ts", "pos", "content")))
+        g = (github.groupBy("incident_id").agg(first["content"].alias("_g")).filter(F.col("_g").isNotNull())
+             .select("incident_id", F.lit(4).alias("sec"), F.lit("").alias("o"),
+                     F.concat(F.lit("\nGITHUB REFERENCE:\n"), F.col("_g")).alias("txt")))
+        parts = parts.unionByName(g)
     if summaries is not None:
         s = summaries.filter(F.coalesce(F.col("summary"), F.lit("")) != "").select(
             "incident_id", F.lit(-1).alias("sec"), F.lit("").alias("o"),

@@ -126,10 +126,26 @@ WITH k AS (SELECT incident_id, 1 AS sec,
 n AS (SELECT incident_id, 3 AS sec, file_name AS o, chr(10) || 'FILE: ' || file_name || chr(10) || 'PATH: '
              || incident_id || '/' || date_folder || '/' || analyzer_folder || '/' || file_name || chr(10)
              || 'CONTENT:' || chr(10) || {_cap('content', 300)} AS txt FROM ({NESTED_SQL})),
+fk AS (SELECT incident_id, 1 AS sec,
+             lpad(CAST(list_position({S.lit_list(K.KEY_LOG_FILES)}, file_name) AS VARCHAR), 3, '0') AS o,
+             concat_ws(chr(10), '- ' || file_name || ': ' || CAST(length(content) AS VARCHAR) || ' characters',
+               CASE WHEN contains(lower(content), 'error') OR contains(lower(content), 'fail')
+                    THEN '  Contains error indicators' END,
+               CASE WHEN contains(lower(content), 'warn') THEN '  Contains warning indicators' END) AS txt
+      FROM ({KEYS_SQL})),
+fn AS (SELECT incident_id, 3 AS sec, file_name AS o,
+              '- ' || file_name || ': ' || CAST(length(content) AS VARCHAR) || ' characters' AS txt FROM ({NESTED_SQL})),
+fparts AS (SELECT DISTINCT incident_id, 0 AS sec, '' AS o, 'Log File Analysis:' AS txt FROM fk
+           UNION ALL SELECT * FROM fk
+           UNION ALL SELECT DISTINCT incident_id, 2, '', chr(10) || 'Additional Logs Analysis:' FROM fn
+           UNION ALL SELECT * FROM fn),
+fa AS (SELECT incident_id, 5 AS sec, '' AS o, chr(10) || 'COMPREHENSIVE FILE ANALYSIS:' || chr(10)
+              || string_agg(txt, chr(10) ORDER BY sec, o, txt) AS txt FROM fparts GROUP BY incident_id),
 parts AS (SELECT DISTINCT incident_id, 0 AS sec, '' AS o, chr(10) || 'KEY LOG FILES:' AS txt FROM k
           UNION ALL SELECT * FROM k
           UNION ALL SELECT DISTINCT incident_id, 2, '', chr(10) || 'ADDITIONAL LOGS:' FROM n
-          UNION ALL SELECT * FROM n)
+          UNION ALL SELECT * FROM n
+          UNION ALL SELECT * FROM fa)
 SELECT incident_id, string_agg(txt, chr(10) ORDER BY sec, o, txt) AS logs_content FROM parts GROUP BY incident_id
 """)
 def q_logs_prompt_content(spark, sf_dir):

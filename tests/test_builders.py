@@ -73,3 +73,23 @@ def test_request_template(spark):
     r = PR.request_texts(c).first()
     assert "## Incident Query\nq\n\n## Incident Context\nctx" in r.scoring_request
     assert "**URL:** Unknown" in r.scoring_request and "**Relevance Score:** 7.0/10" in r.explanation_request
+
+
+def test_logs_prompt_sections(spark):
+    from casebook.operators import logs as LG
+
+    keys = spark.createDataFrame([("9", "01-01", "out", "config.txt", "warn: x", "key"),
+                                  ("9", "01-01", "out", "health.txt", "error here", "key")],
+                                 "incident_id string, date_folder string, analyzer_folder string, file_name string, "
+                                 "content string, kind string")
+    nested = spark.createDataFrame([("9", "01-01", "out", "a.log", "tail", "nested")],
+                                   "incident_id string, date_folder string, analyzer_folder string, file_name string, "
+                                   "content string, kind string")
+    gh = spark.createDataFrame([("9", 2, 0, "see https://github.com/o/r"), ("9", 1, 0, "no link"),
+                                ("9", 3, 0, "later github.com/x")], "incident_id string, ts int, pos int, content string")
+    text = LG.logs_prompt_content(keys, nested, github=gh).first().logs_content
+    assert text.index("FILE: health.txt") < text.index("FILE: config.txt")     # fixed key-file order
+    assert "\nGITHUB REFERENCE:\nsee https://github.com/o/r" in text
+    assert text.endswith("COMPREHENSIVE FILE ANALYSIS:\nLog File Analysis:\n- health.txt: 10 characters\n"
+                         "  Contains error indicators\n- config.txt: 7 characters\n  Contains warning indicators\n\n"
+                         "Additional Logs Analysis:\n- a.log: 4 characters")
