@@ -152,6 +152,11 @@ def incident_id_from_name(c) -> Column:
     return F.regexp_replace(base, r"^incident_", "")
 
 
+def digits_only(c) -> Column:
+    """P9 (second form): the digits of the file name, in order."""
+    return F.regexp_replace(F.regexp_extract(_col(c), r"[^/]*$", 0), r"\D", "")
+
+
 def first_long_number(c) -> Column:
     """P10 helper: first run of 8+ digits, or null."""
     m = F.regexp_extract(_col(c), r"(\d{8,})", 1)

@@ -165,14 +165,16 @@ def q_article_summary(spark, sf_dir):
 
 @register("incident_id_from_name", f"""
 SELECT page_id, {S.incident_id_from_name("'incident_' || CAST(page_id AS VARCHAR) || '.csv'")} AS from_file,
-       {S.incident_id_from_name('url')} AS from_url
+       {S.incident_id_from_name('url')} AS from_url,
+       regexp_replace(regexp_extract(url, '[^/]*$'), '\D', '', 'g') AS digits_only
 FROM pages
 """)
 def q_incident_id_from_name(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     f = F.concat(F.lit("incident_"), F.col("page_id").cast("string"), F.lit(".csv"))
     return p.select("page_id", T.incident_id_from_name(f).alias("from_file"),
-                    T.incident_id_from_name(F.col("url")).alias("from_url"))
+                    T.incident_id_from_name(F.col("url")).alias("from_url"),
+                    T.digits_only(F.col("url")).alias("digits_only"))
 
 
 @register("preview", f"""
