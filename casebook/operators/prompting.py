@@ -15,12 +15,15 @@ from .tfidf import top_k
 
 
 def format_items(items: DataFrame, key: str, pos: str = "pos", kind: str = "type",
-                 content: str = "content") -> DataFrame:
-    """Text items verbatim, other items as ``[Image: …]``, joined by newlines."""
+                 content: str = "content", bucket: Column | None = None) -> DataFrame:
+    """Text items verbatim, other items as ``[Image: …]``, joined by
+    newlines in ``pos`` order (two-level with ``bucket``, see
+    ``conversation.ordered_concat``)."""
+    from .conversation import ordered_concat
+
     line = F.when(F.col(kind) == "text", F.col(content)).otherwise(
         F.concat(F.lit("[Image: "), F.col(content), F.lit("]")))
-    agg = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(pos, line.alias("l")))).alias("_xs"))
-    return agg.select(key, F.array_join(F.transform("_xs", lambda x: x["l"]), "\n").alias("conversation"))
+    return ordered_concat(items, key, [pos], line, "\n", bucket=bucket, out="conversation")
 
 
 def assemble_messages(df: DataFrame, system: str = "system_prompt", prompt: str = "enhanced_prompt",

@@ -228,7 +228,7 @@ def q_format_items(spark, sf_dir):
         "conv_id", F.col("turn").alias("pos"),
         F.when(F.col("role") == "system", F.lit("image")).otherwise(F.lit("text")).alias("type"),
         F.col("text").alias("content"))
-    return PR.format_items(c, "conv_id")
+    return PR.format_items(c, "conv_id", bucket=F.floor(F.col("pos") / TURN_BUCKET))
 
 
 @register("section_csv_roundtrip", """
