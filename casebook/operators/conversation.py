@@ -153,13 +153,16 @@ def conversation_text(entries: DataFrame, summaries: DataFrame | None = None,
 
 
 def authored_summary(rows: DataFrame, key: str = "incident_id", row_no: str = "row_no",
-                     cells: str = "cells", summary_cell: str = "summary") -> DataFrame:
+                     cells: str = "cells", summary_cell: str = "summary", rows_per_bucket: int | None = 64) -> DataFrame:
     """A3: per row, non-empty cells joined by a space and stripped; rows
     joined by newlines and stripped; the first row's ``Summary`` cell wins
-    only when strictly longer."""
+    only when strictly longer.  Rows are concatenated in two levels of
+    ``rows_per_bucket``."""
     row_text = T.strip_ws(F.array_join(F.filter(F.col(cells), lambda x: x.isNotNull() & (x != "")), " "))
     per_row = rows.select(key, row_no, row_text.alias("_rt"), F.col(summary_cell).alias("_sc"))
-    agg = ordered_concat(per_row.filter(F.col("_rt") != ""), key, [row_no], F.col("_rt"), "\n", out="_agg")
+    bucket = F.floor(F.col(row_no) / rows_per_bucket) if rows_per_bucket else None
+    agg = ordered_concat(per_row.filter(F.col("_rt") != ""), key, [row_no], F.col("_rt"), "\n", bucket=bucket,
+                         out="_agg")
     first_cell = (per_row.groupBy(key)
                   .agg(F.min_by(F.coalesce(F.col("_sc"), F.lit("")), F.col(row_no)).alias("_single")))
     j = first_cell.join(agg, key, "left").select(
