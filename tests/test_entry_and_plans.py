@@ -41,7 +41,8 @@ def _norm(v):
     "conversation_text", "clean_html", "extract_data_urls", "rule_labels", "technical_query", "pair_tfidf",
     "tfidf_fallback_search", "tfidf_search", "semantic_search", "memory_knn", "advanced_search",
     "example_selection", "usage_rollup", "gap_to_next", "ownership_change", "vip_breakdown", "plan_content",
-    "logs_prompt_content", "gap_steps",
+    "logs_prompt_content", "gap_steps", "incident_summary_job", "section_csv_roundtrip", "incident_json_roundtrip",
+    "team_collaboration", "advanced_search_replies", "article_text", "doc_semantic_search",
 ])
 def test_oracle_sf0001(spark, name):
     con = duckdb.connect()
