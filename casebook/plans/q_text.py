@@ -166,7 +166,7 @@ def q_article_summary(spark, sf_dir):
 @register("incident_id_from_name", f"""
 SELECT page_id, {S.incident_id_from_name("'incident_' || CAST(page_id AS VARCHAR) || '.csv'")} AS from_file,
        {S.incident_id_from_name('url')} AS from_url,
-       regexp_replace(regexp_extract(url, '[^/]*$'), '\D', '', 'g') AS digits_only
+       regexp_replace(regexp_extract(url, '[^/]*$'), '\\D', '', 'g') AS digits_only
 FROM pages
 """)
 def q_incident_id_from_name(spark, sf_dir):
