@@ -140,3 +140,19 @@ def test_select_examples_matches_all_pairs(spark):
     for iid, ords in exp.items():
         mine = [r.ordinal for r in sorted([r for r in got if r.incident_id == iid], key=lambda r: r["rank"])]
         assert mine == ords
+
+
+def test_index_reuse(spark, tmp_path):
+    p = str(tmp_path / "docs")
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(p)
+    a = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
+    b = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
+    assert a[0] is b[0]                          # same plan and files: staged once
+    c = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text", max_df=0.5)
+    assert c[0] is not a[0]                      # other parameters: another index
+    TF.REUSE_INDEX = False
+    try:
+        d = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
+        assert d[0] is not a[0]
+    finally:
+        TF.REUSE_INDEX = True
