@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, cut_lineage
+from ..session import checked_broadcast, cut_lineage, stage_once
 from . import tfidf as TF
 from .tfidf import term_counts
 
@@ -29,7 +29,16 @@ def select_examples(incidents: DataFrame, examples: DataFrame, k: int = 5,
                     inc_key: str = "incident_id", ex_key: str = "ordinal", stopwords=None) -> DataFrame:
     """incidents: (inc_key, prompt_type, text, keywords array);
     examples: (prompt_type, ex_key, keywords array, category, input, output).
-    Returns (inc_key, prompt_type, rank, ex_key, score)."""
+    Returns (inc_key, prompt_type, rank, ex_key, score), staged once per
+    session for identical inputs (prompt building and usage reuse it)."""
+    sw = tuple(sorted(stopwords)) if stopwords is not None else None
+    return stage_once("example-selection", [incidents, examples], (k, inc_key, ex_key, sw),
+                      lambda: cut_lineage(_select_examples(incidents, examples, k, inc_key, ex_key, stopwords),
+                                          "example-selection"))
+
+
+def _select_examples(incidents: DataFrame, examples: DataFrame, k: int, inc_key: str, ex_key: str,
+                     stopwords) -> DataFrame:
     ex = checked_broadcast(examples.select("prompt_type", ex_key, F.col("keywords").alias("ex_kw"), "input"))
     # the incident side is read by several branches: stage its two derived
     # tables once (keywords per incident; term counts per incident)

@@ -33,29 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import terms as TM
-from ..session import checked_broadcast, cut_lineage
-
-
-# Staged index tables per session, keyed by the document plan (semantic hash
-# plus input files) and the build parameters: an index is built once and
-# probed by every later query batch over the same documents.  Set
-# ``REUSE_INDEX = False`` to rebuild on every call (e.g. when the files under
-# a path are replaced during a session).
-REUSE_INDEX = True
-_STAGED: dict = {}
-
-
-def _staged(kind: str, docs: DataFrame, params: tuple, build):
-    if not REUSE_INDEX:
-        return build()
-    try:
-        files = tuple(sorted(docs.inputFiles()))
-    except Exception:  # noqa: BLE001  (plans without files: no reuse)
-        return build()
-    key = (docs.sparkSession.sparkContext.applicationId, kind, docs.semanticHash(), files, params)
-    if key not in _STAGED:
-        _STAGED[key] = build()
-    return _STAGED[key]
+from ..session import checked_broadcast, cut_lineage, stage_once
 
 
 def _stop_table(spark, stopwords=None) -> DataFrame:
@@ -88,14 +66,14 @@ def docs_only_index(docs: DataFrame, doc_key: str, doc_text: str, max_df: float
     Returns two staged tables: ``index(doc_key, term, wn)`` and
     ``vocab(term, idf)``.  Built once, probed by any number of query batches."""
     sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    return _staged("docs-only", docs, (doc_key, doc_text, max_df, sw),
+    return stage_once("docs-only", docs, (doc_key, doc_text, max_df, sw),
                    lambda: _build_docs_only(docs, doc_key, doc_text, max_df, stopwords))
 
 
 def doc_terms(docs: DataFrame, doc_key: str, doc_text: str, stopwords=None) -> DataFrame:
     """The staged (doc, term, tf) table of a document set (built once per session)."""
     sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    return _staged("doc-terms", docs, (doc_key, doc_text, sw),
+    return stage_once("doc-terms", docs, (doc_key, doc_text, sw),
                    lambda: cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms"))
 
 
@@ -152,7 +130,7 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
     vocabulary terms only.
     """
     sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    index, vocab = _staged("query-fit", docs, (doc_key, doc_text, max_features, sw),
+    index, vocab = stage_once("query-fit", docs, (doc_key, doc_text, max_features, sw),
                            lambda: _build_query_fit(docs, doc_key, doc_text, max_features, stopwords))
     q_raw = term_counts(queries, q_key, q_text, stopwords)
     q_tf = q_raw.join(F.broadcast(vocab), "term")

@@ -99,6 +99,34 @@ def _row_bytes(df: DataFrame):
     return total
 
 
+# Staged tables per session, keyed by the input plans (semantic hash plus
+# input files) and the build parameters: an expensive derived table (a
+# TF-IDF index, an example selection) is built once and reused by later
+# queries over the same inputs.  ``REUSE_STAGED = False`` rebuilds every time.
+REUSE_STAGED = True
+_STAGED: dict = {}
+
+
+def stage_once(kind: str, inputs, params: tuple, build):
+    """Return ``build()``'s result, memoised for identical inputs and
+    parameters within the session.  Inputs whose plans read no files are
+    never memoised (their identity is not tied to stored data)."""
+    if not REUSE_STAGED:
+        return build()
+    inputs = inputs if isinstance(inputs, (list, tuple)) else [inputs]
+    try:
+        files = tuple(tuple(sorted(df.inputFiles())) for df in inputs)
+    except Exception:  # noqa: BLE001
+        return build()
+    if any(len(f) == 0 for f in files):
+        return build()
+    app = inputs[0].sparkSession.sparkContext.applicationId
+    key = (app, kind, tuple(df.semanticHash() for df in inputs), files, params)
+    if key not in _STAGED:
+        _STAGED[key] = build()
+    return _STAGED[key]
+
+
 def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMIT,
                       bound_by: DataFrame | None = None,
                       byte_limit: int = DEFAULT_BROADCAST_BYTE_LIMIT) -> DataFrame:

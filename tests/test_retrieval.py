@@ -150,9 +150,11 @@ def test_index_reuse(spark, tmp_path):
     assert a[0] is b[0]                          # same plan and files: staged once
     c = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text", max_df=0.5)
     assert c[0] is not a[0]                      # other parameters: another index
-    TF.REUSE_INDEX = False
+    from casebook import session as SS
+
+    SS.REUSE_STAGED = False
     try:
         d = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
         assert d[0] is not a[0]
     finally:
-        TF.REUSE_INDEX = True
+        SS.REUSE_STAGED = True
