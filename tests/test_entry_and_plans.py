@@ -73,7 +73,12 @@ def test_topk_is_partial_below_shuffle(spark):
 
 
 def test_catalogue_joins_broadcast(spark):
-    plan = _plan(E.queries()["example_selection"](spark, SF))
+    # the registered query reads the staged selection; check the selection plan itself
+    from casebook.operators import examples as EX
+    from casebook.plans import q_prompting as QP
+
+    sel = EX._select_examples(QP.incidents(spark, SF), QP.examples(spark, SF), 5, "incident_id", "ordinal", None)
+    plan = _plan(sel)
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
 
 
