@@ -66,10 +66,38 @@ def llm_cost(input_tokens, output_tokens, in_rate: float = K.INPUT_COST_PER_1K,
             + _col(output_tokens) / F.lit(float(per)) * F.lit(out_rate))
 
 
+SPLITTER = 134217729.0  # 2^27 + 1 (Veltkamp split of a double)
+
+
+def exact_round(x, digits: int) -> Column:
+    """Round like Python's ``round(x, digits)``: to the nearest multiple of
+    10^-digits of the *exact binary value* of ``x``, halves to even.
+
+    ``p = x * 10^digits`` is rounded by the multiplication; the exact error
+    ``e`` of that product is recovered with an error-free product (Veltkamp
+    split), so a product that lands exactly on ``.5`` is resolved by the
+    sign of ``e``.  Pure double arithmetic, so every engine agrees."""
+    v = _col(x).cast("double")
+    s = float(10 ** digits)
+    p = v * F.lit(s)
+    c = v * F.lit(SPLITTER)
+    hi = c - (c - v)
+    lo = v - hi
+    e = (hi * F.lit(s) - p) + lo * F.lit(s)
+    fl = F.floor(p).cast("double")
+    frac = p - fl
+    up = fl + F.lit(1.0)
+    even = F.when(F.pmod(fl, F.lit(2.0)) == 0.0, fl).otherwise(up)
+    r = (F.when(frac == 0.5, F.when(e > 0, up).when(e < 0, fl).otherwise(even))
+         .when(frac > 0.5, up).otherwise(fl))
+    return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(r / F.lit(s))
+
+
 def fmt_fixed(x, digits: int) -> Column:
-    """Fixed-point text with half-even rounding at ``digits`` (the value is
-    rounded first so the text never depends on binary-representation ties)."""
-    return F.format_string(f"%.{digits}f", F.bround(_col(x), digits))
+    """Python's ``f"{x:.{digits}f}"``: correctly rounded, then printed (the
+    printed value is the nearest double to a ``digits``-decimal number, so
+    the text is exact in every engine)."""
+    return F.format_string(f"%.{digits}f", exact_round(x, digits))
 
 
 def exact_token_count(encoding_name: str = "cl100k_base"):

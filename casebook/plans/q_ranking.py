@@ -57,7 +57,7 @@ OV = S.jaccard(S.term_set("query_text || chr(10) || coalesce(context, '')"), S.t
 
 def scored_sql(cands: str) -> str:
     return f"""
-SELECT *, round_even(least(10.0, norm + least(1.0, ov * 2.0)), 2) AS llm_relevance_score,
+SELECT *, {S.exact_round('least(10.0, norm + least(1.0, ov * 2.0))', 2)} AS llm_relevance_score,
        'Heuristic: semantic similarity ' || {S.fmt_fixed('semantic_similarity', 3)} || ' + token overlap '
          || {S.fmt_fixed('ov', 3)} AS llm_reasoning
 FROM (SELECT *, {OV} AS ov FROM ({norm_sql(cands)}))

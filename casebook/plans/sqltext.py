@@ -170,16 +170,28 @@ def incident_id_from_name(x: str) -> str:
     return f"regexp_replace({base}, '^incident_', '')"
 
 
+def exact_round(x: str, digits: int) -> str:
+    s = f"{float(10 ** digits)!r}"
+    v = f"CAST({x} AS DOUBLE)"
+    p = f"({v} * {s})"
+    c = f"({v} * 134217729.0)"
+    hi = f"({c} - ({c} - {v}))"
+    lo = f"({v} - {hi})"
+    e = f"(({hi} * {s} - {p}) + {lo} * {s})"
+    fl = f"floor({p})"
+    frac = f"({p} - {fl})"
+    even = f"(CASE WHEN {fl} % 2.0 = 0.0 THEN {fl} ELSE {fl} + 1.0 END)"
+    r = (f"(CASE WHEN {frac} = 0.5 THEN (CASE WHEN {e} > 0 THEN {fl} + 1.0 WHEN {e} < 0 THEN {fl} ELSE {even} END) "
+         f"WHEN {frac} > 0.5 THEN {fl} + 1.0 ELSE {fl} END)")
+    return f"({r} / {s})"
+
+
 def tenths_text(x: str) -> str:
-    h = f"CAST(round(({x}) * 100.0) AS BIGINT)"
-    t = f"({h} // 10)"
-    r = f"({h} - {t} * 10)"
-    t2 = f"(CASE WHEN {r} > 5 OR ({r} = 5 AND {t} % 2 = 1) THEN {t} + 1 ELSE {t} END)"
-    return f"(CAST({t2} // 10 AS VARCHAR) || '.' || CAST({t2} % 10 AS VARCHAR))"
+    return fmt_fixed(x, 1)
 
 
 def fmt_fixed(x: str, digits: int) -> str:
-    return f"printf('%.{digits}f', round_even({x}, {digits}))"
+    return f"printf('%.{digits}f', {exact_round(x, digits)})"
 
 
 def shared_terms_ranked(qt: str, tt: str, st: str, k: int = 5) -> str:
