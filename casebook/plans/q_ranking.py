@@ -13,6 +13,9 @@ from .q_retrieval import CANDIDATES, _r4_sql, r4_candidates
 from .registry import register
 
 TOP_K = 5
+# first-stage similarities are sums whose last bits depend on summation
+# order; they are rounded (exactly) to this many decimals before scoring
+SIM_DIGITS = 10
 PATH_SQL = "source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || '.md'"
 
 
@@ -30,14 +33,15 @@ def candidates(spark, sf_dir):
     return (c.join(d, "doc_id").join(b, "item_id")
             .select(F.col("item_id").alias("q_id"), F.col("rank").alias("cand_pos"), "doc_id", "article_path",
                     T.title_from_path(F.col("article_path")).alias("title"), "content_summary", "query_text",
-                    F.lit("").alias("context"), F.col("score").alias("semantic_similarity")))
+                    F.lit("").alias("context"),
+                    SC.exact_round(F.col("score"), SIM_DIGITS).alias("semantic_similarity")))
 
 
 def cands_sql(queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text", ctx: str = "''") -> str:
     return f"""
 SELECT r.{qkey} AS q_id, CAST(r.rank AS INTEGER) AS cand_pos, r.doc_id, {PATH_SQL} AS article_path,
        {S.title_from_path(PATH_SQL)} AS title, {S.article_summary('d.text')} AS content_summary,
-       b.{qtext} AS query_text, {ctx} AS context, r.score AS semantic_similarity
+       b.{qtext} AS query_text, {ctx} AS context, {S.exact_round('r.score', SIM_DIGITS)} AS semantic_similarity
 FROM ({_r4_sql(CANDIDATES, queries, qkey, qtext).replace('round(score, 6) AS score', 'score')}) r
 JOIN documents d USING (doc_id) JOIN ({queries}) b USING ({qkey})
 """
