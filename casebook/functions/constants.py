@@ -188,6 +188,12 @@ IMAGE_EXTENSIONS = {"png": "png", "jpeg": "jpg", "jpg": "jpg", "gif": "gif",
                     "svg+xml": "svg", "webp": "webp"}
 DEFAULT_IMAGE_EXTENSION = "bin"
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — gap report file name: <prefix><incident>_<title>.txt
+# ---------------------------------------------------------------------------
+GAP_REPORT_PREFIX = "gap_analysis_"
+GAP_REPORT_SUFFIX = ".txt"
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — model cost defaults (per 1K tokens)
 # ---------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import terms as TM
 from ..functions import text as T
 
@@ -37,6 +38,6 @@ def step_coverage(steps: DataFrame, incidents: DataFrame, inc_key: str, doc_key:
 
 
 def report_name(inc_id, title) -> "F.Column":
-    """K9: ``gap_analysis_<incident>_<title with spaces and slashes as _>.txt``."""
-    return F.concat(F.lit("gap_analysis_"), F.col(inc_id).cast("string"), F.lit("_"),
-                    F.translate(F.coalesce(F.col(title), F.lit("unknown")), " /", "__"), F.lit(".txt"))
+    """K9: ``<prefix><incident>_<title with spaces and slashes as _><suffix>``."""
+    return F.concat(F.lit(K.GAP_REPORT_PREFIX), F.col(inc_id).cast("string"), F.lit("_"),
+                    F.translate(F.coalesce(F.col(title), F.lit("unknown")), " /", "__"), F.lit(K.GAP_REPORT_SUFFIX))
