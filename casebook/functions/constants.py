@@ -79,10 +79,10 @@ MATCH_SENTENCE_PREFIX = "Article matches incident based on technical terms: "
 NO_MATCH_SENTENCE = "Article relevant based on semantic similarity. "
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES — rule dictionaries.  Each rule is
-# (label, any_of, all_of_groups) evaluated as substring tests on lower text:
-# the rule fires when every group in all_of_groups has at least one hit.
-# A single group is an "or"; several groups are an "and" of "or"s.
+# FIXED VALUES — rule dictionaries.  Each rule is (label, groups), evaluated
+# as substring tests on the lower-cased text: the rule fires when every
+# group has at least one needle in the text.  A single group is an "or";
+# several groups are an "and" of "or"s.
 # ---------------------------------------------------------------------------
 RULE_SETS: dict[str, list[tuple[str, list[list[str]]]]] = {
     "technical_issues": [
