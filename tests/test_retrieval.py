@@ -158,3 +158,13 @@ def test_index_reuse(spark, tmp_path):
         assert d[0] is not a[0]
     finally:
         SS.REUSE_STAGED = True
+
+
+def test_model_embedding_slot(spark):
+    def encode(texts):
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    col = V.model_embedding(encode, 2)
+    df = spark.createDataFrame([(1, "banana"), (2, ""), (3, None)], "id int, t string")
+    got = {r.id: r.v for r in df.select("id", col("t").alias("v")).collect()}
+    assert got[1] == [6.0, 3.0] and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
