@@ -162,14 +162,18 @@ def vip_scan(incidents: DataFrame, customers: DataFrame, aliases: DataFrame, nam
     return incidents.join(checked_broadcast(chosen), incidents[inc_cust] == chosen[cust_key], "left_semi")
 
 
-def team_collaboration(events: DataFrame, key: str, team: str) -> DataFrame:
-    """Teams per incident and, for every pair of teams, the number of
-    incidents both worked on.  Presence is pivoted to one column per team
-    (the team list is a small dimension read from the data), so each pair
-    count is one ``sum`` over incidents -- no pair rows are generated per
-    incident."""
+def team_collaboration(events: DataFrame, key: str, team: str, max_teams: int = 200) -> DataFrame:
+    """For every pair of teams, the number of incidents both worked on.
+    Presence is pivoted to one column per team, so each pair count is one
+    ``sum`` over incidents -- no pair rows are generated per incident.  The
+    team list is a dimension: at most ``max_teams + 1`` names are read to
+    prove the bound, and a larger dimension is rejected rather than pivoted."""
     presence = events.select(key, team).distinct()
-    teams = sorted(r[0] for r in presence.select(team).distinct().collect() if r[0] is not None)
+    names = [r[0] for r in presence.select(team).distinct().filter(F.col(team).isNotNull())
+             .limit(max_teams + 1).collect()]
+    if len(names) > max_teams:
+        raise ValueError(f"more than {max_teams} distinct teams; raise max_teams to pivot them")
+    teams = sorted(names)
     wide = presence.groupBy(key).pivot(team, teams).agg(F.lit(1))
     pair_cols = []
     for i, a in enumerate(teams):
