@@ -152,6 +152,39 @@ def conversation_text(entries: DataFrame, summaries: DataFrame | None = None,
         .otherwise(F.col("conversation_text")).alias("conversation_text"))
 
 
+def conversation_with_counts(entries: DataFrame, summaries: DataFrame | None = None, key: str = "incident_id",
+                             order_cols=("ts", "pos"), bucket: Column | None = None, **noise) -> DataFrame:
+    """A2 + F-1 + A12 in one pass over the cleaned entries: the noise flag is
+    evaluated once, kept lines are concatenated (two levels with ``bucket``)
+    and the total / dropped counts ride along in the same aggregations.
+    Incidents whose entries were all dropped have no text row."""
+    flag = noise_flag(**noise)
+    order_cols = [c for c in order_cols if c in entries.columns]
+    line = T.format_entry(F.col("ts"), F.col("author"), T.strip_support_section(F.col("content")))
+    item = F.when(~flag, F.struct(*[F.col(c) for c in order_cols], line.alias("_l")))
+    b = bucket if bucket is not None else F.lit(0)
+    lvl1 = (entries.withColumn("_b", b).groupBy(key, "_b")
+            .agg(F.array_sort(F.collect_list(item)).alias("_xs"), F.count(F.lit(1)).alias("_n"),
+                 F.count_if(flag).alias("_f")))
+    chunk = F.when(F.size("_xs") > 0, F.array_join(F.transform("_xs", lambda x: x["_l"]), "\n"))
+    lvl2 = (lvl1.select(key, "_b", chunk.alias("_chunk"), "_n", "_f")
+            .groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.when(F.col("_chunk").isNotNull(), F.struct("_b", "_chunk"))))
+                 .alias("_cs"), F.sum("_n").alias("_n"), F.sum("_f").alias("_f"))
+            .filter(F.size("_cs") > 0))
+    conv = lvl2.select(key, (F.col("_n") - F.col("_f")).alias("total_entries"), F.col("_f").alias("filtered_count"),
+                       F.array_join(F.transform("_cs", lambda c: c["_chunk"]), "\n").alias("conversation_text"))
+    if summaries is None:
+        return conv
+    j = conv.join(summaries.select(key, "summary"), key, "left")
+    return j.select(
+        key, "total_entries", "filtered_count",
+        F.when(F.coalesce(F.col("summary"), F.lit("")) != "",
+               F.concat(F.lit("--- Authored Summary ---\n"), T.strip_support_section(F.col("summary")), F.lit("\n\n"),
+                        F.col("conversation_text")))
+        .otherwise(F.col("conversation_text")).alias("conversation_text"))
+
+
 def authored_summary(rows: DataFrame, key: str = "incident_id", row_no: str = "row_no",
                      cells: str = "cells", summary_cell: str = "summary", rows_per_bucket: int | None = 64) -> DataFrame:
     """A3: per row, non-empty cells joined by a space and stripped; rows

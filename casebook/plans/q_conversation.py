@@ -52,13 +52,10 @@ FROM conv JOIN counts USING (incident_id) LEFT JOIN ({SUMMARY_SQL}) s USING (inc
 def q_conversation_text(spark, sf_dir):
     """E1 minimum slice: discussions -> P5 clean -> F-1 -> A2 (+J2 summary) with
     A12 counts."""
-    entries = _entries(spark, sf_dir)
-    kept = C.drop_service_noise(entries)
-    text = C.conversation_text(kept, _summaries(spark, sf_dir),
-                               bucket=F.floor(F.col("ts") / TURN_BUCKET))
-    counts = C.filtered_counts(entries)
-    return (text.join(counts, "incident_id")
-            .select("incident_id", "total_entries", "filtered_count", "conversation_text"))
+    r = C.conversation_with_counts(_entries(spark, sf_dir), _summaries(spark, sf_dir),
+                                   bucket=F.floor(F.col("ts") / TURN_BUCKET))
+    return r.select("incident_id", F.col("total_entries").cast("long").alias("total_entries"),
+                    F.col("filtered_count").cast("long").alias("filtered_count"), "conversation_text")
 
 
 def entry_query(spark, sf_dir):
