@@ -60,3 +60,16 @@ def test_two_level_neighbour_equals_window(spark):
     prev = A.neighbour(df, "k", ["t", "tb"], F.col("t"), F.floor(F.col("t") / 50), "prev", "pv")
     ref2 = df.withColumn("pv_ref", F.lag("t").over(w))
     assert prev.join(ref2, ["k", "t", "tb"]).filter(~F.col("pv").eqNullSafe(F.col("pv_ref"))).count() == 0
+
+
+def test_one_pass_equals_two_pass(spark):
+    noise = "Support ICM enrichment CEM MDE x"
+    rows = [(1, t, t, "gautosvc" if t % 5 == 0 else "u", noise if t % 5 == 0 else f"m{t}") for t in range(300)]
+    rows += [(2, 0, 0, "gautosvc", noise), (3, 1, 0, "a", "only")]
+    e = spark.createDataFrame(rows, "incident_id long, ts long, pos long, author string, content string")
+    s = spark.createDataFrame([(1, "sum"), (3, "")], "incident_id long, summary string")
+    one = {r.incident_id: tuple(r) for r in C.conversation_with_counts(e, s, bucket=F.floor(F.col("ts") / 32)).collect()}
+    text = C.conversation_text(C.drop_service_noise(e), s)
+    two = {r.incident_id: (r.incident_id, r.total_entries, r.filtered_count, r.conversation_text)
+           for r in text.join(C.filtered_counts(e), "incident_id").collect()}
+    assert one == two and 2 not in one
