@@ -8,11 +8,6 @@ operator; these are only the defaults.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — text caps and suffixes
 # ---------------------------------------------------------------------------
@@ -210,14 +205,25 @@ HTML_ENTITIES = [
 ]
 
 
-@functools.lru_cache(maxsize=1)
+# ---------------------------------------------------------------------------
+# FIXED VALUES — the default English stop list of Spark MLlib's
+# StopWordsRemover (181 words), written out so that nothing has to find a jar.
+# ---------------------------------------------------------------------------
+ENGLISH_STOPWORDS = """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
+    hers herself it its itself they them their theirs themselves what which who whom this that these
+    those am is are was were be been being have has had having do does did doing a an the and but if or
+    because as until while of at by for with about against between into through during before after
+    above below to from up down in out on off over under again further then once here there when where
+    why how all any both each few more most other some such no nor not only own same so than too very s
+    t can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+    they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't
+    weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+    couldn't cannot could here's how's let's ought that's there's what's when's where's who's why's
+    would
+""".split()
+
+
 def english_stopwords() -> list[str]:
-    """Spark MLlib's default English stop list (read from the MLlib jar that
-    ships with pyspark, so no JVM is needed to build SQL text from it)."""
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for jar in glob.glob(os.path.join(jars, "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-    raise FileNotFoundError("spark-mllib jar with the English stop list not found")
+    """Default stop list of the TF-IDF operators; callers may pass their own."""
+    return list(ENGLISH_STOPWORDS)

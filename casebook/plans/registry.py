@@ -8,6 +8,9 @@ in both engines so summation order cannot change the comparison.
 
 from __future__ import annotations
 
+import importlib
+import traceback
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+MODULES = ["q_text", "q_conversation", "q_findings", "q_retrieval", "q_ranking", "q_prompting",
+           "q_activity", "q_logs", "q_gap", "q_extra"]
+
+
 def load_all() -> None:
-    """Import the modules that register queries."""
-    from . import q_text, q_conversation, q_findings, q_retrieval, q_ranking, q_prompting, q_activity, q_logs, q_gap, q_extra  # noqa: F401
+    """Import the modules that register queries.  A module that fails is
+    reported and leaves the queries of the others registered."""
+    for name in MODULES:
+        try:
+            importlib.import_module(f"{__package__}.{name}")
+        except Exception:  # noqa: BLE001
+            warnings.warn(f"queries of {name} are not registered:\n{traceback.format_exc()}", stacklevel=2)
