@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, sentencepiece_codec
+from . import chat, secrets, sentencepiece_codec, simhash
 from .common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -24,5 +28,5 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op5_sentencepiece, op6_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_chat_formatting, op5_sentencepiece, op6_secret_scan)}
 ORACLES = {"op4_chat_formatting": chat.ORACLE_SQL}
