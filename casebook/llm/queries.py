@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, licenses, secrets, sentencepiece_codec, simhash
+from . import chat, decontaminate, language, licenses, secrets, sentencepiece_codec, simhash, topk
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -36,5 +40,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op4_chat_formatting, op5_sentencepiece, op6_secret_scan, op7_language_id)}
-ORACLES = {"op4_chat_formatting": chat.ORACLE_SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_exact_topk, op4_chat_formatting, op5_sentencepiece, op6_secret_scan,
+                                 op7_language_id, op9_decontamination)}
+ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextBlock, map_text, staged
+from .common import TextBlock, fresh, map_text, staged
 from .components import connected_components
 
 SHINGLE = 4
@@ -245,3 +245,44 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = rooted.join(least, "root").select("fp", "component_id")
     return all_prints.join(found, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+             threshold: int = THRESHOLD, blocks: int = BLOCKS, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """``df`` with one document of each component: the one with the smallest
+    id (rows that repeat it are one document); in a component without ids, a
+    document with the smallest fingerprint."""
+    names = df.columns
+    groups = near_duplicates(df, id_col, text_col, shingle, threshold, blocks, anchor_rows).toDF("id", "fp", "least")
+    no_id = groups.where("least is null").select("fp").distinct()  # in such a component no row has an id
+    wanted = staged(groups.where("id = least").select("id", "fp").distinct(), "kept")
+    made = fingerprints_beside(df, text_col, shingle)
+    fp = made.columns[-1]
+    rows = made.select("*", F.lpad(F.lower(F.hex(F.col(f"`{fp}`"))), 16, "0").alias("_key"), F.col(f"`{id_col}`").alias("_id"))
+    with_id = rows.join(wanted, (rows["_key"] == wanted["fp"]) & (rows["_id"] == wanted["id"]), "left_semi")
+    roots = _roots_without_id(no_id, threshold, blocks, anchor_rows)
+    without = rows.where(F.col("_id").isNull()).join(roots, rows["_key"] == roots["key"], "left_semi")
+    return (with_id.dropDuplicates(["_key", "_id"]).unionAll(without.dropDuplicates(["_key"]))
+            .select(*[F.col(f"`{c}`") for c in names]))
+
+
+def fingerprints_beside(df: DataFrame, text_col: str, shingle: int = SHINGLE) -> DataFrame:
+    """All columns of ``df``, then the fingerprint."""
+    names = df.columns
+    mark = fresh("_marked", names)
+
+    def make():
+        return lambda block: [pa.array(np.array([fingerprint(x, shingle) for x in block.raw()], np.uint64).view(np.int64))]
+
+    return map_text(df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(mark)), mark, names, [("fp", "bigint")], make)
+
+
+def _roots_without_id(keys: DataFrame, threshold: int, blocks: int, anchor_rows: int) -> DataFrame:
+    """Of fingerprints (16 digits) that only rows without id have, the smallest
+    of each component, as column ``key``."""
+    prints = staged(keys.select(F.conv("fp", 16, -10).cast("bigint").alias("fp")), "without-id")
+    if prints.isEmpty():
+        return keys.select(F.col("fp").alias("key"))
+    roots = connected_components(links(prints, threshold, blocks, anchor_rows)).where("node <> root")
+    least = prints.join(roots, prints["fp"] == roots["node"], "left_anti")
+    return least.select(F.lpad(F.lower(F.hex("fp")), 16, "0").alias("key"))
