@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, licenses, secrets, sentencepiece_codec, simhash, topk
+from . import chat, decontaminate, html_main, language, licenses, secrets, sentencepiece_codec, simhash, topk
 from .common import table
 
 
@@ -40,10 +40,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_exact_topk, op4_chat_formatting, op5_sentencepiece, op6_secret_scan,
-                                 op7_language_id, op9_decontamination)}
+                                 op7_language_id, op8_html_main_text, op9_decontamination)}
 ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL}
