@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_main, language, licenses, secrets, sentencepiece_codec, simhash, topk
+from . import chat, decontaminate, html_main, language, licenses, secrets, sentencepiece_codec, simhash, substrings, topk
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_exact_topk, op4_chat_formatting, op5_sentencepiece, op6_secret_scan,
-                                 op7_language_id, op8_html_main_text, op9_decontamination)}
+                                 op7_language_id, op8_html_main_text, op9_decontamination, op10_suffix_dedup)}
 ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL}
