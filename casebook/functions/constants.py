@@ -22,11 +22,8 @@ QUERY_CHARS = 500
 SUBSTANTIAL_MESSAGE_CHARS = 50
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES — service-noise filter and support-section title
+# FIXED VALUES — rule above a support section
 # ---------------------------------------------------------------------------
-SERVICE_ACCOUNT = "gautosvc"
-SERVICE_BOILERPLATE = "Support ICM enrichment CEM MDE"
-SUPPORT_SECTION_TITLE = "ADDITIONAL INFORMATION FROM AZURE SUPPORT CENTER"
 SUPPORT_SECTION_RULE = "-" * 72
 
 # ---------------------------------------------------------------------------

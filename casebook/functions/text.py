@@ -90,10 +90,12 @@ def data_url_decodes(url) -> Column:
     return u.startswith("data:image/") & payload.rlike(STRICT_BASE64)
 
 
-def strip_support_section(c, title: str = K.SUPPORT_SECTION_TITLE) -> Column:
+def strip_support_section(c, title: str | None = None) -> Column:
     """Cut from the 72-dash rule + title (or the bare title) to the end;
-    strip.  null / '' are returned unchanged."""
+    strip.  null / '' are returned unchanged, and so is every text without a title."""
     t = _col(c)
+    if title is None:
+        return t
     cut = F.regexp_replace(t, r"(?is)-{72}\s*" + _quote(title) + ".*", "")
     cut = F.regexp_replace(cut, "(?is)" + _quote(title) + ".*", "")
     return F.when(t.isNull() | (t == ""), t).otherwise(strip_ws(cut))

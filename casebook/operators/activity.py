@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
 from .tfidf import top_k
 
 
@@ -155,36 +154,21 @@ def vip_scan(incidents: DataFrame, customers: DataFrame, aliases: DataFrame, nam
     """Incidents of chosen customers, matched by normalised name
     (spelling variants in ``aliases.alias``) or by id (``aliases.tenant_id``)."""
     by_name = customers.join(
-        checked_broadcast(aliases.select(normalized_name("alias").alias("_n")).distinct()),
+        aliases.select(normalized_name("alias").alias("_n")).distinct(),
         normalized_name(name) == F.col("_n"), "left_semi").select(cust_key)
     by_id = aliases.select(F.col("tenant_id").alias(cust_key)).filter(F.col(cust_key).isNotNull())
     chosen = by_name.unionByName(by_id).distinct()
-    return incidents.join(checked_broadcast(chosen), incidents[inc_cust] == chosen[cust_key], "left_semi")
-
-
-def team_collaboration(events: DataFrame, key: str, team: str, max_teams: int = 200) -> DataFrame:
-    """For every pair of teams, the number of incidents both worked on.
-    Presence is pivoted to one column per team, so each pair count is one
-    ``sum`` over incidents -- no pair rows are generated per incident.  The
-    team list is a dimension: at most ``max_teams + 1`` names are read to
-    prove the bound, and a larger dimension is rejected rather than pivoted."""
-    presence = events.select(key, team).distinct()
-    names = [r[0] for r in presence.select(team).distinct().filter(F.col(team).isNotNull())
-             .limit(max_teams + 1).collect()]
-    if len(names) > max_teams:
-        raise ValueError(f"more than {max_teams} distinct teams; raise max_teams to pivot them")
-    teams = sorted(names)
-    wide = presence.groupBy(key).pivot(team, teams).agg(F.lit(1))
-    pair_cols = []
-    for i, a in enumerate(teams):
-        for b in teams[i + 1:]:
-            both = (F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).cast("long")
-            pair_cols.append(F.sum(both).alias(f"{a}\u0001{b}"))
-    if not pair_cols:
-        return events.sparkSession.createDataFrame([], "team_a string, team_b string, incidents long")
-    sums = wide.agg(*pair_cols)
-    stack = ", ".join(f"'{c.split(chr(1))[0]}', '{c.split(chr(1))[1]}', `{c}`" for c in sums.columns)
-    return sums.selectExpr(f"stack({len(sums.columns)}, {stack}) AS (team_a, team_b, incidents)")
+    return incidents.join(chosen, incidents[inc_cust] == chosen[cust_key], "left_semi")
+
+
+def team_collaboration(events: DataFrame, key: str, team: str) -> DataFrame:
+    """For every pair of teams that met, the number of incidents both
+    worked on: the distinct (incident, team) table joined with itself, counted
+    per pair with partial sums.  Any number of teams; a pair that never met
+    has no row."""
+    presence = events.select(F.col(key).alias("k"), F.col(team).alias("t")).where("k IS NOT NULL AND t IS NOT NULL").distinct()
+    a, b = presence.withColumnRenamed("t", "team_a"), presence.withColumnRenamed("t", "team_b")
+    return a.join(b, "k").where("team_a < team_b").groupBy("team_a", "team_b").agg(F.count(F.lit(1)).alias("incidents"))
 
 
 def teams_per_incident(events: DataFrame, key: str, team: str) -> DataFrame:

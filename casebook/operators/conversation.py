@@ -60,8 +60,11 @@ def _typed_ts(df: DataFrame, ts_cols) -> Column:
 
 
 def noise_flag(author: str = "author", content: str = "content",
-               account: str = K.SERVICE_ACCOUNT, prefix: str = K.SERVICE_BOILERPLATE) -> Column:
-    """F-1 predicate: service account *and* boilerplate prefix (null author -> keep)."""
+               account: str | None = None, prefix: str | None = None) -> Column:
+    """F-1 predicate: service account *and* boilerplate prefix (null author -> keep).
+    Without an account and a prefix nothing is noise."""
+    if account is None or prefix is None:
+        return F.lit(False)
     return F.coalesce((F.col(author) == account) & F.col(content).startswith(prefix), F.lit(False))
 
 
@@ -132,18 +135,18 @@ def build_conversation(df: DataFrame, key: str = "incident_id", order_cols=("ts"
 
 def conversation_text(entries: DataFrame, summaries: DataFrame | None = None,
                       key: str = "incident_id", order_cols=("ts", "pos"),
-                      bucket: Column | None = None) -> DataFrame:
-    """A2: ``[ts] author: content`` lines (content with P4 applied) joined by
+                      bucket: Column | None = None, support_title: str | None = None) -> DataFrame:
+    """A2: ``[ts] author: content`` lines (content with P4 applied, given a ``support_title``) joined by
     newlines; prefixed by ``--- Authored Summary ---`` block when the incident
     has a non-empty summary (left join, J2)."""
-    line = T.format_entry(F.col("ts"), F.col("author"), T.strip_support_section(F.col("content")))
+    line = T.format_entry(F.col("ts"), F.col("author"), T.strip_support_section(F.col("content"), support_title))
     order_cols = [c for c in order_cols if c in entries.columns]
     conv = ordered_concat(entries, key, order_cols, line, "\n", bucket=bucket, out="conversation_text")
     if summaries is None:
         return conv
     s = summaries.select(key, F.col("summary"))
     joined = conv.join(s, key, "left")
-    clean_sum = T.strip_support_section(F.col("summary"))
+    clean_sum = T.strip_support_section(F.col("summary"), support_title)
     return joined.select(
         key,
         F.when(F.coalesce(F.col("summary"), F.lit("")) != "",
@@ -153,14 +156,15 @@ def conversation_text(entries: DataFrame, summaries: DataFrame | None = None,
 
 
 def conversation_with_counts(entries: DataFrame, summaries: DataFrame | None = None, key: str = "incident_id",
-                             order_cols=("ts", "pos"), bucket: Column | None = None, **noise) -> DataFrame:
+                             order_cols=("ts", "pos"), bucket: Column | None = None,
+                             support_title: str | None = None, **noise) -> DataFrame:
     """A2 + F-1 + A12 in one pass over the cleaned entries: the noise flag is
     evaluated once, kept lines are concatenated (two levels with ``bucket``)
     and the total / dropped counts ride along in the same aggregations.
     Incidents whose entries were all dropped have no text row."""
     flag = noise_flag(**noise)
     order_cols = [c for c in order_cols if c in entries.columns]
-    line = T.format_entry(F.col("ts"), F.col("author"), T.strip_support_section(F.col("content")))
+    line = T.format_entry(F.col("ts"), F.col("author"), T.strip_support_section(F.col("content"), support_title))
     item = F.when(~flag, F.struct(*[F.col(c) for c in order_cols], line.alias("_l")))
     b = bucket if bucket is not None else F.lit(0)
     lvl1 = (entries.withColumn("_b", b).groupBy(key, "_b")
@@ -180,7 +184,7 @@ def conversation_with_counts(entries: DataFrame, summaries: DataFrame | None = N
     return j.select(
         key, "total_entries", "filtered_count",
         F.when(F.coalesce(F.col("summary"), F.lit("")) != "",
-               F.concat(F.lit("--- Authored Summary ---\n"), T.strip_support_section(F.col("summary")), F.lit("\n\n"),
+               F.concat(F.lit("--- Authored Summary ---\n"), T.strip_support_section(F.col("summary"), support_title), F.lit("\n\n"),
                         F.col("conversation_text")))
         .otherwise(F.col("conversation_text")).alias("conversation_text"))
 

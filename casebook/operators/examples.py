@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast, cut_lineage, stage_once
+from ..session import cut_lineage
 from . import tfidf as TF
 from .tfidf import term_counts
 
@@ -29,17 +29,13 @@ def select_examples(incidents: DataFrame, examples: DataFrame, k: int = 5,
                     inc_key: str = "incident_id", ex_key: str = "ordinal", stopwords=None) -> DataFrame:
     """incidents: (inc_key, prompt_type, text, keywords array);
     examples: (prompt_type, ex_key, keywords array, category, input, output).
-    Returns (inc_key, prompt_type, rank, ex_key, score), staged once per
-    session for identical inputs (prompt building and usage reuse it)."""
-    sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    return stage_once("example-selection", [incidents, examples], (k, inc_key, ex_key, sw),
-                      lambda: cut_lineage(_select_examples(incidents, examples, k, inc_key, ex_key, stopwords),
-                                          "example-selection"))
+    Returns (inc_key, prompt_type, rank, ex_key, score), staged."""
+    return cut_lineage(_select_examples(incidents, examples, k, inc_key, ex_key, stopwords), "example-selection")
 
 
 def _select_examples(incidents: DataFrame, examples: DataFrame, k: int, inc_key: str, ex_key: str,
                      stopwords) -> DataFrame:
-    ex = checked_broadcast(examples.select("prompt_type", ex_key, F.col("keywords").alias("ex_kw"), "input"))
+    ex = examples.select("prompt_type", ex_key, F.col("keywords").alias("ex_kw"), "input")
     # the incident side is read by several branches: stage its two derived
     # tables once (keywords per incident; term counts per incident)
     inc = cut_lineage(incidents.select(inc_key, "prompt_type", "keywords"), "incident-keywords")
@@ -52,21 +48,20 @@ def _select_examples(incidents: DataFrame, examples: DataFrame, k: int, inc_key:
     kw_rows = ik.join(ek, ["prompt_type", "kw"]).select(
         inc_key, ex_key, F.lit(1).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
     b = TF.term_counts(ex.select(ex_key, "input"), ex_key, "input", stopwords)
-    b = checked_broadcast(b.join(ex.select(ex_key, "prompt_type"), ex_key))
+    b = b.join(ex.select(ex_key, "prompt_type"), ex_key)
     term_rows = a.alias("a").join(b.alias("b"), ["prompt_type", "term"]).select(
         inc_key, ex_key, F.lit(0).alias("overlap"), (F.col("a.tf") * F.col("b.tf")).alias("dot"),
         (F.col("a.tf") * F.col("a.tf")).alias("sha"), (F.col("b.tf") * F.col("b.tf")).alias("shb"))
     # zero-score remainder: first k examples of the type (catalogue order)
     first_k = TF.top_k(ex.select("prompt_type", ex_key), "prompt_type", [F.asc(ex_key)], k, rank="_r").drop("_r")
-    fill_rows = inc.select(inc_key, "prompt_type").join(F.broadcast(first_k), "prompt_type").select(
+    fill_rows = inc.select(inc_key, "prompt_type").join(first_k, "prompt_type").select(
         inc_key, ex_key, F.lit(0).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
     pairs = (kw_rows.unionByName(term_rows).unionByName(fill_rows)
              .groupBy(inc_key, ex_key)
              .agg(*[F.sum(c).alias(c) for c in ("overlap", "dot", "sha", "shb")]))
     sa = a.groupBy(inc_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sa"))
-    ex_stats = checked_broadcast(
-        ex.select(ex_key, "prompt_type", F.size("ex_kw").alias("n_kw"))
-        .join(b.groupBy(ex_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sb")), ex_key, "left"), bound_by=ex)
+    ex_stats = (ex.select(ex_key, "prompt_type", F.size("ex_kw").alias("n_kw"))
+        .join(b.groupBy(ex_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sb")), ex_key, "left"))
     u = 1.0 + math.log(1.5)
     j = pairs.join(sa, inc_key, "left").join(ex_stats, ex_key).fillna(0, ["sa", "sb"])
     na = F.sqrt(F.col("sha") + u * u * (F.col("sa") - F.col("sha")))
@@ -127,4 +122,4 @@ def unknown_prompt_types(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def attach_prompts(incidents: DataFrame, catalog: DataFrame) -> DataFrame:
     """Incident ⋈ prompt template (catalogue is small; size-checked broadcast)."""
-    return incidents.join(checked_broadcast(catalog), "prompt_type")
+    return incidents.join(catalog, "prompt_type")

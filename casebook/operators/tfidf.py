@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import terms as TM
-from ..session import checked_broadcast, cut_lineage, stage_once
+from ..functions.text import strip_ws
+from ..session import cut_lineage
 
 
 def _stop_table(spark, stopwords=None) -> DataFrame:
@@ -65,21 +66,17 @@ def docs_only_index(docs: DataFrame, doc_key: str, doc_text: str, max_df: float
     ``max_df`` of them dropped), weights L2-normalised per document.
     Returns two staged tables: ``index(doc_key, term, wn)`` and
     ``vocab(term, idf)``.  Built once, probed by any number of query batches."""
-    sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    return stage_once("docs-only", docs, (doc_key, doc_text, max_df, sw),
-                   lambda: _build_docs_only(docs, doc_key, doc_text, max_df, stopwords))
+    return _build_docs_only(docs, doc_key, doc_text, max_df, stopwords)
 
 
 def doc_terms(docs: DataFrame, doc_key: str, doc_text: str, stopwords=None) -> DataFrame:
-    """The staged (doc, term, tf) table of a document set (built once per session)."""
-    sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    return stage_once("doc-terms", docs, (doc_key, doc_text, sw),
-                   lambda: cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms"))
+    """The staged (doc, term, tf) table of a document set."""
+    return cut_lineage(term_counts(docs, doc_key, doc_text, stopwords), "doc-terms")
 
 
 def _build_docs_only(docs, doc_key, doc_text, max_df, stopwords):
     doc_tf = doc_terms(docs, doc_key, doc_text, stopwords)
-    n_docs = docs.select(doc_key).count()
+    n_docs = docs.filter(strip_ws(doc_text) != "").count()  # blank documents are no documents (F-9)
     dfreq = doc_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = (dfreq.filter(F.col("df") <= F.lit(max_df * n_docs))
              .select("term", (_ln(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
@@ -93,13 +90,11 @@ def _build_docs_only(docs, doc_key, doc_text, max_df, stopwords):
 def probe_docs_only(index: DataFrame, vocab: DataFrame, doc_key: str, queries: DataFrame, q_key: str, q_text: str,
                     k: int, stopwords=None) -> DataFrame:
     """R4 query side: L2-normalised query weights over the known terms
-    (size-checked broadcast) joined to the index on ``term``."""
+    joined to the index on ``term``."""
     q_tf = term_counts(queries, q_key, q_text, stopwords)
     qw = q_tf.join(vocab, "term").select(q_key, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qn = qw.groupBy(q_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    # qv has at most one row per (query, term): q_tf bounds its size cheaply
-    qv = checked_broadcast(qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv")),
-                           bound_by=q_tf)
+    qv = qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv"))
     scored = (index.join(qv, "term")
               .groupBy(q_key, doc_key).agg(F.sum(F.col("wn") * F.col("qv")).alias("score")))
     scored = scored.filter(F.col("score") > 0)
@@ -129,14 +124,11 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
     The staged index holds ``(doc, term, tf, idf0, idf1, base)`` for the
     vocabulary terms only.
     """
-    sw = tuple(sorted(stopwords)) if stopwords is not None else None
-    index, vocab = stage_once("query-fit", docs, (doc_key, doc_text, max_features, sw),
-                           lambda: _build_query_fit(docs, doc_key, doc_text, max_features, stopwords))
+    index, vocab = _build_query_fit(docs, doc_key, doc_text, max_features, stopwords)
     q_raw = term_counts(queries, q_key, q_text, stopwords)
     q_tf = q_raw.join(F.broadcast(vocab), "term")
     qn = q_tf.groupBy(q_key).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf1"), 2))).alias("qnorm"))
-    qv = checked_broadcast(q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm"),
-                           bound_by=q_raw)
+    qv = q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm")
     pairs = (index.join(qv, "term")
              .groupBy(q_key, doc_key)
              .agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf1") * F.col("idf1")).alias("dot"),
@@ -152,7 +144,7 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
 
 def _build_query_fit(docs, doc_key, doc_text, max_features, stopwords):
     doc_tf = doc_terms(docs, doc_key, doc_text, stopwords)
-    n = docs.select(doc_key).count()
+    n = docs.filter(strip_ws(doc_text) != "").count()
     totals = doc_tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     # top-n by count: partial top-n per partition, one merge (bounded: max_features rows)
     vocab = F.broadcast(totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features))

@@ -18,11 +18,12 @@ from ..session import cut_lineage
 
 
 def incident_summary_job(raw_entries: DataFrame, summaries: DataFrame, examples: DataFrame, catalog: DataFrame,
-                         patterns, bucket: Column | None = None, key: str = "incident_id") -> DataFrame:
+                         patterns, bucket: Column | None = None, key: str = "incident_id",
+                         support_title: str | None = None, **noise) -> DataFrame:
     """``summaries``: (incident_id, summary, prompt_type).  Returns one row per
     incident: route, prompt type, examples used, input tokens."""
-    kept = C.drop_service_noise(C.normalize_entries(raw_entries))
-    texts = cut_lineage(C.conversation_text(kept, summaries, bucket=bucket), "incident-texts")
+    kept = C.drop_service_noise(C.normalize_entries(raw_entries), **noise)
+    texts = cut_lineage(C.conversation_text(kept, summaries, bucket=bucket, support_title=support_title), "incident-texts")
     gate = summaries.select(key, "prompt_type", T.is_redacted(F.col("summary")).alias("_red"))
     j = texts.join(gate, key, "left")
     red = F.coalesce(F.col("_red"), F.lit(False))

@@ -18,7 +18,12 @@ from . import sqltext as S
 # FIXED VALUES — marker texts appended by remainder (documented in FIXTURES.md)
 INJECT_IMG = ' <img src="data:image/png;base64,QUJD"> <b>bold</b> &amp; more'
 INJECT_TECH = " agent crash memory error on macos with jwt token authentication reset"
-INJECT_SUPPORT = " " + "-" * 72 + "\n" + K.SUPPORT_SECTION_TITLE + "\nsupport tail text"
+# Noise that the injected inputs hold; the operators take it as parameters.
+SERVICE_ACCOUNT = "ticket-robot"
+SERVICE_BOILERPLATE = "Automatic ticket enrichment"
+SUPPORT_SECTION_TITLE = "ADDITIONAL INFORMATION FROM THE HELP DESK"
+NOISE = {"account": SERVICE_ACCOUNT, "prefix": SERVICE_BOILERPLATE}
+INJECT_SUPPORT = " " + "-" * 72 + "\n" + SUPPORT_SECTION_TITLE + "\nsupport tail text"
 INJECT_LINK = " see https://github.com/org/repo for policy json 12345678901"
 INJECT_REDACTED = "** REDACTED **"
 
@@ -30,7 +35,7 @@ def _inject(key, text):
             .when(k == 2, F.concat(text, F.lit(INJECT_SUPPORT)))
             .when(k == 3, F.concat(text, F.lit(INJECT_LINK)))
             .when(k == 4, F.lit(INJECT_REDACTED))
-            .when(k == 5, F.concat(F.lit(K.SERVICE_BOILERPLATE + " "), text))
+            .when(k == 5, F.concat(F.lit(SERVICE_BOILERPLATE + " "), text))
             .otherwise(text))
 
 
@@ -40,7 +45,7 @@ def _inject_sql(key: str, text: str) -> str:
             f"WHEN 2 THEN {text} || {S.q(INJECT_SUPPORT)} "
             f"WHEN 3 THEN {text} || {S.q(INJECT_LINK)} "
             f"WHEN 4 THEN {S.q(INJECT_REDACTED)} "
-            f"WHEN 5 THEN {S.q(K.SERVICE_BOILERPLATE + ' ')} || {text} "
+            f"WHEN 5 THEN {S.q(SERVICE_BOILERPLATE + ' ')} || {text} "
             f"ELSE {text} END)")
 
 
@@ -53,14 +58,14 @@ def raw_discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("incident_id"),
         F.col("turn").alias("ts"),
         F.col("turn").alias("pos"),
-        F.when(k % 7 == 5, F.lit(K.SERVICE_ACCOUNT)).otherwise(F.col("role")).alias("author"),
+        F.when(k % 7 == 5, F.lit(SERVICE_ACCOUNT)).otherwise(F.col("role")).alias("author"),
         _inject(k, F.col("text")).alias("content"),
     )
 
 
 RAW_DISCUSSIONS_SQL = (
     "SELECT conv_id AS incident_id, turn AS ts, turn AS pos, "
-    f"CASE WHEN (conv_id + turn) % 7 = 5 THEN {S.q(K.SERVICE_ACCOUNT)} ELSE role END AS author, "
+    f"CASE WHEN (conv_id + turn) % 7 = 5 THEN {S.q(SERVICE_ACCOUNT)} ELSE role END AS author, "
     f"{_inject_sql('conv_id + turn', 'text')} AS content FROM conversations"
 )
 

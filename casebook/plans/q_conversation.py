@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..functions import text as T
 from ..operators import conversation as C
 from ..session import read_table
+from . import inputs as I
 from . import sqltext as S
 from .inputs import RAW_DISCUSSIONS_SQL, raw_discussions
 from .registry import register
@@ -23,9 +23,9 @@ def _entries(spark, sf_dir):
 ENTRIES_SQL = (f"SELECT incident_id, ts, pos, author, "
                f"CASE WHEN {S.strip_ws('content')} = '' THEN '' ELSE {S.clean_html(S.strip_ws('content'))} END "
                f"AS content FROM ({RAW_DISCUSSIONS_SQL})")
-KEPT_SQL = (f"SELECT * FROM ({ENTRIES_SQL}) e WHERE NOT coalesce(author = {S.q(K.SERVICE_ACCOUNT)} "
-            f"AND starts_with(content, {S.q(K.SERVICE_BOILERPLATE)}), false)")
-LINE_SQL = S.format_entry("ts", "author", S.strip_support_section("content"))
+KEPT_SQL = (f"SELECT * FROM ({ENTRIES_SQL}) e WHERE NOT coalesce(author = {S.q(I.SERVICE_ACCOUNT)} "
+            f"AND starts_with(content, {S.q(I.SERVICE_BOILERPLATE)}), false)")
+LINE_SQL = S.format_entry("ts", "author", S.strip_support_section("content", I.SUPPORT_SECTION_TITLE))
 SUMMARY_SQL = "SELECT doc_id AS incident_id, text AS summary FROM documents"
 
 
@@ -39,12 +39,12 @@ WITH kept AS ({KEPT_SQL}),
 conv AS (SELECT incident_id, string_agg({LINE_SQL}, chr(10) ORDER BY ts, pos) AS conversation_text
          FROM kept GROUP BY incident_id),
 counts AS (SELECT incident_id, count(*) AS total_rows,
-                  count(*) FILTER (WHERE coalesce(author = {S.q(K.SERVICE_ACCOUNT)}
-                     AND starts_with(content, {S.q(K.SERVICE_BOILERPLATE)}), false)) AS filtered_count
+                  count(*) FILTER (WHERE coalesce(author = {S.q(I.SERVICE_ACCOUNT)}
+                     AND starts_with(content, {S.q(I.SERVICE_BOILERPLATE)}), false)) AS filtered_count
            FROM ({ENTRIES_SQL}) GROUP BY incident_id)
 SELECT conv.incident_id, counts.total_rows - counts.filtered_count AS total_entries, counts.filtered_count,
        CASE WHEN coalesce(s.summary, '') <> ''
-            THEN '--- Authored Summary ---' || chr(10) || {S.strip_support_section('s.summary')}
+            THEN '--- Authored Summary ---' || chr(10) || {S.strip_support_section('s.summary', I.SUPPORT_SECTION_TITLE)}
                  || chr(10) || chr(10) || conv.conversation_text
             ELSE conv.conversation_text END AS conversation_text
 FROM conv JOIN counts USING (incident_id) LEFT JOIN ({SUMMARY_SQL}) s USING (incident_id)
@@ -53,7 +53,8 @@ def q_conversation_text(spark, sf_dir):
     """E1 minimum slice: discussions -> P5 clean -> F-1 -> A2 (+J2 summary) with
     A12 counts."""
     r = C.conversation_with_counts(_entries(spark, sf_dir), _summaries(spark, sf_dir),
-                                   bucket=F.floor(F.col("ts") / TURN_BUCKET))
+                                   bucket=F.floor(F.col("ts") / TURN_BUCKET),
+                                   support_title=I.SUPPORT_SECTION_TITLE, **I.NOISE)
     return r.select("incident_id", F.col("total_entries").cast("long").alias("total_entries"),
                     F.col("filtered_count").cast("long").alias("filtered_count"), "conversation_text")
 
@@ -68,7 +69,7 @@ conv AS (SELECT incident_id, string_agg({LINE_SQL}, chr(10) ORDER BY ts, pos) AS
          FROM kept GROUP BY incident_id)
 SELECT conv.incident_id,
        CASE WHEN coalesce(s.summary, '') <> ''
-            THEN '--- Authored Summary ---' || chr(10) || {S.strip_support_section('s.summary')}
+            THEN '--- Authored Summary ---' || chr(10) || {S.strip_support_section('s.summary', I.SUPPORT_SECTION_TITLE)}
                  || chr(10) || chr(10) || conv.conversation_text
             ELSE conv.conversation_text END AS conversation_text
 FROM conv LEFT JOIN ({SUMMARY_SQL}) s USING (incident_id)
@@ -77,8 +78,9 @@ BATCH = 5
 
 
 def _texts(spark, sf_dir):
-    kept = C.drop_service_noise(_entries(spark, sf_dir))
-    return C.conversation_text(kept, _summaries(spark, sf_dir), bucket=F.floor(F.col("ts") / TURN_BUCKET))
+    kept = C.drop_service_noise(_entries(spark, sf_dir), **I.NOISE)
+    return C.conversation_text(kept, _summaries(spark, sf_dir), bucket=F.floor(F.col("ts") / TURN_BUCKET),
+                               support_title=I.SUPPORT_SECTION_TITLE)
 
 
 @register("unified_content", f"""
@@ -156,21 +158,21 @@ FROM ({KEPT_SQL}) GROUP BY incident_id
 """)
 def q_build_conversation(spark, sf_dir):
     """A1 (+O1): the nested per-incident document (as JSON text)."""
-    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    kept = C.drop_service_noise(_entries(spark, sf_dir), **I.NOISE)
     b = C.build_conversation(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET))
     return b.select("incident_id", "total_entries", F.to_json("conversation").alias("conversation"))
 
 
 @register("format_entries", f"""
 SELECT incident_id, ts, {S.format_entry('ts', 'author', 'content')} AS line,
-       {S.format_entry('ts', 'author', S.strip_support_section('content'))} AS prompt_line
+       {S.format_entry('ts', 'author', S.strip_support_section('content', I.SUPPORT_SECTION_TITLE))} AS prompt_line
 FROM ({ENTRIES_SQL})
 """)
 def q_format_entries(spark, sf_dir):
     """P5 + P11: normalised entries as ``[ts] author: content`` lines."""
     e = _entries(spark, sf_dir)
     return e.select("incident_id", "ts", T.format_entry("ts", "author", "content").alias("line"),
-                    T.format_entry("ts", "author", T.strip_support_section(F.col("content"))).alias("prompt_line"))
+                    T.format_entry("ts", "author", T.strip_support_section(F.col("content"), I.SUPPORT_SECTION_TITLE)).alias("prompt_line"))
 
 
 @register("full_content", f"""
@@ -179,7 +181,7 @@ SELECT incident_id, CAST(length(full_content) AS INTEGER) AS content_length, ful
 """)
 def q_full_content(spark, sf_dir):
     """Every message prefixed by a space, concatenated in order."""
-    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    kept = C.drop_service_noise(_entries(spark, sf_dir), **I.NOISE)
     f = C.full_content(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET))
     return f.select("incident_id", F.length("full_content").alias("content_length"), "full_content")
 
@@ -270,7 +272,7 @@ def q_incident_json_roundtrip(spark, sf_dir):
     from ..sinks import writers as W
     from ..sources import readers as RD
 
-    kept = C.drop_service_noise(_entries(spark, sf_dir))
+    kept = C.drop_service_noise(_entries(spark, sf_dir), **I.NOISE)
     docs = C.build_conversation(kept, bucket=F.floor(F.col("ts") / TURN_BUCKET)).withColumn(
         "incident_id", F.col("incident_id").cast("string"))
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-incidents-{uuid.uuid4().hex}"

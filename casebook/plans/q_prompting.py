@@ -354,13 +354,14 @@ def q_incident_summary_job(spark, sf_dir):
     """E1 end to end for every conversation (summary and prompt type from the
     document with the same id; redacted summaries are quarantined)."""
     from .incident_summary import incident_summary_job
-    from .inputs import raw_discussions
+    from .inputs import NOISE, SUPPORT_SECTION_TITLE, raw_discussions
     from .q_conversation import TURN_BUCKET
 
     d = injected_documents(spark, sf_dir)
     summaries = d.select(F.col("doc_id").alias("incident_id"), F.col("text").alias("summary"),
                          F.concat(F.col("lang"), F.lit("_molecular")).alias("prompt_type"))
     r = incident_summary_job(raw_discussions(spark, sf_dir), summaries, examples(spark, sf_dir), catalog(spark),
-                             DATA_PATTERNS, bucket=F.floor(F.col("ts") / TURN_BUCKET))
+                             DATA_PATTERNS, bucket=F.floor(F.col("ts") / TURN_BUCKET),
+                             support_title=SUPPORT_SECTION_TITLE, **NOISE)
     return r.select("incident_id", "route", "prompt_type", F.col("examples_used").cast("int").alias("examples_used"),
                     F.col("input_tokens").cast("int").alias("input_tokens"))

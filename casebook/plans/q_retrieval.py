@@ -82,7 +82,7 @@ CANDIDATES = 15  # 3 x top_k
 def _r4_sql(k: int, queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text") -> str:
     return f"""
 WITH dtf AS ({term_counts_sql('documents', 'doc_id', 'text')}),
-nd AS (SELECT count(*) AS n FROM documents),
+nd AS (SELECT count(*) FILTER (WHERE regexp_matches(text, '[^[:space:]]')) AS n FROM documents),
 dfreq AS (SELECT term, count(*) AS df FROM dtf GROUP BY term),
 vocab AS (SELECT term, ln((1.0 + n) / (df + 1.0)) + 1.0 AS idf FROM dfreq, nd WHERE df <= 0.9 * n),
 w AS (SELECT doc_id, term, tf * idf AS w FROM dtf JOIN vocab USING (term)),
@@ -114,7 +114,7 @@ def q_tfidf_fallback_search(spark, sf_dir):
 # --------------------------------------------------------------------------- R5
 @register("tfidf_search", f"""
 WITH dtf AS ({term_counts_sql('documents', 'doc_id', 'text')}),
-nd AS (SELECT count(*) AS n FROM documents),
+nd AS (SELECT count(*) FILTER (WHERE regexp_matches(text, '[^[:space:]]')) AS n FROM documents),
 tot AS (SELECT term, sum(tf) AS total, count(*) AS df FROM dtf GROUP BY term),
 vocab AS (SELECT term, ln((n + 2.0) / (df + 1.0)) + 1.0 AS idf0, ln((n + 2.0) / (df + 2.0)) + 1.0 AS idf1
           FROM (SELECT * FROM tot ORDER BY total DESC, term LIMIT 1000), nd),

@@ -21,7 +21,12 @@ def q_clean_html(spark, sf_dir):
 
 from ..functions import constants as K  # noqa: E402
 from ..operators import screenshots as SS  # noqa: E402
-from .inputs import INJECTED_DOCUMENTS_SQL, injected_documents  # noqa: E402
+from .inputs import (  # noqa: E402
+    INJECTED_DOCUMENTS_SQL,
+    SERVICE_BOILERPLATE,
+    SUPPORT_SECTION_TITLE,
+    injected_documents,
+)
 
 # FIXED VALUES — extra image markers for the screenshot queries (by doc_id % 5)
 SHOT_EXTRA_0 = " data:image/jpeg;base64,QUJDRA== and again data:image/png;base64,QUJD"
@@ -90,24 +95,18 @@ def q_screenshot_counts(spark, sf_dir):
 
 
 @register("strip_support_section", f"""
-SELECT doc_id, {S.strip_support_section('text')} AS text,
-       {S.strip_support_section('text')} IS DISTINCT FROM text AS changed
+SELECT doc_id, {S.strip_support_section('text', SUPPORT_SECTION_TITLE)} AS text,
+       {S.strip_support_section('text', SUPPORT_SECTION_TITLE)} IS DISTINCT FROM text AS changed
 FROM ({INJECTED_DOCUMENTS_SQL})
 """)
 def q_strip_support_section(spark, sf_dir):
     d = injected_documents(spark, sf_dir)
-    s = T.strip_support_section(F.col("text"))
+    s = T.strip_support_section(F.col("text"), SUPPORT_SECTION_TITLE)
     return d.select("doc_id", s.alias("text"), (~s.eqNullSafe(F.col("text"))).alias("changed"))
 
 
-# FIXED VALUES — default noise phrases for line denoising
-NOISE_PHRASES = [
-    "Transferred from",
-    "Support ICM enrichment CEM MDE",
-    "Acknowledging incident",
-    "[IMAGE DATA SHRUNK - TODO: handle image data]",
-    "Created by Azure Support Center",
-]
+# Noise phrases of the line denoising query (the operator takes any list)
+NOISE_PHRASES = ["Transferred from", "Acknowledging incident", SERVICE_BOILERPLATE]
 # Phrases present in the driver prose, so the filter has an effect on it.
 DATA_NOISE_PHRASES = ["nicht", "pour"]
 

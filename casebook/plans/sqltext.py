@@ -43,7 +43,7 @@ def _quote_re(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$|?*+()[]{}\/-" else ch for ch in s)
 
 
-def strip_support_section(x: str, title: str = K.SUPPORT_SECTION_TITLE) -> str:
+def strip_support_section(x: str, title: str) -> str:
     t = _quote_re(title)
     cut = f"regexp_replace({x}, {q('(?is)-{72}[[:space:]]*' + t + '.*')}, '')"
     cut = f"regexp_replace({cut}, {q('(?is)' + t + '.*')}, '')"

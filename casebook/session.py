@@ -1,5 +1,5 @@
-"""Session helpers: building a session, the shared checkpoint folder, and
-size-checked broadcasts.
+"""Session helpers: building a session, and the shared checkpoint folder.
+Which joins broadcast is left to the planner's size threshold and AQE.
 
 Nothing here runs work; it only configures Spark so the operators in
 ``casebook.operators`` plan well at any scale (AQE on, skew-join splitting on,
@@ -13,13 +13,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows / bytes a side may have before we stop broadcasting it and let the
-# planner shuffle both sides instead.  Catalogue-style tables (rules, prompts,
-# examples, query batches) sit far below this.
-DEFAULT_BROADCAST_ROW_LIMIT = 200_000
-DEFAULT_BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -50,11 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and we use it
-    as-is.  Only when it is unset -- local tests and the bench -- do we make a
-    fresh scratch folder.
+    as-is.  Where it is unset, a local session gets a scratch folder of its
+    own; on a cluster that would be a folder per machine, so it is refused.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="casebook-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -78,88 +73,6 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _row_bytes(df: DataFrame):
-    """Estimated in-memory bytes of one row: text and binary by length,
-    arrays by element count, nested values by their JSON length, scalars 8."""
-    parts = []
-    for f in df.schema.fields:
-        c, t = F.col(f"`{f.name}`"), f.dataType.typeName()
-        if t in ("string", "binary"):
-            e = F.octet_length(c)
-        elif t == "array":
-            e = F.size(c) * 16 + F.octet_length(F.to_json(F.struct(c)))
-        elif t in ("struct", "map"):
-            e = F.octet_length(F.to_json(c if t == "struct" else F.struct(c)))
-        else:
-            e = F.lit(8)
-        parts.append(F.coalesce(e.cast("long"), F.lit(0)))
-    total = F.lit(16)
-    for p in parts:
-        total = total + p
-    return total
-
-
-# Staged tables per session, keyed by the input plans (semantic hash plus
-# input files) and the build parameters: an expensive derived table (a
-# TF-IDF index, an example selection) is built once and reused by later
-# queries over the same inputs.  ``REUSE_STAGED = False`` rebuilds every time.
-REUSE_STAGED = True
-_STAGED: dict = {}
-
-
-def stage_once(kind: str, inputs, params: tuple, build):
-    """Return ``build()``'s result, memoised for identical inputs and
-    parameters within the session.  Inputs whose plans read no files are
-    never memoised (their identity is not tied to stored data)."""
-    if not REUSE_STAGED:
-        return build()
-    inputs = inputs if isinstance(inputs, (list, tuple)) else [inputs]
-    try:
-        files = tuple(tuple(sorted(df.inputFiles())) for df in inputs)
-    except Exception:  # noqa: BLE001
-        return build()
-    if any(len(f) == 0 for f in files):
-        return build()
-    app = inputs[0].sparkSession.sparkContext.applicationId
-    key = (app, kind, tuple(df.semanticHash() for df in inputs), files, params)
-    if key not in _STAGED:
-        _STAGED[key] = build()
-    return _STAGED[key]
-
-
-def checked_broadcast(df: DataFrame, row_limit: int = DEFAULT_BROADCAST_ROW_LIMIT,
-                      bound_by: DataFrame | None = None,
-                      byte_limit: int = DEFAULT_BROADCAST_BYTE_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``row_limit`` rows
-    and about ``byte_limit`` bytes.
-
-    The check is one bounded pass over at most ``row_limit + 1`` rows
-    (``limit`` then count and summed row sizes), so it never scans more than
-    the limit.  ``bound_by`` may name a cheaper DataFrame whose rows bound
-    ``df``'s (e.g. the query terms before they are joined to the corpus
-    vocabulary), so the check does not run the expensive side.  Above either
-    limit the DataFrame is returned unhinted and the planner falls back to a
-    shuffle join (AQE may still convert it at runtime from real statistics).
-    """
-    probe = (df if bound_by is None else bound_by).limit(row_limit + 1)
-    row = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(probe)).alias("b")).first()
-    if row["n"] <= row_limit and (row["b"] or 0) <= byte_limit:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer partitions than the
-    cluster can run at once (a file with a single row group is read by one
-    task).  Large inputs already have many splits, so this is a no-op at
-    scale; column pruning still reaches the scan through the repartition."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; single-row-group files are spread over the cores."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, max(2, spark.sparkContext.defaultParallelism))
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -35,7 +35,7 @@ def section_csv_text(sections: DataFrame, path: str) -> None:
         w = csv.writer(buf, lineterminator="\n")
         for section, g in pdf.sort_values(["section_order", "row_no"]).groupby("section_order", sort=True):
             name = g["section"].iloc[0]
-            header = list(g["row"].iloc[0].keys()) if len(g) else []
+            header = list(dict.fromkeys(key for row in g["row"] for key in row))
             buf.write("\n")
             w.writerow([f"--- {name} ---"])
             w.writerow(header)

@@ -19,15 +19,16 @@ DISCUSSION_SCHEMA = "incident_id long, ts long, pos long, author string, content
 
 
 def conversation_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                        schema: str = DISCUSSION_SCHEMA, trigger_once: bool = True):
+                        schema: str = DISCUSSION_SCHEMA, trigger_once: bool = True,
+                        support_title: str | None = None, **noise):
     """Start a stream: parquet discussion files in ``source_dir`` ->
     normalise + noise filter + conversation text per incident of the batch
     -> parquet under ``sink_dir/batch_id=<n>``."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        entries = C.drop_service_noise(C.normalize_entries(batch))
-        text = C.conversation_text(entries)
+        entries = C.drop_service_noise(C.normalize_entries(batch), **noise)
+        text = C.conversation_text(entries, support_title=support_title)
         (text.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}"))
 

@@ -3,19 +3,21 @@ from pyspark.sql import functions as F
 from casebook.operators import activity as A
 from casebook.operators import conversation as C
 
+NOISE = {"account": "ticket-robot", "prefix": "Automatic ticket enrichment"}
+
 
 def test_normalize_and_noise(spark):
     rows = [("9", "2024-01-02", "alice", "<p>second</p>", None, None),
             ("9", "2024-01-01", None, None, "bob", "<b>first</b>"),
-            ("9", "2024-01-01", "gautosvc", "Support ICM enrichment CEM MDE blah", None, None),
+            ("9", "2024-01-01", "ticket-robot", "Automatic ticket enrichment blah", None, None),
             ("9", "2024-01-03", None, "", None, "")]
     df = spark.createDataFrame(rows, "incident_id string, Date string, ChangedBy string, Text string, "
                                      "author string, content string")
     df = df.withColumn("pos", F.monotonically_increasing_id())
     e = C.normalize_entries(df)
-    counts = C.filtered_counts(e).first()
+    counts = C.filtered_counts(e, **NOISE).first()
     assert counts.filtered_count == 1 and counts.total_entries == 3
-    kept = C.drop_service_noise(e)
+    kept = C.drop_service_noise(e, **NOISE)
     t = C.conversation_text(kept).first().conversation_text
     assert t.split("\n") == ["[2024-01-01] bob: first", "[2024-01-02] alice: second", "[2024-01-03] None: "]
 
@@ -63,13 +65,13 @@ def test_two_level_neighbour_equals_window(spark):
 
 
 def test_one_pass_equals_two_pass(spark):
-    noise = "Support ICM enrichment CEM MDE x"
-    rows = [(1, t, t, "gautosvc" if t % 5 == 0 else "u", noise if t % 5 == 0 else f"m{t}") for t in range(300)]
-    rows += [(2, 0, 0, "gautosvc", noise), (3, 1, 0, "a", "only")]
+    noise = "Automatic ticket enrichment x"
+    rows = [(1, t, t, "ticket-robot" if t % 5 == 0 else "u", noise if t % 5 == 0 else f"m{t}") for t in range(300)]
+    rows += [(2, 0, 0, "ticket-robot", noise), (3, 1, 0, "a", "only")]
     e = spark.createDataFrame(rows, "incident_id long, ts long, pos long, author string, content string")
     s = spark.createDataFrame([(1, "sum"), (3, "")], "incident_id long, summary string")
-    one = {r.incident_id: tuple(r) for r in C.conversation_with_counts(e, s, bucket=F.floor(F.col("ts") / 32)).collect()}
-    text = C.conversation_text(C.drop_service_noise(e), s)
+    one = {r.incident_id: tuple(r) for r in C.conversation_with_counts(e, s, bucket=F.floor(F.col("ts") / 32), **NOISE).collect()}
+    text = C.conversation_text(C.drop_service_noise(e, **NOISE), s)
     two = {r.incident_id: (r.incident_id, r.total_entries, r.filtered_count, r.conversation_text)
-           for r in text.join(C.filtered_counts(e), "incident_id").collect()}
+           for r in text.join(C.filtered_counts(e, **NOISE), "incident_id").collect()}
     assert one == two and 2 not in one

@@ -95,20 +95,6 @@ def test_streaming_conversations(spark, tmp_path):
     assert len(out) == 1 and out[0].conversation_text == "[1] a: hi\n[2] b: yo"
 
 
-def test_checked_broadcast_bounds(spark):
-    from casebook.session import checked_broadcast
-
-    big = spark.range(1000).selectExpr("id", "repeat('x', 100) AS t")
-    other = spark.range(1000).selectExpr("id", "id * 2 AS v")
-
-    def hinted(side):
-        plan = other.join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
-        return "strategy=broadcast" in plan
-
-    assert hinted(checked_broadcast(big))
-    assert not hinted(checked_broadcast(big, row_limit=10))
-    assert not hinted(checked_broadcast(big, byte_limit=10_000))
-
 
 def test_streaming_restart_is_idempotent(spark, tmp_path):
     from casebook.streaming.incremental import conversation_stream

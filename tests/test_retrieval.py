@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casebook.functions import constants as K
 from casebook.operators import examples as EX
@@ -29,7 +30,7 @@ def toks(t):
 
 
 def brute_fallback(k):
-    n = len(DOCS)
+    n = sum(bool(t.strip()) for _, t in DOCS)  # blank documents do not count
     tf = {d: Counter(toks(t)) for d, t in DOCS}
     df = Counter(w for c in tf.values() for w in c)
     idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in df.items() if c <= 0.9 * n}
@@ -142,22 +143,19 @@ def test_select_examples_matches_all_pairs(spark):
         assert mine == ords
 
 
-def test_index_reuse(spark, tmp_path):
+def test_blank_documents_do_not_count(spark):
+    blank = DOCS + [(900, ""), (901, "  "), (902, None)]
+    found = [TF.docs_only_index(spark.createDataFrame(d, "doc_id long, text string"), "doc_id", "text")[1].orderBy("term").collect()
+             for d in (DOCS, blank)]
+    assert found[0] == found[1]
+
+
+def test_index_follows_its_files(spark, tmp_path):
     p = str(tmp_path / "docs")
-    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(p)
-    a = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
-    b = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
-    assert a[0] is b[0]                          # same plan and files: staged once
-    c = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text", max_df=0.5)
-    assert c[0] is not a[0]                      # other parameters: another index
-    from casebook import session as SS
-
-    SS.REUSE_STAGED = False
-    try:
-        d = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")
-        assert d[0] is not a[0]
-    finally:
-        SS.REUSE_STAGED = True
+    for word in ("first", "second"):  # the same path, replaced in place
+        spark.createDataFrame([(1, f"{word} zebra"), (2, "other thing")], "doc_id long, text string").write.mode("overwrite").parquet(p)
+        vocab = TF.docs_only_index(spark.read.parquet(p), "doc_id", "text")[1]
+        assert vocab.filter(F.col("term").contains(word)).count() == 1
 
 
 def test_model_embedding_slot(spark):

@@ -25,6 +25,17 @@ final,cell
 '''
 
 
+def test_sections_of_awkward_files():
+    big = "x" * 200_000
+    text = ("stray,row\n--- A ---\nh,h\n1,2\n--- B ---\nk\n\"" + big + "\"\n,\n--- Empty ---\n--- Head only ---\nq\n"
+            "--- A ---\nn,m\nr,s,surplus\nshort\n")
+    found, bad = RD.sections_of(text, cell_cap=None)
+    assert found == {"A": [{"n": "r", "m": "s"}, {"n": "short"}], "B": [{"k": big}], "Head only": []} and bad == 0
+    assert RD.sections_of(text)[0]["B"][0]["k"] == big[:100_000] + "... [TRUNCATED]"
+    assert RD.sections_of("--- A ---\nh,h\n1,2\n")[0] == {"A": [{"h": "2"}]}
+    assert RD.sections_of("") == ({}, 0)
+
+
 def test_multi_section_csv(spark, tmp_path):
     p = tmp_path / "incident_12345.csv"
     p.write_text(SECTION_CSV)

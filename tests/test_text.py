@@ -68,12 +68,16 @@ def test_is_redacted(spark, text, expected):
     assert one(spark, T.is_redacted(F.col("x")), text) is expected
 
 
+TITLE = "ADDITIONAL INFORMATION FROM THE HELP DESK"
+
+
 def test_strip_support_section(spark):
-    t = "keep this\n" + "-" * 72 + "\nADDITIONAL INFORMATION FROM AZURE SUPPORT CENTER\nsecret tail"
-    assert one(spark, T.strip_support_section(F.col("x")), t) == "keep this"
-    assert one(spark, T.strip_support_section(F.col("x")), "a additional information from azure support center b") == "a"
-    assert one(spark, T.strip_support_section(F.col("x")), "") == ""
-    assert one(spark, T.strip_support_section(F.col("x")), "  plain  ") == "plain"
+    assert one(spark, T.strip_support_section(F.col("x")), TITLE) == TITLE  # no title given: nothing is cut
+    t = "keep this\n" + "-" * 72 + "\nADDITIONAL INFORMATION FROM THE HELP DESK\nsecret tail"
+    assert one(spark, T.strip_support_section(F.col("x"), TITLE), t) == "keep this"
+    assert one(spark, T.strip_support_section(F.col("x"), TITLE), "a additional information from the help desk b") == "a"
+    assert one(spark, T.strip_support_section(F.col("x"), TITLE), "") == ""
+    assert one(spark, T.strip_support_section(F.col("x"), TITLE), "  plain  ") == "plain"
 
 
 @pytest.mark.parametrize("path,expected", [
