@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,11 @@ from pyspark.sql import DataFrame
 from .common import TextBlock, map_text
 
 MARK = "▁"
-CACHE_RUNS = 200_000
+CACHE_RUNS = 150_000
 CACHE_RUN_CHARS = 48
+SHORT_RUN = 64
+NO_PIECE = 1 << 24
+PAIR = 1 << 26
 
 
 class CharMap:
@@ -99,7 +104,17 @@ class Codec:
         trainer = proto.trainer_spec
         self.begin = control.get(trainer.bos_piece or "<s>", trainer.bos_id)
         self.end = control.get(trainer.eos_piece or "</s>", trainer.eos_id)
-        self.runs: dict[str, tuple[bytes, bytes, str]] = {}
+        self.runs: dict[str, tuple[bytes, bytes, str]] = {}  # newer half of the cache
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
+        self.pair_rank, self.pair_id = {}, {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                a, b = self.letter(piece[0]) if k == 1 else a, self.letter(piece[-1]) if k == len(piece) - 1 else b
+                if a is not None and b is not None:
+                    self.pair_rank[a * PAIR + b], self.pair_id[a * PAIR + b] = -self.rank[piece], i
+        self.sizes = [len(p.replace(MARK, " ").encode("utf-8", "replace")) for p in self.pieces]
+        self.spaced = [p.replace(MARK, " ") for p in self.pieces]
 
     # -- normalising --------------------------------------------------------
     def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -137,8 +152,29 @@ class Codec:
         return out.decode("utf-8", "replace"), np.array([*source, len(raw)], np.int64)
 
     # -- segmenting ---------------------------------------------------------
-    def merge(self, run: str) -> list[str]:
-        """Pieces of one run (space marks first), by the best pair each time."""
+    def merge(self, run: str) -> list[int]:
+        """Ids of the pieces of one run (space marks first), by the best pair
+        each time; a character without piece is ``NO_PIECE`` and its code."""
+        if len(run) > SHORT_RUN:
+            return [self.letter(x) if len(x) == 1 else self.ids[x] for x in self._merge_long(run)]
+        rank, none = self.pair_rank.get, math.inf
+        parts = [self.letter(c) for c in run]
+        ranks = [rank(a * PAIR + b, none) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != none:
+            k = ranks.index(best)
+            both = parts[k] = self.pair_id[parts[k] * PAIR + parts[k + 1]]
+            del parts[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] * PAIR + both, none)
+            if k < len(ranks):
+                ranks[k] = rank(both * PAIR + parts[k + 1], none)
+        return parts
+
+    def letter(self, c: str) -> int:
+        return self.ids.get(c, NO_PIECE + ord(c))
+
+    def _merge_long(self, run: str) -> list[str]:
+        """The same with a heap, for runs of any length."""
         parts: list[str | None] = list(run)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -165,28 +201,28 @@ class Codec:
     def run(self, text: str) -> tuple[bytes, bytes, str]:
         """Of one run of a normalised text: its ids and the number of
         normalised bytes of each (little-endian 32-bit), and its decoding."""
+        parts = self.merge(text.replace(" ", MARK))
+        if max(parts) < NO_PIECE:
+            return (array("I", parts).tobytes(), array("I", [self.sizes[i] for i in parts]).tobytes(),
+                    "".join([self.spaced[i] for i in parts]))
         ids, sizes = [], []
-        for piece in self.merge(text.replace(" ", MARK)):
-            plain = piece.replace(MARK, " ").encode("utf-8", "replace")
-            if (found := self.ids.get(piece)) is not None:
-                ids.append(found)
-                sizes.append(len(plain))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in plain]
-                sizes += [1] * len(plain)
+        for i in parts:
+            if i < NO_PIECE:
+                ids.append(i)
+                sizes.append(self.sizes[i])
             else:
-                ids.append(self.unk)
-                sizes.append(len(plain))
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes(), self._decode(ids)
-
-    def _known(self, text: str) -> tuple[bytes, bytes, str]:
-        got = self.runs.get(text)
-        if got is None:
-            got = self.run(text)
-            if len(text) <= CACHE_RUN_CHARS:
-                if len(self.runs) >= CACHE_RUNS:
-                    self.runs.clear()
-                self.runs[text] = got
+                raw = chr(i - NO_PIECE).encode("utf-8", "replace")
+                ids += [self.bytes[b] for b in raw] if self.bytes else [self.unk]
+                sizes += [1] * len(raw) if self.bytes else [len(raw)]
+        return array("I", ids).tobytes(), array("I", sizes).tobytes(), self._decode(ids)
+
+    def _new(self, text: str) -> tuple[bytes, bytes, str]:
+        """A run that the newer half of the cache lacks."""
+        got = self.older.get(text) or self.run(text)
+        if len(text) <= CACHE_RUN_CHARS:
+            if len(self.runs) >= CACHE_RUNS:
+                self.older, self.runs = self.runs, {}
+            self.runs[text] = got
         return got
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, str]:
@@ -195,7 +231,12 @@ class Codec:
         have empty spans; the pieces of one replaced character share its span."""
         text = text or ""
         plain, source = self.normalise(text)
-        known = [self._known(x) for x in RUNS(plain)]
+        found, new = self.runs.get, self._new
+        known = []
+        for x in RUNS(plain):
+            if (got := found(x)) is None:
+                got, found = new(x), self.runs.get  # the cache may have been turned over
+            known.append(got)
         ids = np.frombuffer(b"".join([x[0] for x in known]), "<u4")
         ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in known]), "<u4").astype(np.int64))
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
