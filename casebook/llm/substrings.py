@@ -24,8 +24,9 @@ windows, repeated if its weight is two or more.
 *Hot keys.*  A passage in a third of all texts gives one key as many segments,
 which share a core but not their surroundings.  The windows of a group of more
 than ``GROUP_ROWS`` segments get a longer key: the least hash of strings half
-way between the last length and ``MIN_LENGTH``.  Equal windows still have equal
-keys, and fewer others do.  Segments that are alone are done, the others go on
+way or more between the last length and ``MIN_LENGTH``.  Equal windows still have equal
+keys, and fewer others do.  Segments that are alone are done, groups of one text
+are repeated as a whole, the others go on
 until groups are small or the strings are as long as the windows, where those
 of a group are equal.  Nothing is dropped.
 
@@ -274,14 +275,19 @@ def repeated_segments(parts: DataFrame, length: int, seed: int, group_rows: int)
     come from strings of ``seed`` bytes."""
     found = []
     while True:
-        groups = parts.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"))
-        live, hot = parts.join(groups, "k").where("total > 1"), F.col("rows") > group_rows
-        if groups.where(hot).where("total > 1").isEmpty():
-            return _union([*found, expand_groups(live, length)])
-        found.append(expand_groups(live.where(~hot), length))
+        text = F.xxhash64("text")
+        groups = parts.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"),
+                                        (F.min(text) == F.max(text)).alias("same"))
+        live = parts.join(groups.where("total > 1"), "k")
+        hot = (F.col("rows") > group_rows) & ~F.col("same")
+        # one text only: all its windows are repeated
+        found.append(live.where("same").select("h", "s", "at", (F.length("text") - (length - 1)).alias("n")))
+        found.append(expand_groups(live.where((F.col("rows") <= group_rows) & ~F.col("same")), length))
+        if groups.where(hot).isEmpty():
+            return _union(found)
         if seed == length:  # a part is one window
-            return _union([*found, live.where(hot).select("h", "s", "at", F.lit(1).cast("int").alias("n"))])
-        seed += (length - seed + 1) // 2
+            return _union([*found, live.where(hot).select("h", "s", "at", F.lit(1).alias("n"))])
+        seed = min(length, seed + -(-(length - seed) * 13 // 20))
         parts = staged(refine(live.where(hot), length, seed), f"parts-{seed}")
 
 
