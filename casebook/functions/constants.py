@@ -192,16 +192,6 @@ GAP_REPORT_SUFFIX = ".txt"
 INPUT_COST_PER_1K = 0.01
 OUTPUT_COST_PER_1K = 0.03
 
-# ---------------------------------------------------------------------------
-# FIXED VALUES — HTML entities decoded by the expression-mode cleaner;
-# "&amp;" is decoded last so "&amp;lt;" stays "&lt;".
-# ---------------------------------------------------------------------------
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
-
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES — the default English stop list of Spark MLlib's
 # StopWordsRemover (181 words), written out so that nothing has to find a jar.

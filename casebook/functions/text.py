@@ -8,6 +8,8 @@ number of rows without any shuffle.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,21 @@ IMG_PATTERNS = [
 # Blocks whose inner text never reaches the extracted text.
 NON_TEXT_BLOCKS = (r"<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>"
                    r"|<style\b.*?</style\s*>|<link\b[^>]*>")
-TAG = r"<[^>]*>"
+# A tag has a letter after "<" or "</", and its quoted attribute values may hold
+# ">"; where a quote is never closed, the tag ends at the first ">".  Repeats are
+# possessive, so very long tags cost no stack.
+TAG = (r"""</?[A-Za-z][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
+       r"""|</?[A-Za-z][^>]*+>|<[!?][^>]*+>""")
+ENTITY = r"&#[0-9]+;?|&#[xX][0-9A-Fa-f]+;?|&[A-Za-z][A-Za-z0-9]*;?"
 WS_EDGES = r"^[\s\x{a0}]+|[\s\x{a0}]+$"
+# FIXED VALUE — image data URL
 DATA_URL = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
-STRICT_BASE64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
+# Payloads a lenient base64 decoder takes: "=" in front of a group's third
+# character is skipped, a group ended by its padding ends the payload.  Groups
+# 1 to 4 together hold the characters that count.
+_B64 = "[A-Za-z0-9+/]"
+LENIENT_BASE64 = (rf"^((?:=*+{_B64}=*+{_B64}=?+{_B64}{_B64})*+)"
+                  rf"(?:=*+({_B64})=*+({_B64})(?:==|=?({_B64})=).*|=*)$")
 
 
 def _col(c) -> Column:
@@ -47,11 +60,42 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_col(c), WS_EDGES, "")
 
 
+def _entity_table() -> Column:
+    """name (as written after ``&``) -> text, from the standard table of the
+    Python library, and ``#code`` for the codes that stand for Windows-1252."""
+    pairs = dict(html5)
+    for code in range(0x80, 0xA0):
+        pairs[f"#{code}"] = bytes([code]).decode("cp1252", "ignore") or chr(code)
+    text = "\x02".join(f"{name}\x01{value}" for name, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
+def _decode_entity(token: Column, table: Column) -> Column:
+    digits = F.regexp_replace(token, r"^&#[xX]?0*|;$", "")
+    code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
+        F.conv(digits, 10, 10).try_cast("int"))
+    hex_code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)).otherwise(
+        F.conv(digits, 16, 10).try_cast("int"))
+    code = F.when(token.rlike("^&#[xX]"), hex_code).otherwise(code)
+    void = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+            | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    numeric = (F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit("\ufffd"))
+               .when(code.between(0x80, 0x9F), F.element_at(table, F.concat(F.lit("#"), code.cast("string"))))
+               .when(void, F.lit(""))
+               .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    named = F.coalesce(F.element_at(table, F.substring(token, 2, 1 << 30)), token)
+    return (F.when(token.rlike("^&#[0-9xX]"), numeric)
+            .when(token.startswith("&") & (F.length(token) > 1), named).otherwise(token))
+
+
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for ent, ch in K.HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Numeric and named character references decoded as in HTML 5, each once
+    (``&amp;lt;`` is ``&lt;``).  A name without its semicolon counts where the
+    standard allows that and the whole run of letters and digits is the name."""
+    t, table = _col(c), _entity_table()
+    tokens = F.regexp_extract_all(t, F.lit(ENTITY + "|[^&]++|&"), 0)
+    decoded = F.array_join(F.transform(tokens, lambda x: _decode_entity(x, table)), "")
+    return F.when(t.contains("&"), decoded).otherwise(t)
 
 
 def clean_html(c) -> Column:
@@ -60,10 +104,10 @@ def clean_html(c) -> Column:
     t = F.coalesce(_col(c), F.lit(""))
     for p in IMG_PATTERNS:
         t = F.regexp_replace(t, "(?i)" + p, "")
-    t = F.regexp_replace(t, "(?is)" + NON_TEXT_BLOCKS, "<>")
+    t = F.regexp_replace(t, "(?is)" + NON_TEXT_BLOCKS, "<!>")
     nodes = F.transform(F.split(t, TAG), lambda x: strip_ws(decode_entities(x)))
     t = F.array_join(F.filter(nodes, lambda x: x != ""), " ")
-    t = F.regexp_replace(t, r"\n\s*\n", "\n\n")
+    t = F.regexp_replace(t, r"\n[\s\x{a0}]*\n", "\n\n")
     t = F.regexp_replace(t, " +", " ")
     return strip_ws(t)
 
@@ -83,11 +127,18 @@ def data_urls(c) -> Column:
 
 
 def data_url_decodes(url) -> Column:
-    """True when the URL has a lower-case image header and a strictly
-    valid base64 payload (the cases a decoder accepts)."""
+    """True when the URL has a lower-case image header and a payload that
+    a lenient base64 decoder takes (see ``LENIENT_BASE64``)."""
     u = _col(url)
     payload = F.substring_index(u, ",", -1)
-    return u.startswith("data:image/") & payload.rlike(STRICT_BASE64)
+    return u.startswith("data:image/") & payload.rlike(LENIENT_BASE64)
+
+
+def data_url_bytes(url) -> Column:
+    """K6: the decoded payload of a URL that ``data_url_decodes`` accepts."""
+    payload = F.substring_index(_col(url), ",", -1)
+    kept = F.replace(F.regexp_replace(payload, LENIENT_BASE64, "$1$2$3$4"), F.lit("="), F.lit(""))
+    return F.unbase64(F.rpad(kept, (F.ceil(F.length(kept) / 4) * 4).cast("int"), F.lit("=")))
 
 
 def strip_support_section(c, title: str | None = None) -> Column:

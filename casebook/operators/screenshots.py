@@ -51,5 +51,5 @@ def screenshot_images(df: DataFrame, key: str, text: str) -> DataFrame:
         (F.col("pos") + 1).alias("image_no"),
         F.col("it.name").alias("name"),
         F.coalesce(ext_map[mime], F.lit(K.DEFAULT_IMAGE_EXTENSION)).alias("extension"),
-        F.unbase64(F.substring_index(F.col("it.url"), ",", -1)).alias("image"),
+        T.data_url_bytes(F.col("it.url")).alias("image"),
     )

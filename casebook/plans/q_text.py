@@ -10,12 +10,21 @@ from . import sqltext as S
 from .registry import register
 
 
+# FIXED VALUES — markup appended to the pages (by page_id % 4)
+PAGE_EXTRA = ["<p>if a < 5 and b > 3 then</p>", "<a title=\"1 > 0\">x</a>", " it&#8217;s caf&eacute;&hellip;&nbsp;end"]
+PAGES_SQL = ("SELECT page_id, html || CASE page_id % 4 " + " ".join(f"WHEN {i} THEN {S.q(x)}" for i, x in enumerate(PAGE_EXTRA))
+             + " ELSE '' END AS html FROM pages")
+
+
 @register("clean_html", f"""
-SELECT page_id, {S.clean_html('html')} AS text, CAST(length({S.clean_html('html')}) AS INTEGER) AS n_chars FROM pages
+SELECT page_id, {S.clean_html('html')} AS text, CAST(length({S.clean_html('html')}) AS INTEGER) AS n_chars FROM ({PAGES_SQL})
 """)
 def q_clean_html(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
-    cleaned = p.select("page_id", T.clean_html(F.col("html")).alias("text"))
+    extra = F.lit("")
+    for i, x in enumerate(PAGE_EXTRA):
+        extra = F.when(F.col("page_id") % 4 == i, F.lit(x)).otherwise(extra)
+    cleaned = p.select("page_id", T.clean_html(F.concat(F.col("html"), extra)).alias("text"))
     return cleaned.select("page_id", "text", F.length("text").alias("n_chars"))
 
 
@@ -31,17 +40,19 @@ from .inputs import (  # noqa: E402
 # FIXED VALUES — extra image markers for the screenshot queries (by doc_id % 5)
 SHOT_EXTRA_0 = " data:image/jpeg;base64,QUJDRA== and again data:image/png;base64,QUJD"
 SHOT_EXTRA_1 = " data:image/gif;base64,QUJ DATA:IMAGE/PNG;base64,QUJD"
+SHOT_EXTRA_2 = " data:image/png;base64,QUJD= and data:image/png;base64,QUJDRA==QUJD or data:image/png;base64,QU=JDR="
 
 
 def _shot_docs(spark, sf_dir):
     d = injected_documents(spark, sf_dir)
     k = F.col("doc_id") % 5
-    extra = F.when(k == 0, F.lit(SHOT_EXTRA_0)).when(k == 1, F.lit(SHOT_EXTRA_1)).otherwise(F.lit(""))
+    extra = (F.when(k == 0, F.lit(SHOT_EXTRA_0)).when(k == 1, F.lit(SHOT_EXTRA_1))
+             .when(k == 2, F.lit(SHOT_EXTRA_2)).otherwise(F.lit("")))
     return d.select("doc_id", F.concat(F.col("text"), extra).alias("text"))
 
 
 SHOT_DOCS_SQL = (f"SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN {S.q(SHOT_EXTRA_0)} "
-                 f"WHEN 1 THEN {S.q(SHOT_EXTRA_1)} ELSE '' END AS text FROM ({INJECTED_DOCUMENTS_SQL})")
+                 f"WHEN 1 THEN {S.q(SHOT_EXTRA_1)} WHEN 2 THEN {S.q(SHOT_EXTRA_2)} ELSE '' END AS text FROM ({INJECTED_DOCUMENTS_SQL})")
 
 
 @register("redact_image_data", f"""
@@ -73,7 +84,7 @@ SELECT doc_id, CAST(image_no AS INTEGER) AS image_no, it.name AS name,
        CASE regexp_extract(it.url, '^data:image/([^;]+);', 1)
          {' '.join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in K.IMAGE_EXTENSIONS.items())}
          ELSE {S.q(K.DEFAULT_IMAGE_EXTENSION)} END AS extension,
-       CAST(octet_length(from_base64(regexp_extract(it.url, '[^,]*$'))) AS INTEGER) AS n_bytes
+       CAST(octet_length({S.data_url_bytes('it.url')}) AS INTEGER) AS n_bytes
 FROM e WHERE it.ok
 """)
 def q_screenshot_images(spark, sf_dir):

@@ -18,6 +18,13 @@ from conftest import one
     ('x <img src="' + "A" * 1200 + '"> y', "x y"),
     ("<pre>line1\nline2</pre>", "line1\nline2"),
     ("<p>Grüße aus München</p>", "Grüße aus München"),
+    ("if a < 5 and b > 3 then", "if a < 5 and b > 3 then"),
+    ('<a title="1 > 0">x</a>', "x"),
+    ('<a title="open>x</a>', "x"),
+    ("it&#8217;s caf&eacute;&hellip;", "it’s café…"),
+    ("a&nbsp;b &#x20AC; &#128; &#0; &#xD800; &#99999999999; &bogus; AT&T &amp;lt; &copy 1",
+     "a\u00a0b € € \ufffd \ufffd \ufffd &bogus; AT&T &lt; © 1"),
+    ("<b " + "a='1>' " * 20000 + ">long tag</b>", "long tag"),
 ])
 def test_clean_html(spark, html, expected):
     assert one(spark, T.clean_html(F.col("x")), html) == expected
@@ -60,6 +67,21 @@ def test_extract_screenshots(spark):
     assert imgs[5]["extension"] == "jpg"
 
 
+@pytest.mark.parametrize("payload", ["QUJD", "QUJD=", "QUJDRA==QUJD", "QUJDRA=", "QU=JDR=", "=Q=UJDRA==", "=", "QUJDR", "QUJ",
+                                     "QQ=", "QQ=QUJD", "QUJD" * 200000])
+def test_data_urls_decode_like_the_standard_library(spark, payload):
+    import base64
+    import binascii
+
+    try:
+        expected = base64.b64decode(payload)
+    except binascii.Error:
+        expected = None
+    url = "data:image/png;base64," + payload
+    got = one(spark, F.when(T.data_url_decodes(F.col("x")), T.data_url_bytes(F.col("x"))), url)
+    assert (None if got is None else bytes(got)) == expected
+
+
 @pytest.mark.parametrize("text,expected", [
     ("** REDACTED **", True), ("**redacted**", True), ("  **  REDACTED  ** ", True),
     ("summary ** REDACTED ** inside", False), (None, False),
