@@ -5,9 +5,10 @@ Input is a file listing ``(rel, content)`` where ``rel`` is
 ``sources.readers.log_tree``.  The newest date folder (name starting with
 ``dd-dd``) and, inside it, the newest folder whose lower-cased name contains
 ``output`` are chosen per incident with grouped maxima joined back (partial
-aggregation, no per-incident sort).  Key files directly inside the chosen
-folder keep their first 10,000 characters; ``*.log`` files in sub-folders
-keep their last 5,000 and are keyed by bare file name (the last path wins).
+aggregation, no per-incident sort).  Findings, sizes and flags read whole
+files; ``*.log`` files in sub-folders are keyed by bare file name (the last
+path wins).  Only the prompt text cuts what it shows: the first characters of
+a key file, and of the last 5,000 characters of a nested log.
 """
 
 from __future__ import annotations
@@ -42,19 +43,22 @@ def select_newest(files: DataFrame) -> DataFrame:
     return out.join(latest_an, ["incident_id", "date_folder", "analyzer_folder"])
 
 
-def key_files(selected: DataFrame, names=None) -> DataFrame:
-    """Key files directly inside the chosen folder, head-capped."""
+def key_files(selected: DataFrame, names=None, head_cap: int | None = None) -> DataFrame:
+    """Key files directly inside the chosen folder; whole, or with
+    ``head_cap`` their first characters only."""
     names = K.KEY_LOG_FILES if names is None else names
     k = selected.filter((F.col("depth") == 1) & F.col("file_name").isin(*names))
+    content = F.col("content") if head_cap is None else T.head(F.col("content"), head_cap, K.FILE_HEAD_SUFFIX)
     return k.select("incident_id", "date_folder", "analyzer_folder", "file_name",
-                    T.head(F.col("content"), K.FILE_HEAD_CAP, K.FILE_HEAD_SUFFIX).alias("content"),
-                    F.lit("key").alias("kind"))
+                    content.alias("content"), F.lit("key").alias("kind"))
 
 
-def nested_logs(selected: DataFrame) -> DataFrame:
-    """``*.log`` files below the chosen folder, tail-capped; one per bare name."""
+def nested_logs(selected: DataFrame, tail_cap: int | None = None) -> DataFrame:
+    """``*.log`` files below the chosen folder, one per bare name; whole, or
+    with ``tail_cap`` their last characters only."""
     n = selected.filter((F.col("depth") > 1) & F.col("file_name").endswith(".log"))
-    pick = F.max(F.struct(F.col("rel"), T.tail(F.col("content"), K.LOG_TAIL_CAP).alias("c")))
+    content = F.col("content") if tail_cap is None else T.tail(F.col("content"), tail_cap)
+    pick = F.max(F.struct(F.col("rel"), content.alias("c")))
     return (n.groupBy("incident_id", "date_folder", "analyzer_folder", "file_name").agg(pick["c"].alias("content"))
             .withColumn("kind", F.lit("nested")))
 
@@ -135,7 +139,7 @@ def logs_prompt_content(keys: DataFrame, nested: DataFrame, summaries: DataFrame
     n = nested.select(
         "incident_id", F.lit(3).alias("sec"), F.col("file_name").alias("o"),
         F.concat(F.lit("\nFILE: "), F.col("file_name"), F.lit("\nPATH: "), path, F.lit("/"), F.col("file_name"),
-                 F.lit("\nCONTENT:\n"), cap(F.col("content"), 300)).alias("txt"))
+                 F.lit("\nCONTENT:\n"), cap(T.tail(F.col("content"), K.LOG_TAIL_CAP), 300)).alias("txt"))
     # headers for the two file sections
     hk = k.select("incident_id").distinct().select("incident_id", F.lit(0).alias("sec"), F.lit("").alias("o"),
                                                    F.lit("\nKEY LOG FILES:").alias("txt"))

@@ -1,6 +1,7 @@
 """Driver queries for log-folder analysis.  The file tree is derived from
-the documents table: incident = source, date folder from the text length,
-analyzer folder / file name from the document id, content = the document text."""
+the documents table: incident = 27 consecutive ids, date folder from the text
+length, analyzer folder / file name from the document id, so that every document
+has a path of its own; content = the document text."""
 
 from __future__ import annotations
 
@@ -21,21 +22,22 @@ def listing(spark, sf_dir):
     date = F.when(F.col("doc_id") % 10 == 9, F.lit("misc")).otherwise(
         F.concat(F.lit("0"), (F.col("n_chars") % 3 + 1).cast("string"), F.lit("-15")))
     an = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Output_run"), (F.col("doc_id") % 2).cast("string"))) \
-        .otherwise(F.lit("raw_run"))
+        .otherwise(F.concat(F.lit("raw_run"), (F.col("doc_id") % 3).cast("string")))
     slot = (F.floor(F.col("doc_id") / 3) % 9).cast("int")
     inner = F.element_at(F.array(*[F.lit(x) for x in INNER]), slot + 1)
     inner = F.when(inner == "nested", F.concat(F.lit("nested/d"), F.col("doc_id").cast("string"),
                                                F.lit("/agent.log"))).otherwise(inner)
-    rel = F.concat_ws("/", F.col("source"), date, an, inner)
+    incident = F.concat(F.lit("inc"), F.floor(F.col("doc_id") / 27).cast("string"))
+    rel = F.concat_ws("/", incident, date, an, inner)
     raw = d.select(rel.alias("rel"), "doc_id", F.col("text").alias("content"))
     return raw.groupBy("rel").agg(F.max_by("content", "doc_id").alias("content"))
 
 
 LISTING_SQL = f"""
 SELECT rel, arg_max(content, doc_id) AS content FROM (
-  SELECT concat_ws('/', source,
+  SELECT concat_ws('/', 'inc' || CAST(doc_id // 27 AS VARCHAR),
            CASE WHEN doc_id % 10 = 9 THEN 'misc' ELSE '0' || CAST(n_chars % 3 + 1 AS VARCHAR) || '-15' END,
-           CASE WHEN doc_id % 3 = 0 THEN 'Output_run' || CAST(doc_id % 2 AS VARCHAR) ELSE 'raw_run' END,
+           CASE WHEN doc_id % 3 = 0 THEN 'Output_run' || CAST(doc_id % 2 AS VARCHAR) ELSE 'raw_run' || CAST(doc_id % 3 AS VARCHAR) END,
            CASE WHEN {S.lit_list(INNER)}[(doc_id // 3) % 9 + 1] = 'nested'
                 THEN 'nested/d' || CAST(doc_id AS VARCHAR) || '/agent.log'
                 ELSE {S.lit_list(INNER)}[(doc_id // 3) % 9 + 1] END) AS rel, doc_id, text AS content
@@ -55,11 +57,11 @@ SELECT o.* FROM o JOIN la USING (incident_id, date_folder, analyzer_folder)
 """
 KEYS_SQL = f"""
 SELECT incident_id, date_folder, analyzer_folder, file_name,
-       {S.head('content', K.FILE_HEAD_CAP, K.FILE_HEAD_SUFFIX)} AS content, 'key' AS kind
+       content, 'key' AS kind
 FROM ({SELECTED_SQL}) WHERE depth = 1 AND file_name IN ({', '.join(S.q(x) for x in K.KEY_LOG_FILES)})
 """
 NESTED_SQL = f"""
-SELECT incident_id, date_folder, analyzer_folder, file_name, arg_max({S.tail('content', K.LOG_TAIL_CAP)}, rel) AS content,
+SELECT incident_id, date_folder, analyzer_folder, file_name, arg_max(content, rel) AS content,
        'nested' AS kind
 FROM ({SELECTED_SQL}) WHERE depth > 1 AND ends_with(file_name, '.log') GROUP BY ALL
 """
@@ -125,7 +127,7 @@ WITH k AS (SELECT incident_id, 1 AS sec,
            FROM ({KEYS_SQL}) WHERE file_name IN ({', '.join(S.q(x) for x in K.LOG_PROMPT_FILES)})),
 n AS (SELECT incident_id, 3 AS sec, file_name AS o, chr(10) || 'FILE: ' || file_name || chr(10) || 'PATH: '
              || incident_id || '/' || date_folder || '/' || analyzer_folder || '/' || file_name || chr(10)
-             || 'CONTENT:' || chr(10) || {_cap('content', 300)} AS txt FROM ({NESTED_SQL})),
+             || 'CONTENT:' || chr(10) || {_cap(S.tail('content', K.LOG_TAIL_CAP), 300)} AS txt FROM ({NESTED_SQL})),
 fk AS (SELECT incident_id, 1 AS sec,
              lpad(CAST(list_position({S.lit_list(K.KEY_LOG_FILES)}, file_name) AS VARCHAR), 3, '0') AS o,
              concat_ws(chr(10), '- ' || file_name || ': ' || CAST(length(content) AS VARCHAR) || ' characters',

@@ -129,6 +129,14 @@ def test_log_tree(spark, tmp_path):
     assert [k.file_name for k in keys] == ["config.txt"]
     nested = LG.nested_logs(sel).collect()
     assert len(nested) == 1 and nested[0].content == "z" * 10    # the last path wins for a repeated name
+    # findings and sizes read whole files; caps are the caller's choice
+    long = spark.createDataFrame([("7/01-01/output/health.txt", "x" * 20000 + " error"),
+                                  ("7/01-01/output/sub/agent.log", "y" * 6000)], "rel string, content string")
+    chosen = LG.select_newest(long)
+    stats = {r.file_name: (r.chars, r.has_error) for r in LG.file_stats(LG.key_files(chosen), LG.nested_logs(chosen)).collect()}
+    assert stats == {"health.txt": (20006, True), "agent.log": (6000, False)}
+    assert len(LG.key_files(chosen, head_cap=100).first().content) == 100 + len("... [truncated]")
+    assert len(LG.nested_logs(chosen, tail_cap=100).first().content) == 100
     ins = [r.insight for r in LG.log_insights(LG.key_files(sel)).collect()]
     assert ins == ["config.txt: Contains policy-related information"]
 
