@@ -147,20 +147,20 @@ def q_team_interactions(spark, sf_dir):
 
 
 @register("vip_breakdown", """
-SELECT c_mktsegment AS customer_segment, o_orderstatus AS status, o_orderpriority AS severity, count(*) AS incidents,
-       CAST(GROUPING(c_mktsegment, o_orderstatus, o_orderpriority) AS BIGINT) AS gid
+SELECT c_name AS customer, o_orderstatus AS status, o_orderpriority AS severity, count(*) AS incidents,
+       CAST(GROUPING(c_name, o_orderstatus, o_orderpriority) AS BIGINT) AS gid
 FROM orders JOIN customer ON o_custkey = c_custkey
-GROUP BY GROUPING SETS ((c_mktsegment), (o_orderstatus), (o_orderpriority), ())
+GROUP BY GROUPING SETS ((c_name), (o_orderstatus), (o_orderpriority), ())
 """)
 def q_vip_breakdown(spark, sf_dir):
-    """Incident counts by customer segment, status and severity."""
+    """Incident counts by customer, status and severity."""
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey).select(
-        F.col("c_mktsegment").alias("customer_segment"), F.col("o_orderstatus").alias("status"),
+        F.col("c_name").alias("customer"), F.col("o_orderstatus").alias("status"),
         F.col("o_orderpriority").alias("severity"))
-    return A.vip_breakdown(j, "customer_segment", "status", "severity").select(
-        "customer_segment", "status", "severity", "incidents", F.col("gid").cast("long").alias("gid"))
+    return A.vip_breakdown(j, "customer", "status", "severity").select(
+        "customer", "status", "severity", "incidents", F.col("gid").cast("long").alias("gid"))
 
 
 @register("vip_scan", f"""
@@ -191,7 +191,7 @@ SELECT a.event_type AS team_a, b.event_type AS team_b, count(*) AS incidents
 FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL
 """)
 def q_team_collaboration(spark, sf_dir):
-    """Incidents shared by each pair of teams (pivoted presence, one sum per pair)."""
+    """Incidents shared by each pair of teams."""
     e = read_table(spark, sf_dir, "events")
     return A.team_collaboration(e, "user_id", "event_type").filter(F.col("incidents") > 0)
 
