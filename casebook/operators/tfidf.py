@@ -11,24 +11,30 @@ Plan shape
   document's repeated tokens before the shuffle.
 * Document frequency is a ``groupBy(term)`` with partial aggregation, so a
   term present in a third of all documents costs one row per map partition.
-* Scoring joins the *query* terms (size-checked, broadcast) to the document
-  term table: the big side is never shuffled for the join, and only
-  (query, doc) pairs that share a term are produced.  Pairs without a shared
-  term have score 0 and can never pass the ``> 0`` floor.
 * The doc-term x idf join is a shuffle on ``term``; hot terms are split by
   AQE's skew-join handling.
+* The index has one row per document, ``(doc, terms, weights, ...)``; queries
+  have the same shape.  Both are dealt into blocks by a hash of their key, and
+  one co-group per (query block, document block) sums the products of shared
+  terms and keeps the block's top ``k`` per query.  So a (query, document)
+  pair is a sum inside one task: no pair is ever a row, let alone shuffled,
+  and at most ``k`` rows per query leave a block pair.  Shuffle volume is the
+  index times the query blocks plus the queries times the document blocks.
+* The number of blocks follows the number of entries (``DOC_ENTRIES``,
+  ``QUERY_ENTRIES``), so a task's memory does not grow with the data, and the
+  key is a hash of unique keys, so no block is hot.
 * The document-term table is built once per call and written as a parquet
-  table into the shared checkpoint folder (the index-build step); df,
-  weights and norms all read it instead of re-tokenising the corpus.
-* Top-k per query uses ``row_number() <= k``, which the planner turns into a
-  partial ``WindowGroupLimit`` below the shuffle (bounded per query).
+  table into the shared checkpoint folder (the index-build step).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -37,6 +43,11 @@ from ..functions.text import strip_ws
 from ..session import cut_lineage
 
 
+DOC_ENTRIES = 1_000_000  # (document, term) entries of a document block
+QUERY_ENTRIES = 100_000  # (query, term) entries of a query block
+MIN_BLOCKS = 4
+
+
 def _stop_table(spark, stopwords=None) -> DataFrame:
     words = K.english_stopwords() if stopwords is None else stopwords
     return spark.createDataFrame([(w,) for w in sorted(set(words))], "term string")
@@ -61,10 +72,22 @@ def _ln(x):
     return F.log(x)
 
 
+def _vectors(entries: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row per ``key`` of a (key, term, value ...) table: ``terms`` and one
+    array per value, in the order of the terms."""
+    rows = entries.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", *values))).alias("_xs"))
+    # a field of an array of structs is the array of that field
+    return rows.select(key, F.col("_xs.term").alias("terms"), *[F.col(f"_xs.{v}").alias(v) for v in values])
+
+
+def _total(values: str, value=lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + value(x))
+
+
 def docs_only_index(docs: DataFrame, doc_key: str, doc_text: str, max_df: float = 0.9, stopwords=None):
     """A7(i) index build: idf over the documents (terms in more than
     ``max_df`` of them dropped), weights L2-normalised per document.
-    Returns two staged tables: ``index(doc_key, term, wn)`` and
+    Returns two staged tables: ``index(doc_key, terms, w, norm)`` and
     ``vocab(term, idf)``.  Built once, probed by any number of query batches."""
     return _build_docs_only(docs, doc_key, doc_text, max_df, stopwords)
 
@@ -81,24 +104,103 @@ def _build_docs_only(docs, doc_key, doc_text, max_df, stopwords):
     vocab = (dfreq.filter(F.col("df") <= F.lit(max_df * n_docs))
              .select("term", (_ln(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
     vocab = cut_lineage(vocab, "tfidf-vocab")
-    w = doc_tf.join(vocab, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = w.groupBy(doc_key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = w.join(norms, doc_key).select(doc_key, "term", (F.col("w") / F.col("norm")).alias("wn"))
-    return cut_lineage(index, "tfidf-index"), vocab
+    rows = _vectors(doc_tf.join(vocab, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w")),
+                    doc_key, ["w"])
+    return cut_lineage(rows.withColumn("norm", F.sqrt(_total("w", lambda x: x * x))), "tfidf-index"), vocab
+
+
+def _query_vectors(entries: DataFrame, q_key: str) -> DataFrame:
+    """Staged query vectors of (query, term, w, n): ``norm`` is the length of ``n``."""
+    rows = _vectors(entries, q_key, ["w", "n"]).withColumn("norm", F.sqrt(_total("n", lambda x: x * x)))
+    return cut_lineage(rows.drop("n"), "tfidf-queries")
+
+
+def _blocked(rows: DataFrame, entries: int) -> int:
+    """How many blocks the rows are dealt into."""
+    n = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
+    return max(MIN_BLOCKS, math.ceil(n / entries))
+
+
+def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str, k: int,
+                last_first: bool = False) -> DataFrame:
+    """The ``k`` best documents of every query: ``(query, doc, score, rank)``.
+
+    ``index(doc_key, terms, w, norm | corr, base)`` and ``queries(q_key,
+    terms, w, norm)`` have one row per key.  The score is the sum of products
+    over shared terms, over both norms; an index with ``base`` has
+    ``sqrt(base + sum of corr over shared terms)`` for its norm.  Only scores
+    above 0 count; ties go to the smaller document key (``last_first``: the
+    larger)."""
+    nd, nq = _blocked(index, DOC_ENTRIES), _blocked(queries, QUERY_ENTRIES)
+    weighted = "base" in index.columns
+    d = (index.withColumn("_d", F.pmod(F.xxhash64(doc_key), F.lit(nd)))
+         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(doc_key).alias("key"), "terms", "w",
+                 *(["corr", "base"] if weighted else ["norm"])))
+    q = (queries.withColumn("_q", F.pmod(F.xxhash64(q_key), F.lit(nq)))
+         .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(q_key).alias("key"), "terms", "w", "norm"))
+    keys = [(n, t.schema["key"].dataType.simpleString()) for n, t in (("q", q), ("d", d))]
+
+    def flat(table: pa.Table, column: str) -> np.ndarray:
+        return pc.list_flatten(table[column]).combine_chunks().to_numpy(zero_copy_only=False)
+
+    def best(qs: pa.Table, ds: pa.Table) -> pa.Table:
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if qs.num_rows and ds.num_rows:
+            n = ds.num_rows
+            place = np.empty(n, np.int64)
+            place[pc.sort_indices(ds["key"], null_placement="at_start").to_numpy()] = np.arange(n)
+            place = -place if last_first else place
+            words = pc.list_flatten(ds["terms"]).combine_chunks().dictionary_encode()
+            codes = words.indices.to_numpy()
+            owner = np.repeat(np.arange(n), pc.list_value_length(ds["terms"]).to_numpy())
+            by_word = np.argsort(codes, kind="stable")
+            starts = np.searchsorted(codes[by_word], np.arange(len(words.dictionary) + 1))
+            owner, weight = owner[by_word], flat(ds, "w")[by_word]
+            if weighted:
+                corr, base = flat(ds, "corr")[by_word], ds["base"].to_numpy()
+            else:
+                weight = weight / ds["norm"].to_numpy()[owner]
+            asked = pc.fill_null(pc.index_in(pc.list_flatten(qs["terms"]).combine_chunks(), words.dictionary), -1).to_numpy()
+            asked_n = pc.list_value_length(qs["terms"]).to_numpy()
+            q_weight = flat(qs, "w") / np.repeat(qs["norm"].to_numpy(), asked_n)
+            ends = np.concatenate([[0], np.cumsum(asked_n)])
+            for i in range(qs.num_rows):
+                hits = [(starts[c], starts[c + 1], x) for c, x in zip(asked[ends[i]:ends[i + 1]].tolist(),
+                                                                     q_weight[ends[i]:ends[i + 1]].tolist()) if c >= 0]
+                if not hits:
+                    continue
+                at = np.concatenate([owner[a:b] for a, b, _ in hits])
+                score = np.bincount(at, np.concatenate([weight[a:b] * x for a, b, x in hits]), n)
+                if weighted:
+                    score /= np.sqrt(base + np.bincount(at, np.concatenate([corr[a:b] for a, b, _ in hits]), n))
+                of = np.flatnonzero(score > 0)
+                level = np.round(score[of], 12)
+                if len(of) > k:  # all that tie with the k-th stay for the order by key
+                    few = level >= np.partition(level, len(of) - k)[len(of) - k]
+                    of, level = of[few], level[few]
+                of = of[np.lexsort((place[of], -level))[:k]]
+                found.append((i, of, score[of]))
+        rows = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+        cols = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        return pa.table({"q": qs["key"].take(pa.array(rows)), "d": ds["key"].take(pa.array(cols)),
+                         "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())})
+
+    got = q.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(
+        best, ", ".join(f"{n} {t}" for n, t in keys) + ", score double")
+    got = got.select(F.col("q").alias(q_key), F.col("d").alias(doc_key), "score")
+    tie = F.desc(doc_key) if last_first else F.asc(doc_key)
+    return top_k(got, q_key, [F.desc(F.round("score", 12)), tie], k)
 
 
 def probe_docs_only(index: DataFrame, vocab: DataFrame, doc_key: str, queries: DataFrame, q_key: str, q_text: str,
                     k: int, stopwords=None) -> DataFrame:
-    """R4 query side: L2-normalised query weights over the known terms
-    joined to the index on ``term``."""
+    """R4 query side: L2-normalised query weights over the known terms."""
     q_tf = term_counts(queries, q_key, q_text, stopwords)
-    qw = q_tf.join(vocab, "term").select(q_key, "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    qn = qw.groupBy(q_key).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    qv = qw.join(qn, q_key).select(q_key, "term", (F.col("qw") / F.col("qnorm")).alias("qv"))
-    scored = (index.join(qv, "term")
-              .groupBy(q_key, doc_key).agg(F.sum(F.col("wn") * F.col("qv")).alias("score")))
-    scored = scored.filter(F.col("score") > 0)
-    return top_k(scored, q_key, [F.desc(F.round("score", 12)), F.asc(doc_key)], k)
+    w = F.col("tf") * F.col("idf")
+    qv = _query_vectors(q_tf.join(vocab, "term").select(q_key, "term", w.alias("w"), w.alias("n")), q_key)
+    return block_top_k(index, doc_key, qv, q_key, k)
 
 
 def fallback_search(docs: DataFrame, doc_key: str, doc_text: str,
@@ -121,24 +223,13 @@ def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
 
     Exact per query without refitting: for terms outside the query the idf
     is query-independent, so ``|d|^2(q) = base(d) + sum_{t in d∩q} tf^2 (idf1^2 - idf0^2)``.
-    The staged index holds ``(doc, term, tf, idf0, idf1, base)`` for the
-    vocabulary terms only.
+    The staged index holds ``(doc, terms, w, corr, base)`` over the vocabulary.
     """
     index, vocab = _build_query_fit(docs, doc_key, doc_text, max_features, stopwords)
-    q_raw = term_counts(queries, q_key, q_text, stopwords)
-    q_tf = q_raw.join(F.broadcast(vocab), "term")
-    qn = q_tf.groupBy(q_key).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf1"), 2))).alias("qnorm"))
-    qv = q_tf.join(qn, q_key).select(q_key, "term", F.col("tf").alias("qtf"), "qnorm")
-    pairs = (index.join(qv, "term")
-             .groupBy(q_key, doc_key)
-             .agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf1") * F.col("idf1")).alias("dot"),
-                  F.sum(F.col("tf") * F.col("tf") * (F.col("idf1") * F.col("idf1") - F.col("idf0") * F.col("idf0")))
-                  .alias("corr"),
-                  F.first("qnorm").alias("qnorm"), F.first("base").alias("base")))
-    scored = pairs.select(q_key, doc_key,
-                          (F.col("dot") / (F.col("qnorm") * F.sqrt(F.col("base") + F.col("corr")))).alias("score"))
-    scored = scored.filter(F.col("score") > 0)
-    ranked = top_k(scored, q_key, [F.desc(F.round("score", 12)), F.desc(doc_key)], k)
+    q_tf = term_counts(queries, q_key, q_text, stopwords).join(F.broadcast(vocab), "term")
+    qv = _query_vectors(q_tf.select(q_key, "term", F.col("tf").cast("double").alias("w"),
+                                    (F.col("tf") * F.col("idf1")).alias("n")), q_key)
+    ranked = block_top_k(index, doc_key, qv, q_key, k, last_first=True)
     return ranked.withColumn("relevance_score", F.col("score") * 10.0)
 
 
@@ -147,15 +238,17 @@ def _build_query_fit(docs, doc_key, doc_text, max_features, stopwords):
     n = docs.filter(strip_ws(doc_text) != "").count()
     totals = doc_tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     # top-n by count: partial top-n per partition, one merge (bounded: max_features rows)
-    vocab = F.broadcast(totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features))
-    vocab = vocab.select(
+    vocab = totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    vocab = cut_lineage(vocab.select(
         "term",
         (_ln(F.lit(n + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf0"),
-        (_ln(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1"))
-    dv = doc_tf.join(vocab, "term")
-    base = dv.groupBy(doc_key).agg(F.sum(F.pow(F.col("tf") * F.col("idf0"), 2)).alias("base"))
-    index = cut_lineage(dv.join(base, doc_key).select(doc_key, "term", "tf", "idf0", "idf1", "base"), "tfidf-qfit")
-    return index, cut_lineage(vocab, "tfidf-qfit-vocab")
+        (_ln(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1")), "tfidf-qfit-vocab")
+    tf, idf0, idf1 = F.col("tf"), F.col("idf0"), F.col("idf1")
+    entries = doc_tf.join(F.broadcast(vocab), "term").select(
+        doc_key, "term", (tf * idf1 * idf1).alias("w"), (tf * tf * (idf1 * idf1 - idf0 * idf0)).alias("corr"),
+        F.pow(tf * idf0, 2).alias("b"))
+    index = _vectors(entries, doc_key, ["w", "corr", "b"]).withColumn("base", _total("b")).drop("b")
+    return cut_lineage(index, "tfidf-qfit"), vocab
 
 
 def pair_cosine(a_tf: DataFrame, b_tf: DataFrame, key: str) -> DataFrame:

@@ -66,6 +66,49 @@ def test_fallback_search_matches_brute_force(spark):
             assert a == pytest.approx(b)
 
 
+def test_search_over_many_blocks_with_copies(spark, monkeypatch):
+    """Small blocks give what one block gives; copies tie by key, both ways."""
+    rng = np.random.default_rng(3)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(60)] + ["word1 word2 word3"] * 30
+    docs = spark.createDataFrame([(f"d{i:03d}", t) for i, t in enumerate(texts)], "doc string, text string")
+    qs = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(12)] + [(90, "word1 word2 word3"), (91, "nothing")],
+                               "item_id int, text string")
+
+    def found():
+        return [[tuple(r) for r in f(docs, "doc", "text", qs, "item_id", "text", 7).select("item_id", "doc", "rank", F.round("score", 9))
+                 .orderBy("item_id", "rank").collect()] for f in (TF.fallback_search, TF.query_fit_search)]
+
+    whole = found()
+    monkeypatch.setattr(TF, "DOC_ENTRIES", 50)
+    monkeypatch.setattr(TF, "QUERY_ENTRIES", 20)
+    assert found() == whole
+    copies = [[r[1] for r in rows if r[0] == 90] for rows in whole]
+    assert copies[0] == [f"d{i:03d}" for i in range(60, 67)] and copies[1] == [f"d{i:03d}" for i in range(89, 82, -1)]
+    assert not [r for rows in whole for r in rows if r[0] == 91]
+
+
+def test_search_over_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    qs = spark.createDataFrame(QUERIES, "item_id long, text string")
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    for f in (TF.fallback_search, TF.query_fit_search):
+        assert f(none, "doc_id", "text", qs, "item_id", "text", 3).count() == 0
+        assert f(docs, "doc_id", "text", qs.limit(0), "item_id", "text", 3).count() == 0
+
+
+def test_search_shuffles_no_pairs(spark):
+    """Scores leave the block sums through the partial top-k only."""
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    qs = spark.createDataFrame(QUERIES, "item_id long, text string")
+    plan = TF.fallback_search(docs, "doc_id", "text", qs, "item_id", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.split("#")[0] for x in plan.splitlines()]
+    sums = next(i for i, x in enumerate(lines) if "CoGroups" in x)
+    limits = [i for i, x in enumerate(lines) if "WindowGroupLimit" in x]
+    exchanges = [i for i, x in enumerate(lines) if "Exchange" in x and i < sums]
+    assert len(exchanges) == 1 and any(exchanges[0] < i < sums for i in limits), plan
+
+
 def test_pair_cosine(spark):
     a = spark.createDataFrame([(1, "t", 2), (1, "u", 1), (2, "x", 1), (3, "s", 1)], "k long, term string, tf long")
     b = spark.createDataFrame([(1, "t", 2), (1, "u", 1), (2, "y", 1)], "k long, term string, tf long")
