@@ -216,6 +216,43 @@ Be specific and technical, avoiding generic statements.
 Provide a clear, concise explanation of the relevance:
 """
 
+PAIRWISE_TEMPLATE = """
+# Technical Support Article Comparison
+
+## Incident Query
+{query}
+
+## Incident Context
+{context}
+
+## Article A
+**Title:** {title_a}
+**Content Summary:** {summary_a}
+**Current Score:** {score_a}
+
+## Article B
+**Title:** {title_b}
+**Content Summary:** {summary_b}
+**Current Score:** {score_b}
+
+## Task
+Compare these two articles and determine which is more relevant to the incident.
+
+Consider:
+- Technical specificity to the described problem
+- Troubleshooting methodology alignment
+- Platform/component compatibility
+- Solution completeness and applicability
+
+## Response Format
+Respond with:
+- "1" if Article A is more relevant
+- "-1" if Article B is more relevant  
+- "0" if both articles are equally relevant
+
+Response: [1, -1, or 0]
+"""
+
 
 def template_parts(template: str):
     """Split a ``{name}`` template into ('lit', text) / ('col', name) parts."""
@@ -248,3 +285,13 @@ def request_texts(cands: DataFrame) -> DataFrame:
     }
     return cands.select("*", fill_template(SCORING_TEMPLATE, cols).alias("scoring_request"),
                         fill_template(EXPLANATION_TEMPLATE, cols).alias("explanation_request"))
+
+
+def pairwise_requests(pairs: DataFrame) -> DataFrame:
+    """The comparison request of each candidate pair."""
+    cols = {"query": F.coalesce(F.col("query_text"), F.lit("")), "context": F.coalesce(F.col("context"), F.lit(""))}
+    for n in "ab":
+        cols[f"title_{n}"] = F.coalesce(F.col(f"title_{n}"), F.lit("Unknown"))
+        cols[f"summary_{n}"] = F.coalesce(F.col(f"summary_{n}"), F.lit("No summary available"))
+        cols[f"score_{n}"] = F.coalesce(F.col(f"score_{n}"), F.lit(0.0)).cast("string")
+    return pairs.withColumn("pairwise_request", fill_template(PAIRWISE_TEMPLATE, cols))

@@ -37,12 +37,16 @@ def candidates(spark, sf_dir):
                     SC.exact_round(F.col("score"), SIM_DIGITS).alias("semantic_similarity")))
 
 
-def cands_sql(queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text", ctx: str = "''") -> str:
+def cands_sql(queries: str = "benchmark", qkey: str = "item_id", qtext: str = "text", ctx: str = "''",
+              first: str = "") -> str:
+    """``first``: the first stage's rows, with a ``stage``; else R4 for every query."""
+    stage = ", r.stage" if first else ""
+    first = first or _r4_sql(CANDIDATES, queries, qkey, qtext).replace("round(score, 6) AS score", "score")
     return f"""
 SELECT r.{qkey} AS q_id, CAST(r.rank AS INTEGER) AS cand_pos, r.doc_id, {PATH_SQL} AS article_path,
        {S.title_from_path(PATH_SQL)} AS title, {S.article_summary('d.text')} AS content_summary,
-       b.{qtext} AS query_text, {ctx} AS context, {S.exact_round('r.score', SIM_DIGITS)} AS semantic_similarity
-FROM ({_r4_sql(CANDIDATES, queries, qkey, qtext).replace('round(score, 6) AS score', 'score')}) r
+       b.{qtext} AS query_text, {ctx} AS context, {S.exact_round('r.score', SIM_DIGITS)} AS semantic_similarity{stage}
+FROM ({first}) r
 JOIN documents d USING (doc_id) JOIN ({queries}) b USING ({qkey})
 """
 

@@ -43,6 +43,7 @@ def _norm(v):
     "example_selection", "usage_rollup", "gap_to_next", "ownership_change", "vip_breakdown", "plan_content",
     "logs_prompt_content", "gap_steps", "incident_summary_job", "section_csv_roundtrip", "incident_json_roundtrip",
     "team_collaboration", "advanced_search_replies", "article_text", "doc_semantic_search",
+    "advanced_search_full", "pairwise_requests", "article_search_job",
 ])
 def test_oracle_sf0001(spark, name):
     con = duckdb.connect()
