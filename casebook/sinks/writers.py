@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 
 def section_csv_sink(sections: DataFrame, path: str) -> None:
@@ -56,7 +57,9 @@ def incident_json_sink(conversations: DataFrame, path: str) -> None:
 def result_sink(results: DataFrame, path: str) -> None:
     """K3: the full record and the slim summary record
     (``ai_summary, prompt_type, operation_time, model_used``) from one
-    result table, both partitioned by prompt type."""
+    result table, both partitioned by prompt type.  The results are staged
+    first, so that both come from one computation."""
+    results = cut_lineage(results, "results")
     results.write.mode("append").partitionBy("prompt_type").json(f"{path}/processed")
     (results.select("incident_id", "ai_summary", "prompt_type", "operation_time", "model_used")
      .write.mode("append").partitionBy("prompt_type").json(f"{path}/summaries"))
