@@ -68,8 +68,9 @@ def top_k(df: DataFrame, part: str, order, k: int, rank: str = "rank") -> DataFr
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def _ln(x):
-    return F.log(x)
+def smooth_idf(n: int, df: str) -> Column:
+    """``ln((1 + n) / (1 + df)) + 1``."""
+    return F.log(F.lit(1.0 + n) / (F.col(df) + 1.0)) + 1.0
 
 
 def _vectors(entries: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -102,7 +103,7 @@ def _build_docs_only(docs, doc_key, doc_text, max_df, stopwords):
     n_docs = docs.filter(strip_ws(doc_text) != "").count()  # blank documents are no documents (F-9)
     dfreq = doc_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     vocab = (dfreq.filter(F.col("df") <= F.lit(max_df * n_docs))
-             .select("term", (_ln(F.lit(1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+             .select("term", smooth_idf(n_docs, "df").alias("idf")))
     vocab = cut_lineage(vocab, "tfidf-vocab")
     rows = _vectors(doc_tf.join(vocab, "term").select(doc_key, "term", (F.col("tf") * F.col("idf")).alias("w")),
                     doc_key, ["w"])
@@ -241,8 +242,8 @@ def _build_query_fit(docs, doc_key, doc_text, max_features, stopwords):
     vocab = totals.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     vocab = cut_lineage(vocab.select(
         "term",
-        (_ln(F.lit(n + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf0"),
-        (_ln(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1")), "tfidf-qfit-vocab")
+        (F.log(F.lit(n + 2.0) / (F.col("df") + 1.0)) + 1.0).alias("idf0"),
+        (F.log(F.lit(n + 2.0) / (F.col("df") + 2.0)) + 1.0).alias("idf1")), "tfidf-qfit-vocab")
     tf, idf0, idf1 = F.col("tf"), F.col("idf0"), F.col("idf1")
     entries = doc_tf.join(F.broadcast(vocab), "term").select(
         doc_key, "term", (tf * idf1 * idf1).alias("w"), (tf * tf * (idf1 * idf1 - idf0 * idf0)).alias("corr"),
