@@ -93,12 +93,18 @@ def gap_to_next(events: DataFrame, key: str, ts: str, tiebreak: str, bucket: Col
     return n.withColumn("gap_seconds", F.col("_next_s") - secs).drop("_next_s")
 
 
-def ownership_changes(events: DataFrame, key: str, ts: str, tiebreak: str, team: str, bucket: Column) -> DataFrame:
-    """Rows where the owning team differs from the previous entry's team."""
-    n = neighbour(events, key, [ts, tiebreak], F.col(team), bucket, "prev", "from_team")
+def ownership_changes(events: DataFrame, key: str, ts: str, tiebreak: str, team: str, bucket: Column,
+                      context: Column | None = None, reason: Column | None = None) -> DataFrame:
+    """Rows where the owning team differs from the previous entry's team.
+    ``context`` (the entry's text) and ``reason`` come from the entry that
+    changes hands; two entries of different teams leave no doubt, so the
+    confidence is 1."""
+    said = events.withColumn("_context", F.coalesce(F.lit("") if context is None else context, F.lit(""))) \
+        .withColumn("_reason", F.lit(None).cast("string") if reason is None else reason)
+    n = neighbour(said, key, [ts, tiebreak], F.col(team), bucket, "prev", "from_team")
     return (n.filter(F.col("from_team").isNotNull() & (F.col("from_team") != F.col(team)))
-            .select(key, ts, tiebreak, "from_team", F.col(team).alias("to_team"),
-                    F.lit("reassignment").alias("change_type")))
+            .select(key, ts, tiebreak, "from_team", F.col(team).alias("to_team"), F.lit("reassignment").alias("change_type"),
+                    F.col("_context").alias("context"), F.lit(1.0).alias("confidence"), F.col("_reason").alias("reason")))
 
 
 def wait_time_by_team(gaps: DataFrame, team: str) -> DataFrame:

@@ -141,6 +141,33 @@ def serialize_team(teams: DataFrame, key: str = "incident_id") -> DataFrame:
     return teams.select(key, F.to_json(s).alias("team_json"))
 
 
+def _or_default(df: DataFrame, name: str, kind: str, default) -> Column:
+    value = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+    return value if default is None else F.coalesce(value, F.lit(default).cast(kind) if default != [] else F.array().cast(kind))
+
+
+def _serialized(df: DataFrame, fields: list[tuple]) -> Column:
+    """The fields as JSON, with defaults for missing columns and null values;
+    a null without a default stays a null in the JSON."""
+    return F.to_json(F.struct(*[_or_default(df, n, kind, d).alias(n) for n, kind, d in fields]), {"ignoreNullFields": "false"})
+
+
+def serialize_ownership(changes: DataFrame, key: str = "incident_id") -> DataFrame:
+    """Ownership changes (W7) as plain JSON."""
+    return changes.select(key, _serialized(changes, [
+        ("incident_id", "string", ""), ("from_team", "string", None), ("to_team", "string", ""), ("change_type", "string", ""),
+        ("timestamp", "string", ""), ("context", "string", ""), ("confidence", "double", 0.0), ("reason", "string", None),
+    ]).alias("change_json"))
+
+
+def serialize_patterns(patterns: DataFrame) -> DataFrame:
+    """Collaboration patterns (A19) as plain JSON."""
+    return patterns.select(_serialized(patterns, [
+        ("pattern_type", "string", "unknown"), ("team_name", "string", "unknown"), ("frequency", "long", 0),
+        ("confidence", "double", 0.0), ("examples", "array<string>", []), ("description", "string", ""),
+    ]).alias("pattern_json"))
+
+
 def nearest_memories(knn: DataFrame, memories: DataFrame, limit: int = 3) -> DataFrame:
     """J9 hits shaped for P28: (incident_id, rank, memory_id, memory_summary)."""
     h = top_k(knn, "q_id", [F.asc("rank")], limit, rank="_r").drop("_r")

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..functions import scoring as SC
 from ..functions import terms as TM
 from ..functions import text as T
+from ..operators import activity as A
 from ..operators import examples as EX
 from ..operators import prompting as PR
 from ..operators import vectors as V
@@ -318,6 +319,40 @@ def q_serialize_team(spark, sf_dir):
     return PR.serialize_team(teams(spark, sf_dir))
 
 
+@register("serialize_ownership", """
+SELECT incident_id, to_json({'incident_id': incident_id::VARCHAR, 'from_team': from_team, 'to_team': to_team,
+       'change_type': 'reassignment', 'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'context': coalesce(props, ''),
+       'confidence': 1.0::DOUBLE, 'reason': reason})::VARCHAR AS change_json
+FROM (SELECT user_id AS incident_id, event_type AS to_team, ts, props,
+             CASE WHEN value > 50 THEN 'escalation' END AS reason,
+             lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_team FROM events)
+WHERE from_team IS NOT NULL AND from_team <> to_team
+""")
+def q_serialize_ownership(spark, sf_dir):
+    """W7 + P36: hand-overs with context, confidence and reason as JSON records."""
+    e = read_table(spark, sf_dir, "events")
+    o = A.ownership_changes(e, "user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts"), F.col("props"),
+                            F.when(F.col("value") > 50, F.lit("escalation")))
+    o = o.withColumnRenamed("user_id", "incident_id").withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return PR.serialize_ownership(o)
+
+
+@register("serialize_patterns", """
+SELECT to_json({'pattern_type': pattern_type, 'team_name': team_name, 'frequency': frequency, 'confidence': 0.0::DOUBLE,
+       'examples': CAST([] AS VARCHAR[]), 'description': 'seen in ' || CAST(incidents AS VARCHAR) || ' incidents'})::VARCHAR
+       AS pattern_json
+FROM (SELECT event_type AS team_name, CASE WHEN value > 50 THEN 'escalation' ELSE 'consultation' END AS pattern_type,
+             count(*) AS frequency, count(DISTINCT user_id) AS incidents FROM events GROUP BY ALL)
+""")
+def q_serialize_patterns(spark, sf_dir):
+    """A19 + P36: interaction patterns as JSON records."""
+    kind = F.when(F.col("value") > 50, F.lit("escalation")).otherwise(F.lit("consultation"))
+    t = A.team_interactions(read_table(spark, sf_dir, "events"), "user_id", "event_type", kind)
+    return PR.serialize_patterns(t.select(
+        F.col("interaction_type").alias("pattern_type"), F.col("event_type").alias("team_name"), "frequency",
+        F.concat(F.lit("seen in "), F.col("incidents").cast("string"), F.lit(" incidents")).alias("description")))
+
+
 def _e1_sql():
     from .inputs import INJECTED_DOCUMENTS_SQL
     from .q_conversation import CONV_TEXT_SQL
