@@ -3,26 +3,30 @@ A10, F-5, F-6, J10, S5, S6).
 
 J4 scores every (incident, example) of the same prompt type as
 ``0.6 * |kw_i ∩ kw_e| / len(kw_e) + 0.4 * pair_tfidf(text_i, input_e)`` and
-keeps the top ``k`` (ties: catalogue order).  Both parts are zero unless the
-pair shares a keyword or a term, so only those pairs are produced (two
-equi-joins on (prompt_type, keyword) and (prompt_type, term)); the zero-score
-remainder is exactly the first ``k`` examples of the type in catalogue order,
-added as at most ``k`` rows per incident.  No all-pairs product is formed.
+keeps the top ``k`` (ties: catalogue order).  Incidents and examples are dealt
+into blocks by a hash of their key; a co-group per (prompt type, incident
+block, example block) sums shared keywords and terms and keeps ``k`` examples
+of each incident.  So no (incident, example) row exists, an incident's rows
+that leave a task are at most ``k``, and a task's memory is one block of each.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import tfidf as TF
-from .tfidf import term_counts
 
 KW_WEIGHT = 0.6
 TFIDF_WEIGHT = 0.4
+INCIDENT_ROWS = 2_000  # incidents and examples of a block
+EXAMPLE_ROWS = 10_000
 
 
 def select_examples(incidents: DataFrame, examples: DataFrame, k: int = 5,
@@ -33,43 +37,70 @@ def select_examples(incidents: DataFrame, examples: DataFrame, k: int = 5,
     return cut_lineage(_select_examples(incidents, examples, k, inc_key, ex_key, stopwords), "example-selection")
 
 
+def _blocks(n: int, rows: int) -> int:
+    return max(1, math.ceil(n / rows))
+
+
 def _select_examples(incidents: DataFrame, examples: DataFrame, k: int, inc_key: str, ex_key: str,
                      stopwords) -> DataFrame:
-    ex = examples.select("prompt_type", ex_key, F.col("keywords").alias("ex_kw"), "input")
-    # the incident side is read by several branches: stage its two derived
-    # tables once (keywords per incident; term counts per incident)
-    inc = cut_lineage(incidents.select(inc_key, "prompt_type", "keywords"), "incident-keywords")
-    a = term_counts(incidents.select(inc_key, "text"), inc_key, "text", stopwords)
-    a = cut_lineage(a.join(inc.select(inc_key, "prompt_type"), inc_key), "incident-terms")
-    # Evidence rows per (incident, example): keyword hits, shared-term
-    # statistics and the zero-score fill rows, summed in one aggregation.
-    ik = inc.select(inc_key, "prompt_type", F.explode(F.array_distinct("keywords")).alias("kw"))
-    ek = ex.select("prompt_type", ex_key, F.explode(F.array_distinct("ex_kw")).alias("kw"))
-    kw_rows = ik.join(ek, ["prompt_type", "kw"]).select(
-        inc_key, ex_key, F.lit(1).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
-    b = TF.term_counts(ex.select(ex_key, "input"), ex_key, "input", stopwords)
-    b = b.join(ex.select(ex_key, "prompt_type"), ex_key)
-    term_rows = a.alias("a").join(b.alias("b"), ["prompt_type", "term"]).select(
-        inc_key, ex_key, F.lit(0).alias("overlap"), (F.col("a.tf") * F.col("b.tf")).alias("dot"),
-        (F.col("a.tf") * F.col("a.tf")).alias("sha"), (F.col("b.tf") * F.col("b.tf")).alias("shb"))
-    # zero-score remainder: first k examples of the type (catalogue order)
-    first_k = TF.top_k(ex.select("prompt_type", ex_key), "prompt_type", [F.asc(ex_key)], k, rank="_r").drop("_r")
-    fill_rows = inc.select(inc_key, "prompt_type").join(first_k, "prompt_type").select(
-        inc_key, ex_key, F.lit(0).alias("overlap"), *[F.lit(0).cast("long").alias(c) for c in ("dot", "sha", "shb")])
-    pairs = (kw_rows.unionByName(term_rows).unionByName(fill_rows)
-             .groupBy(inc_key, ex_key)
-             .agg(*[F.sum(c).alias(c) for c in ("overlap", "dot", "sha", "shb")]))
-    sa = a.groupBy(inc_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sa"))
-    ex_stats = (ex.select(ex_key, "prompt_type", F.size("ex_kw").alias("n_kw"))
-        .join(b.groupBy(ex_key).agg(F.sum(F.col("tf") * F.col("tf")).alias("sb")), ex_key, "left"))
-    u = 1.0 + math.log(1.5)
-    j = pairs.join(sa, inc_key, "left").join(ex_stats, ex_key).fillna(0, ["sa", "sb"])
-    na = F.sqrt(F.col("sha") + u * u * (F.col("sa") - F.col("sha")))
-    nb = F.sqrt(F.col("shb") + u * u * (F.col("sb") - F.col("shb")))
-    cos = F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(F.col("dot") / (na * nb))
-    kw_score = F.when(F.col("n_kw") > 0, F.col("overlap") / F.col("n_kw")).otherwise(F.lit(0.0))
-    scored = j.select(inc_key, "prompt_type", ex_key, (kw_score * KW_WEIGHT + cos * TFIDF_WEIGHT).alias("score"))
-    return TF.top_k(scored, inc_key, [F.desc(F.round("score", 12)), F.asc(ex_key)], k)
+    """One co-group per (prompt type, incident block, example block) scores
+    each incident against the block's examples and keeps its best ``k``: a
+    pair is never a row, and examples without anything shared take part with
+    score 0 as in the catalogue's order."""
+    def side(df: DataFrame, key: str, text: str, keywords: str) -> DataFrame:
+        tf = TF.term_counts(df.select(key, text), key, text, stopwords)
+        tf = tf.groupBy(key).agg(F.collect_list(F.struct("term", "tf")).alias("_xs"))
+        rows = df.filter(F.col("prompt_type").isNotNull()).select(key, "prompt_type", F.col(keywords).alias("kw")).join(tf, key, "left")
+        none = F.array().cast("array<struct<term:string,tf:bigint>>")
+        return rows.withColumn("_xs", F.coalesce("_xs", none)).select(
+            F.col(key).alias("key"), "prompt_type", F.coalesce(F.array_distinct("kw"), F.array().cast("array<string>")).alias("kw"),
+            F.size("kw").alias("n_kw"), F.col("_xs.term").alias("terms"), F.col("_xs.tf").alias("tf"))
+
+    # counted and read: staged, so that what lies behind the incidents runs once
+    inc = cut_lineage(side(incidents.select(inc_key, "prompt_type", "text", "keywords"), inc_key, "text", "keywords"), "incident-terms")
+    ex = side(examples.select("prompt_type", ex_key, "input", "keywords"), ex_key, "input", "keywords")
+    ni, ne = _blocks(inc.count(), INCIDENT_ROWS), _blocks(examples.count(), EXAMPLE_ROWS)
+    part = lambda n: F.pmod(F.xxhash64("key"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = inc.withColumn("i", part(ni)).withColumn("e", every(ne))
+    b = ex.withColumn("e", part(ne)).withColumn("i", every(ni))
+    kinds = [t.schema["key"].dataType.simpleString() for t in (inc, ex)]
+    u2 = (1.0 + math.log(1.5)) ** 2
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, cols, scores = [], [], []
+        n = right.num_rows
+        if left.num_rows and n:
+            terms, words = TF.Postings(right["terms"]), TF.Postings(right["kw"])
+            tf, own = TF.entries_of(right, "tf").astype(np.float64), TF.entries_of(left, "tf").astype(np.float64)
+            sb = np.bincount(np.repeat(np.arange(n), pc.list_value_length(right["terms"]).to_numpy()), tf * tf, n)
+            sa = np.bincount(np.repeat(np.arange(left.num_rows), pc.list_value_length(left["terms"]).to_numpy()),
+                             own * own, left.num_rows)
+            tf, n_kw, place = tf[terms.order], right["n_kw"].to_numpy(), TF.key_order(right["key"])
+            for i, (hits, said) in enumerate(zip(terms.hits(left["terms"]), words.hits(left["kw"]))):
+                # an example has a term or keyword once
+                at, there = (np.concatenate([np.zeros(0, x.dtype), *[x[lo:hi] for lo, hi, _ in hits]]) for x in (terms.owner, tf))
+                mine = np.repeat([own[x] for _, _, x in hits], [hi - lo for lo, hi, _ in hits])
+                dot, sha, shb = (np.bincount(at, w, n) for w in (mine * there, mine * mine, there * there))
+                overlap = np.bincount(np.concatenate([np.zeros(0, np.int64), *[words.owner[lo:hi] for lo, hi, _ in said]]), minlength=n)
+                lengths = np.sqrt(sha + u2 * (sa[i] - sha)) * np.sqrt(shb + u2 * (sb - shb))
+                cos = np.divide(dot, lengths, out=np.zeros(n), where=lengths > 0)
+                kw = np.divide(overlap, n_kw, out=np.zeros(n), where=n_kw > 0)
+                score = kw * KW_WEIGHT + cos * TFIDF_WEIGHT
+                few = np.lexsort((place, -np.round(score, 12)))[:k]
+                rows.append(np.full(len(few), i))
+                cols.append(few)
+                scores.append(score[few])
+        whole = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        at = pa.array(whole(rows, np.int64))
+        return pa.table({"inc": left["key"].take(at), "prompt_type": left["prompt_type"].take(at),
+                         "ex": right["key"].take(pa.array(whole(cols, np.int64))), "score": pa.array(whole(scores, np.float64))})
+
+    keys = ["prompt_type", "i", "e"]
+    got = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(
+        best, f"inc {kinds[0]}, prompt_type string, ex {kinds[1]}, score double")
+    got = got.select(F.col("inc").alias(inc_key), "prompt_type", F.col("ex").alias(ex_key), "score")
+    return TF.top_k(got, inc_key, [F.desc(F.round("score", 12)), F.asc(ex_key)], k)
 
 
 def build_prompt(selected: DataFrame, examples: DataFrame, base: DataFrame, inc_key: str = "incident_id",

@@ -116,6 +116,37 @@ def _query_vectors(entries: DataFrame, q_key: str) -> DataFrame:
     return cut_lineage(rows.drop("n"), "tfidf-queries")
 
 
+class Postings:
+    """The entries of a block's rows (a list column) by their term."""
+
+    def __init__(self, lists: pa.ChunkedArray):
+        entries = pc.list_flatten(lists).combine_chunks().dictionary_encode()
+        codes = entries.indices.to_numpy()
+        self.words = entries.dictionary
+        self.order = np.argsort(codes, kind="stable")
+        self.owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[self.order]
+        self.starts = np.searchsorted(codes[self.order], np.arange(len(self.words) + 1))
+
+    def hits(self, lists: pa.ChunkedArray):
+        """For each row of ``lists`` its (first posting, last, place among all
+        entries of ``lists``) of every known term."""
+        asked = pc.fill_null(pc.index_in(pc.list_flatten(lists).combine_chunks(), self.words), -1).to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield [(self.starts[c], self.starts[c + 1], lo + j) for j, c in enumerate(asked[lo:hi].tolist()) if c >= 0]
+
+
+def entries_of(table: pa.Table, column: str) -> np.ndarray:
+    return pc.list_flatten(table[column]).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def key_order(keys: pa.ChunkedArray) -> np.ndarray:
+    """The place of each key in ascending order, nulls first as in Spark."""
+    place = np.empty(len(keys), np.int64)
+    place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+    return place
+
+
 def _blocked(rows: DataFrame, entries: int) -> int:
     """How many blocks the rows are dealt into."""
     n = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
@@ -143,37 +174,22 @@ def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str,
          .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(q_key).alias("key"), "terms", "w", "norm"))
     keys = [(n, t.schema["key"].dataType.simpleString()) for n, t in (("q", q), ("d", d))]
 
-    def flat(table: pa.Table, column: str) -> np.ndarray:
-        return pc.list_flatten(table[column]).combine_chunks().to_numpy(zero_copy_only=False)
-
     def best(qs: pa.Table, ds: pa.Table) -> pa.Table:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if qs.num_rows and ds.num_rows:
-            n = ds.num_rows
-            place = np.empty(n, np.int64)
-            place[pc.sort_indices(ds["key"], null_placement="at_start").to_numpy()] = np.arange(n)
-            place = -place if last_first else place
-            words = pc.list_flatten(ds["terms"]).combine_chunks().dictionary_encode()
-            codes = words.indices.to_numpy()
-            owner = np.repeat(np.arange(n), pc.list_value_length(ds["terms"]).to_numpy())
-            by_word = np.argsort(codes, kind="stable")
-            starts = np.searchsorted(codes[by_word], np.arange(len(words.dictionary) + 1))
-            owner, weight = owner[by_word], flat(ds, "w")[by_word]
+            n, posted = ds.num_rows, Postings(ds["terms"])
+            place = key_order(ds["key"]) * (-1 if last_first else 1)
+            owner, weight = posted.owner, entries_of(ds, "w")[posted.order]
             if weighted:
-                corr, base = flat(ds, "corr")[by_word], ds["base"].to_numpy()
+                corr, base = entries_of(ds, "corr")[posted.order], ds["base"].to_numpy()
             else:
                 weight = weight / ds["norm"].to_numpy()[owner]
-            asked = pc.fill_null(pc.index_in(pc.list_flatten(qs["terms"]).combine_chunks(), words.dictionary), -1).to_numpy()
-            asked_n = pc.list_value_length(qs["terms"]).to_numpy()
-            q_weight = flat(qs, "w") / np.repeat(qs["norm"].to_numpy(), asked_n)
-            ends = np.concatenate([[0], np.cumsum(asked_n)])
-            for i in range(qs.num_rows):
-                hits = [(starts[c], starts[c + 1], x) for c, x in zip(asked[ends[i]:ends[i + 1]].tolist(),
-                                                                     q_weight[ends[i]:ends[i + 1]].tolist()) if c >= 0]
+            q_weight = entries_of(qs, "w") / np.repeat(qs["norm"].to_numpy(), pc.list_value_length(qs["terms"]).to_numpy())
+            for i, hits in enumerate(posted.hits(qs["terms"])):
                 if not hits:
                     continue
                 at = np.concatenate([owner[a:b] for a, b, _ in hits])
-                score = np.bincount(at, np.concatenate([weight[a:b] * x for a, b, x in hits]), n)
+                score = np.bincount(at, np.concatenate([weight[a:b] * q_weight[x] for a, b, x in hits]), n)
                 if weighted:
                     score /= np.sqrt(base + np.bincount(at, np.concatenate([corr[a:b] for a, b, _ in hits]), n))
                 of = np.flatnonzero(score > 0)

@@ -186,6 +186,29 @@ def test_select_examples_matches_all_pairs(spark):
         assert mine == ords
 
 
+def test_example_blocks_do_not_change_the_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(25)]
+    incidents = [(i, "pq"[i % 2], " ".join(rng.choice(words, 6)), list(rng.choice(words, 2))) for i in range(30)] + [(90, "p", None, None)]
+    examples = [("pq"[i % 2], i, list(rng.choice(words, 2)), "c", " ".join(rng.choice(words, 6)), "out") for i in range(40)]
+    di = spark.createDataFrame([(a, b, c, [str(x) for x in d] if d else d) for a, b, c, d in incidents],
+                               "incident_id long, prompt_type string, text string, keywords array<string>")
+    de = spark.createDataFrame([(a, b, [str(x) for x in c], *rest) for a, b, c, *rest in examples],
+                               "prompt_type string, ordinal long, keywords array<string>, category string, input string, output string")
+
+    def found():
+        return [tuple(r) for r in EX.select_examples(di, de, 5).select("incident_id", "rank", "ordinal", F.round("score", 9))
+                .orderBy("incident_id", "rank").collect()]
+
+    whole = found()
+    assert [r[2] for r in whole if r[0] == 90] == [0, 2, 4, 6, 8]  # nothing shared: the catalogue's order
+    exp = brute_examples([x for x in incidents if x[0] != 90], [(a, b, c, e) for a, b, c, _, e, _ in examples], 5)
+    assert {i: [r[2] for r in whole if r[0] == i] for i in exp} == exp
+    monkeypatch.setattr(EX, "INCIDENT_ROWS", 7)
+    monkeypatch.setattr(EX, "EXAMPLE_ROWS", 9)
+    assert found() == whole
+
+
 def test_blank_documents_do_not_count(spark):
     blank = DOCS + [(900, ""), (901, "  "), (902, None)]
     found = [TF.docs_only_index(spark.createDataFrame(d, "doc_id long, text string"), "doc_id", "text")[1].orderBy("term").collect()
