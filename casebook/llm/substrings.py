@@ -5,12 +5,15 @@ bytes that also starts elsewhere.
 key is the least hash of the ``SEED``-byte strings in it, so equal windows have
 equal keys.  A run of windows with one key is a segment, stored as (row, start,
 number of windows, key, hash of its text); about one in 70 bytes starts one.
-Keys that occur once hold no repeated window and go (count and join by key,
-both partially aggregated or split where skewed).
+Equal windows inside one segment (periodic text) have the key's string at two
+places; a segment that has is marked ``inner``.  Keys that occur once, in a
+segment without the mark, hold no repeated window and go (count and join by
+key, both partially aggregated or split where skewed).
 
 *Groups.*  Segments of one key and text are one, with a weight.  A key with a
-single text has only repeated windows.  The texts of the others are fetched
-once each, and keys are dealt to tasks.
+single text of weight two or more has only repeated windows.  The texts of the
+others, lone marked ones too, are fetched once each, and keys are dealt to
+tasks.
 
 *Burrows-Wheeler transform.*  A task joins the segments of whole groups up to
 ``BLOCK_BYTES``, sorts their suffixes, and expands intervals breadth first: the
@@ -25,9 +28,9 @@ windows, repeated if its weight is two or more.
 which share a core but not their surroundings.  The windows of a group of more
 than ``GROUP_ROWS`` segments get a longer key: the least hash of strings half
 way or more between the last length and ``MIN_LENGTH``.  Equal windows still have equal
-keys, and fewer others do.  Segments that are alone are done, groups of one text
-are repeated as a whole, the others go on
-until groups are small or the strings are as long as the windows, where those
+keys, and fewer others do.  Segments that are alone are done (marked
+ones after expansion), groups of one text are repeated as a whole, the others
+go on until groups are small or the strings are as long as the windows, where those
 of a group are equal.  Nothing is dropped.
 
 Rows are named by 96 bits of hash of id and text (repeated rows are one name
@@ -94,11 +97,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(block: TextBlock, length: int, seed: int) -> tuple[np.ndarray, ...]:
     """(text number, start in it, windows, key) of the block's segments."""
+    return marked_segments(block, length, seed)[:4]
+
+
+def marked_segments(block: TextBlock, length: int, seed: int) -> tuple[np.ndarray, ...]:
+    """``segments``, and whether each may hold equal windows: of two that are
+    equal, p bytes apart, the first p windows have one that starts with the
+    key's string, the last p one that ends with it, at different places."""
     reach = length - seed + 1
     hashes = seed_hashes(block.data, seed)
     size = np.diff(block.offsets)
     if len(hashes) < reach or size.max(initial=0) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, bool))
     key = sliding_min(hashes, reach)
     step = np.zeros(len(block.data) + 1, np.int8)
     of = np.flatnonzero(size >= length)
@@ -115,7 +125,13 @@ def segments(block: TextBlock, length: int, seed: int) -> tuple[np.ndarray, ...]
     start = np.repeat(valid[first], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * reach
     left = np.repeat(valid[first] + count, parts) - start
     text = np.searchsorted(block.offsets, start, "right") - 1
-    return text, start - block.offsets[text], np.minimum(left, reach), key[start]
+    n = np.minimum(left, reach)
+    opens = np.append(np.flatnonzero(hashes[:len(key)] == key), len(key))
+    closes = np.append(-1, np.flatnonzero(hashes[reach - 1:] == key))
+    low = opens[np.searchsorted(opens[:-1], start)]
+    high = closes[np.searchsorted(closes[1:], start + n)]
+    inner = (low < start + n) & (high >= start) & (low < high + reach - 1)
+    return text, start - block.offsets[text], n, key[start], inner
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,8 +141,8 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def all_segments(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(ra, rb, start, n, h, s) of every segment: row name, place, windows,
-    key, hash of the segment's text."""
+    """(ra, rb, start, n, h, s, inner) of every segment: row name, place,
+    windows, key, hash of the segment's text, mark."""
     def run(batches):
         import xxhash
 
@@ -134,7 +150,7 @@ def all_segments(rows: DataFrame, length: int, seed: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for lo, _, block in text_blocks(batch.column(2)):
-                text, start, n, key = segments(block, length, seed)
+                text, start, n, key, inner = marked_segments(block, length, seed)
                 if not len(text):
                     continue
                 raw, at = block.data.tobytes(), (block.offsets[text] + start)
@@ -142,10 +158,10 @@ def all_segments(rows: DataFrame, length: int, seed: int) -> DataFrame:
                 of = pa.array(text + lo)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32)),
-                     pa.array(n.astype(np.int16)), pa.array(key.view(np.int64)), pa.array(s.view(np.int64))],
-                    names=["ra", "rb", "start", "n", "h", "s"])
+                     pa.array(n.astype(np.int16)), pa.array(key.view(np.int64)), pa.array(s.view(np.int64)), pa.array(inner)],
+                    names=["ra", "rb", "start", "n", "h", "s", "inner"])
 
-    return rows.select("ra", "rb", "text").mapInArrow(run, "ra bigint, rb int, start int, n smallint, h bigint, s bigint")
+    return rows.select("ra", "rb", "text").mapInArrow(run, "ra bigint, rb int, start int, n smallint, h bigint, s bigint, inner boolean")
 
 
 # ---------------------------------------------------------------------------
@@ -258,29 +274,30 @@ def refine(parts: DataFrame, length: int, seed: int) -> DataFrame:
             h, s, at, weight, texts = (c.to_pylist() for c in batch.columns)
             data = np.frombuffer(b"".join(texts), np.uint8)
             block = TextBlock(data, np.cumsum([0, *map(len, texts)]), np.zeros(len(texts), bool))
-            of, start, n, key = segments(block, length, seed)
+            of, start, n, key, inner = marked_segments(block, length, seed)
             take = lambda x: [x[k] for k in of.tolist()]
             cut = [texts[k][a:a + m + length - 1] for k, a, m in zip(of.tolist(), start.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(take(h), pa.int64()), pa.array(take(s), pa.int64()),
                  pa.array((np.array(take(at), np.int64) + start).astype(np.int32)), pa.array(take(weight), pa.int64()),
-                 pa.array(cut, pa.binary())], names=["k", "h", "s", "at", "weight", "text"])
+                 pa.array(cut, pa.binary()), pa.array(inner)], names=["k", "h", "s", "at", "weight", "text", "inner"])
 
     return parts.select("h", "s", "at", "weight", "text").mapInArrow(
-        run, "k bigint, h bigint, s bigint, at int, weight bigint, text binary")
+        run, "k bigint, h bigint, s bigint, at int, weight bigint, text binary, inner boolean")
 
 
 def repeated_segments(parts: DataFrame, length: int, seed: int, group_rows: int) -> DataFrame:
-    """(h, s, at, n) of all parts (k, h, s, at, weight, text), whose keys k
+    """(h, s, at, n) of all parts (k, h, s, at, weight, text, inner), whose keys k
     come from strings of ``seed`` bytes."""
     found = []
     while True:
         text = F.xxhash64("text")
-        groups = parts.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"),
-                                        (F.min(text) == F.max(text)).alias("same"))
-        live = parts.join(groups.where("total > 1"), "k")
+        groups = parts.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("total"), F.max("inner").alias("inner"),
+                                        ((F.min(text) == F.max(text)) & (F.sum("weight") > 1)).alias("same"))
+        groups = groups.where("total > 1 or inner").drop("inner")
+        live = parts.join(groups, "k")
         hot = (F.col("rows") > group_rows) & ~F.col("same")
-        # one text only: all its windows are repeated
+        # one text only, twice or more: all its windows are repeated
         found.append(live.where("same").select("h", "s", "at", (F.length("text") - (length - 1)).alias("n")))
         found.append(expand_groups(live.where((F.col("rows") <= group_rows) & ~F.col("same")), length))
         if groups.where(hot).isEmpty():
@@ -330,9 +347,9 @@ def _needed(rows: DataFrame, names: DataFrame, wanted: bool = True) -> DataFrame
 
 
 def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(k, h, s, at, weight, text) of the segments in ``wanted`` (ra, rb,
-    start, n, h, s, weight)."""
-    lists = staged(wanted.groupBy("ra", "rb").agg(F.collect_list(F.struct("start", "n", "h", "s", "weight")).alias("of")), "wanted")
+    """(k, h, s, at, weight, text, inner) of the segments in ``wanted`` (ra, rb,
+    start, n, h, s, weight, inner)."""
+    lists = staged(wanted.groupBy("ra", "rb").agg(F.collect_list(F.struct("start", "n", "h", "s", "weight", "inner")).alias("of")), "wanted")
     texts = _needed(rows.select("ra", "rb", "text"), lists).dropDuplicates(["ra", "rb"])
     both = texts.join(lists, ["ra", "rb"]).select("text", "of")
 
@@ -345,24 +362,25 @@ def _fetch(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     [pa.array([x["h"] for x in got], pa.int64()), pa.array([x["h"] for x in got], pa.int64()),
                      pa.array([x["s"] for x in got], pa.int64()), pa.array([0] * len(got), pa.int32()),
                      pa.array([x["weight"] for x in got], pa.int64()),
-                     pa.array([raw[x["start"]:x["start"] + x["n"] + length - 1] for x in got], pa.binary())],
-                    names=["k", "h", "s", "at", "weight", "text"])
+                     pa.array([raw[x["start"]:x["start"] + x["n"] + length - 1] for x in got], pa.binary()),
+                     pa.array([x["inner"] for x in got], pa.bool_())],
+                    names=["k", "h", "s", "at", "weight", "text", "inner"])
 
-    return both.mapInArrow(run, "k bigint, h bigint, s bigint, at int, weight bigint, text binary")
+    return both.mapInArrow(run, "k bigint, h bigint, s bigint, at int, weight bigint, text binary, inner boolean")
 
 
 def repeated_runs(rows: DataFrame, length: int, seed: int, group_rows: int) -> DataFrame:
     """(ra, rb, runs): of each row that has any, the runs of repeated windows
     as array<struct<start, n>>."""
     found = all_segments(rows, length, seed)
-    keys = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    keys = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("inner").alias("inner")).where("c > 1 or inner").select("h")
     held = staged(found.join(keys, "h"), "segments")
-    texts = held.groupBy("h", "s").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("ra", "rb", "start", "n")).alias("one"))
+    texts = held.groupBy("h", "s").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("ra", "rb", "start", "n", "inner")).alias("one"))
     texts = staged(texts.select("h", "s", "weight", "one.*"), "texts")
     kinds = texts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     marked = texts.join(kinds, "h")
-    single = marked.where("kinds = 1").select("h", "s", F.lit(0).cast("int").alias("at"), F.col("n").cast("int"))
-    parts = staged(_fetch(rows, marked.where("kinds > 1").drop("kinds"), length), "parts")
+    single = marked.where("kinds = 1 and weight > 1").select("h", "s", F.lit(0).cast("int").alias("at"), F.col("n").cast("int"))
+    parts = staged(_fetch(rows, marked.where("kinds > 1 or weight = 1").drop("kinds"), length), "parts")
     repeated = staged(single.unionAll(repeated_segments(parts, length, seed, group_rows)), "repeated")
     placed = held.select("ra", "rb", "h", "s", "start").join(repeated, ["h", "s"])
     return staged(placed.groupBy("ra", "rb").agg(F.collect_list(

@@ -75,6 +75,21 @@ def test_operator(spark, length, seed, group_rows, n_docs):
     assert got == want and any(r[2] for r in want)
 
 
+@pytest.mark.parametrize("length,seed,group_rows", [(200, 64, 400), (24, 8, 400), (24, 8, 1)])
+def test_repeats_inside_one_segment(spark, length, seed, group_rows):
+    rng = random.Random(length + group_rows)
+    noise = lambda: "".join(rng.choice("ABCDEFGH") for _ in range(20))
+    rows = [(0, "x" * (length + 50)), (1, "abcde" * (length // 4)), (2, "0123456789 a line of forty bytes, again\n" * 7)]
+    for k in range(80):  # some cores are in many texts, so their groups are refined
+        period = "".join(rng.choice("pqrst") for _ in range(rng.randint(1, 15)))
+        run = (period * length)[:length + rng.randint(0, length // 2)]
+        rows.append((10 + k, noise() + (run if k % 2 else run[:9] + "common core" * 2 + run) + noise()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in S.substring_duplicates(df, length=length, seed=seed, group_rows=group_rows).collect()], key=str)
+    want = brute(rows, length)
+    assert got == want and all(r[2] for r in want if r[0] in (0, 1))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.substring_duplicates(df).count() == 0
