@@ -12,8 +12,9 @@ class is part of the template if it is on at least two pages, once on each;
 such classes nest by their paths.  What lies directly in a container is its
 slot.  The host's article slot is the token of a template class that is named
 an article best (article or main tag, role, class or id), or else has the most
-changing text.  Slots with the same text on three or more pages hold fixed
-text of the template.
+changing text.  Slots whose text is the same on all their pages, while these
+pages have three or more different article texts, hold fixed text of the
+template; copies and repeated rows of a page have one article text.
 
 *Extraction.*  From a page, the blocks inside the article slot are kept, less
 those in containers that are no article text by tag, role, class or id (menus,
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import staged, text_blocks
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
                         |<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S | re.X)
@@ -58,7 +59,7 @@ NO_TEXT_WORDS = frozenset("""ad ads advert adverts advertisement adslot adbox ba
     respond replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe
     signup login share sharing social related recommended widget toolbar pagination pager copyright skip search form""".split())
 ARTICLE_WORDS = ("article", "post", "story", "entry", "content", "main", "text", "body")
-FIXED_PAGES = 3
+FIXED_TEXTS = 3
 
 
 @dataclass
@@ -189,7 +190,7 @@ def host_of(url) -> F.Column:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, article, fixed) of each host with a template, from (page, host,
-    html)."""
+    html); fixed are the slots with one text on three rows or more."""
     def run(batches):
         for batch in batches:
             for lo, _, block in text_blocks(batch.column(2)):
@@ -212,7 +213,7 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = vectors.where(once).groupBy("host", "pages", "vector").agg(
         # the class's best named token; of equal ones that with more text, then the outer one
         F.max(F.struct("rank", "chars", (-F.length("token")).alias("short"), "token")).alias("best"),
-        F.collect_set(F.when(F.col("same") & (F.col("text_hash") != 0) & (F.col("pages") >= FIXED_PAGES), F.col("token"))).alias("fixed"))
+        F.collect_set(F.when(F.col("same") & (F.col("text_hash") != 0) & (F.col("pages") >= FIXED_TEXTS), F.col("token"))).alias("fixed"))
     return classes.groupBy("host").agg(
         F.max(F.struct(F.col("best.rank"), F.when(F.col("best.rank") > 0, F.col("best.chars")).otherwise(0).alias("chars"),
                        F.col("best.token"))).alias("best"),
@@ -220,11 +221,34 @@ def templates(pages: DataFrame) -> DataFrame:
         "host", F.when(F.col("best.rank") > 0, F.col("best.token")).alias("article"), "fixed")
 
 
+def fixed_slots(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, fixed): of the slots in ``known`` (host, article, fixed), those
+    on pages with ``FIXED_TEXTS`` different article texts or more."""
+    asked = pages.select("host", "html").join(known.where(F.size("fixed") > 0), "host").select("host", "html", "article", "fixed")
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, block in text_blocks(batch.column(1)):
+                hosts, articles, fixed = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (0, 2, 3))
+                rows = []
+                for text, host, article, of in zip(block.texts(), hosts, articles, fixed):
+                    if on := {s[-1].token for t, s in read_page(text) if t and s}.intersection(of):
+                        digest = hashlib.blake2b(main_text(text, article, frozenset()).encode("utf-8", "replace"), digest_size=16).digest()
+                        rows += [(host, token, digest) for token in on]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                    list(zip(*rows)) or [[]] * 3, (pa.string(), pa.string(), pa.binary()))], names=["host", "token", "article_text"])
+
+    found = asked.mapInArrow(run, "host string, token string, article_text binary").distinct()
+    return (found.groupBy("host", "token").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= FIXED_TEXTS)
+            .groupBy("host").agg(F.collect_list("token").alias("fixed")))
+
+
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, n_chars."""
     rows = df.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                      F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", host_of("url"))
-    known = templates(rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "html"))
+    known = staged(templates(rows.select(F.xxhash64("page_id", "url").alias("page"), "host", "html")), "templates")
+    known = known.select("host", "article").join(fixed_slots(rows, known), "host", "left")
     with_template = rows.join(known, "host", "left").select("page_id", "url", "html", "article", "fixed")
     kind = rows.schema["page_id"].dataType.simpleString()
 

@@ -74,3 +74,17 @@ def test_slots_and_clutter(spark):
         "", "", "plain <text> only", "a\nb", "in here"]
     assert got[25, "http://e.example/"].n_chars == 250000 - 1
     assert H.extract_main_text(df).count() == len(rows) and H.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_make_article_text_fixed(spark):
+    rows = [(k, f"http://a.example/{k}", page(0, "<article><section><p>One story<table><tr><td>cell</table></section></article>")) for k in range(4)]
+    rows += [(10, "http://b.example/1", page(0, "<div id=c><p>Only text</div>"))] * 3
+    for k in range(6):  # three articles, and three copies of a fourth with containers of its own
+        body = f"Story {k}" if k < 3 else "Quoting<blockquote>said often</blockquote><ul><li>point</ul>"
+        rows.append((20 + k, f"http://c.example/{k}", page(k, f"<article><p>{body}<div class=q>Read on</div></article>")))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = H.extract_main_text(df).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows)
+    assert {text[k] for k in range(4)} == {"One story\ncell"} and text[10] == "Only text"
+    assert [text[20 + k] for k in range(6)] == ["Story 0", "Story 1", "Story 2"] + ["Quoting\nsaid often\npoint"] * 3
