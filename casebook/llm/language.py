@@ -8,14 +8,18 @@ descent); the family level sets one family against another.  A level's winner
 has the most won duels, then the largest sum of margins.
 
 Training rows are labelled documents with letters outside the held-out quarter.  The fit
-takes at most ``SAMPLE_PER_LANG`` documents of a language, those with the
-smallest hash of their id, and at most ``MAX_LANGS`` languages, the most
-frequent ones; it takes their whole texts.  So the rows that reach the driver
-are bounded by these parameters whatever the size of the corpus; everything is
-predicted for all documents.
+takes documents of every labelled language, those with the smallest hash of
+their id: at most ``SAMPLE_PER_LANG`` of each, and an equal share of
+``SAMPLE_ROWS`` for all together, but one of each at least; it takes their
+whole texts.  So the rows that reach the driver are bounded by these
+parameters, or the number of languages, whatever the size of the corpus;
+everything is predicted for all documents.  The machines are fitted on the
+driver, in time and number as the square of the languages (families, and
+languages of one family).
 
 Cases: a null text or one without letters is ``und`` with score 0; so is every
-text if there is no training row; with one language that one is predicted; a
+text if there is no training row (``drop_unknown`` then keeps the texts with
+letters); with one language that one is predicted; a
 row without id is neither held out nor trained on; texts of any length count
 whole; repeated rows each get their row; an empty table gives an empty result;
 other columns are not read.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, TextBlock, byte_table, fresh, map_text, text_blocks
 
 SAMPLE_PER_LANG = 250
-MAX_LANGS = 24
+SAMPLE_ROWS = 6000
 BUCKETS = 4096
 HELD_OUT = 2
 UNKNOWN = "und"
@@ -173,17 +177,19 @@ def _remainder(id_col: str):
 
 
 def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-              sample_per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+              sample_per_lang: int = SAMPLE_PER_LANG, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of the labelled rows of ``df`` that are not held out."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                      F.col(f"`{text_col}`").cast("string").alias("text"),
                      _remainder(id_col).alias("part")).where((F.col("part") != HELD_OUT) & F.col("lang").isNotNull()
                                                              & F.col("text").isNotNull())
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    langs = rows.agg(F.countDistinct("lang").alias("langs"))
+    share = F.greatest(F.lit(1), F.least(F.lit(sample_per_lang), F.floor(F.lit(sample_rows) / F.col("langs"))))
     first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (rows.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(langs), "lang", "left_semi")
-              .distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_lang).select("id", "lang"))
-    # at most sample_per_lang * max_langs rows, so small enough to broadcast
+    chosen = (rows.select("id", "lang", F.xxhash64("id").alias("h"))
+              .distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_lang)
+              .crossJoin(F.broadcast(langs)).where(F.col("n") <= share).select("id", "lang"))
+    # at most sample_rows rows, or one a language, so small enough to broadcast
     sample = rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "lang", "text")
 
     def run(batches):
@@ -226,9 +232,16 @@ def predict_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_unknown(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``df`` without the rows whose text has no language (``und``)."""
+    """``df`` without the rows whose text has no language (``und``); without
+    a model, those whose text has no letter."""
     names = df.columns
     mark = fresh("lang_pred", names)
-    found = identify(df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(mark)),
-                     fit_model(df, id_col, text_col, lang_col), mark, names)
-    return found.where(F.col(f"`{found.columns[len(names)]}`") != UNKNOWN).select(*[F.col(f"`{c}`") for c in names])
+    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(mark))
+    model = fit_model(df, id_col, text_col, lang_col)
+    if model is None:
+        found = map_text(source, mark, names, [("letters", "boolean")], lambda: lambda block: [pa.array(has_letters(block))])
+        known = F.col(f"`{found.columns[len(names)]}`")
+    else:
+        found = identify(source, model, mark, names)
+        known = F.col(f"`{found.columns[len(names)]}`") != UNKNOWN
+    return found.where(known).select(*[F.col(f"`{c}`") for c in names])

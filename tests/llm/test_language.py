@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -47,3 +48,23 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.predict_languages(unlabelled).collect()} <= {"und"}
     kept = L.drop_unknown(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+
+
+def test_every_label_is_learnt(spark):
+    langs = [x for group in L.FAMILIES.values() for x in group.split()][:30]
+    word = lambda k: "".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    assert len({word(k) for k in range(30)}) == 30
+    rows = [(100 * k + j, " ".join([word(k)] * (3 + j)), lang) for k, lang in enumerate(langs) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit_model(df, sample_rows=60)
+    assert sorted(x for level in model.languages for x in level.names) == sorted(langs)
+    right = {r.doc_id: r.lang_pred for r in L.identify(df, model).collect()}
+    assert sum(right[d] == lang for d, _, lang in rows) > 0.97 * len(rows)
+    assert sorted(x for level in L.fit_model(df, sample_rows=1).languages for x in level.names) == sorted(langs)
+
+
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "clean text", None), (2, "日本", None), (3, "12 ...", None), (4, None, None), (5, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS letters")
+    kept = L.drop_unknown(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
