@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_main, language, licenses, secrets, sentencepiece_codec, simhash, substrings, topk
+from . import (chat, decontaminate, fim, html_main, language, licenses, secrets, sentencepiece_codec, simhash, substrings,
+               token_counts, topk)
 from .common import table
 
 
@@ -52,6 +53,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so every distinct text is encoded here."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_exact_topk, op4_chat_formatting, op5_sentencepiece, op6_secret_scan,
-                                 op7_language_id, op8_html_main_text, op9_decontamination, op10_suffix_dedup)}
-ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL}
+                                 op7_language_id, op8_html_main_text, op9_decontamination, op10_suffix_dedup, op11_token_counts, op13_fill_in_middle)}
+ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL,
+           "op13_fill_in_middle": fim.ORACLE_SQL}
