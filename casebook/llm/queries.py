@@ -4,9 +4,10 @@ same, the DuckDB statement of each."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (chat, decontaminate, fim, html_main, language, licenses, secrets, sentencepiece_codec, simhash, substrings,
-               token_counts, topk)
+from . import (chat, decontaminate, fim, hard_negatives, html_main, language, licenses, secrets, sentencepiece_codec, simhash,
+               substrings, token_counts, topk)
 from .common import table
 
 
@@ -60,11 +61,18 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", changed), lambda vec_id: vec_id % 100 == 0)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_exact_topk, op4_chat_formatting, op5_sentencepiece, op6_secret_scan,
-                                 op7_language_id, op8_html_main_text, op9_decontamination, op10_suffix_dedup, op11_token_counts, op13_fill_in_middle)}
+                                 op7_language_id, op8_html_main_text, op9_decontamination, op10_suffix_dedup, op11_token_counts, op12_hard_negatives,
+                                 op13_fill_in_middle)}
 ORACLES = {"op3_exact_topk": topk.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL,
-           "op13_fill_in_middle": fim.ORACLE_SQL}
+           "op12_hard_negatives": hard_negatives.ORACLE_SQL, "op13_fill_in_middle": fim.ORACLE_SQL}
