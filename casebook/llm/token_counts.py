@@ -161,10 +161,14 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     key = fresh("content", [id_col, *names])
     rows = staged(df.select(col(id_col), F.octet_length(text).cast("bigint").alias(names[0]), content.alias(key)), "token-rows")
 
-    missing = rows.select(F.col(key).alias("content")).distinct().join(cache.counts(version), "content", "left_anti")
+    digests = rows.select(F.col(key).alias("content")).distinct()
+    missing = digests.join(cache.counts(version), "content", "left_anti")
     texts = once_a_task(df.select(content.alias("content"), F.coalesce(normalise(text), F.lit("")).alias("text")))
     chosen = texts.join(missing, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
     cache.append(encode(chosen, tokenizer), version)
 
-    counts = cache.counts(version).select(F.col("content").alias(key), F.col("n_tokens").alias(names[1]))
+    # Two written tables meet in this join, so adaptive execution can split a
+    # content that many rows share.
+    counts = staged(digests.join(cache.counts(version), "content").select(
+        F.col("content").alias(key), F.col("n_tokens").alias(names[1])), "token-counts")
     return rows.join(counts, key).select(col(id_col), names[0], names[1], (F.col(names[1]) > limit).alias(names[2]))
