@@ -382,9 +382,12 @@ def repeated_runs(rows: DataFrame, length: int, seed: int, group_rows: int) -> D
     single = marked.where("kinds = 1 and weight > 1").select("h", "s", F.lit(0).cast("int").alias("at"), F.col("n").cast("int"))
     parts = staged(_fetch(rows, marked.where("kinds > 1 or weight = 1").drop("kinds"), length), "parts")
     repeated = staged(single.unionAll(repeated_segments(parts, length, seed, group_rows)), "repeated")
-    placed = held.select("ra", "rb", "h", "s", "start").join(repeated, ["h", "s"])
-    return staged(placed.groupBy("ra", "rb").agg(F.collect_list(
-        F.struct((F.col("start") + F.col("at")).alias("start"), "n")).alias("runs")), "runs")
+    # One row a segment (at most as many runs as it has windows), so the join
+    # gives one row for each of ``held``; rows of one name have equal runs.
+    of_segment = repeated.groupBy("h", "s").agg(F.collect_list(F.struct("at", "n")).alias("of"))
+    placed = held.select("ra", "rb", "h", "s", "start").join(of_segment, ["h", "s"])
+    moved = F.transform("of", lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["n"].alias("n")))
+    return staged(placed.groupBy("ra", "rb").agg(F.flatten(F.collect_set(moved)).alias("runs")), "runs")
 
 
 def _digest(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int, int, int, str]:

@@ -93,3 +93,13 @@ def test_repeats_inside_one_segment(spark, length, seed, group_rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.substring_duplicates(df).count() == 0
+
+
+@pytest.mark.parametrize("copies", [50, 200])
+def test_equal_rows_have_the_runs_of_one(spark, copies):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    near = [(k, text[:700] + str(k) + text[700:]) for k in range(20)]
+    rows = S._rows(spark.createDataFrame([(7, text)] * copies + near, "doc_id long, text string"), "doc_id", "text")
+    runs = S.repeated_runs(rows, S.MIN_LENGTH, S.SEED, S.GROUP_ROWS).collect()
+    assert len(runs) == 21 and max(len(r["runs"]) for r in runs) <= 60
