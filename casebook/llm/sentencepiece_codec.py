@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from .common import TextBlock, map_text
 
 MARK = "▁"
-CACHE_RUNS = 150_000
+CACHE_RUNS = 250_000
 CACHE_RUN_CHARS = 48
 SHORT_RUN = 64
 NO_PIECE = 1 << 24
@@ -78,6 +78,19 @@ class CharMap:
         return (unit >> 10) << ((unit & 0x200) >> 6)
 
 
+class Letters(dict):
+    """The number of each character: its piece, or ``NO_PIECE`` and its code."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, c: str) -> int:
+        got = self.ids.get(c, NO_PIECE + ord(c))
+        self[c] = got
+        return got
+
+
 class Codec:
     """Encoder and decoder of one model file's bytes (byte-pair models)."""
 
@@ -106,6 +119,7 @@ class Codec:
         self.end = control.get(trainer.eos_piece or "</s>", trainer.eos_id)
         self.runs: dict[str, tuple[bytes, bytes, str]] = {}  # newer half of the cache
         self.older: dict[str, tuple[bytes, bytes, str]] = {}
+        self.letters = Letters(self.ids)
         self.pair_rank, self.pair_id = {}, {}
         for piece, i in self.ids.items():
             for k in range(1, len(piece)):
@@ -158,7 +172,8 @@ class Codec:
         if len(run) > SHORT_RUN:
             return [self.letter(x) if len(x) == 1 else self.ids[x] for x in self._merge_long(run)]
         rank, none = self.pair_rank.get, math.inf
-        parts = [self.letter(c) for c in run]
+        letters = self.letters
+        parts = [letters[c] for c in run]
         ranks = [rank(a * PAIR + b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != none:
             k = ranks.index(best)
@@ -171,7 +186,7 @@ class Codec:
         return parts
 
     def letter(self, c: str) -> int:
-        return self.ids.get(c, NO_PIECE + ord(c))
+        return self.letters[c]
 
     def _merge_long(self, run: str) -> list[str]:
         """The same with a heap, for runs of any length."""
@@ -317,13 +332,25 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+_codecs: dict[bytes, Codec] = {}
+
+
+def worker_codec(model: bytes) -> Codec:
+    """The codec of this model, made once in a Python worker, so that tasks
+    share its cache of runs."""
+    key = hashlib.sha256(model).digest()
+    if key not in _codecs:
+        _codecs[key] = Codec(model)
+    return _codecs[key]
+
+
 def encode_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ids (array<long>), span_starts and span_ends (byte offsets in
     the original text), and the decoded text."""
     model = model_bytes(model_path)
 
     def make():
-        codec = Codec(model)
+        codec = worker_codec(model)
 
         def work(block: TextBlock) -> list[pa.Array]:
             got = [codec.encode(t) for t in block.texts()]
@@ -344,7 +371,7 @@ def digest_documents(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
     model = model_bytes(model_path)
 
     def make():
-        codec = Codec(model)
+        codec = worker_codec(model)
 
         def work(block: TextBlock) -> list[pa.Array]:
             n, ids_hash, text_hash, spans_hash = [], [], [], []
