@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import terms as TM
+from ..operators import lsh as LSH
 from ..operators import tfidf as TF
 from ..operators import vectors as V
 from ..session import read_table
@@ -184,6 +185,15 @@ def q_memory_knn(spark, sf_dir):
     return r.select("q_id", "i_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@register("memory_knn_lsh")
+def q_memory_knn_lsh(spark, sf_dir):
+    """J9 for large stores: the same search by tuned hashing, so a row may lack
+    a neighbour (wanted recall 0.95); the tests hold it against the exact one."""
+    e = read_table(spark, sf_dir, "embeddings")
+    r = LSH.lsh_knn(e, "vec_id", "embedding", e, "vec_id", "embedding", 3, exclude_self=True)
+    return r.select("q_id", "i_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @register("vector_db_roundtrip", """
 SELECT 'kb/vec_' || CAST(vec_id AS VARCHAR) || '.md' AS article_path, CAST(len(embedding) AS INTEGER) AS dims,
        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS checksum
