@@ -30,6 +30,7 @@ Plan shape
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ from ..session import cut_lineage
 DOC_ENTRIES = 1_000_000  # (document, term) entries of a document block
 QUERY_ENTRIES = 100_000  # (query, term) entries of a query block
 MIN_BLOCKS = 4
+BLOCK_DOCS = 512  # documents of a block of the pruned index
+SEED_BLOCKS = 2  # blocks that set a query's k-th score
+LOOKUP_TERMS = 1000  # a batch of up to so many terms looks them up by a filter
 
 
 def _stop_table(spark, stopwords=None) -> DataFrame:
@@ -147,39 +151,24 @@ def key_order(keys: pa.ChunkedArray) -> np.ndarray:
     return place
 
 
-def _blocked(rows: DataFrame, entries: int) -> int:
+def _blocked(rows: DataFrame, entries: int, least: int = MIN_BLOCKS) -> int:
     """How many blocks the rows are dealt into."""
     n = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
-    return max(MIN_BLOCKS, math.ceil(n / entries))
+    return max(least, math.ceil(n / entries))
 
 
-def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str, k: int,
-                last_first: bool = False) -> DataFrame:
-    """The ``k`` best documents of every query: ``(query, doc, score, rank)``.
-
-    ``index(doc_key, terms, w, norm | corr, base)`` and ``queries(q_key,
-    terms, w, norm)`` have one row per key.  The score is the sum of products
-    over shared terms, over both norms; an index with ``base`` has
-    ``sqrt(base + sum of corr over shared terms)`` for its norm.  Only scores
-    above 0 count; ties go to the smaller document key (``last_first``: the
-    larger)."""
-    nd, nq = _blocked(index, DOC_ENTRIES), _blocked(queries, QUERY_ENTRIES)
-    weighted = "base" in index.columns
-    d = (index.withColumn("_d", F.pmod(F.xxhash64(doc_key), F.lit(nd)))
-         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(doc_key).alias("key"), "terms", "w",
-                 *(["corr", "base"] if weighted else ["norm"])))
-    q = (queries.withColumn("_q", F.pmod(F.xxhash64(q_key), F.lit(nq)))
-         .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
-         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(q_key).alias("key"), "terms", "w", "norm"))
-    keys = [(n, t.schema["key"].dataType.simpleString()) for n, t in (("q", q), ("d", d))]
+def block_scorer(k: int, last_first: bool = False):
+    """The ``k`` best documents of a block for each query of a block, as tables
+    of (key, terms, w, norm | corr, base).  A query costs the postings of its
+    terms, not the block's documents."""
 
     def best(qs: pa.Table, ds: pa.Table) -> pa.Table:
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         if qs.num_rows and ds.num_rows:
-            n, posted = ds.num_rows, Postings(ds["terms"])
+            posted = Postings(ds["terms"])
             place = key_order(ds["key"]) * (-1 if last_first else 1)
             owner, weight = posted.owner, entries_of(ds, "w")[posted.order]
+            weighted = "base" in ds.column_names
             if weighted:
                 corr, base = entries_of(ds, "corr")[posted.order], ds["base"].to_numpy()
             else:
@@ -188,22 +177,47 @@ def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str,
             for i, hits in enumerate(posted.hits(qs["terms"])):
                 if not hits:
                     continue
-                at = np.concatenate([owner[a:b] for a, b, _ in hits])
-                score = np.bincount(at, np.concatenate([weight[a:b] * q_weight[x] for a, b, x in hits]), n)
+                of, at = np.unique(np.concatenate([owner[a:b] for a, b, _ in hits]), return_inverse=True)
+                score = np.bincount(at, np.concatenate([weight[a:b] * q_weight[x] for a, b, x in hits]))
                 if weighted:
-                    score /= np.sqrt(base + np.bincount(at, np.concatenate([corr[a:b] for a, b, _ in hits]), n))
-                of = np.flatnonzero(score > 0)
-                level = np.round(score[of], 12)
+                    score /= np.sqrt(base[of] + np.bincount(at, np.concatenate([corr[a:b] for a, b, _ in hits])))
+                of, score = of[score > 0], score[score > 0]
+                level = np.round(score, 12)
                 if len(of) > k:  # all that tie with the k-th stay for the order by key
                     few = level >= np.partition(level, len(of) - k)[len(of) - k]
-                    of, level = of[few], level[few]
-                of = of[np.lexsort((place[of], -level))[:k]]
-                found.append((i, of, score[of]))
+                    of, score, level = of[few], score[few], level[few]
+                order = np.lexsort((place[of], -level))[:k]
+                found.append((i, of[order], score[order]))
         rows = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
         cols = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         return pa.table({"q": qs["key"].take(pa.array(rows)), "d": ds["key"].take(pa.array(cols)),
                          "score": pa.array(np.concatenate([f[2] for f in found]) if found else [], pa.float64())})
 
+    return best
+
+
+def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str, k: int,
+                last_first: bool = False) -> DataFrame:
+    """The ``k`` best documents of every query: ``(query, doc, score, rank)``.
+
+    ``index(doc_key, terms, w, norm | corr, base)`` and ``queries(q_key,
+    terms, w, norm)`` have one row per key.  The score is the sum of products
+    over shared terms, over both norms; an index with ``base`` has
+    ``sqrt(base + sum of corr over shared terms)`` for its norm.  Only scores
+    above 0 count; ties go to the smaller document key (``last_first``: the
+    larger)."""
+    nd, nq = _blocked(index, DOC_ENTRIES), _blocked(queries, QUERY_ENTRIES)
+    weighted = "base" in index.columns
+    d = (index.withColumn("_d", F.pmod(F.xxhash64(doc_key), F.lit(nd)))
+         .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(doc_key).alias("key"), "terms", "w",
+                 *(["corr", "base"] if weighted else ["norm"])))
+    q = (queries.withColumn("_q", F.pmod(F.xxhash64(q_key), F.lit(nq)))
+         .withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(nd - 1))))
+         .select((F.col("_q") * nd + F.col("_d")).alias("block"), F.col(q_key).alias("key"), "terms", "w", "norm"))
+    keys = [(n, t.schema["key"].dataType.simpleString()) for n, t in (("q", q), ("d", d))]
+
+    best = block_scorer(k, last_first)
     got = q.groupBy("block").cogroup(d.groupBy("block")).applyInArrow(
         best, ", ".join(f"{n} {t}" for n, t in keys) + ", score double")
     got = got.select(F.col("q").alias(q_key), F.col("d").alias(doc_key), "score")
@@ -224,11 +238,109 @@ def fallback_search(docs: DataFrame, doc_key: str, doc_text: str,
                     queries: DataFrame, q_key: str, q_text: str,
                     k: int, max_df: float = 0.9, stopwords=None) -> DataFrame:
     """TF-IDF fitted on the documents only; cosine of L2 rows; keep the
-    top ``k`` positive scores per query (ties: lower document key first)."""
+    top ``k`` positive scores per query (ties: lower document key first).  For
+    one batch; an index that many batches probe is a ``PrunedIndex``."""
     index, vocab = docs_only_index(docs, doc_key, doc_text, max_df, stopwords)
     return probe_docs_only(index, vocab, doc_key, queries, q_key, q_text, k, stopwords)
 
 
+# ---------------------------------------------------------------------------
+# Pruned index: blocks of documents with the largest weight of each term
+# ---------------------------------------------------------------------------
+@dataclass
+class PrunedIndex:
+    """A stored index that any number of query batches probe.
+
+    ``blocks``: (block, key, terms, w, norm), in the order of the blocks.  A
+    document's block comes from its heaviest term, so documents about the same
+    thing, copies first of all, stand together; a block of more than twice
+    ``BLOCK_DOCS`` is split by the hash of the key.  ``maxima``: (term, block,
+    top), in the order of the terms, the largest normalised weight of a term in a
+    block.  ``vocab``: (term, idf)."""
+
+    blocks: DataFrame
+    maxima: DataFrame
+    vocab: DataFrame
+    doc_key: str
+
+    @staticmethod
+    def build(docs: DataFrame, doc_key: str, doc_text: str, max_df: float = 0.9, stopwords=None,
+              block_docs: int = BLOCK_DOCS) -> PrunedIndex:
+        """A7(i) as ``docs_only_index``, stored in blocks."""
+        return PrunedIndex.of(*docs_only_index(docs, doc_key, doc_text, max_df, stopwords), doc_key, block_docs)
+
+    @staticmethod
+    def of(index: DataFrame, vocab: DataFrame, doc_key: str, block_docs: int = BLOCK_DOCS) -> PrunedIndex:
+        heaviest = F.array_max(F.transform(F.arrays_zip("w", "terms"), lambda x: F.struct(x["w"], x["terms"])))["terms"]
+        n = max(1, math.ceil(index.count() / block_docs))
+        rows = index.select(F.col(doc_key).alias("key"), "terms", "w", "norm", F.pmod(F.xxhash64(heaviest), F.lit(n)).alias("_b"))
+        sizes = rows.groupBy("_b").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (2 * block_docs))).cast("long").alias("_n"))
+        block = F.col("_b") * F.lit(1 << 24) + F.pmod(F.xxhash64("key"), F.col("_n"))
+        rows = rows.join(sizes, "_b").select(block.alias("block"), "key", "terms", "w", "norm")
+        blocks = cut_lineage(rows.repartitionByRange("block").sortWithinPartitions("block"), "tfidf-blocks")
+        entries = blocks.select("block", "norm", F.explode(F.arrays_zip("terms", "w")).alias("e"))
+        tops = entries.groupBy(F.col("e.terms").alias("term"), "block").agg(F.max(F.col("e.w") / F.col("norm")).alias("top"))
+        maxima = cut_lineage(tops.repartitionByRange("term").sortWithinPartitions("term"), "tfidf-maxima")
+        return PrunedIndex(blocks, maxima, vocab, doc_key)
+
+    def probe(self, queries: DataFrame, q_key: str, q_text: str, k: int, stopwords=None) -> DataFrame:
+        """R4 query side: ``(query, doc, score, rank)``, the same rows as
+        ``probe_docs_only``."""
+        counts = term_counts(queries, q_key, q_text, stopwords)
+        w = F.col("tf") * F.col("idf")
+        qv = _query_vectors(counts.join(self.vocab, "term").select(q_key, "term", w.alias("w"), w.alias("n")), q_key)
+        return self.top_k(qv, q_key, k)
+
+    def top_k(self, queries: DataFrame, q_key: str, k: int) -> DataFrame:
+        """The ``k`` best documents of each query vector (q_key, terms, w, norm).
+
+        1. Over the block maxima of its terms a query's score in a block has an
+           upper bound; blocks without one of its terms have no row.
+        2. The ``SEED_BLOCKS`` blocks of the largest bounds are scored, and the
+           k-th score is what a document has to reach.
+        3. Of the others the blocks are scored whose bound reaches it."""
+        q = queries.select(F.col(q_key).alias("q"), "terms", "w", "norm")
+        bounds = cut_lineage(self.bounds(q), "tfidf-bounds")
+        order = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
+        seeds = cut_lineage(bounds.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SEED_BLOCKS)
+                            .select("q", "block"), "tfidf-seeds")
+        first = cut_lineage(self.scored(q, seeds, k), "tfidf-first")
+        kth = (top_k(first, "q", [F.desc(F.round("score", 12)), F.asc("d")], k).groupBy("q")
+               .agg(F.count(F.lit(1)).alias("held"), F.min("score").alias("kth")).filter(F.col("held") == k))
+        rest = self.reaching(bounds.join(seeds, ["q", "block"], "left_anti"), kth)
+        got = first.unionByName(self.scored(q, rest, k))
+        got = got.select(F.col("q").alias(q_key), F.col("d").alias(self.doc_key), "score")
+        return top_k(got, q_key, [F.desc(F.round("score", 12)), F.asc(self.doc_key)], k)
+
+    def bounds(self, q: DataFrame) -> DataFrame:
+        """(q, block, bound) of the blocks that hold one of the query's terms.
+        A small batch's terms are a filter that the stored order lets skip."""
+        asked = q.select("q", "norm", F.explode(F.arrays_zip("terms", "w")).alias("e")).select(
+            "q", F.col("e.terms").alias("term"), (F.col("e.w") / F.col("norm")).alias("qw"))
+        terms = [r[0] for r in asked.select("term").distinct().limit(LOOKUP_TERMS + 1).collect()]
+        maxima = self.maxima if len(terms) > LOOKUP_TERMS else self.maxima.filter(F.col("term").isin(terms))
+        return asked.join(maxima, "term").groupBy("q", "block").agg(F.sum(F.col("qw") * F.col("top")).alias("bound"))
+
+    @staticmethod
+    def reaching(bounds: DataFrame, kth: DataFrame) -> DataFrame:
+        """The (q, block) whose bound reaches the query's k-th score; a little
+        slack for the rounding of sums keeps all ties."""
+        return bounds.join(kth, "q", "left").filter(F.col("bound") >= F.coalesce("kth", F.lit(0.0)) - 1e-9).select("q", "block")
+
+    def scored(self, q: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        """(q, d, score): up to ``k`` rows of each (q, block) pair.  Queries of a
+        block are dealt into sets, so a block that all queries want is several
+        groups."""
+        sets = _blocked(q, QUERY_ENTRIES, 1)
+        pairs = cut_lineage(pairs.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(sets))), "tfidf-pairs")
+        wanted = pairs.select(F.col("block").alias("block"), F.col("part").alias("part")).distinct()
+        left = pairs.join(q, "q").select("block", "part", F.col("q").alias("key"), "terms", "w", "norm")
+        right = self.blocks.join(wanted, "block").select("block", "part", "key", "terms", "w", "norm")
+        kinds = [f"{n} {t.schema['key'].dataType.simpleString()}" for n, t in (("q", left), ("d", right))]
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(
+            block_scorer(k), ", ".join(kinds) + ", score double")
+
+
 def query_fit_search(docs: DataFrame, doc_key: str, doc_text: str,
                      queries: DataFrame, q_key: str, q_text: str,
                      k: int = 5, max_features: int = 1000, stopwords=None) -> DataFrame:

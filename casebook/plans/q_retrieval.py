@@ -112,6 +112,15 @@ def q_tfidf_fallback_search(spark, sf_dir):
     return r.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+@register("tfidf_pruned_search", _r4_sql(CANDIDATES))
+def q_tfidf_pruned_search(spark, sf_dir):
+    """R4 over the stored index with block maxima (A7 i, J6)."""
+    docs = read_table(spark, sf_dir, "documents")
+    qs = read_table(spark, sf_dir, "benchmark")
+    r = TF.PrunedIndex.build(docs, "doc_id", "text").probe(qs, "item_id", "text", CANDIDATES)
+    return r.select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 # --------------------------------------------------------------------------- R5
 @register("tfidf_search", f"""
 WITH dtf AS ({term_counts_sql('documents', 'doc_id', 'text')}),
