@@ -14,6 +14,7 @@ from ..operators import vectors as V
 from ..session import ensure_checkpoint_dir, read_table
 from ..sinks import writers as W
 from ..sources import readers as RD
+from ..sources.section_csv import redacted_files
 from . import sqltext as S
 from .q_activity import ops
 from .q_retrieval import EMB_SQL, cos_sql
@@ -207,3 +208,49 @@ def q_timing_report_roundtrip(spark, sf_dir):
         F.lit("slowest").alias("section"), "session_ts", "category", F.col("operation_id").alias("operations"),
         F.round("duration", 6).alias("seconds"))
     return cats.unionByName(slow)
+
+
+# --------------------------------------------------------------------------- S2 / W5 / W10 / F-2
+def _section_files(spark, sf_dir) -> str:
+    """Every document in a section of its own, ``FILE_ROWS`` documents a file:
+    opened with a stale row, closed by a nameless mark, opened again with the
+    row that counts (and a second one where the id leaves 4 by 7).  The file ends
+    with an authored summary, redacted in every third file."""
+    d = read_table(spark, sf_dir, "documents")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    name = F.concat(F.lit("--- Document "), F.col("doc_id").cast("string"), F.lit(" ---\n"))
+    piece = F.concat(name, F.lit("Id,Text\nstale,row\n---\nId,Text\nno,section\n"), name, F.lit("Id,Text,Lang\n"),
+                     F.col("doc_id").cast("string"), F.lit(","), quoted(F.coalesce("text", F.lit(""))), F.lit(","),
+                     F.coalesce("lang", F.lit("")), F.when(F.col("doc_id") % 7 == 4, F.lit("\n,** REDACTED **")).otherwise(F.lit("")))
+    rows = d.select(F.floor(F.col("doc_id") / FILE_ROWS).alias("block"), F.struct("doc_id", piece.alias("p")).alias("p"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["p"]), "\n")
+    summary = F.when(F.first("block") % 3 == 0, F.lit("** redacted **")).otherwise(F.lit("fine"))
+    out = _folder(spark, "sections")
+    _files(_documents_of(rows, "block", F.concat(text, F.lit("\n--- Authored summary ---\nSummary\n"), summary)), "block", out)
+    return out
+
+
+@register("section_csv_reopened", """
+SELECT 'Document ' || CAST(doc_id AS VARCHAR) AS section, 0 AS row_no, CAST(doc_id AS VARCHAR) AS id,
+       md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS lang, 0 AS bad_rows
+FROM documents
+UNION ALL
+SELECT 'Document ' || CAST(doc_id AS VARCHAR), 1, '', md5('** REDACTED **'), NULL, 0 FROM documents WHERE doc_id % 7 = 4
+""")
+def q_section_csv_reopened(spark, sf_dir):
+    """Files of many sections, nameless and opened again, read in
+    splits; whole cells."""
+    s = RD.multi_section_csv(spark, _section_files(spark, sf_dir), cell_cap=None).filter(F.col("section") != "Authored summary")
+    row = F.col("row")
+    return s.select("section", "row_no", row["Id"].alias("id"), F.md5(row["Text"].cast("binary")).alias("text_md5"),
+                    row["Lang"].alias("lang"), "bad_rows")
+
+
+@register("section_csv_redaction", f"""
+SELECT CAST(doc_id // {FILE_ROWS} AS VARCHAR) AS block, (doc_id // {FILE_ROWS}) % 3 = 0 AS redacted
+FROM documents GROUP BY doc_id // {FILE_ROWS}
+""")
+def q_section_csv_redaction(spark, sf_dir):
+    """F-2 over section files: any cell of the authored summary."""
+    r = redacted_files(spark, _section_files(spark, sf_dir))
+    return r.select(F.regexp_extract("path", r"block=([^/]+)/", 1).alias("block"), "redacted")
