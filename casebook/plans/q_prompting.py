@@ -137,7 +137,7 @@ def _tok_sql(x):
 
 CALLS_SQL = f"""
 SELECT incident_id, source AS model, lang AS prompt_type, {_tok_sql("concat_ws(chr(10), system_prompt, enhanced_prompt, text)")}
-         AS input_tokens, {_tok_sql(S.article_summary('text'))} AS output_tokens
+         AS input_tokens, {_tok_sql('text')} AS output_tokens
 FROM ({BUILD_SQL})
 """
 
@@ -145,7 +145,7 @@ FROM ({BUILD_SQL})
 def calls(spark, sf_dir):
     b = built(spark, sf_dir).withColumnRenamed("text", "conversation")
     m = PR.assemble_messages(b)
-    m = m.withColumn("output_tokens", SC.token_count(T.article_summary(F.col("conversation"))))
+    m = m.withColumn("output_tokens", SC.token_count(F.col("conversation")))
     return PR.usage(m.select("incident_id", F.col("source").alias("model"), F.col("lang").alias("prompt_type"),
                              "input_tokens", "output_tokens"))
 
@@ -158,7 +158,7 @@ FROM ({CALLS_SQL})
 """)
 def q_llm_cost(spark, sf_dir):
     """P30 + P13 + P14: messages, token estimates and cost per call (the
-    reply stand-in is each document's summary)."""
+    reply stand-in is each document's whole text)."""
     c = calls(spark, sf_dir)
     return c.select("incident_id", "model", "prompt_type", "input_tokens", "output_tokens", "total_tokens",
                     F.round("cost", 8).alias("cost"))

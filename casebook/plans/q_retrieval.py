@@ -24,39 +24,39 @@ def term_counts_sql(table: str, key: str, text: str, where: str = "") -> str:
 
 # --------------------------------------------------------------------------- R1
 @register("jaccard_overlap", f"""
-WITH t AS (SELECT DISTINCT conv_id, role, unnest({S.term_set('text')}) AS term FROM conversations
-           WHERE role IN ('user', 'assistant')),
-n AS (SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS n_user_terms,
-             count(*) FILTER (WHERE role = 'assistant') AS n_assistant_terms FROM t GROUP BY conv_id),
+WITH t AS (SELECT DISTINCT conv_id, coalesce(role = 'user', FALSE) AS own, unnest({S.term_set('text')}) AS term
+           FROM conversations),
+n AS (SELECT conv_id, count(*) FILTER (WHERE own) AS n_user_terms,
+             count(*) FILTER (WHERE NOT own) AS n_other_terms FROM t GROUP BY conv_id),
 sh AS (SELECT a.conv_id, count(*) AS shared FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.term = b.term
-       AND a.role = 'user' AND b.role = 'assistant' GROUP BY a.conv_id)
-SELECT n.conv_id, n_user_terms, n_assistant_terms, coalesce(shared, 0) AS shared_terms,
-       CASE WHEN n_user_terms = 0 OR n_assistant_terms = 0 THEN 0.0
-            ELSE round(coalesce(shared, 0)::DOUBLE / (n_user_terms + n_assistant_terms - coalesce(shared, 0)), 6)
+       AND a.own AND NOT b.own GROUP BY a.conv_id)
+SELECT n.conv_id, n_user_terms, n_other_terms, coalesce(shared, 0) AS shared_terms,
+       CASE WHEN n_user_terms = 0 OR n_other_terms = 0 THEN 0.0
+            ELSE round(coalesce(shared, 0)::DOUBLE / (n_user_terms + n_other_terms - coalesce(shared, 0)), 6)
        END AS jaccard
 FROM n LEFT JOIN sh USING (conv_id)
 """)
 def q_jaccard_overlap(spark, sf_dir):
-    """R1 between the user side and the assistant side of every conversation.
+    """R1 between the user's turns and all other turns of every conversation.
     Set sizes and the intersection are counted from (conv, side, term) rows,
     so no conversation's text is gathered into one value."""
-    c = read_table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
-    t = c.select("conv_id", "role", F.explode(TM.term_set(F.col("text"))).alias("term")).distinct()
-    n = t.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_user_terms"),
-                                 F.count_if(F.col("role") == "assistant").alias("n_assistant_terms"))
-    a = t.filter(F.col("role") == "user").select("conv_id", "term")
-    b = t.filter(F.col("role") == "assistant").select("conv_id", "term")
+    own = F.coalesce(F.col("role") == "user", F.lit(False)).alias("own")
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", own, F.explode(TM.term_set(F.col("text"))).alias("term")).distinct()
+    n = t.groupBy("conv_id").agg(F.count_if("own").alias("n_user_terms"),
+                                 F.count_if(~F.col("own")).alias("n_other_terms"))
+    a = t.filter("own").select("conv_id", "term")
+    b = t.filter("not own").select("conv_id", "term")
     sh = a.join(b, ["conv_id", "term"]).groupBy("conv_id").agg(F.count(F.lit(1)).alias("shared_terms"))
     j = n.join(sh, "conv_id", "left").fillna(0, ["shared_terms"])
-    jac = F.when((F.col("n_user_terms") == 0) | (F.col("n_assistant_terms") == 0), F.lit(0.0)).otherwise(
-        F.round(F.col("shared_terms") / (F.col("n_user_terms") + F.col("n_assistant_terms") - F.col("shared_terms")), 6))
-    return j.select("conv_id", "n_user_terms", "n_assistant_terms", "shared_terms", jac.alias("jaccard"))
+    jac = F.when((F.col("n_user_terms") == 0) | (F.col("n_other_terms") == 0), F.lit(0.0)).otherwise(
+        F.round(F.col("shared_terms") / (F.col("n_user_terms") + F.col("n_other_terms") - F.col("shared_terms")), 6))
+    return j.select("conv_id", "n_user_terms", "n_other_terms", "shared_terms", jac.alias("jaccard"))
 
 
 # --------------------------------------------------------------------------- A6
 @register("pair_tfidf", f"""
 WITH a AS ({term_counts_sql('conversations', 'conv_id', 'text', "WHERE role = 'user'")}),
-b AS ({term_counts_sql('conversations', 'conv_id', 'text', "WHERE role = 'assistant'")}),
+b AS ({term_counts_sql('conversations', 'conv_id', 'text', "WHERE coalesce(role <> 'user', TRUE)")}),
 sa AS (SELECT conv_id, sum(tf * tf) AS sa FROM a GROUP BY conv_id),
 sb AS (SELECT conv_id, sum(tf * tf) AS sb FROM b GROUP BY conv_id),
 sh AS (SELECT conv_id, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sha, sum(b.tf * b.tf) AS shb
@@ -69,10 +69,10 @@ m AS (SELECT conv_id, dot, sqrt(sha + (1 + ln(1.5)) * (1 + ln(1.5)) * (sa - sha)
 SELECT conv_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE dot / (na * nb) END, 6) AS pair_tfidf FROM m
 """)
 def q_pair_tfidf(spark, sf_dir):
-    """A6 between the user side and the assistant side of every conversation."""
+    """A6 between the user's turns and all other turns of every conversation."""
     c = read_table(spark, sf_dir, "conversations")
     a = TF.term_counts(c.filter(F.col("role") == "user"), "conv_id", "text")
-    b = TF.term_counts(c.filter(F.col("role") == "assistant"), "conv_id", "text")
+    b = TF.term_counts(c.filter(F.coalesce(F.col("role") != "user", F.lit(True))), "conv_id", "text")
     return TF.pair_cosine(a, b, "conv_id").select("conv_id", F.round("pair_tfidf", 6).alias("pair_tfidf"))
 
 

@@ -150,19 +150,21 @@ def q_truncate_text(spark, sf_dir):
     )
 
 
+DOC_PATH_SQL = "source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || '-guide.md'"
+
+
 @register("title_from_path", f"""
-SELECT page_id, url, {S.title_from_path('url')} AS title,
-       {S.title_from_path("source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || '-guide.md'")} AS doc_title
-FROM pages JOIN documents ON doc_id = page_id
+SELECT 'page' AS kind, page_id AS id, url AS path, {S.title_from_path('url')} AS title FROM pages
+UNION ALL
+SELECT 'document', doc_id, {DOC_PATH_SQL}, {S.title_from_path(DOC_PATH_SQL)} FROM documents
 """)
 def q_title_from_path(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages")
-    d = read_table(spark, sf_dir, "documents")
+    """P7 of every page's address and every document's path."""
+    p = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("path"))
     path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("_"), F.col("doc_id").cast("string"),
                     F.lit("-guide.md"))
-    return (p.join(d, p.page_id == d.doc_id)
-            .select("page_id", "url", T.title_from_path(F.col("url")).alias("title"),
-                    T.title_from_path(path).alias("doc_title")))
+    d = read_table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), path.alias("path"))
+    return p.unionByName(d).withColumn("title", T.title_from_path(F.col("path")))
 
 
 @register("article_summary", f"""
