@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import range_parts
 from .tfidf import top_k
 
 
@@ -47,13 +48,16 @@ def slowest_per_category(ops: DataFrame, n: int, category: str = "category", dur
 
 
 # --------------------------------------------------------------------------- sequences
-def neighbour(df: DataFrame, key: str, order_cols, value: Column, bucket: Column, direction: str = "next",
+def neighbour(df: DataFrame, key: str, order_cols, value: Column, bucket: Column | None = None, direction: str = "next",
               out: str = "neighbour") -> DataFrame:
     """Exact per-key ``lead`` (direction='next') or ``lag`` ('prev') of
     ``value`` in ``order_cols`` order, computed in two levels by ``bucket``
-    (a monotone coarsening of the first order column)."""
+    (a monotone coarsening of the first order column).  Without ``bucket`` the
+    rows are dealt by range of (key, order), so a key whose rows share one
+    bucket, or one time, spreads too."""
     order = [F.col(c) for c in order_cols]
-    d = df.withColumn("_b", bucket).withColumn("_v", value)
+    d = range_parts(df, key, order_cols, "_b") if bucket is None else df.withColumn("_b", bucket)
+    d = d.withColumn("_v", value)
     w = Window.partitionBy(key, "_b").orderBy(*order)
     if direction == "next":
         d = d.withColumn("_in", F.lead("_v").over(w))
@@ -85,7 +89,7 @@ def epoch_seconds_of(df: DataFrame, ts: str) -> Column:
     return epoch_seconds(ts, dict(df.dtypes)[ts])
 
 
-def gap_to_next(events: DataFrame, key: str, ts: str, tiebreak: str, bucket: Column) -> DataFrame:
+def gap_to_next(events: DataFrame, key: str, ts: str, tiebreak: str, bucket: Column | None = None) -> DataFrame:
     """Seconds from each entry to the next entry of the same key (null
     for the last)."""
     secs = epoch_seconds_of(events, ts)
@@ -93,7 +97,7 @@ def gap_to_next(events: DataFrame, key: str, ts: str, tiebreak: str, bucket: Col
     return n.withColumn("gap_seconds", F.col("_next_s") - secs).drop("_next_s")
 
 
-def ownership_changes(events: DataFrame, key: str, ts: str, tiebreak: str, team: str, bucket: Column,
+def ownership_changes(events: DataFrame, key: str, ts: str, tiebreak: str, team: str, bucket: Column | None = None,
                       context: Column | None = None, reason: Column | None = None) -> DataFrame:
     """Rows where the owning team differs from the previous entry's team.
     ``context`` (the entry's text) and ``reason`` come from the entry that

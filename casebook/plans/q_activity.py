@@ -65,7 +65,7 @@ def q_slowest_per_category(spark, sf_dir):
 
 def gaps(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    return A.gap_to_next(e, "user_id", "ts", "event_id", F.date_trunc("hour", "ts"))
+    return A.gap_to_next(e, "user_id", "ts", "event_id")
 
 
 GAPS_SQL = """SELECT event_id, user_id, event_type, ts, value,
@@ -121,7 +121,7 @@ WHERE from_team IS NOT NULL AND from_team <> to_team
 def q_ownership_change(spark, sf_dir):
     """Team hand-overs per incident (two-level lag)."""
     e = read_table(spark, sf_dir, "events")
-    o = A.ownership_changes(e, "user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts"))
+    o = A.ownership_changes(e, "user_id", "ts", "event_id", "event_type")
     return o.select("event_id", "user_id", "from_team", "to_team", "change_type")
 
 

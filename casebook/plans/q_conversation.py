@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conversation as C
+from ..operators import ordered as OR
 from ..session import read_table
 from . import inputs as I
 from . import sqltext as S
@@ -100,6 +101,15 @@ def q_unified_content(spark, sf_dir):
     return C.unified_content(t)
 
 
+def _plan_texts(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    b = (F.col("incident_id") / BATCH).cast("long")
+    firsts = t.groupBy(b.alias("batch_id")).agg(F.min("incident_id").alias("_first"))
+    return t.withColumn("batch_id", b).join(firsts, "batch_id").select(
+        "batch_id", F.col("incident_id").alias("ordinal"), "incident_id", "conversation_text",
+        F.when(F.col("incident_id") == F.col("_first"), F.lit("primary")).otherwise(F.lit("historical")).alias("role"))
+
+
 @register("plan_content", f"""
 WITH t AS (SELECT incident_id // {BATCH} AS batch_id, incident_id, conversation_text,
                   CASE WHEN incident_id = min(incident_id) OVER (PARTITION BY incident_id // {BATCH})
@@ -119,13 +129,62 @@ FROM t p JOIN n USING (batch_id) LEFT JOIN h USING (batch_id) WHERE p.role = 'pr
 def q_plan_content(spark, sf_dir):
     """A5 + J8 + F-11: the first incident of each batch is primary, the rest
     historical; only batches with at least two incidents."""
-    t = _texts(spark, sf_dir)
-    b = (F.col("incident_id") / BATCH).cast("long")
-    firsts = t.groupBy(b.alias("batch_id")).agg(F.min("incident_id").alias("_first"))
-    t = t.withColumn("batch_id", b).join(firsts, "batch_id").select(
-        "batch_id", F.col("incident_id").alias("ordinal"), "incident_id", "conversation_text",
-        F.when(F.col("incident_id") == F.col("_first"), F.lit("primary")).otherwise(F.lit("historical")).alias("role"))
-    return C.plan_content(t)
+    return C.plan_content(_plan_texts(spark, sf_dir))
+
+
+CHUNK_TEXTS = 2  # texts of a chunk here; a batch of five is three chunks
+
+
+@register("unified_content_chunks", f"""
+WITH t AS ({CONV_TEXT_SQL}),
+p AS (SELECT incident_id // {BATCH} AS batch_id, incident_id, conversation_text,
+             row_number() OVER (PARTITION BY incident_id // {BATCH} ORDER BY incident_id) - 1 AS pos FROM t)
+SELECT batch_id, CAST(pos // {CHUNK_TEXTS} AS INTEGER) AS chunk,
+       string_agg(CASE WHEN pos > 0 THEN chr(10) || chr(10) ELSE '' END || '=== Incident ' || CAST(incident_id AS VARCHAR)
+                  || ' ===' || chr(10) || conversation_text, '' ORDER BY pos) AS text
+FROM p GROUP BY batch_id, pos // {CHUNK_TEXTS}
+""")
+def q_unified_content_chunks(spark, sf_dir):
+    """A4 written as ordered chunks: no batch is one value."""
+    t = _texts(spark, sf_dir).select(
+        (F.col("incident_id") / BATCH).cast("long").alias("batch_id"), F.col("incident_id").alias("ordinal"),
+        "incident_id", "conversation_text")
+    return OR.unified_chunks(t, chunk_rows=CHUNK_TEXTS)
+
+
+@register("plan_content_chunks", f"""
+WITH t AS ({CONV_TEXT_SQL}),
+p AS (SELECT incident_id // {BATCH} AS batch_id, incident_id, conversation_text,
+             row_number() OVER (PARTITION BY incident_id // {BATCH} ORDER BY incident_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY incident_id // {BATCH}) AS n FROM t)
+SELECT batch_id, CAST(pos // {CHUNK_TEXTS} AS INTEGER) AS chunk,
+       string_agg(CASE WHEN pos = 0 THEN '=== PRIMARY INCIDENT ' || CAST(incident_id AS VARCHAR) || ' ===' || chr(10)
+                            || conversation_text || chr(10) || chr(10)
+                       ELSE CASE WHEN pos = 1 THEN '=== HISTORICAL REFERENCE INCIDENTS ===' || chr(10) ELSE chr(10) || chr(10) END
+                            || '=== Historical Incident ' || CAST(incident_id AS VARCHAR) || ' ===' || chr(10)
+                            || conversation_text END, '' ORDER BY pos) AS text
+FROM p WHERE n >= 2 GROUP BY batch_id, pos // {CHUNK_TEXTS}
+""")
+def q_plan_content_chunks(spark, sf_dir):
+    """A5 written as ordered chunks."""
+    return OR.plan_chunks(_plan_texts(spark, sf_dir), chunk_rows=CHUNK_TEXTS)
+
+
+@register("plan_batches", f"""
+WITH t AS (SELECT incident_id // {BATCH} AS batch_id, incident_id FROM ({CONV_TEXT_SQL}) WHERE incident_id % {BATCH} <> 0
+           OR incident_id // {BATCH} % 3 > 0)
+SELECT batch_id, count(*) AS incidents, count(*) FILTER (WHERE incident_id % {BATCH} = 0) AS primaries,
+       CASE WHEN count(*) < 2 THEN 'Troubleshooting plan mode requires at least 2 incidents'
+            WHEN count(*) FILTER (WHERE incident_id % {BATCH} = 0) = 0 THEN 'Primary incident not found' END AS refused
+FROM t GROUP BY batch_id
+""")
+def q_plan_batches(spark, sf_dir):
+    """F-11: every batch with the reason for which it makes no plan; every third
+    one has lost its primary incident."""
+    i = F.col("incident_id")
+    t = _texts(spark, sf_dir).filter((i % BATCH != 0) | (F.floor(i / BATCH) % 3 > 0))
+    role = F.when(i % BATCH == 0, F.lit("primary")).otherwise(F.lit("historical"))
+    return OR.plan_batches(t.select((i / BATCH).cast("long").alias("batch_id"), role.alias("role")))
 
 
 @register("authored_summary", """

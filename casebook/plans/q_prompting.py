@@ -331,7 +331,7 @@ WHERE from_team IS NOT NULL AND from_team <> to_team
 def q_serialize_ownership(spark, sf_dir):
     """W7 + P36: hand-overs with context, confidence and reason as JSON records."""
     e = read_table(spark, sf_dir, "events")
-    o = A.ownership_changes(e, "user_id", "ts", "event_id", "event_type", F.date_trunc("hour", "ts"), F.col("props"),
+    o = A.ownership_changes(e, "user_id", "ts", "event_id", "event_type", None, F.col("props"),
                             F.when(F.col("value") > 50, F.lit("escalation")))
     o = o.withColumnRenamed("user_id", "incident_id").withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return PR.serialize_ownership(o)
