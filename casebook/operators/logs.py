@@ -43,6 +43,19 @@ def select_newest(files: DataFrame) -> DataFrame:
     return out.join(latest_an, ["incident_id", "date_folder", "analyzer_folder"])
 
 
+def wanted_files(listing: DataFrame, requested: DataFrame | None = None, names=None) -> DataFrame:
+    """S10 + J14: of a listing (no contents) the files that an analysis reads:
+    the key files and nested logs of the newest folders of the requested
+    incidents."""
+    if requested is not None:
+        listing = parse_paths(listing).join(requested.select("incident_id").distinct(), "incident_id", "left_semi") \
+            .select(*listing.columns)
+    names = K.KEY_LOG_FILES if names is None else names
+    chosen = select_newest(listing)
+    return chosen.filter(((F.col("depth") == 1) & F.col("file_name").isin(*names))
+                         | ((F.col("depth") > 1) & F.col("file_name").endswith(".log")))
+
+
 def key_files(selected: DataFrame, names=None, head_cap: int | None = None) -> DataFrame:
     """Key files directly inside the chosen folder; whole, or with
     ``head_cap`` their first characters only."""

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import logs as LG
 from . import sqltext as S
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table
+from ..sources import readers as RD
 from .inputs import INJECTED_DOCUMENTS_SQL, injected_documents
-from .registry import register
+from .registry import ORACLES, register
 
 INNER = K.KEY_LOG_FILES + ["nested", "notes.md"]
 
@@ -154,3 +155,57 @@ def q_logs_prompt_content(spark, sf_dir):
     """Ordered prompt sections built from the chosen log files."""
     s = _sel(spark, sf_dir)
     return LG.logs_prompt_content(LG.key_files(s), LG.nested_logs(s))
+
+
+# --------------------------------------------------------------------------- S10 / J14
+@register("requested_logs", f"""
+SELECT incident_id, date_folder, analyzer_folder, file_name, kind, CAST(length(content) AS INTEGER) AS chars,
+       md5(content) AS content_md5
+FROM (SELECT * FROM ({KEYS_SQL}) UNION ALL SELECT * FROM ({NESTED_SQL}))
+WHERE incident_id IN (SELECT 'inc' || CAST(item_id AS VARCHAR) FROM benchmark)
+""")
+def q_requested_logs(spark, sf_dir):
+    """S10 + J14: the file tree written below the shared checkpoint folder, the
+    newest folders of the incidents that the benchmark items name chosen from
+    its listing, and only their files read."""
+    import uuid
+
+    parts = ["incident", "date", "analyzer", "inner"]
+    rows = LG.parse_paths(listing(spark, sf_dir))
+    inner = F.regexp_extract("rel", r"^[^/]*/[^/]*/[^/]*/(.*)$", 1)
+    rows = rows.select(F.col("incident_id").alias("incident"), F.col("date_folder").alias("date"),
+                       F.col("analyzer_folder").alias("analyzer"), inner.alias("inner"), F.col("content").alias("value"))
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-logs-{uuid.uuid4().hex}"
+    rows.repartition(*parts).write.partitionBy(*parts).text(root)
+    # folders written by Spark are named column=value, a file is one folder more
+    files = RD.log_listing(spark, root)
+    plain = F.regexp_replace(F.regexp_replace("rel", r"/[^/]*$", ""), r"(^|/)[a-z]+=", "$1")
+    files = files.filter(F.col("rel").contains("/part-")).withColumn("rel", F.replace(plain, F.lit("%2F"), F.lit("/")))
+    asked = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("inc"), F.col("item_id").cast("string")).alias("incident_id"))
+    chosen = cut_lineage(LG.wanted_files(files, asked), "log-choice")
+    read = RD.log_contents(spark, chosen).withColumn("content", F.regexp_replace("content", r"\n\z", ""))
+    both = LG.key_files(read).unionByName(LG.nested_logs(read).select("incident_id", "date_folder", "analyzer_folder", "file_name", "content", "kind"))
+    return both.select("incident_id", "date_folder", "analyzer_folder", "file_name", "kind", F.length("content").alias("chars"),
+                       F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+# --------------------------------------------------------------------------- P35 with all sections
+_ALL_PARTS = f"""UNION ALL SELECT * FROM fa
+UNION ALL SELECT incident_id, 4, '', chr(10) || 'GITHUB REFERENCE:' || chr(10) || arg_min(text, doc_id)
+          FROM (SELECT 'inc' || CAST(doc_id // 27 AS VARCHAR) AS incident_id, doc_id, text FROM ({INJECTED_DOCUMENTS_SQL})
+                WHERE contains(lower(text), 'github.com')) GROUP BY incident_id
+UNION ALL SELECT 'inc' || CAST(item_id AS VARCHAR), -1, '', 'INCIDENT SUMMARY:' || chr(10) || {_cap('text', 1000)}
+          FROM benchmark WHERE coalesce(text, '') <> '')"""
+
+
+@register("logs_prompt_complete", ORACLES["logs_prompt_content"].replace("UNION ALL SELECT * FROM fa)", _ALL_PARTS))
+def q_logs_prompt_complete(spark, sf_dir):
+    """P35 with every section: the incident summary and the first message that
+    mentions a repository, too."""
+    s = _sel(spark, sf_dir)
+    d = injected_documents(spark, sf_dir)
+    messages = d.select(F.concat(F.lit("inc"), F.floor(F.col("doc_id") / 27).cast("string")).alias("incident_id"),
+                        F.col("doc_id").alias("ts"), F.lit(0).alias("pos"), F.col("text").alias("content"))
+    summaries = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("inc"), F.col("item_id").cast("string")).alias("incident_id"), F.col("text").alias("summary"))
+    return LG.logs_prompt_content(LG.key_files(s), LG.nested_logs(s), summaries, messages)

@@ -141,6 +141,27 @@ def test_log_tree(spark, tmp_path):
     assert ins == ["config.txt: Contains policy-related information"]
 
 
+def test_only_the_chosen_logs_are_read(spark, tmp_path):
+    def put(rel, data):
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(data)
+    put("111/01-05/output_a/health.txt", b"old")
+    put("111/02-10/output [b]/health.txt", b"device error")
+    put("111/02-10/output [b]/sub/one/agent.log", b"tail")
+    put("111/02-10/output [b]/picture.png", bytes(range(256)))
+    put("222/02-10/output_b/health.txt", b"not asked for")
+    listing = RD.log_listing(spark, str(tmp_path))
+    assert set(listing.columns) == {"path", "length", "rel"} and listing.count() == 5
+    asked = spark.createDataFrame([("111",), ("333",), ("111",)], "incident_id string")
+    chosen = LG.wanted_files(listing, asked)
+    assert {r.file_name for r in chosen.collect()} == {"health.txt", "agent.log"}
+    read = RD.log_contents(spark, chosen)
+    assert {(r.file_name, r.content) for r in read.collect()} == {("health.txt", "device error"), ("agent.log", "tail")}
+    assert [r.content for r in LG.key_files(read).collect()] == ["device error"]
+    assert RD.log_contents(spark, chosen.limit(0)).count() == 0
+
+
 def test_sinks_write(spark, tmp_path):
     from casebook.operators.screenshots import screenshot_images
 
