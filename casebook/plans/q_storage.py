@@ -254,3 +254,21 @@ def q_section_csv_redaction(spark, sf_dir):
     """F-2 over section files: any cell of the authored summary."""
     r = redacted_files(spark, _section_files(spark, sf_dir))
     return r.select(F.regexp_extract("path", r"block=([^/]+)/", 1).alias("block"), "redacted")
+
+
+# --------------------------------------------------------------------------- K3-K5, K8: repeated runs
+@register("repeated_runs", """
+SELECT lang AS prompt_type, run, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents, (VALUES ('first'), ('second')) AS r(run) WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang, run
+""")
+def q_repeated_runs(spark, sf_dir):
+    """K4 by two runs, the second one repeated as after a failure: every
+    document is there once for each run."""
+    d = read_table(spark, sf_dir, "documents").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = d.select(F.col("lang").alias("prompt_type"), F.array("source").alias("keywords"), F.col("source").alias("category"),
+                    F.col("text").alias("input"), F.col("doc_id").cast("string").alias("output"))
+    out = _folder(spark, "repeated-runs")
+    for run in ("first", "second", "second"):
+        W.example_append(rows, out, run)
+    got = spark.read.parquet(out)
+    return got.groupBy("prompt_type", "run").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("input").cast("long")).alias("chars"))

@@ -2,14 +2,16 @@
 
 Each sink is a distributed DataFrame write (partitioned directories, one
 task per partition); nothing is gathered on the driver.  Append-style sinks
-(examples, memories, timing reports) use ``mode('append')`` so re-runs add
-rows and readers pick the latest per key.
+(results, examples, memories, timing reports) add rows, and readers pick the
+latest per key; with a run's name a repeated run replaces its own rows.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,28 +56,40 @@ def incident_json_sink(conversations: DataFrame, path: str) -> None:
     conversations.write.mode("overwrite").json(path)
 
 
-def result_sink(results: DataFrame, path: str) -> None:
+def append(df: DataFrame, path: str, run: str | None = None, partition_by: tuple = (), fmt: str = "parquet") -> None:
+    """Add rows to a store.  With ``run`` (a name that a repeated run gives
+    again) they have the folder ``run=<name>`` to themselves and replace what it
+    held, so a run that is repeated, whole or after a failure between two sinks,
+    leaves its rows once; other runs are not touched."""
+    if run is None:
+        df.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
+        return
+    if not re.fullmatch(r"[\w.-]+", run):
+        raise ValueError(f"not a folder name: {run!r}")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).format(fmt).save(f"{path}/run={run}")
+
+
+def result_sink(results: DataFrame, path: str, run: str | None = None) -> None:
     """K3: the full record and the slim summary record
     (``ai_summary, prompt_type, operation_time, model_used``) from one
     result table, both partitioned by prompt type.  The results are staged
     first, so that both come from one computation."""
     results = cut_lineage(results, "results")
-    results.write.mode("append").partitionBy("prompt_type").json(f"{path}/processed")
-    (results.select("incident_id", "ai_summary", "prompt_type", "operation_time", "model_used")
-     .write.mode("append").partitionBy("prompt_type").json(f"{path}/summaries"))
+    append(results, f"{path}/processed", run, ("prompt_type",), "json")
+    append(results.select("incident_id", "ai_summary", "prompt_type", "operation_time", "model_used"),
+           f"{path}/summaries", run, ("prompt_type",), "json")
 
 
-def example_append(examples: DataFrame, path: str) -> None:
+def example_append(examples: DataFrame, path: str, run: str | None = None) -> None:
     """K4: append new examples (``prompt_type`` section, keywords, category,
     input, output); a new section is simply a new partition value."""
-    examples.select("prompt_type", "keywords", "category", "input", "output") \
-        .write.mode("append").partitionBy("prompt_type").parquet(path)
+    append(examples.select("prompt_type", "keywords", "category", "input", "output"), path, run, ("prompt_type",))
 
 
-def memory_append(memories: DataFrame, path: str) -> None:
-    """K5: append processed incidents with their vectors and a store time;
-    readers keep the latest row per incident."""
-    memories.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)
+def memory_append(memories: DataFrame, path: str, run: str | None = None, stored_at: Column | None = None) -> None:
+    """K5: append processed incidents with their vectors and a store time (now,
+    or the run's own); readers keep the latest row per incident."""
+    append(memories.withColumn("stored_at", F.current_timestamp() if stored_at is None else stored_at), path, run)
 
 
 def screenshot_sink(images: DataFrame, path: str) -> None:
@@ -92,11 +106,11 @@ def processed_summary_sink(summaries: DataFrame, path: str, text: str = "summary
         .write.mode("overwrite").parquet(path)
 
 
-def timing_report_sink(by_category: DataFrame, slowest: DataFrame, path: str, session_ts: str) -> None:
+def timing_report_sink(by_category: DataFrame, slowest: DataFrame, path: str, session_ts: str, run: str | None = None) -> None:
     """K8: append the category breakdown and the slowest operations of one
     session, keyed by the session timestamp."""
-    by_category.withColumn("session_ts", F.lit(session_ts)).write.mode("append").parquet(f"{path}/by_category")
-    slowest.withColumn("session_ts", F.lit(session_ts)).write.mode("append").parquet(f"{path}/slowest")
+    append(by_category.withColumn("session_ts", F.lit(session_ts)), f"{path}/by_category", run)
+    append(slowest.withColumn("session_ts", F.lit(session_ts)), f"{path}/slowest", run)
 
 
 def gap_report_sink(reports: DataFrame, path: str) -> None:

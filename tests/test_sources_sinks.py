@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from casebook.operators import conversation as C
@@ -212,3 +213,34 @@ def test_more_sinks(spark, tmp_path):
     W.timing_report_sink(cat, cat, str(tmp_path / "k8"), "s1")
     W.timing_report_sink(cat, cat, str(tmp_path / "k8"), "s2")
     assert spark.read.parquet(str(tmp_path / "k8" / "by_category")).select("session_ts").distinct().count() == 2
+
+
+def test_a_repeated_run_leaves_its_rows_once(spark, tmp_path):
+    a = spark.createDataFrame([("t1", ["k"], "c", "x", "y"), ("t2", ["k"], "c", "x", "y")],
+                              "prompt_type string, keywords array<string>, category string, input string, output string")
+    path = str(tmp_path / "examples")
+    W.example_append(a, path, "r1")
+    W.example_append(a, path, "r2")
+    W.example_append(a.limit(1), path, "r2")  # the repeated run has fewer rows: nothing of the first try stays
+    assert sorted((r.run, r.prompt_type) for r in spark.read.parquet(path).collect()) == [("r1", "t1"), ("r1", "t2"), ("r2", "t1")]
+    with pytest.raises(ValueError):
+        W.example_append(a, path, "../r1")
+    m = spark.createDataFrame([(1, [0.5], "a"), (1, [0.5], "b"), (2, [1.0], "c")], "incident_id long, embedding array<double>, note string")
+    store = str(tmp_path / "memories")
+    for _ in range(2):
+        W.memory_append(m, store, "r1", F.lit("2024-01-01").cast("timestamp"))
+    rows = spark.read.parquet(store)
+    assert rows.count() == 3
+    for order in (rows, rows.orderBy("note"), rows.orderBy(F.desc("note"))):
+        assert sorted((r.incident_id, r.note) for r in RD.latest_per_key(order, "incident_id", "stored_at").collect()) == [(1, "b"), (2, "c")]
+
+
+def test_vector_store_parses_once(spark, tmp_path):
+    for name, text in {"a.json": '[{"path": "p1", "title": "T", "embedding": [1, 2.5]}, null, {"url": "u", "embedding": []}]',
+                       "b.json": '{"articles": [{"article_path": "p2", "content": "c", "embedding": "bad"}]}',
+                       "c.json": '{"embeddings": {"p3": [0.5], "p4": null}}', "d.json": "not json", "e.json": "{}"}.items():
+        (tmp_path / name).write_text(text)
+    v = RD.vector_db(spark, str(tmp_path))
+    got = sorted((r.article_path, r.title, r.content, r.embedding) for r in v.collect())
+    assert got == [("p1", "T", None, [1.0, 2.5]), ("p2", None, "c", None), ("p3", None, None, [0.5]), ("p4", None, None, None), ("u", None, None, None)]
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 3 and "from_json" not in v._jdf.queryExecution().toString()
