@@ -148,9 +148,9 @@ def unknown_prompt_types(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """F-6: requested prompt types missing from the catalogue (keys starting
     with ``_`` are not real types)."""
     real = catalog.filter(~F.col("prompt_type").startswith("_")).select("prompt_type")
-    return requests.join(F.broadcast(real), "prompt_type", "left_anti")
+    return requests.join(real, "prompt_type", "left_anti")
 
 
 def attach_prompts(incidents: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Incident ⋈ prompt template (catalogue is small; size-checked broadcast)."""
+    """Incident ⋈ prompt template (the planner broadcasts a small catalogue)."""
     return incidents.join(catalog, "prompt_type")

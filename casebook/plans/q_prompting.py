@@ -208,7 +208,7 @@ def q_prompt_validate(spark, sf_dir):
     bad = EX.unknown_prompt_types(req.distinct(), cat).withColumn("unknown", F.lit(True))
     menu = EX.menu_prompt_types(cat).select("prompt_type").withColumn("in_menu", F.lit(True))
     counts = req.groupBy("prompt_type").agg(F.count(F.lit(1)).alias("requests"))
-    return (counts.join(F.broadcast(bad), "prompt_type", "left").join(F.broadcast(menu), "prompt_type", "left")
+    return (counts.join(bad, "prompt_type", "left").join(menu, "prompt_type", "left")
             .select("prompt_type", "requests", F.coalesce("unknown", F.lit(False)).alias("unknown"),
                     F.coalesce("in_menu", F.lit(False)).alias("in_menu")))
 
@@ -307,7 +307,7 @@ def q_append_team_context(spark, sf_dir):
     """P29 + J13: team context per incident (users as incidents, event types as teams)."""
     kb = spark.createDataFrame(TEAM_KB, "team_name string, responsibilities array<string>, expertise array<string>, "
                                         "capabilities string")
-    return PR.team_context(teams(spark, sf_dir), F.broadcast(kb))
+    return PR.team_context(teams(spark, sf_dir), kb)
 
 
 @register("serialize_team", """
