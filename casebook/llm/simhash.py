@@ -258,11 +258,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     wanted = staged(groups.where("id = least").select("id", "fp").distinct(), "kept")
     made = fingerprints_beside(df, text_col, shingle)
     fp = made.columns[-1]
-    rows = made.select("*", F.lpad(F.lower(F.hex(F.col(f"`{fp}`"))), 16, "0").alias("_key"), F.col(f"`{id_col}`").alias("_id"))
-    with_id = rows.join(wanted, (rows["_key"] == wanted["fp"]) & (rows["_id"] == wanted["id"]), "left_semi")
+    key = fresh("_key", made.columns)
+    own = fresh("_id", [*made.columns, key])
+    rows = made.select("*", F.lpad(F.lower(F.hex(F.col(f"`{fp}`"))), 16, "0").alias(key), F.col(f"`{id_col}`").alias(own))
+    with_id = rows.join(wanted, (rows[key] == wanted["fp"]) & (rows[own] == wanted["id"]), "left_semi")
     roots = _roots_without_id(no_id, threshold, blocks, anchor_rows)
-    without = rows.where(F.col("_id").isNull()).join(roots, rows["_key"] == roots["key"], "left_semi")
-    return (with_id.dropDuplicates(["_key", "_id"]).unionAll(without.dropDuplicates(["_key"]))
+    without = rows.where(F.col(own).isNull()).join(roots, rows[key] == roots["key"], "left_semi")
+    return (with_id.dropDuplicates([key, own]).unionAll(without.dropDuplicates([key]))
             .select(*[F.col(f"`{c}`") for c in names]))
 
 

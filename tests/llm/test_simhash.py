@@ -110,3 +110,12 @@ def test_operator(spark):
     got = sorted([tuple(r) for r in S.near_duplicates(df).collect()], key=str)
     assert got == brute(rows)
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_with_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a", "b", "c", "d"), (2, text, "e", "f", "g", "h"), (None, "quite another text without an id here", "i", "j", "k", "l")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _id string, key string, fp string")
+    got = S.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(r["_key"] for r in got.collect()) == ["a", "i"]
