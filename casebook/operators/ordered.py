@@ -19,9 +19,11 @@ from ..session import cut_lineage
 CHUNK_ROWS = 64
 
 
-def range_parts(df: DataFrame, key: str, order_cols, part: str = "_part") -> DataFrame:
-    """The rows, written once, with the number of their range of (key, order)."""
-    dealt = df.repartitionByRange(F.col(key), *[F.col(c) for c in order_cols])
+def range_parts(df: DataFrame, key: str, order_cols, part: str = "_part", n: int | None = None) -> DataFrame:
+    """The rows, written once, with the number of their range of (key, order);
+    ``n`` ranges, or as many as the shuffle makes."""
+    cols = [F.col(key), *[F.col(c) for c in order_cols]]
+    dealt = df.repartitionByRange(*cols) if n is None else df.repartitionByRange(n, *cols)
     return cut_lineage(dealt.withColumn(part, F.spark_partition_id()), "range-parts")
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut_lineage
+from .section_parts import section_files_sink
 
 
 def section_csv_sink(sections: DataFrame, path: str) -> None:
@@ -28,26 +28,9 @@ def section_csv_sink(sections: DataFrame, path: str) -> None:
 
 def section_csv_text(sections: DataFrame, path: str) -> None:
     """K1, single-file-per-incident layout: blank line, ``--- name ---``,
-    header, rows -- formatted inside each incident's group with the stdlib
-    ``csv`` writer (quoting as the reader expects) and written as text."""
-    import csv
-    import io
-
-    def fmt(pdf: pd.DataFrame) -> pd.DataFrame:
-        buf = io.StringIO()
-        w = csv.writer(buf, lineterminator="\n")
-        for section, g in pdf.sort_values(["section_order", "row_no"]).groupby("section_order", sort=True):
-            name = g["section"].iloc[0]
-            header = list(dict.fromkeys(key for row in g["row"] for key in row))
-            buf.write("\n")
-            w.writerow([f"--- {name} ---"])
-            w.writerow(header)
-            for r in g["row"]:
-                w.writerow([r.get(h, "") for h in header])
-        return pd.DataFrame({"incident_id": [pdf["incident_id"].iloc[0]], "value": [buf.getvalue()]})
-
-    out = sections.groupBy("incident_id").applyInPandas(fmt, "incident_id string, value string")
-    out.write.mode("overwrite").partitionBy("incident_id").text(path)
+    header, rows.  ``section_parts.section_parts_sink`` is the layout for
+    incidents of any size."""
+    section_files_sink(sections, path)
 
 
 def incident_json_sink(conversations: DataFrame, path: str) -> None:
