@@ -322,3 +322,32 @@ def pairwise_requests(pairs: DataFrame) -> DataFrame:
         cols[f"summary_{n}"] = F.coalesce(F.col(f"summary_{n}"), F.lit("No summary available"))
         cols[f"score_{n}"] = F.coalesce(F.col(f"score_{n}"), F.lit(0.0)).cast("string")
     return pairs.withColumn("pairwise_request", fill_template(PAIRWISE_TEMPLATE, cols))
+
+
+# FIXED VALUES — gap analysis request; the topic, a column here, takes the place of a fixed one.
+GAP_TEMPLATE = """
+IMPORTANT: You must analyze the specific incident data provided below. Do NOT generate generic troubleshooting steps.
+
+INCIDENT DATA TO ANALYZE:
+{summary}
+
+TROUBLESHOOTING ARTICLE CONTENT:
+{article}
+
+Your task is to:
+1. Analyze the SPECIFIC incident data above ({topic})
+2. Compare it against the troubleshooting article procedures
+3. Identify gaps and create an execution plan
+
+Focus ONLY on the {topic} described in the incident data. Do NOT analyze network connectivity or any other generic issues.
+"""
+DEFAULT_TOPIC = "issue"
+
+
+def gap_requests(pairs: DataFrame, summary: str = "summary", article: str = "article_text", topic: str | None = None) -> DataFrame:
+    """The gap analysis request of each (incident, article) row; ``topic``
+    names the column that says what the incident is about."""
+    about = F.lit(DEFAULT_TOPIC) if topic is None else F.coalesce(F.nullif(F.col(topic), F.lit("")), F.lit(DEFAULT_TOPIC))
+    cols = {"summary": F.coalesce(F.col(summary), F.lit("No summary available")), "article": F.coalesce(F.col(article), F.lit("")),
+            "topic": about}
+    return pairs.withColumn("gap_request", fill_template(GAP_TEMPLATE, cols))

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 
 MODULES = ["q_text", "q_conversation", "q_findings", "q_retrieval", "q_ranking", "q_prompting",
-           "q_activity", "q_logs", "q_extra", "q_search", "q_gap", "q_storage"]
+           "q_activity", "q_logs", "q_extra", "q_search", "q_gap", "q_storage", "q_files"]
 
 
 def load_all() -> None:
