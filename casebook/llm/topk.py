@@ -12,8 +12,11 @@ exceed, is below its k-th score.  Equal scores keep it reading, since a smaller
 id may still come.  The best k of each block are merged per query.
 
 Cases: vectors that are null, empty or hold null or non-finite components take
-no part; of rows that share an id the smallest vector does; vectors of other
-lengths than the query's are no candidates; fewer than k candidates give as
+no part; rows that share an id are rows of their own, each a candidate for the
+others and each, where its id is asked for, a query of its own (so a query_id can
+come with several answers); equal rows are searched once, with their number, of
+which a search needs no more than k + 1; vectors of other lengths than the
+query's are no candidates; fewer than k candidates give as
 many rows; an empty table gives an empty result; other columns are not read.
 Scores are 64-bit integers.
 """
@@ -41,14 +44,20 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
 
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores) of the k best rows but ``own``, and how deep the
-        lists were read."""
+    def own_row(self, query: np.ndarray, own: int) -> np.ndarray:
+        """Mask of one row that has the id and the vector, if there is any."""
+        mask = np.zeros(len(self.ids), bool)
+        mask[np.flatnonzero((self.ids == own) & (self.vectors == query).all(axis=1))[:1]] = True
+        return mask
+
+    def best(self, query: np.ndarray, own: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, scores) of the k best rows but those of the id ``own`` (or those
+        of the mask ``skip``), and how deep the lists were read."""
         n = len(self.ids)
         small = self.largest * int(np.abs(query).max(initial=0)) * len(query) < 2**53  # exact as doubles
         table, weights = (self.exact, query.astype(np.float64)) if small else (self.vectors, query)
         up, down = np.flatnonzero(query > 0 if query.any() else query == 0), np.flatnonzero(query < 0)
-        seen = self.ids == own
+        seen = self.ids == own if skip is None else skip.copy()
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth, step = 0, 8
         while depth < n:
@@ -71,60 +80,66 @@ class SortedLists:
 
 
 def whole_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, dims): integer vectors of the rows that take part."""
+    """(vec_id, v, n, dims): the distinct integer vectors of each id that take
+    part, with their number of rows."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = df.select(F.col(f"`{id_col}`").alias("vec_id"), x.alias("x")).where(
         F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(finite)
     ints = rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("bigint")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
+    return ints.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")).withColumn("dims", F.size("v"))
 
 
 def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
           block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of every row for
-    which ``is_query`` (a function of the id column) holds."""
+    which ``is_query`` (a function of the id column) holds.  A query is named by
+    its id and 128 bits of its vector's digest."""
     vectors = whole_vectors(df, id_col, vector_col)
     counts = df.select(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col(f"`{id_col}`"))).alias("q")).first()
     n_blocks, n_sets = (max(1, -(-counts[c] // size)) for c, size in (("n", block_rows), ("q", query_rows)))
     part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = vectors.select("vec_id", "v", "dims", part(n_blocks).alias("block")).withColumn("part", every(n_sets))
-    queries = vectors.where(is_query(F.col("vec_id"))).select("vec_id", "v", "dims", part(n_sets).alias("part")).withColumn(
-        "block", every(n_blocks))
+    digest = F.md5(F.array_join(F.col("v").cast("array<string>"), ",").cast("binary"))
+    candidates = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n").cast("int"), F.lit(k + 1))))).select(
+        "vec_id", "v", "dims", part(n_blocks).alias("block")).withColumn("part", every(n_sets))
+    queries = vectors.where(is_query(F.col("vec_id"))).select(
+        "vec_id", "v", "n", digest.alias("name"), "dims", part(n_sets).alias("part")).withColumn("block", every(n_blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             lists = SortedLists(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()).astype(np.int64))
-            for own, v in zip(right["vec_id"].tolist(), right["v"]):
-                ids, scores, _ = lists.best(np.asarray(v, np.int64), own, k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
+            for own, name, n, v in zip(right["vec_id"].tolist(), right["name"], right["n"].tolist(), right["v"]):
+                v = np.asarray(v, np.int64)
+                ids, scores, _ = lists.best(v, own, k, lists.own_row(v, own))
+                out.append(pd.DataFrame({"query_id": own, "name": name, "n": n, "vec_id": ids, "score": scores}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+            {c: pd.Series(dtype="str" if c == "name" else "int64") for c in ("query_id", "name", "n", "vec_id", "score")})
 
     keys = ["block", "part", "dims"]
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
-        search, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+        search, "query_id bigint, name string, n bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = best.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))  # equal rows have equal answers
+    return rows.select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+  SELECT row_number() OVER () AS row_id, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.row_id, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  FROM v q JOIN v c ON c.row_id <> q.row_id AND len(c.v) = len(q.v)
   WHERE q.vec_id % 50 = 0),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

@@ -38,3 +38,14 @@ def test_equals_sql(spark, block_rows):
     assert got == sorted(con.execute(T.ORACLE_SQL).fetchall())
     assert {r[0] for r in got} >= {0, 50, 500, 550} and not {400, 450, 600} & {r[0] for r in got}
     assert T.top_k(df.limit(0), lambda c: c % 50 == 0).count() == 0
+
+
+def test_rows_that_share_an_id_are_all_searched(spark):
+    rows = [(1, [0.1, 0.1]), (1, [0.9, 0.9]), (50, [1.0, 1.0])] + [(2, [0.5, 0.5])] * 30 + [(100, [1.0, 0.0])] * 8 + [(100, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in T.top_k(df, lambda c: c % 50 == 0, block_rows=3, query_rows=2).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings(vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?,?)", rows)
+    assert got == sorted(con.execute(T.ORACLE_SQL).fetchall())
+    assert len(got) == 5 * 10 and (50, 1, 1, 460) not in got and any(r[0] == 50 and r[2] == 1 for r in got)
