@@ -5,13 +5,15 @@ real notice must hold.  The index maps a word to its postings, (template,
 position).  A first pass counts, over all documents, how many hold each word
 of the templates; that gives the words' inverse document frequencies.
 
-A file's licence words are found with their positions.  Only its rarest ones
-are looked up: its ``RARE_WORDS`` of highest inverse frequency, and the rarest
-word of every key phrase, so no key phrase can be missed.  Postings are
-intersected by relative position: a word at file position p and template
-position q votes for the template at p - q.  A place with enough votes is
-verified: every key phrase must stand at its place, word by word.  Its score
-is the share of the template's inverse frequency found at the right positions.
+A file's licence words are found with their positions.  A template can only
+stand where all words of its key phrases stand, so of each template whose words
+the file holds, the key words of highest inverse frequency are looked up, the
+rarest first: a word at file position p and template position q puts the
+template's start at p - q, and these starts are intersected word by word until
+none is left or ``RARE_WORDS`` words agree.  What is left is verified: every key
+phrase must stand at its place, word by word.  Its score is the share of the
+template's inverse frequency found at the right positions.  ``rare_words`` sets
+how much is left to verify, never the result.
 
 The base phrases are templates of one key phrase each, so their places come
 out of the same index.
@@ -97,10 +99,7 @@ class Index:
         self.idf = np.array([math.log((n_docs + 1) / (doc_counts.get(k, 0) + 1)) + 1e-3 for k in range(len(ids))])
         self.words = [np.array([ids[w] for w in t], np.int64) for t in words]
         self.weight = [float(self.idf[w].sum()) for w in self.words]
-        self.postings: list[list[tuple[int, int]]] = [[] for _ in ids]
-        for t, row in enumerate(self.words):
-            for q, v in enumerate(row.tolist()):
-                self.postings[v].append((t, q))
+        self.postings: list[list[tuple[int, int]]] = []  # of each template: (word id, place) of its key words, rarest first
         self.keys, anchors = [], set()  # of each template: (place, word ids) of its key phrases
         for t, template in enumerate(templates):
             row = []
@@ -110,37 +109,43 @@ class Index:
                 row.append((at, phrase))
                 anchors.add(int(phrase[np.argmax(self.idf[phrase])]))
             self.keys.append(row)
+            places = {at + k: int(v) for at, phrase in row for k, v in enumerate(phrase)}
+            self.postings.append([(v, q) for q, v in sorted(places.items(), key=lambda x: (-self.idf[x[1]], x[0]))])
         self.anchor = np.zeros(len(ids), bool)
         self.anchor[list(anchors)] = True
-        self.rank = np.empty(len(ids), np.int64)
-        self.rank[np.lexsort((np.arange(len(ids)), -self.idf))] = np.arange(len(ids))
 
     def table(self) -> KeyTable:
         return KeyTable([w.encode() for w in self.vocabulary])
 
+    def starts(self, t: int, at: dict[int, np.ndarray], rare_words: int) -> np.ndarray:
+        """Where the template's rarest key words agree that it starts; ``at`` has
+        the file positions of each word, rising."""
+        left = np.zeros(0, np.int64)
+        if all(v in at for v, _ in self.postings[t]):
+            for k, (v, q) in enumerate(self.postings[t][:max(1, rare_words)]):
+                left = at[v] - q if k == 0 else left[np.isin(left, at[v] - q, assume_unique=True)]
+                if not len(left):
+                    break
+        return left
+
     def places(self, ids: np.ndarray, found: np.ndarray, rare_words: int) -> list[tuple[int, int, float]]:
         """(template, start, score) of the verified places in one file, whose
         words have vocabulary ids (-1: none) and licence words at ``found``."""
-        kinds = np.unique(ids[found])
-        rarest = kinds[np.argsort(self.rank[kinds])][:rare_words]
-        wanted = self.anchor.copy()
-        wanted[rarest] = True
-        votes: dict[tuple[int, int], float] = {}
-        for p in found[wanted[ids[found]]].tolist():
-            v = ids[p]
-            for t, q in self.postings[v]:
-                votes[t, p - q] = votes.get((t, p - q), 0.0) + self.idf[v]
+        order = found[np.argsort(ids[found], kind="stable")]
+        kinds, firsts = np.unique(ids[order], return_index=True)
+        at = dict(zip(kinds.tolist(), np.split(order, firsts[1:])))
         out = []
-        for (t, start), _ in sorted(votes.items()):
-            for at, phrase in self.keys[t]:
-                a = start + at
-                if a < 0 or a + len(phrase) > len(ids) or not np.array_equal(ids[a:a + len(phrase)], phrase):
-                    break
-            else:
-                row = self.words[t]
-                lo, hi = max(0, -start), min(len(row), len(ids) - start)
-                same = row[lo:hi] == ids[start + lo:start + hi]
-                out.append((t, start, float(self.idf[row[lo:hi][same]].sum()) / self.weight[t]))
+        for t in range(len(self.templates)):
+            for start in self.starts(t, at, rare_words).tolist():
+                for offset, phrase in self.keys[t]:
+                    a = start + offset
+                    if a < 0 or a + len(phrase) > len(ids) or not np.array_equal(ids[a:a + len(phrase)], phrase):
+                        break
+                else:
+                    row = self.words[t]
+                    lo, hi = max(0, -start), min(len(row), len(ids) - start)
+                    same = row[lo:hi] == ids[start + lo:start + hi]
+                    out.append((t, start, float(self.idf[row[lo:hi][same]].sum()) / self.weight[t]))
         return out
 
 

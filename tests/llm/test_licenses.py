@@ -50,3 +50,44 @@ def test_scan(spark):
             assert "lgpl" in r.labels.split(",")
     assert got[len(texts) - 1].labels == "mit" and got[len(texts) - 1].score > 0.99
     assert L.license_labels(df.limit(0)).count() == 0
+
+
+def brute_places(text):
+    """Every (label, start) at which all key phrases of a template stand."""
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = set()
+    for t in L.TEMPLATES:
+        row = t.text.split()
+        keys = []
+        for key in t.keys:
+            key = key.split()
+            keys.append((next(k for k in range(len(row)) if row[k:k + len(key)] == key), key))
+        for start in range(-len(row), len(words)):
+            if all(start + at >= 0 and words[start + at:start + at + len(key)] == key for at, key in keys):
+                out.add((t.label, start))
+    return out
+
+
+def test_every_template_against_all_starts(spark):
+    rng = np.random.default_rng(8)
+    pieces = PARTS + [t.text for t in L.TEMPLATES] + [k for t in L.TEMPLATES for k in t.keys]
+    texts = [" ".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(120)] + [t.text for t in L.TEMPLATES] + [None, ""]
+    for k in range(40):  # notices with a word lost or two words changed over
+        words = L.TEMPLATES[k % len(L.TEMPLATES)].text.split()
+        at = int(rng.integers(0, len(words)))
+        texts.append(" ".join(words[:at] + words[at + 1:] if k % 2 else words[at:] + words[:at]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rare in (0, 1, 2, L.RARE_WORDS):
+        got = {r.doc_id: {(p.label, p.word) for p in r.places} for r in L.scan_licenses(df, rare_words=rare).collect()}
+        assert got == {k: brute_places(t) for k, t in enumerate(texts)}
+
+
+def test_rare_words_are_intersected_by_place():
+    index = L.Index(L.TEMPLATES, 1000, {})
+    t = next(k for k, x in enumerate(L.TEMPLATES) if x.label == "mit" and len(x.text.split()) > 10)
+    key = L.TEMPLATES[t].keys[0].split()
+    known = {w: k for k, w in enumerate(index.vocabulary)}
+    scattered = [known[w] for w in key[::-1] * 5 + key + key[::-1]]
+    at = {v: np.array([k for k, w in enumerate(scattered) if w == v]) for v in set(scattered)}
+    assert len(index.starts(t, at, 1)) == 7 and index.starts(t, at, 12).tolist() == [5 * len(key)]
+    assert not len(index.starts(t, {v: p for v, p in at.items() if v != known["granted"]}, 12))
