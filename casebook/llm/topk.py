@@ -47,7 +47,10 @@ class SortedLists:
     def own_row(self, query: np.ndarray, own: int) -> np.ndarray:
         """Mask of one row that has the id and the vector, if there is any."""
         mask = np.zeros(len(self.ids), bool)
-        mask[np.flatnonzero((self.ids == own) & (self.vectors == query).all(axis=1))[:1]] = True
+        for row in np.flatnonzero(self.ids == own):
+            if np.array_equal(self.vectors[row], query):
+                mask[row] = True
+                break
         return mask
 
     def best(self, query: np.ndarray, own: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -107,15 +110,17 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
         "vec_id", "v", "n", digest.alias("name"), "dims", part(n_sets).alias("part")).withColumn("block", every(n_blocks))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        asked, ids, scores = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(left) and len(right):
             lists = SortedLists(left["vec_id"].to_numpy(np.int64), np.stack(left["v"].to_numpy()).astype(np.int64))
-            for own, name, n, v in zip(right["vec_id"].tolist(), right["name"], right["n"].tolist(), right["v"]):
+            for row, (own, v) in enumerate(zip(right["vec_id"].tolist(), right["v"])):
                 v = np.asarray(v, np.int64)
-                ids, scores, _ = lists.best(v, own, k, lists.own_row(v, own))
-                out.append(pd.DataFrame({"query_id": own, "name": name, "n": n, "vec_id": ids, "score": scores}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-            {c: pd.Series(dtype="str" if c == "name" else "int64") for c in ("query_id", "name", "n", "vec_id", "score")})
+                got, values, _ = lists.best(v, own, k, lists.own_row(v, own))
+                asked += [row] * len(got)
+                ids.append(got)
+                scores.append(values)
+        queries = right.iloc[asked][["vec_id", "name", "n"]].reset_index(drop=True).set_axis(["query_id", "name", "n"], axis=1)
+        return queries.assign(vec_id=np.concatenate(ids), score=np.concatenate(scores))
 
     keys = ["block", "part", "dims"]
     found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
