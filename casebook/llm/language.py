@@ -182,7 +182,7 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
                      F.col(f"`{text_col}`").cast("string").alias("text"),
                      _remainder(id_col).alias("part")).where((F.col("part") != HELD_OUT) & F.col("lang").isNotNull()
-                                                             & F.col("text").isNotNull())
+                                                             & F.col("text").rlike(r"\p{L}"))  # as has_letters
     langs = rows.agg(F.countDistinct("lang").alias("langs"))
     share = F.greatest(F.lit(1), F.least(F.lit(sample_per_lang), F.floor(F.lit(sample_rows) / F.col("langs"))))
     first = Window.partitionBy("lang").orderBy("h", "id")

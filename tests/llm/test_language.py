@@ -68,3 +68,35 @@ def test_unlabelled_documents_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS letters")
     kept = L.drop_unknown(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_texts_without_letters_take_no_place_in_the_sample(spark):
+    rows = [(k, "12 ... 3" if k % 9 else "bonjour le monde", "fr") for k in range(900)] + [(1000 + k, "good morning world", "en") for k in range(20)]
+    model = L.fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_per_lang=5)
+    assert sorted(x for level in model.languages for x in level.names) == ["en", "fr"]
+
+
+def plain_winner(level, x):
+    """The duels of a level one by one: most wins, then the larger margin."""
+    won, margin = dict.fromkeys(level.names, 0), dict.fromkeys(level.names, 0.0)
+    pairs = [(a, b) for i, a in enumerate(level.names) for b in level.names[i + 1:]]
+    for (a, b), w in zip(pairs, level.weights):
+        m = float(np.dot(w[:-1], x) + w[-1])
+        won[a if m >= 0 else b] += 1
+        margin[a] += m
+        margin[b] -= m
+    return max(level.names, key=lambda n: (won[n], margin[n]))
+
+
+def test_predictions_against_plain_duels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit_model(docs)
+    got = {r.doc_id: r.lang_pred for r in L.predict_languages(docs).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == L.UNKNOWN
+            continue
+        x = L.features(block([r.text]))[0]
+        family = plain_winner(model.families, x)
+        assert got[r.doc_id] == plain_winner(model.languages[model.families.names.index(family)], x)
