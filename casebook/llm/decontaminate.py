@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, KeyTable, TextBlock, byte_table, fresh, map_text, text_blocks, word_ranges
 
@@ -239,16 +240,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 for lo, _, block in text_blocks(batch.column(1)):
                     found = [(lo + k, i, x) for k, got in enumerate(searcher.search(block)) for i, x in got.items()]
                     if found:
-                        items_ = pa.array([i for _, i, _ in found])
+                        items_ = pa.array([i for _, i, _ in found], arrow_item)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array([k for k, _, _ in found])), items_.cast(arrow_item),
+                            [batch.column(0).take(pa.array([k for k, _, _ in found])), items_,
                              *[pa.array([getattr(x, f) for _, _, x in found], pa.float64())
                                for f in ("score", "overlap", "question_overlap", "answer_overlap")]],
                             names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
         return source.mapInArrow(run, schema)
 
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+    arrow_item = to_arrow_type(items.schema[item_id_col].dataType)
     out = None
     for index in indexes(items, item_id_col, item_text_col, shard_items):
         out = searched(index) if out is None else out.unionAll(searched(index))

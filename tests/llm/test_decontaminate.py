@@ -66,3 +66,13 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert D.find_leaks(d, b.limit(0)).count() == 0 and D.find_leaks(d.limit(0), b).count() == 0
     assert D.drop_leaks(d, b.limit(0)).count() == len(docs)
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "smallint", "date", "double", "string"])
+def test_other_kinds_of_ids(spark, kind):
+    text = "the quick brown fox jumps over the lazy dog near the river bank while seven grey geese watch from a distant hill"
+    value = "2024-01-01" if kind == "date" else "12"
+    rows = spark.createDataFrame([(value, text), (value, None)], "id string, text string").selectExpr(f"CAST(id AS {kind}) AS k", "text")
+    got = D.find_leaks(rows, rows, "k", "text", "k", "text")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][:2] == [("doc_id", kind), ("item_id", kind)]
+    assert [r.doc_id == r.item_id for r in got.collect()] == [True]
