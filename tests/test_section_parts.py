@@ -78,3 +78,14 @@ def test_one_file_an_incident_keeps_its_order(spark, tmp_path):
             if i == incident:
                 want.setdefault(s, []).append(row)
         assert sections == want and bad == 0
+
+
+def test_gap_request_topics(spark):
+    from casebook.operators import prompting as PR
+
+    rows = [("s", "a {topic}", "VPN"), (None, None, None), ("s", "a", "")]
+    df = spark.createDataFrame(rows, "summary string, article_text string, topic string")
+    got = [r.gap_request for r in PR.gap_requests(df, topic="topic").collect()]
+    assert "data above (VPN)" in got[0] and "the VPN described" in got[0] and "a {topic}" in got[0]
+    assert "No summary available" in got[1] and "(issue)" in got[1] and "(issue)" in got[2]
+    assert "(issue)" in PR.gap_requests(df).first().gap_request
