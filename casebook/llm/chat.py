@@ -16,8 +16,8 @@ window is found by rendering the whole conversation at 2, 4, 8, ... windows and
 after its last turn, and comparing the digest with what has been given out: at
 most three renderings of each turn more.  For that ``format_conversations``
 holds the turns of one conversation; with ``recheck=False``, for templates that
-are known to add turns only, a task holds one window.  The library's own
-template is one of these, so its digests are made without it.
+are known to add turns only, a task holds one window.  The digests are made
+with it, too: that a template adds turns only is found, never taken for granted.
 
 Rows are dealt by conversation and read in order (turn, then role and text)
 as a stream; a conversation with a third of all rows is one long stream in one
@@ -175,27 +175,34 @@ def format_conversations(df: DataFrame, template: Template = marked_template, co
 
 
 def conversation_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                         text: str = "text", loss_role: str = "assistant", window: int = WINDOW) -> DataFrame:
-    """One row a conversation, read back from the marked template's output:
+                         text: str = "text", loss_role: str = "assistant", window: int = WINDOW,
+                         template: Template = marked_template) -> DataFrame:
+    """One row a conversation, read back from the output of the template (of the
+    marks of ``marked_template``):
     n_turns, turns_sha256 (role, newline, text, newline of each turn),
     loss_chars and loss_sha256 (the unescaped text under the loss mask, which
-    covers the texts of ``loss_role``), formatted_chars, rewrites_history."""
+    covers the texts of ``loss_role``), formatted_chars, rewrites_history (also of
+    turns before the window)."""
     source = _conversations(df, conv, turn, role, text)
     kind = source.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
         now, renderer, out = None, None, []
+
+        def done(renderer):
+            renderer.check()
+            return now, n, turns.hexdigest(), loss, masked.hexdigest(), renderer.size, renderer.rewrites
+
         for key, r, t in _turns(batches):
             if renderer is None or key != now:
                 if renderer is not None:
-                    out.append(done())
+                    out.append(done(renderer))
                     if len(out) >= 1024:
                         yield _batch(out, names, types)
                         out = []
-                now, renderer = key, Renderer(marked_template, window, recheck=False)
+                now, renderer = key, Renderer(template, window)
                 n = loss = 0
                 turns, masked = hashlib.sha256(), hashlib.sha256()
-                done = lambda: (now, n, turns.hexdigest(), loss, masked.hexdigest(), renderer.size, renderer.rewrites)
             _, added = renderer.feed(r, t)
             said, plain, (a, b) = read_turn(added)
             n += 1
@@ -205,7 +212,7 @@ def conversation_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn
                 loss += len(under)
                 masked.update(under.encode("utf-8", "replace"))
         if renderer is not None:
-            out.append(done())
+            out.append(done(renderer))
         if out:
             yield _batch(out, names, types)
 

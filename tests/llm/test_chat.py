@@ -101,6 +101,17 @@ def test_rewriting_is_on_the_last_row(spark):
     assert last == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
+def test_digests_find_rewriting_from_before_the_window(spark):
+    def late(turns, first):
+        rows = [(r, "late" if first + k == 0 and first + len(turns) >= 100 else t) for k, (r, t) in enumerate(turns)]
+        return C.marked_template(rows, first)
+
+    rows = [(c, k, "user", f"{c}.{k}") for c, n in ((1, 300), (2, 99), (3, 100), (4, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.rewrites_history for r in C.conversation_digests(df, template=late).collect()} == {1: True, 2: False, 3: True, 4: False}
+    assert not any(r.rewrites_history for r in C.conversation_digests(df).collect())
+
+
 def test_other_kinds_of_ids(spark):
     for kind in ("decimal(12,2)", "smallint", "date", "timestamp", "double", "binary"):
         value = "2024-01-01" if kind in ("date", "timestamp") else "12"
