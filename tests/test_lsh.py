@@ -66,3 +66,31 @@ def test_awkward_rows(spark, hashing):
     assert {(1, 2), (2, 1), (5, 6), (6, 5)} <= pairs and not {4, 7} & {p[0] for p in pairs}
     assert L.lsh_knn(d.limit(0), "id", "v", d, "id", "v", 2, hashing=hashing).count() == 0
     assert L.lsh_knn(d, "id", "v", d.limit(0), "id", "v", 2, hashing=hashing).count() == 0
+
+
+def test_a_query_goes_once_to_a_shard(spark):
+    rows = L._vectors(frame(spark, np.random.default_rng(3).standard_normal((50, 16))), "id", "v")
+    h = L.Hashing(8, 100)
+    got = L._hashed(rows, h, 4, True).collect()
+    assert len({(r.id, r.t, r.shard) for r in got}) == len(got) <= 50 * h.tables * 4
+    x = np.array([r.v for r in rows.orderBy("id").collect()])
+    want = [set(b.ravel().tolist()) for b in h.probed(h.margins(x))[:, 0]]
+    assert [{b for r in got if r.id == k and r.t == 0 for b in r.buckets} for k in range(50)] == want
+    assert all(b % 4 == r.shard for r in got for b in r.buckets)
+
+
+def test_shards_give_the_rows_of_their_buckets(spark):
+    rng = np.random.default_rng(4)
+    x = clustered(300, 8, rng, 12, 0.4)
+    x[100:160] = x[100]
+    h, d = L.Hashing(5, 6), frame(spark, x)
+    got = {}
+    for r in L.lsh_knn(d, "id", "v", d, "id", "v", 3, exclude_self=True, hashing=h, block_rows=40).collect():
+        got.setdefault(r.q_id, []).append((r.i_id, round(r.similarity, 9)))
+    m = h.margins(x)
+    own, to, n = h.buckets(m), h.probed(m), np.linalg.norm(x, axis=1)
+    sims = x @ x.T / np.outer(n, n)
+    for q in range(300):
+        met = [i for i in range(300) if i != q and any(own[i, t] in to[q, t] for t in range(h.tables))]
+        best = sorted(met, key=lambda i: (-round(sims[q, i], 12), i))[:3]
+        assert sorted(got.get(q, [])) == sorted((i, round(float(sims[q, i]), 9)) for i in best)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,51 @@ def test_model_embedding_slot(spark):
     df = spark.createDataFrame([(1, "banana"), (2, ""), (3, None)], "id int, t string")
     got = {r.id: r.v for r in df.select("id", col("t").alias("v")).collect()}
     assert got[1] == [6.0, 3.0] and got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("k,exclude,floor", [(1, True, None), (4, False, None), (15, True, 0.1)])
+def test_tiles_give_the_best_of_all_pairs(monkeypatch, k, exclude, floor):
+    monkeypatch.setattr(V, "TILE", (7, 90))
+    rng = np.random.default_rng(k)
+    x = rng.standard_normal((300, 9))
+    x[50:150] = x[50]  # copies
+    x[200:205] = 0.0
+    x[205:210] *= 1e-141
+    ids = rng.integers(0, 250, 300)  # some repeat
+    sizes = np.linalg.norm(x, axis=1)
+    whole = np.divide(x @ x.T, np.outer(sizes, sizes), out=np.zeros((300, 300)), where=np.outer(sizes, sizes) > 0)
+    want = []
+    for q in range(300):
+        some = [j for j in range(300) if not (exclude and ids[j] == ids[q]) and (floor is None or whole[q, j] > floor)]
+        want += [(int(ids[q]), int(ids[j])) for j in sorted(some, key=lambda j: (-round(whole[q, j], 12), ids[j]))[:k]]
+    table = pa.table({"id": ids, "v": pa.array(list(x), pa.list_(pa.float64()))})
+    got = V.block_scorer(k, exclude, floor)(table, table)
+    assert sorted(zip(got["q_id"].to_pylist(), got["i_id"].to_pylist())) == sorted(want)
+
+
+def test_vectors_of_a_search_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(20)], "id long, v array<double>").mapInArrow(count, "id long, v array<double>")
+    assert V.cosine_knn(d, "id", "v", d, "id", "v", 2, exclude_self=True).count() == 40
+    assert seen.value == 20
+
+
+def test_embedding_has_no_expression_for_each_element(spark):
+    d = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma"), (None, "delta"), (4, " ")], "id long, text string")
+    e, _ = V.corpus_embedding(d, "id", "text", 16)
+    assert "transform(" not in e._jdf.queryExecution().toString()
+    rows = {r.id: r.embedding for r in e.collect()}
+    assert rows.keys() == {1, 2, None} and all(len(v) == 16 and abs(sum(x * x for x in v) - 1) < 1e-12 for v in rows.values())
+
+
+def test_a_small_batch_reads_the_index_once(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k}") for k in range(40)], "id long, text string")
+    index, vocab = TF.docs_only_index(docs, "id", "text")
+    got = TF.probe_docs_only(index, vocab, "id", docs.limit(3).withColumnRenamed("id", "q"), "q", "text", 2)
+    assert "sequence(0, 0" in got._jdf.queryExecution().toString()
