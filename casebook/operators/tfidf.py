@@ -23,6 +23,8 @@ Plan shape
 * The number of blocks follows the number of entries (``DOC_ENTRIES``,
   ``QUERY_ENTRIES``), so a task's memory does not grow with the data, and the
   key is a hash of unique keys, so no block is hot.
+* Queries are one block while they have few entries, so a small batch reads the
+  index once; document blocks are at least ``MIN_BLOCKS``.
 * The document-term table is built once per call and written as a parquet
   table into the shared checkpoint folder (the index-build step).
 """
@@ -206,7 +208,7 @@ def block_top_k(index: DataFrame, doc_key: str, queries: DataFrame, q_key: str,
     ``sqrt(base + sum of corr over shared terms)`` for its norm.  Only scores
     above 0 count; ties go to the smaller document key (``last_first``: the
     larger)."""
-    nd, nq = _blocked(index, DOC_ENTRIES), _blocked(queries, QUERY_ENTRIES)
+    nd, nq = _blocked(index, DOC_ENTRIES), _blocked(queries, QUERY_ENTRIES, 1)
     weighted = "base" in index.columns
     d = (index.withColumn("_d", F.pmod(F.xxhash64(doc_key), F.lit(nd)))
          .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
