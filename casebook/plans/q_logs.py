@@ -11,7 +11,7 @@ from ..functions import constants as K
 from ..operators import logs as LG
 from . import sqltext as S
 from ..session import cut_lineage, ensure_checkpoint_dir, read_table
-from ..sources import readers as RD
+from ..sinks import file_tree as FT
 from .inputs import INJECTED_DOCUMENTS_SQL, injected_documents
 from .registry import ORACLES, register
 
@@ -170,20 +170,12 @@ def q_requested_logs(spark, sf_dir):
     its listing, and only their files read."""
     import uuid
 
-    parts = ["incident", "date", "analyzer", "inner"]
-    rows = LG.parse_paths(listing(spark, sf_dir))
-    inner = F.regexp_extract("rel", r"^[^/]*/[^/]*/[^/]*/(.*)$", 1)
-    rows = rows.select(F.col("incident_id").alias("incident"), F.col("date_folder").alias("date"),
-                       F.col("analyzer_folder").alias("analyzer"), inner.alias("inner"), F.col("content").alias("value"))
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-logs-{uuid.uuid4().hex}"
-    rows.repartition(*parts).write.partitionBy(*parts).text(root)
-    # folders written by Spark are named column=value, a file is one folder more
-    files = RD.log_listing(spark, root)
-    plain = F.regexp_replace(F.regexp_replace("rel", r"/[^/]*$", ""), r"(^|/)[a-z]+=", "$1")
-    files = files.filter(F.col("rel").contains("/part-")).withColumn("rel", F.replace(plain, F.lit("%2F"), F.lit("/")))
+    FT.write_tree(listing(spark, sf_dir), root)
+    files = FT.tree_listing(spark, root)
     asked = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("inc"), F.col("item_id").cast("string")).alias("incident_id"))
     chosen = cut_lineage(LG.wanted_files(files, asked), "log-choice")
-    read = RD.log_contents(spark, chosen).withColumn("content", F.regexp_replace("content", r"\n\z", ""))
+    read = FT.tree_contents(spark, chosen)
     both = LG.key_files(read).unionByName(LG.nested_logs(read).select("incident_id", "date_folder", "analyzer_folder", "file_name", "content", "kind"))
     return both.select("incident_id", "date_folder", "analyzer_folder", "file_name", "kind", F.length("content").alias("chars"),
                        F.md5(F.col("content").cast("binary")).alias("content_md5"))
