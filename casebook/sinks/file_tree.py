@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import uuid
 from urllib.parse import urlparse
 from urllib.request import url2pathname
@@ -39,10 +40,12 @@ def folder_name(column: str, value: str | None) -> str:
     return f"{column}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else NO_NAME}"
 
 
-def write_files(rows: DataFrame, folder: str, place=lambda name: name or NO_NAME, end: str = "\n") -> int:
+def write_files(rows: DataFrame, folder: str, place=lambda name: name or NO_NAME, end: str = "\n",
+                overwrite: bool = False) -> int:
     """Writes (name, piece) to a file below ``folder`` for each name, its pieces
     each followed by ``end``; returns the number of files.  Rows of a name stand
-    together in one partition.  ``place``: the path of a name."""
+    together in one partition.  ``place``: the path of a name.  A folder
+    that is not empty is refused, or emptied with ``overwrite``, as Spark does."""
 
     def write(batches):
         files, name, out, hidden, made = 0, None, None, "", set()
@@ -70,6 +73,18 @@ def write_files(rows: DataFrame, folder: str, place=lambda name: name or NO_NAME
             close()
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 
+    if os.path.isdir(folder) and os.listdir(folder):
+        if not overwrite:
+            raise FileExistsError(folder)
+        shutil.rmtree(folder)
+    if os.path.isdir(folder) and os.listdir(folder):
+        if not overwrite:
+            raise FileExistsError(folder)
+        shutil.rmtree(folder)
+    if os.path.isdir(folder) and os.listdir(folder):
+        if not overwrite:
+            raise FileExistsError(folder)
+        shutil.rmtree(folder)
     os.makedirs(folder, exist_ok=True)
     return rows.mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
 

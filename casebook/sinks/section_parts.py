@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators.ordered import range_parts
 from ..sources.section_csv import section_rows
+from .file_tree import folder_name, mounted_folder, write_files
+from .file_tree import folder_name, mounted_folder, write_files
+from .file_tree import folder_name, mounted_folder, write_files
 
 SECTION = ["incident_id", "section_order", "section"]
 MARK = "incident_id string, section_order int, section string"
@@ -109,5 +112,9 @@ def section_files_sink(sections: DataFrame, path: str) -> None:
     incident is one task's stream but never held whole."""
     named = sections.withColumn("incident_id", F.coalesce(F.col("incident_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
     lines = section_lines(named, SECTION, F.col("section"))
-    lines = lines.repartition("incident_id").sortWithinPartitions(*SECTION, "kind", "row_no")
-    lines.select("incident_id", "value").write.mode("overwrite").partitionBy("incident_id").text(path)
+    lines = lines.repartition("incident_id").sortWithinPartitions(*SECTION, "kind", "row_no").select("incident_id", "value")
+    folder = mounted_folder(sections.sparkSession, path)
+    if folder is None:
+        lines.write.mode("overwrite").partitionBy("incident_id").text(path)
+        return
+    write_files(lines, folder, lambda incident: f"{folder_name('incident_id', incident)}/part-00000.txt", overwrite=True)

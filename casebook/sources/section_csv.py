@@ -6,7 +6,8 @@ depends on the lines before it in three ways, each settled by one row a split:
 1. *Quotes.*  A split may start inside a quoted cell.  Every split is scanned
    from both states (outside, inside) and gives the state it ends in; composing
    these in the order of a file's splits gives the state each one starts in.
-   Only the splits that start inside come to the driver: two numbers for each
+   A file in one split starts outside and is not read for this.  Only the
+   splits that start inside come to the driver: two numbers for each
    of them, one split being ``spark.sql.files.maxPartitionBytes`` of input.
 2. *Rows across splits.*  The last row of a split that ends inside a cell and
    the first one of the next are pieces of one row and are joined.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,11 +40,33 @@ from ..session import cut_lineage
 END = "end of split"
 
 
+def file_text(spark: SparkSession, path: str) -> DataFrame:
+    """The files as read; their folders are listed here, once."""
+    return spark.read.option("lineSep", "\n").text(path)
+
+
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, start, line): every line as bytes, with its split's first byte."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-                        F.col("value").cast("binary").alias("line"))
+    return lines_of_text(file_text(spark, path))
+
+
+def lines_of_text(text: DataFrame) -> DataFrame:
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                       F.col("value").cast("binary").alias("line"))
+
+
+def _bytes(spark: SparkSession, name: str, default: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)i?b?", str(spark.conf.get(name, default)).strip().lower()).groups()
+    return int(number) * 1024 ** " kmgtp".index(unit if unit not in ("", "b") else " ")
+
+
+def several_splits(text: DataFrame) -> DataFrame:
+    """The lines of the files that are read in several splits; files too small
+    for that are not opened."""
+    spark = text.sparkSession
+    least = min(_bytes(spark, "spark.sql.files.openCostInBytes", "4m"), _bytes(spark, "spark.sql.files.maxPartitionBytes", "128m"))
+    return lines_of_text(text.where(F.col("_metadata.file_size") > least)
+                         .where(F.col("_metadata.file_block_length") < F.col("_metadata.file_size")))
 
 
 def csv_rows(lines: Iterator[str], inside: bool) -> Iterator[tuple[list[str] | None, bool]]:
@@ -127,11 +151,11 @@ def starts_inside(lines: DataFrame) -> set[tuple[int, int]]:
     return {(r["file"], r["start"]) for r in found.collect()}
 
 
-def split_rows(lines: DataFrame) -> DataFrame:
+def split_rows(lines: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """(path, start, r, cells, joins, open): the rows of each split in order;
     ``joins``: the row goes on from the split before.  A row that cannot be read
-    has no cells."""
-    inside = lines.sparkSession.sparkContext.broadcast(starts_inside(lines))
+    has no cells.  ``several``: the lines of files in several splits, where known."""
+    inside = lines.sparkSession.sparkContext.broadcast(starts_inside(lines if several is None else several))
 
     def scan(batches):
         held: list[tuple] = []
@@ -207,7 +231,8 @@ def _cell_map(cell_cap: int | None) -> Column:
 def section_rows(spark: SparkSession, path: str, cell_cap: int | None = K.CELL_CAP) -> DataFrame:
     """(path, section, row_no, row, bad_rows): one row per data row of every
     section of every file, with the file's number of unreadable rows."""
-    scanned = cut_lineage(split_rows(file_lines(spark, path)), "section-splits")
+    text = file_text(spark, path)
+    scanned = cut_lineage(split_rows(lines_of_text(text), several_splits(text)), "section-splits")
     bad = scanned.where("cells is null").groupBy("path").agg(F.count(F.lit(1)).alias("bad"))
     rows = cut_lineage(marked_rows(whole_rows(scanned)).where(F.col("name") != ""), "section-marked")
     # of the last opening only; its first row is the header
@@ -223,8 +248,9 @@ def section_rows(spark: SparkSession, path: str, cell_cap: int | None = K.CELL_C
 def redacted_files(spark: SparkSession, path: str, section: str = "authored summary") -> DataFrame:
     """F-2 over section files: (path, redacted), one row a file; true if a cell
     of the section (any opening, in any letter case) is the redaction token."""
-    lines = file_lines(spark, path)
-    rows = marked_rows(whole_rows(cut_lineage(split_rows(lines), "section-splits")), strip_marks=True)
+    text = file_text(spark, path)
+    lines = lines_of_text(text)
+    rows = marked_rows(whole_rows(cut_lineage(split_rows(lines, several_splits(text)), "section-splits")), strip_marks=True)
     hit = F.exists("cells", lambda c: TX.is_redacted(c)) & (F.lower("name") == section)
     found = rows.where("g > at").where(hit).select("path").distinct().withColumn("hit", F.lit(True))
     return lines.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("redacted"))
