@@ -50,3 +50,14 @@ def test_only_entries_of_the_queries_are_sent(spark, monkeypatch):
     monkeypatch.setattr(TF, "_shared", lambda *a: sent.append(real(*a)) or sent[0])
     assert TF.probe_docs_only(index, vocab, "id", queries, "q", "text", 9).count() == 6  # of ids 3, 10, ..., 38
     assert sent[0][0].agg(F.sum(F.size("terms"))).first()[0] == 9  # word3 six times, the others of id 3 once
+
+
+def test_pruned_search_sends_only_entries_of_the_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k} more{k} and{k}") for k in range(40)], "id long, text string")
+    index = TF.PrunedIndex.build(docs, "id", "text", block_docs=5)
+    sent = []
+    real = TF._shared
+    monkeypatch.setattr(TF, "_shared", lambda *a: sent.append(real(*a)) or sent[-1])
+    got = index.probe(docs.filter("id = 3").withColumnRenamed("id", "q"), "q", "text", 9)
+    assert sorted(r.id for r in got.collect()) == [3, 10, 17, 24, 31, 38]
+    assert len(sent) == 2 and {s[0].agg(F.sum(F.size("terms"))).first()[0] for s in sent} == {9}
