@@ -61,3 +61,54 @@ def test_pruned_search_sends_only_entries_of_the_queries(spark, monkeypatch):
     got = index.probe(docs.filter("id = 3").withColumnRenamed("id", "q"), "q", "text", 9)
     assert sorted(r.id for r in got.collect()) == [3, 10, 17, 24, 31, 38]
     assert len(sent) == 2 and {s[0].agg(F.sum(F.size("terms"))).first()[0] for s in sent} == {9}
+
+
+@pytest.mark.parametrize("head,max_df,entries", [(0, 0.9, 100), (2, 0.5, 100), (2, 0.9, 1), (1000, 0.5, 100)])
+def test_small_batch_finds_what_the_whole_index_finds(spark, monkeypatch, head, max_df, entries):
+    monkeypatch.setattr(TF, "HEAD_TERMS", head)
+    docs = spark.createDataFrame(DOCS, "k long, t string")
+    queries = spark.createDataFrame([(1, "beta zeta_1"), (2, "alpha alpha delta"), (3, "unknown"), (None, "straße é1"), (4, None)], "q long, t string")
+    found = lambda df: sorted(((r.q or 0, r["rank"], r.k or 0, round(r.score, 9)) for r in df.collect()))
+    index, vocab = TF.docs_only_index(docs, "k", "t", max_df)
+    whole = found(TF.probe_docs_only(index, vocab, "k", queries, "q", "t", 9))
+    monkeypatch.setattr(TF, "QUERY_ENTRIES", entries)  # 1: more than one block, the whole index
+    assert whole and found(TF.fallback_search(docs, "k", "t", queries, "q", "t", 9, max_df)) == whole
+
+
+@pytest.mark.parametrize("head", [0, 1000])
+def test_small_batch_moves_only_its_entries(spark, monkeypatch, head):
+    monkeypatch.setattr(TF, "HEAD_TERMS", head)
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k} more{k} and{k}") for k in range(40)], "id long, text string")
+    queries = docs.filter("id = 3").withColumnRenamed("id", "q")
+    staged, real = {}, TF.cut_lineage
+    monkeypatch.setattr(TF, "cut_lineage", lambda df, name: staged.setdefault(name, real(df, name)))
+    assert TF.fallback_search(docs, "id", "text", queries, "q", "text", 9).count() == 6
+    index = {r.id: r for r in staged["tfidf-index"].collect()}
+    assert sorted(index) == [3, 10, 17, 24, 31, 38] and sum(len(r.terms) for r in index.values()) == 9
+    idf = {r.term: r.idf for r in staged["tfidf-vocab"].selectExpr("term", "ln(41 / (1 + df)) + 1 AS idf").collect()}
+    for k, r in index.items():  # the norm is the whole document's
+        assert r.norm == pytest.approx(math.sqrt(sum(idf[t] ** 2 for t in (f"word{k % 7}", f"other{k}", f"more{k}", f"and{k}"))))
+
+
+def test_documents_are_not_shuffled_to_what_was_found(spark, tmp_path):
+    from casebook.operators import gap as GP
+    from casebook.plans import q_files, q_gap, q_ranking
+
+    letters = "".join(chr(97 + k * k * 31 % 26) for k in range(3000))
+    docs = [(k, f"topic{k % 9} step{k}\n{letters[k:k + 900]} {letters[3 * k:3 * k + 900]}", "en", "wiki", 9) for k in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet", compression="none")
+    spark.createDataFrame([(k, f"topic{k} step{k}") for k in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    real, steps = GP.article_steps, []
+    try:
+        GP.article_steps = lambda *a: steps.append(real(*a)) or steps[0]
+        q_gap.q_gap_steps(spark, str(tmp_path))
+        for rows in (steps[0], q_files.q_gap_requests(spark, str(tmp_path)), q_ranking.candidates(spark, str(tmp_path))):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(doc_id" not in plan, plan
+            assert rows.count() >= 5
+    finally:
+        GP.article_steps = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
