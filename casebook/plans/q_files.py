@@ -14,7 +14,7 @@ from ..operators import conversation as C
 from ..operators import prompting as PR
 from ..operators import screenshots as SS
 from ..operators.ordered import positions
-from ..session import ensure_checkpoint_dir, read_table
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table
 from ..sinks import writers as W
 from ..sinks.section_parts import section_parts, section_parts_sink
 from ..sources import readers as RD
@@ -174,9 +174,10 @@ FROM ({CHOSEN_SQL}) c JOIN benchmark b USING (item_id) JOIN documents d ON d.doc
 """)
 def q_gap_requests(spark, sf_dir):
     """The gap analysis request of each query text and its top article."""
-    chosen = r4_candidates(spark, sf_dir).filter(F.col("rank") == 1).select("item_id", "doc_id")
+    # staged, so that a few rows are sent to the documents, not the texts to them
+    chosen = cut_lineage(r4_candidates(spark, sf_dir).filter(F.col("rank") == 1).select("item_id", "doc_id"), "gap-chosen")
     b = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("summary"))
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("article_text"), F.col("source").alias("topic"))
-    r = PR.gap_requests(chosen.join(b, "item_id").join(d, "doc_id"), topic="topic")
+    r = PR.gap_requests(chosen.join(d, "doc_id").join(b, "item_id"), topic="topic")
     return r.select("item_id", "doc_id", F.md5(F.col("gap_request").cast("binary")).alias("request_md5"),
                     F.length("gap_request").alias("n_chars"))
