@@ -256,40 +256,55 @@ def _weighted_for(bags: DataFrame, counts: DataFrame, queries: DataFrame) -> Dat
     entries that one of them has; the norm is that of the whole document.
 
     A document is weighed in its row; of the entries of rare terms only the
-    squared weights are brought to it, so no whole document moves."""
+    squared weights are brought to it, so no whole document moves.  What moves
+    holds the number of each asked term and its count; the term and its weight
+    are put in their place where the norm is known."""
     known, cut = _head(counts)
     asked = queries.select(F.explode("terms").alias("term")).distinct().join(_vocab(counts), "term")
     asked = bags.sparkSession.sparkContext.broadcast(asked.toArrow().combine_chunks())
+    rows, squares, w = _asked_entries(bags, known, asked), F.col("squares"), F.col("tf") * F.col("idf")
+    if cut is not None:
+        # summed in ascending order: copies have the same norm to the last bit
+        rare = (_rare_entries(bags, counts, known, cut).groupBy(F.col("key").alias("_key"))
+                .agg(F.sort_array(F.collect_list(w * w)).alias("_xs"))
+                .select("_key", _total("_xs").alias("rare")))
+        rows = rows.join(rare, F.col("key").eqNullSafe(F.col("_key")), "left")
+        squares = squares + F.coalesce("rare", F.lit(0.0))
 
     def weigh(batches):
+        terms, idfs = asked.value["term"].combine_chunks(), asked.value["idf"].to_numpy()
+        for batch in batches:
+            at, lengths = batch.column("at").flatten(), pc.list_value_length(batch.column("at")).to_numpy(zero_copy_only=False)
+            w = batch.column("tf").flatten().to_numpy() * idfs[at.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(lengths, terms.take(at)),
+                                              _lists(lengths, pa.array(w, pa.float64())), batch.column("norm")],
+                                             names=["key", "terms", "w", "norm"])
+
+    kind = bags.schema["key"].dataType.simpleString()
+    return rows.select("key", "at", "tf", F.sqrt(squares).alias("norm")).mapInArrow(
+        weigh, f"key {kind}, terms array<string>, w array<double>, norm double")
+
+
+def _asked_entries(bags: DataFrame, known, asked) -> DataFrame:
+    """(key, at, tf, squares): for each document with an asked term the places of
+    these among the asked, their counts, and the sum of the squared weights of its
+    entries in the head."""
+    def pick(batches):
         idfs = np.append(np.nan_to_num(known.value["idf"].to_numpy().astype(float)), 0.0)
-        asked_idfs = asked.value["idf"].to_numpy()
         for batch in batches:
-            lists = batch.column("terms")
-            terms, owner, tf = lists.flatten(), _owners(lists), batch.column("tf").flatten().to_numpy()
-            w = tf * idfs[_places(terms, known.value)]
+            lists, tf = batch.column("terms"), batch.column("tf").flatten()
+            terms, owner = lists.flatten(), _owners(lists)
+            w = tf.to_numpy() * idfs[_places(terms, known.value)]
             squares = np.bincount(owner, w * w, minlength=len(lists))
             at = pc.index_in(terms, value_set=asked.value["term"])
             keep = pc.is_valid(at)
-            mine = keep.to_numpy(zero_copy_only=False)
-            lengths = np.bincount(owner[mine], minlength=len(lists))
-            rows = pa.RecordBatch.from_arrays([
-                batch.column("key"), _lists(lengths, terms.filter(keep)),
-                _lists(lengths, pa.array(tf[mine] * asked_idfs[at.filter(keep).to_numpy()], pa.float64())),
-                pa.array(squares, pa.float64())], names=["key", "terms", "w", "squares"])
+            lengths = np.bincount(owner[keep.to_numpy(zero_copy_only=False)], minlength=len(lists))
+            rows = pa.RecordBatch.from_arrays([batch.column("key"), _lists(lengths, at.filter(keep)), _lists(lengths, tf.filter(keep)),
+                                               pa.array(squares, pa.float64())], names=["key", "at", "tf", "squares"])
             yield rows.filter(pa.array(lengths > 0))
 
     kind = bags.schema["key"].dataType.simpleString()
-    rows = bags.mapInArrow(weigh, f"key {kind}, terms array<string>, w array<double>, squares double")
-    squares, w = F.col("squares"), F.col("tf") * F.col("idf")
-    if cut is not None:
-        # summed in ascending order: copies have the same norm to the last bit
-        rare = (_rare_entries(bags, counts, known, cut).groupBy(F.col("key").alias("_key"))
-                .agg(F.sort_array(F.collect_list(w * w)).alias("_xs"))
-                .select("_key", _total("_xs").alias("rare")))
-        rows = rows.join(rare, F.col("key").eqNullSafe(F.col("_key")), "left")
-        squares = squares + F.coalesce("rare", F.lit(0.0))
-    return rows.select("key", "terms", "w", F.sqrt(squares).alias("norm"))
+    return bags.mapInArrow(pick, f"key {kind}, at array<int>, tf array<int>, squares double")
 
 
 def _query_vectors(entries: DataFrame, q_key: str) -> DataFrame:

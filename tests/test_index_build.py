@@ -90,6 +90,25 @@ def test_small_batch_moves_only_its_entries(spark, monkeypatch, head):
         assert r.norm == pytest.approx(math.sqrt(sum(idf[t] ** 2 for t in (f"word{k % 7}", f"other{k}", f"more{k}", f"and{k}"))))
 
 
+def test_small_batch_sends_numbers_to_the_norms(spark, monkeypatch):
+    monkeypatch.setattr(TF, "HEAD_TERMS", 0)  # every term is rare: the rows are joined with their norms
+    docs = spark.createDataFrame([(k, f"word{k % 7} other{k} more{k} and{k}") for k in range(40)], "id long, text string")
+    queries = docs.filter("id = 3").withColumnRenamed("id", "q")
+    built, real = [], TF._weighted_for
+    monkeypatch.setattr(TF, "_weighted_for", lambda *a: built.append(real(*a)) or built[0])
+    assert TF.fallback_search(docs, "id", "text", queries, "q", "text", 9).count() == 6
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [plan] * (plan.nodeName() == "Join") + [j for p in below for j in joins(p)]
+
+    # the first join is that of the rows with the sums of their rare terms
+    sides = [side.schema().simpleString() for side in (lambda j: (j.left(), j.right()))(
+        joins(built[0]._jdf.queryExecution().optimizedPlan())[0])]
+    assert "key:bigint" in sides[0] and "rare:double" in sides[1]
+    assert "string" not in sides[0] and "array<double>" not in sides[0], sides
+
+
 def test_documents_are_not_shuffled_to_what_was_found(spark, tmp_path):
     from casebook.operators import gap as GP
     from casebook.plans import q_files, q_gap, q_ranking
