@@ -172,7 +172,7 @@ def q_requested_logs(spark, sf_dir):
 
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/casebook-logs-{uuid.uuid4().hex}"
     FT.write_tree(listing(spark, sf_dir), root)
-    # each choice reads the listing: made once, in few tasks (a scan has one for a few files)
+    # each choice reads the listing: made once, in few tasks (Spark's own has one for a few files)
     files = FT.tree_listing(spark, root).coalesce(4 * spark.sparkContext.defaultParallelism)
     files = cut_lineage(files, "log-listing")
     asked = read_table(spark, sf_dir, "benchmark").select(F.concat(F.lit("inc"), F.col("item_id").cast("string")).alias("incident_id"))

@@ -13,28 +13,18 @@ import os
 import re
 import shutil
 import uuid
-from urllib.parse import urlparse
-from urllib.request import url2pathname
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import readers as RD
+from ..sources.readers import mounted_folder
 
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"  # Spark's name of a null or empty one
 ESCAPED = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")  # by Spark in the name of a folder
 
 
-def mounted_folder(spark: SparkSession, path: str) -> str | None:
-    """The path for ``open``, if it is on a mounted disk."""
-    url = urlparse(path)
-    scheme = url.scheme or urlparse(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
-    if scheme != "file":
-        return None
-    return url2pathname(url.path) if url.scheme else path
-
-
 def folder_name(column: str, value: str | None) -> str:
     """``column=value`` as Spark names a partition's folder."""
     return f"{column}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else NO_NAME}"
